@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, sharding, warc
+from . import media, mixing, near, packing, sharding, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_media": media.op3_media,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op9_near_dedup": near.op9_near_dedup,
     "op10_warc": warc.op10_warc,
 }
 SQL = {
