@@ -61,6 +61,16 @@ class Ids:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+_shared: dict[str, Ids] = {}
+
+
+def shared_ids(path: str) -> Ids:
+    """One cache for all tasks that a worker process runs."""
+    if path not in _shared:
+        _shared[path] = Ids(path)
+    return _shared[path]
+
+
 def _signs() -> np.ndarray:
     return np.random.default_rng(7).choice(np.array([-1, 1]), (FEATURES, DIMS))
 
@@ -108,7 +118,7 @@ def _encode(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = Ids(path)
+        ids = shared_ids(path)
         for b in batches:
             for i in range(0, len(b), 500):
                 part = b.iloc[i : i + 500]
