@@ -49,11 +49,11 @@ RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "text
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "label", "link", "parent", "tag", "text")
+    __slots__ = ("attrs", "label", "link", "linked", "parent", "tag", "text", "total")
 
     def __init__(self, tag: str, parent: int, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
-        self.text, self.link, self.kids, self.label = "", 0, 0, None
+        self.text, self.link, self.label, self.total, self.linked = "", 0, None, 0, 0
 
 
 def dom(page: str) -> list[Node]:
@@ -70,7 +70,6 @@ def dom(page: str) -> list[Node]:
                 leaf = Node("#", stack[-1][1])
                 leaf.text = text
                 leaf.link = sum(len(t.strip()) for t, in_link in run if in_link)
-                nodes[leaf.parent].kids += 1
                 nodes.append(leaf)
             run.clear()
 
@@ -132,20 +131,20 @@ def dom(page: str) -> list[Node]:
         else:
             if not skip and tag not in SKIP:
                 nodes.append(Node(tag, stack[-1][1], m[3]))
-                nodes[stack[-1][1]].kids += 1
                 stack.append((tag, len(nodes) - 1))
             else:
                 stack.append((tag, stack[-1][1]))
                 skip += tag in SKIP
     close(1)
     flush()
+    add_sums(nodes)
     return nodes
 
 
 TAGS = "html div section article main nav header footer aside form fieldset ul ol li dl dt dd table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details center #".split()
-NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li"]
+NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], *[f"sum-len{i}" for i in range(6)], *[f"sum-link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li"]
 INDEX = {x: i for i, x in enumerate(NAMES)}
-KINDS = {t: i for i, t in enumerate(["#", "p", "li", "h1", "h2", "div", "section", "other", "marked"])}
+KINDS = {t: i for i, t in enumerate(["#", "p", "li", "ul", "ol", "h1", "h2", "td", "div", "section", "article", "main", "other", "marked"])}
 _MARK = re.compile(r"©|\(c\) ?\d{4}|all rights reserved", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _groups: dict[str, tuple[str, ...]] = {}
@@ -171,15 +170,31 @@ def groups(attrs: str) -> tuple[str, ...]:
     return got
 
 
+def add_sums(nodes: list[Node]) -> None:
+    """Characters and link characters under each element."""
+    for x in nodes:
+        x.total, x.linked = (len(x.text), x.link) if x.tag == "#" else (0, 0)
+    for x in reversed(nodes[1:]):
+        up = nodes[x.parent]
+        up.total += x.total
+        up.linked += x.linked
+
+
+def _share(link: int, n: int) -> int:
+    share = link / n if n else 0
+    return 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3
+
+
 def features(nodes: list[Node], i: int) -> list[int]:
+    """Numbers of the features of node i that are on; add_sums comes first."""
     x = nodes[i]
     out = [0, INDEX.get(f"t:{x.tag}", 1)]
     if x.tag != "#":
+        out += [INDEX["sum-len0"] + min(5, int(math.log(x.total + 1, 5))), INDEX["sum-link0"] + _share(x.linked, x.total)]
         return out + [INDEX["hidden" if g == "hidden" else f"w:{g}"] for g in groups(x.attrs)]
     n, parent = len(x.text), nodes[x.parent].tag
     out.append(INDEX["len0"] + min(4, int(math.log(n + 1, 5))))
-    share = x.link / n
-    out.append(INDEX["link0"] + (0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3))
+    out.append(INDEX["link0"] + _share(x.link, n))
     if x.text[-1] in ".!?:;”\"":
         out.append(INDEX["stop"])
     if _MARK.search(x.text):
@@ -243,7 +258,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         "head": lambda: r.choice(('<header data-y="0">{}</header>', '<div class="site-header" id="masthead" data-y="0">{}</div>', '<div class="header" data-y="0">{}</div>')).format(f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>" + items(r.randint(0, 4))),
         "foot": lambda: r.choice(('<footer data-y="0">{}</footer>', '<div id="footer" data-y="0">{}</div>', '<div class="copyright" data-y="0">{}</div>')).format(r.choice((f"&copy; {word()}.com &middot; {prose(1, 2)}", f"<p>{prose(1, 3)}</p><p>Copyright 20{r.randint(10, 24)} {words(1, 3)}</p>", items(4) + f"<p>{words(2, 9)}</p>"))),
         "side": lambda: r.choice(('<aside data-y="0">{}</aside>', '<div class="sidebar" data-y="0">{}</div>', '<div class="related widget" data-y="0">{}</div>', '<section class="recommended" data-y="0">{}</section>')).format(f"<h3>{words(1, 3)}</h3>" + r.choice((items(5), f"<p>{prose(1, 3)}</p>", f"<p>{words(3, 9)}</p>{items(2)}"))),
-        "ad": lambda: r.choice(('<div class="ad" data-y="0">{}</div>', '<div class="advert banner" data-y="0">{}</div>', '<div id="sponsored-{0}" data-y="0">{0}</div>', '<section class="promo" data-y="0">{}</section>', '<p class="ads" data-y="0">{}</p>')).format(r.choice((prose(1, 3), words(2, 7), f"<p>{prose(1, 2)}</p>"))),
+        "ad": lambda: r.choice(('<div class="ad" data-y="0">{}</div>', '<div class="advert banner" data-y="0">{}</div>', '<div id="sponsored-{0}" data-y="0">{0}</div>', '<section class="promo" data-y="0">{}</section>', '<div class="ads" data-y="0">{}</div>')).format(r.choice((prose(1, 3), words(2, 7), f"<p>{prose(1, 2)}</p>"))),
         "note": lambda: r.choice(('<div class="cookie-notice" data-y="0">{}</div>', '<div id="consent" data-y="0">{}</div>', '<div class="notice alert" data-y="0">{}</div>', '<div role="dialog" data-y="0">{}</div>')).format(f"<p>{prose(1, 4)}</p>"),
         "form": lambda: r.choice(('<form data-y="0">{}</form>', '<form class="newsletter" data-y="0"><p>{}</p></form>', '<div class="login subscribe" data-y="0">{}</div>', '<form id="search" data-y="0"><label>{}</label></form>')).format(r.choice((words(1, 6), prose(1, 2))) + ' <input name="q">'),
         "talk": lambda: r.choice(('<section class="comments" data-y="0">{}</section>', '<div id="comments" data-y="0">{}</div>', '<ol class="commentlist" data-y="0">{}</ol>', '<div class="discussion" data-y="0">{}</div>')).format(f"<h3>{words(1, 3)}</h3>" + "".join(r.choice(('<div class="comment"><p>{}</p></div>', '<li class="comment">{}</li>', '<article class="comment"><p>{}</p></article>', "<p>{}</p>")).format(prose(1, 5)) for _ in range(r.randint(1, 5)))),
@@ -277,10 +292,10 @@ def labelled(page: str, inside: str | None = None) -> list[Node]:
     return nodes
 
 
-def train(pages: list[list[Node]], steps: int = 400) -> Model:
+def train(pages: list[list[Node]], steps: int = 600) -> Model:
     """Node weights by logistic regression, pair potentials by smoothed counts of (parent, child) labels.
 
-    The pair tables hold P(child | parent) over P(child), so that the node weights alone carry how common content is.
+    The pair tables hold P(child | parent) over the root of P(child): node weights carry part of how common content is.
     """
     rows, y = [], []
     pairs = np.full((len(KINDS), 2, 2), 2.0)
@@ -300,7 +315,7 @@ def train(pages: list[list[Node]], steps: int = 400) -> Model:
         w = w + speed
     given = pairs / pairs.sum(2, keepdims=True)
     apart = pairs.sum(1, keepdims=True) / pairs.sum((1, 2), keepdims=True)
-    return Model(w, np.log(given / apart))
+    return Model(w, np.log(given / np.sqrt(apart)))
 
 
 def train_on(pages: DataFrame, most: int = 400) -> Model:

@@ -227,3 +227,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that near_duplicates doesn't keep, and with one row of each repeated doc_id."""
+    found = NearDuplicates(docs, k, percent)
+    gone = materialize(found.components().where("not kept").select("doc_id").distinct(), "near-gone")
+    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = materialize(found.sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-twice")
+    if twice.isEmpty():
+        return rest
+    return rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import lm, media, mixing, near, packing, quality, sharding, warc
+from . import ann, html, lm, media, mixing, near, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_packing": packing.op2_packing,
     "op3_media": media.op3_media,
+    "op4_html": html.op4_html,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op8_ann": ann.op8_ann,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_warc": warc.op10_warc,
 }
