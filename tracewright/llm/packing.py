@@ -14,7 +14,7 @@ from .common import byte_size, materialize, table
 
 DIMS, BITS, FEATURES = 3, 10, 1024
 #: White-space-led pieces of text that a worker keeps with their ids; beyond it the oldest half goes.
-CACHE = 600_000
+CACHE = 300_000
 
 
 class Ids:
@@ -120,8 +120,8 @@ def _encode(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = shared_ids(path)
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.iloc[i : i + 500]
+            for i in range(0, len(b), 250):
+                part = b.iloc[i : i + 250]
                 coded = [c + b"\0\0" for c in ids([t if isinstance(t, str) else "" for t in part["text"]])]
                 points = document_points([np.frombuffer(c, "<u2") for c in coded])
                 yield pd.DataFrame({"doc_id": part["doc_id"], "rid": part["rid"], "curve": hilbert_key(points), "n": [len(c) // 2 for c in coded], "ids": coded})
