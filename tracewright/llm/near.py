@@ -20,7 +20,7 @@ HASHES = BANDS * ROWS
 LONGS = HASHES * LOW_BITS // 64
 #: A pair goes on to the exact check from this estimate on: five standard deviations under 0.8.
 MARGIN = 0.2
-TILE = 2048
+TILE = 1024
 _rng = np.random.default_rng(1597)
 _MUL = _rng.integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -126,14 +126,19 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _tile(cut: float):
-    """Pairs of one tile of a bucket whose components differ and whose estimate reaches cut."""
+def _tile(cut: float, k: int, percent: int):
+    """Confirmed links between different components within one tile of a bucket; enough of them to join what is linked.
+
+    A pair is looked at in the first band that its members share, so in one bucket only. Likely pairs are confirmed on
+    full sets, best estimates first; a pair whose members were joined meanwhile needs no check.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         comp, rep, side = g["component"].to_numpy(), g["rep"].to_numpy(), g["side"].to_numpy()
-        sig = g[SIGS].to_numpy(np.int64).view(np.uint64)
+        sig, bands = g[SIGS].to_numpy(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
+        band = int((bands[0] == g["bucket"].iloc[0]).argmax())
         most = pd.Series(comp).mode().iloc[0]
-        ones, found = np.uint64(sum(1 << (LOW_BITS * i) for i in range(64 // LOW_BITS))), []
+        ones, chance, likely = np.uint64(sum(1 << (LOW_BITS * i) for i in range(64 // LOW_BITS))), 2.0**-LOW_BITS, []
         two = side.max() > 0
         # whoever is outside the largest component is compared with all
         for r in np.flatnonzero(comp != most):
@@ -141,13 +146,32 @@ def _tile(cut: float):
             y = x.copy()
             for s in range(1, LOW_BITS):
                 y |= x >> np.uint64(s)
-            est = 1 - np.bitwise_count(y & ones).sum(axis=1) / HASHES
-            chance = 2.0**-LOW_BITS
-            hit = ((est - chance) / (1 - chance) >= cut) & (comp != comp[r])
+            est = (1 - np.bitwise_count(y & ones).sum(axis=1) / HASHES - chance) / (1 - chance)
+            hit = (est >= cut) & (comp != comp[r]) & ((bands == bands[r]).argmax(axis=1) == band)
             if two:
                 hit &= side != side[r]
-            found += [(min(rep[r], q), max(rep[r], q)) for q in rep[hit].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            likely += [(-est[q], min(r, q), max(r, q)) for q in np.flatnonzero(hit).tolist()]
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+        texts, found = g["text"].to_numpy(), []
+        for _, i, j in sorted(set(likely)):
+            a, b = find(comp[i]), find(comp[j])
+            if a == b:
+                continue
+            for m in (i, j):
+                if m not in sets:
+                    sets[m] = shingle_sets(as_bytes([texts[m]]), k)[0]
+            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if inter and 100 * inter >= percent * (len(sets[i]) + len(sets[j]) - inter):
+                root[a] = b
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -167,12 +191,15 @@ class NearDuplicates:
         shared = materialize(keys.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
         self.members = materialize(keys.join(shared, "bucket"), "near-members")
 
+    def texts_of(self, named: DataFrame) -> DataFrame:
+        """doc_id and text of the named documents, written: only these texts are shuffled on."""
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+        return materialize(texts.join(materialize(named.distinct(), "near-named"), "doc_id", "left_semi"), "near-texts")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the similarity. Only texts that a pair names are shuffled on."""
+        """The pairs (a, b) whose full sets reach the similarity."""
         pairs = materialize(pairs, "near-pairs")
-        named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        texts = materialize(texts.join(materialize(named, "near-named"), "doc_id", "left_semi"), "near-texts")
+        texts = self.texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
         rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return materialize(rows.select("a", "b", "text_a", "text_b").mapInPandas(_verify(self.k, self.percent), "a long, b long").distinct(), "near-links")
@@ -198,12 +225,13 @@ class NearDuplicates:
         # two members were compared above
         apart = named.where("size > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
         open_ = materialize(apart.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-open")
-        rows = named.join(open_, "bucket").join(self.sets.select("rep", *SIGS), "rep")
+        rows = materialize(named.join(open_, "bucket"), "near-open-members")
+        texts = self.texts_of(rows.select(F.col("rep").alias("doc_id")))
+        full = texts.withColumnRenamed("doc_id", "rep").join(self.sets.select("rep", "bands", *SIGS), "rep")
         t = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        rows = rows.withColumn("t", t).withColumn("o", other).withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o"), "side": F.when(F.col("t") <= F.col("o"), 0).otherwise(1)})
-        found = rows.groupBy("bucket", "lo", "hi").applyInPandas(_tile(self.cut), "a long, b long").distinct()
-        second = self.confirmed(found.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        rows = rows.withColumn("t", t).withColumn("o", other).select("bucket", "rep", "component", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"))
+        second = rows.join(full, "rep").groupBy("bucket", "lo", "hi").applyInPandas(_tile(self.cut, self.k, self.percent), "a long, b long")
         return first.unionByName(second)
 
     def components(self) -> DataFrame:

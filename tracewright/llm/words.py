@@ -13,7 +13,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _POWERS: list[np.ndarray] = []
 
 
