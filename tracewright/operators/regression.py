@@ -47,13 +47,16 @@ def triangle(a: np.ndarray) -> np.ndarray:
 def _pack(p: int, dim: int):
     """A piece's factors: plain over [terms | derivatives], and one weighted by each equation over [terms | d_eq]."""
 
+    def one(traj_id: int, block: int, seq: np.ndarray, x: np.ndarray, d: np.ndarray, w: np.ndarray, rich: np.ndarray) -> tuple:
+        weighted = np.concatenate([triangle(np.hstack([x, d[:, [e]]]) * np.sqrt(np.maximum(w[:, [e]], 0))).ravel() for e in range(dim)])
+        sums = np.concatenate([d.sum(0), (d * d).sum(0), (rich * rich).sum(0)])
+        return traj_id, block, seq.min() - 1, seq.max(), len(seq), triangle(np.hstack([x, d])).ravel(), weighted, sums
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["phi"].to_numpy())
-        d, w, rich = (np.stack(g[c].to_numpy()) for c in ("d", "w", "rich"))
-        out = {"traj_id": g["traj_id"].iloc[0], "block": g["block"].iloc[0], "first": g["seq"].min() - 1, "last": g["seq"].max(), "n": len(g), "plain": triangle(np.hstack([x, d])).ravel()}
-        out["weighted"] = np.concatenate([triangle(np.hstack([x, d[:, [e]]]) * np.sqrt(np.maximum(w[:, [e]], 0))).ravel() for e in range(dim)])
-        out["sums"] = np.concatenate([d.sum(0), (d * d).sum(0), (rich * rich).sum(0)])
-        return pd.DataFrame([out])
+        parts = [np.stack(g[c].to_numpy()) for c in ("phi", "d", "w", "rich")]
+        block, seq = g["block"].to_numpy(), g["seq"].to_numpy()
+        rows = [one(int(g["traj_id"].iloc[0]), int(k), seq[m], *[x[m] for x in parts]) for k in np.unique(block) for m in [block == k]]
+        return pd.DataFrame(rows, columns=["traj_id", "block", "first", "last", "n", "plain", "weighted", "sums"])
 
     return run
 
@@ -69,7 +72,7 @@ def block_factors(rows: DataFrame, p: int, dim: int) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("traj_id"))
     keyed = rows.withColumn("__n", n).withColumns({"block": block_of(F.col("seq"), F.col("__n")).cast("int"), "__piece": F.floor(F.col("seq") / PIECE)})
     keyed = keyed.select("traj_id", "block", "__piece", "seq", "phi", "d", "w", "rich")
-    return keyed.groupBy("traj_id", "block", "__piece").applyInPandas(_pack(p, dim), FACTORS)
+    return keyed.groupBy("traj_id", "__piece").applyInPandas(_pack(p, dim), FACTORS)
 
 
 class Stack:
@@ -188,8 +191,8 @@ def screen(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_lim
     their candidates in one cogroup by traj_id, hot series' candidates in slices of 4096.
     """
     slices = candidates.withColumn("__slice", F.floor(F.row_number().over(Window.partitionBy("traj_id").orderBy("cand_id")) / 4096))
-    wanted = slices.select("traj_id", "__slice").distinct()
-    dealt = factors.join(wanted, "traj_id")
+    wanted = candidates.groupBy("traj_id").agg(F.floor(F.count(F.lit(1)) / 4096).alias("__most"))
+    dealt = factors.join(wanted, "traj_id").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__most")))).drop("__most")
 
     def run(key: tuple, cand: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         names = ["cand_id", "traj_id", "eq", "n", "n_params", "residual", "valid", "reasons"]
@@ -213,7 +216,7 @@ def screen(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_lim
         return pd.DataFrame(out, columns=names)
 
     schema = "cand_id long, traj_id long, eq int, n int, n_params int, residual double, valid boolean, reasons string"
-    return slices.groupBy("traj_id", "__slice").cogroup(dealt.groupBy("traj_id", "__slice")).applyInPandas(run, schema)
+    return slices.groupBy("traj_id", "__slice").cogroup(dealt.groupBy("traj_id", "__part")).applyInPandas(run, schema)
 
 
 def pool(screened: DataFrame) -> DataFrame:
