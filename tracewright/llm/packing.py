@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from .common import byte_size, materialize, table
 
 DIMS, BITS, FEATURES = 3, 10, 1024
-#: White-space-led pieces of text that a worker keeps with their ids; beyond it the oldest half goes.
-CACHE = 300_000
+#: White-space-led pieces of text that a worker keeps with their ids: the first ones met, so the frequent ones.
+CACHE = 400_000
+#: Pieces that go through the tokenizer in one text, a line each.
+LINES = 200
+NEWLINE = 198
 
 
 class Ids:
-    """Token ids of whole texts through a tokenizers file, with a bounded cache of pieces.
+    """Token ids of whole texts through a tokenizers file, with a bounded store of pieces.
 
     A byte-level BPE with a leading-space pre-tokenizer never merges across the start of " x" (one space before a
     non-space), so a text's ids are those of its pieces cut there. Each new piece goes through the library once.
@@ -37,9 +40,6 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        if len(self.known) > CACHE:
-            for k in list(self.known)[: len(self.known) // 2]:
-                del self.known[k]
         found, pieces, new, get = [], [], set(), self.known.get
         for t in texts:
             # the first piece has no space before it; its key starts with another mark
@@ -51,11 +51,31 @@ class Ids:
                 new.update([x for x, y in zip(p, f, strict=True) if y is None])
             found.append(f)
             pieces.append(p)
-        if new:
-            rest = list(new)
-            coded = self.tok.encode_batch_fast([x[1:] if x[:1] == "\x00" else " " + x for x in rest], add_special_tokens=False)
-            self.known.update((x, np.array(c.ids, "<u2").tobytes()) for x, c in zip(rest, coded, strict=True))
-        return [self.plain(t) if p is None else b"".join(map(get, p) if None in f else f) for t, p, f in zip(texts, pieces, found, strict=True)]
+        fresh = self.encode(list(new)) if new else {}
+        if fresh and len(self.known) < CACHE:
+            self.known.update(fresh)
+        out = []
+        for t, p, f in zip(texts, pieces, found, strict=True):
+            if p is not None and None in f:
+                f = [fresh[x] if y is None else y for x, y in zip(p, f, strict=True)]
+            out.append(self.plain(t) if p is None else b"".join(f))
+        return out
+
+    def encode(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Plain ones go many to a text, a line each: no id spans a line end after a non-space."""
+        odd = [x for x in new if x[:1] == "\x00" or not x or len(x.split()) != 1 or x != x.strip()]
+        apart = set(odd)
+        plain = [x for x in new if x not in apart]
+        coded = self.tok.encode_batch_fast([x[1:] if x[:1] == "\x00" else " " + x for x in odd], add_special_tokens=False)
+        out = {x: np.array(c.ids, "<u2").tobytes() for x, c in zip(odd, coded, strict=True)}
+        parts = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+        for part, c in zip(parts, self.tok.encode_batch_fast(["".join([f" {x}\n" for x in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(c.ids, "<u2")
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(part, np.flatnonzero(ids == NEWLINE).tolist(), strict=True):
+                out[x] = raw[2 * at : 2 * end]
+                at = end + 1
+        return out
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -120,8 +140,8 @@ def _encode(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = shared_ids(path)
         for b in batches:
-            for i in range(0, len(b), 250):
-                part = b.iloc[i : i + 250]
+            for i in range(0, len(b), 500):
+                part = b.iloc[i : i + 500]
                 coded = [c + b"\0\0" for c in ids([t if isinstance(t, str) else "" for t in part["text"]])]
                 points = document_points([np.frombuffer(c, "<u2") for c in coded])
                 yield pd.DataFrame({"doc_id": part["doc_id"], "rid": part["rid"], "curve": hilbert_key(points), "n": [len(c) // 2 for c in coded], "ids": coded})
