@@ -45,10 +45,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def byte_size(df: DataFrame, *cols: str) -> int:
     """Total bytes of string columns over the whole table (one narrow aggregate)."""
     total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in cols), F.lit(0))

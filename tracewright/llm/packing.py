@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,75 +12,92 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_size, materialize, table
+from .words import chunks, hash_pieces
 
 DIMS, BITS, FEATURES = 3, 10, 1024
-#: White-space-led pieces of text that a worker keeps with their ids: the first ones met, so the frequent ones.
-CACHE = 400_000
-#: Pieces that go through the tokenizer in one text, a line each.
-LINES = 200
-NEWLINE = 198
+#: Most pieces of text that a worker keeps with their ids (about 20 bytes each): the first ones met, so the frequent ones.
+KEPT = 2_000_000
+#: Pieces that go through the tokenizer in one text, a line each; the id of a line end.
+LINES, NEWLINE = 200, 198
+CHUNK = 1_000_000
+FIRST = np.uint64(0xA0761D6478BD642F)
 
 
 class Ids:
-    """Token ids of whole texts through a tokenizers file, with a bounded store of pieces.
+    """Token ids of whole texts through a tokenizers file.
 
     A byte-level BPE with a leading-space pre-tokenizer never merges across the start of " x" (one space before a
-    non-space), so a text's ids are those of its pieces cut there. Each new piece goes through the library once.
+    non-space), so a text's ids are those of its pieces cut there. Pieces are told apart by 64-bit hashes; each new one
+    goes through the library, and known ones are gathered from one pool of ids. Texts with runs of white space after a
+    space, or with NUL, go through the library whole.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.odd = re.compile(r" \s").search
-        self.cut = re.compile(r" (?=\S)").split
-        self.known: dict[str, bytes] = {}
+        self.odd = re.compile(r" \s|\x00").search
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        found, pieces, new, get = [], [], set(), self.known.get
-        for t in texts:
-            # the first piece has no space before it; its key starts with another mark
-            p = None if "\x00" in t else self.cut(t) if self.odd(t) else t.split(" ")
-            if p:
-                p[0] = "\x00" + p[0]
-            f = list(map(get, p or ()))
-            if None in f:
-                new.update([x for x, y in zip(p, f, strict=True) if y is None])
-            found.append(f)
-            pieces.append(p)
-        fresh = self.encode(list(new)) if new else {}
-        if fresh and len(self.known) < CACHE:
-            self.known.update(fresh)
-        out = []
-        for t, p, f in zip(texts, pieces, found, strict=True):
-            if p is not None and None in f:
-                f = [fresh[x] if y is None else y for x, y in zip(p, f, strict=True)]
-            out.append(self.plain(t) if p is None else b"".join(f))
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if not self.odd(t)]
+        kept = set(plain)
+        rest = [i for i in range(len(texts)) if i not in kept]
+        for i, c in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(c.ids, "<u2").tobytes()
+        raw = [texts[i].encode() for i in plain]
+        for a, b in chunks(raw, CHUNK):
+            for i, ids in zip(plain[a:b], self.chunk(raw[a:b]), strict=True):
+                out[i] = ids
         return out
 
-    def encode(self, new: list[str]) -> dict[str, bytes]:
+    def chunk(self, raw: list[bytes]) -> list[bytes]:
+        data = b"\0".join(raw) + b"\0"
+        h, start, end, first = hash_pieces(data)
+        h = np.where(first, h ^ FIRST, h)
+        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        begin, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[known], count[known] = self.at[at[known]], self.n[at[known]]
+        pool, new = self.pool, np.flatnonzero(~known)
+        if len(new):
+            w = where[new]
+            coded = self.encode([data[i:j].decode() for i, j in zip(start[w].tolist(), end[w].tolist(), strict=True)], first[w].tolist())
+            count[new] = [len(c) // 2 for c in coded]
+            begin[new] = len(pool) + np.cumsum(count[new]) - count[new]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(coded), "<u2")])
+            if len(self.keys) < KEPT:
+                self.pool = pool
+                self.keys, self.at, self.n = (np.insert(x, at[new], y) for x, y in ((self.keys, keys[new]), (self.at, begin[new]), (self.n, count[new])))
+        n = count[inverse]
+        total = np.cumsum(n)
+        ids = pool[np.repeat(begin[inverse] - (total - n), n) + np.arange(total[-1])].tobytes()
+        # a text's last piece is the one before the next first piece
+        ends = 2 * total[np.append(np.flatnonzero(first)[1:], len(first)) - 1]
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def encode(self, pieces: list[str], first: list[bool]) -> list[bytes]:
         """Ids of pieces. Plain ones go many to a text, a line each: no id spans a line end after a non-space."""
-        odd = [x for x in new if x[:1] == "\x00" or not x or len(x.split()) != 1 or x != x.strip()]
-        apart = set(odd)
-        plain = [x for x in new if x not in apart]
-        coded = self.tok.encode_batch_fast([x[1:] if x[:1] == "\x00" else " " + x for x in odd], add_special_tokens=False)
-        out = {x: np.array(c.ids, "<u2").tobytes() for x, c in zip(odd, coded, strict=True)}
+        single = [f or len(x.split()) != 1 or x != x.strip() for x, f in zip(pieces, first, strict=True)]
+        out = [b""] * len(pieces)
+        odd = [i for i, s in enumerate(single) if s]
+        for i, c in zip(odd, self.tok.encode_batch_fast([pieces[i] if first[i] else " " + pieces[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(c.ids, "<u2").tobytes()
+        plain = [i for i, s in enumerate(single) if not s]
         parts = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
-        for part, c in zip(parts, self.tok.encode_batch_fast(["".join([f" {x}\n" for x in p]) for p in parts], add_special_tokens=False), strict=True):
+        for part, c in zip(parts, self.tok.encode_batch_fast(["".join([f" {pieces[i]}\n" for i in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(c.ids, "<u2")
             raw, at = ids.tobytes(), 0
-            for x, end in zip(part, np.flatnonzero(ids == NEWLINE).tolist(), strict=True):
-                out[x] = raw[2 * at : 2 * end]
+            for i, end in zip(part, np.flatnonzero(ids == NEWLINE).tolist(), strict=True):
+                out[i] = raw[2 * at : 2 * end]
                 at = end + 1
         return out
 
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
 
 _shared: dict[str, Ids] = {}
 
