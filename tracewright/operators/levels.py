@@ -155,3 +155,12 @@ def progress_eta(finishes: DataFrame, total: int, last: int = 20) -> DataFrame:
     gap = F.when(F.col("m") >= 2, (F.col("hi") - F.col("lo")) / 1e6 / (F.col("m") - 1))
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
     return g.select("grp", "done", left.alias("remaining"), gap.alias("mean_gap_s"), (gap * left).alias("eta_s"))
+
+
+def progress_eta_flat(runs: DataFrame, total: int, last: int = 20) -> DataFrame:
+    """The same from finished rows alone (grp, id, elapsed_s): the mean time of the last rows stands for the gap."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("grp"))
+    rn = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("id").desc()))
+    g = runs.select("grp", "elapsed_s", n.alias("done"), rn.alias("rn")).where(F.col("rn") <= last).groupBy("grp").agg(F.max("done").alias("done"), F.avg("elapsed_s").alias("mean_s"))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+    return g.select("grp", "done", left.alias("remaining"), "mean_s", (F.col("mean_s") * left).alias("eta_s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +27,23 @@ class Term:
         return u[0] * u[1] if len(u) == 2 else u[0]
 
 
+@dataclass(frozen=True)
+class CustomTerm(Term):
+    """A term of one's own: fn makes its Column from the state columns u1, u2, ..."""
+
+    fn: Callable[[Sequence[Column]], Column] = None
+
+    def column(self, prefix: str = "u") -> Column:
+        return self.fn([F.col(f"{prefix}{v}") for v in self.vars])
+
+
+def custom_basis(specs: Sequence[tuple[str, int, tuple[int, ...], Callable[[Sequence[Column]], Column]]]) -> list[Term]:
+    """A library of (name, stage, variables, function) in stage order, as cumulative stages are column prefixes."""
+    if [s[1] for s in specs] != sorted(s[1] for s in specs):
+        raise ValueError("terms must come in stage order")
+    return [CustomTerm(k + 1, name, stage, tuple(v), fn) for k, (name, stage, v, fn) in enumerate(specs)]
+
+
 def staged_basis(dim: int) -> list[Term]:
     """Stage 1 u_i, 2 squares, 3 products of two, 4 cubes, 5 sine and cosine in turn: 5d + d(d-1)/2 terms."""
     if dim < 1:

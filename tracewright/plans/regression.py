@@ -69,6 +69,11 @@ def fit_eval(v: Views) -> DataFrame:
 QUERIES = {
     "b01_fit_one_term": (one_term, oracle("SELECT traj_id, 1 AS eq, 1 AS term, round(a1, 6) + 0e0 AS coef FROM s1 UNION ALL SELECT traj_id, 2, 2, round(a2, 6) + 0e0 FROM s1", "traj_events", **ONE)),
     "b01_fit_ols": (lambda v: r(R.fit_ols(factors(v), P, 2), n=4), None),
+    "u01_custom_basis": (
+        # du1/dt on one term of one's own
+        lambda v: r(R.fit_ols(R.block_factors(R.prepare(v.traj_events, T.custom_basis([("u1-u2", 1, (1, 2), lambda u: u[0] - u[1])]), EV), 1, 2), 1, 2).where("eq = 1").select("traj_id", "coef")),
+        oracle("SELECT traj_id, round(sum((u1 - u2) * d_u1) / sum((u1 - u2) * (u1 - u2)), 6) + 0e0 AS coef FROM xy GROUP BY 1", "traj_events", **ONE),
+    ),
     "b02_warm_start": (lambda v: r(R.warm_start(R.fit_ols(factors(v), P, 2).select("traj_id", "eq", "term", "coef"), 1e3), n=4), None),
     "b03_screen": (lambda v: r(R.screen(structures(v), factors(v), P, 2), n=6), None),
     "b03_pool": (lambda v: r(R.pool(R.screen(structures(v), factors(v), P, 2)), n=6), None),

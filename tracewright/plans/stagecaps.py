@@ -143,8 +143,8 @@ QUERIES = {
         oracle("SELECT tau_rel, tau_abs, count(*) FILTER (m < expected) AS under, count(*) FILTER (m = expected) AS exact, count(*) FILTER (m > expected) AS over FROM (SELECT traj_id, tau_rel, tau_abs, quantile_disc(useful, 0.5) AS m FROM tg GROUP BY 1, 2, 3) a JOIN ex USING (traj_id) GROUP BY 1, 2", "stage_residuals", **TG, ex=EXP),
     ),
     "c13_separation": (
-        lambda v: C.separation(grid(v), 4, 6, 5),
-        oracle("SELECT tau_rel, tau_abs, count(*) AS splits_apart FROM (SELECT tau_rel, tau_abs, split, max(useful) FILTER (traj_id = 4) AS lo, max(useful) FILTER (traj_id = 6) AS hi FROM tg GROUP BY 1, 2, 3) q WHERE lo < 5 AND hi >= 5 GROUP BY 1, 2", "stage_residuals", **TG),
+        lambda v: C.separation(grid(v), 2, 6, 4),
+        oracle("SELECT tau_rel, tau_abs, count(*) AS splits_apart FROM (SELECT tau_rel, tau_abs, split, max(useful) FILTER (traj_id = 2) AS lo, max(useful) FILTER (traj_id = 6) AS hi FROM tg GROUP BY 1, 2, 3) q WHERE lo < 4 AND hi >= 4 GROUP BY 1, 2", "stage_residuals", **TG),
     ),
     "c14_derived_stage": (derived, oracle("SELECT * FROM pr", "stage_residuals", **DERIVED)),
     "c14_stage_confusion": (
