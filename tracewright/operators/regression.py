@@ -79,6 +79,8 @@ class Stack:
     """The factors of one series, by block."""
 
     def __init__(self, g: pd.DataFrame, p: int, dim: int):
+        # a fixed order: sums and factors don't depend on how pieces arrive
+        g = g.sort_values("first")
         self.p, self.dim = p, dim
         self.first, self.last = g["first"].to_numpy(), g["last"].to_numpy()
         self.count = g["n"].to_numpy()
