@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 from .components import connected_components
 from .words import as_bytes, chunks, hash_words, mix64
 
@@ -84,6 +84,7 @@ def _sketch(k: int):
                     out[SIGS[c]] = sig[row, c] if len(full) else 0
                 out["bands"] = [bands[r].tolist() if m else [] for r, m in zip(row.tolist(), n.tolist(), strict=True)]
                 yield out
+        release()
 
     return run
 
@@ -122,6 +123,7 @@ def _verify(k: int, percent: int):
                     inter = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(bool(inter) and 100 * inter >= percent * (len(x) + len(y) - inter))
                 yield part.loc[keep, ["a", "b"]]
+        release()
 
     return run
 

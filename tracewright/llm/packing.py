@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_size, materialize, table
+from .common import byte_size, materialize, release, table
 from .words import chunks, hash_pieces
 
 DIMS, BITS, FEATURES = 3, 10, 1024
 #: Most pieces of text that a worker keeps with their ids (about 20 bytes each): the first ones met, so the frequent ones.
-KEPT = 2_000_000
+KEPT = 1_000_000
 #: Pieces that go through the tokenizer in one text, a line each; the id of a line end.
 LINES, NEWLINE = 200, 198
 CHUNK = 1_000_000
@@ -163,6 +163,7 @@ def _encode(path: str):
                 coded = [c + b"\0\0" for c in ids([t if isinstance(t, str) else "" for t in part["text"]])]
                 points = document_points([np.frombuffer(c, "<u2") for c in coded])
                 yield pd.DataFrame({"doc_id": part["doc_id"], "rid": part["rid"], "curve": hilbert_key(points), "n": [len(c) // 2 for c in coded], "ids": coded})
+        release()
 
     return run
 
@@ -180,6 +181,7 @@ def _cut(length: int):
                         rows.append((doc, at, take, n, seq, off, coded[2 * at : 2 * (at + take)]))
                         at += take
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        release()
 
     return run
 
@@ -219,6 +221,7 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b["ids_crc32"] = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b["ids"]]
         yield b.drop(columns="ids")
+    release()
 
 
 def digests(pieces: DataFrame) -> DataFrame:
