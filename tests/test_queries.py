@@ -43,4 +43,6 @@ def test_oracle(name, spark, sf, oracle):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, sf):
-    assert len(QUERIES[name](spark, sf).toPandas())
+    got = QUERIES[name](spark, sf).toPandas()
+    # the smallest parts table has no child with more parameters than its parent
+    assert len(got.columns) and (len(got) or name == "d08_f_quantiles")

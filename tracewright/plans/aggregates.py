@@ -76,11 +76,11 @@ def _levels(v):
 
 
 def _cost_sql(key: str) -> str:
-    return f"SELECT {key}, count(*) AS n, round(avg(cost), 6) AS mean_cost, round(quantile_cont(cost, 0.5), 6) AS median_cost, round(sum(cost), 5) AS total_cost, round(sum(cost) / (SELECT sum(cost) FROM c WHERE level > 1), 6) AS share, round(CASE WHEN sum(solves) > 0 THEN 1000 * sum(cost) / sum(solves) END, 5) AS ms_per_solve FROM c WHERE level > 1 GROUP BY {key}"
+    return f"SELECT {key}, count(*) AS n, round(avg(cost), 9) AS mean_cost, round(quantile_cont(cost, 0.5), 9) AS median_cost, round(sum(cost), 9) AS total_cost, round(sum(cost) / (SELECT sum(cost) FROM c WHERE level > 1), 9) AS share, round(CASE WHEN sum(solves) > 0 THEN 1000 * sum(cost) / sum(solves) END, 7) AS ms_per_solve FROM c WHERE level > 1 GROUP BY {key}"
 
 
 def _costs(v, key):
-    return A.level_costs(_levels(v), [key]).select(key, "n", *[F.round(c, n).alias(c) for c, n in (("mean_cost", 6), ("median_cost", 6), ("total_cost", 5), ("share", 6), ("ms_per_solve", 5))])
+    return A.level_costs(_levels(v), [key]).select(key, "n", *[F.round(c, n).alias(c) for c, n in (("mean_cost", 9), ("median_cost", 9), ("total_cost", 9), ("share", 9), ("ms_per_solve", 7))])
 
 
 QUERIES = {

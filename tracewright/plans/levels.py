@@ -54,8 +54,8 @@ QUERIES = {
         oracle("SELECT cell, k, abort_level, saved_levels, round(saved_s, 6) AS saved_s, n_missed > 0 AS missed, n_missed FROM rp", "level_events", **REPLAY),
     ),
     "w05_savings_summary": (
-        lambda v: r(L.savings_summary(L.early_stop_replay(v.level_events)), n=3),
-        oracle("SELECT k, sum(saved_levels) AS saved_levels, round(sum(saved_s), 3) AS saved_s, count(*) FILTER (n_missed > 0) AS missed_cells FROM rp GROUP BY k", "level_events", **REPLAY),
+        lambda v: r(L.savings_summary(L.early_stop_replay(v.level_events))),
+        oracle("SELECT k, sum(saved_levels) AS saved_levels, round(sum(saved_s), 6) AS saved_s, count(*) FILTER (n_missed > 0) AS missed_cells FROM rp GROUP BY k", "level_events", **REPLAY),
     ),
     "w06_source_coverage": (
         lambda v: L.source_coverage(*_files(v)),
@@ -94,8 +94,8 @@ QUERIES = {
         oracle("SELECT grp, done, greatest(50000 - done, 0) AS remaining, round(CASE WHEN m >= 2 THEN (hi - lo) / 1e6 / (m - 1) END, 6) AS mean_gap_s, round(CASE WHEN m >= 2 THEN (hi - lo) / 1e6 / (m - 1) END * greatest(50000 - done, 0), 6) AS eta_s FROM (SELECT dim AS grp, max(n) AS done, count(*) AS m, max(us) AS hi, min(us) AS lo FROM (SELECT *, count(*) OVER (PARTITION BY dim) AS n, row_number() OVER (PARTITION BY dim ORDER BY us DESC, cell || '-' || level DESC) AS rn FROM level_events) x WHERE rn <= 20 GROUP BY dim) q", "level_events"),
     ),
     "t05_progress_eta_flat": (
-        lambda v: r(L.progress_eta_flat(v.run_registry.select(F.col("variant_slug").alias("grp"), F.col("run_id").alias("id"), "elapsed_s"), 50000), n=5),
-        oracle("SELECT grp, done, greatest(50000 - done, 0) AS remaining, round(m, 5) AS mean_s, round(m * greatest(50000 - done, 0), 5) AS eta_s FROM (SELECT variant_slug AS grp, max(n) AS done, avg(elapsed_s) AS m FROM (SELECT *, count(*) OVER (PARTITION BY variant_slug) AS n, row_number() OVER (PARTITION BY variant_slug ORDER BY run_id DESC) AS rn FROM run_registry) x WHERE rn <= 20 GROUP BY 1) q", "run_registry"),
+        lambda v: r(L.progress_eta_flat(v.run_registry.select(F.col("variant_slug").alias("grp"), F.col("run_id").alias("id"), "elapsed_s"), 50000), n=8),
+        oracle("SELECT grp, done, greatest(50000 - done, 0) AS remaining, round(m, 8) AS mean_s, round(m * greatest(50000 - done, 0), 8) AS eta_s FROM (SELECT variant_slug AS grp, max(n) AS done, avg(elapsed_s) AS m FROM (SELECT *, count(*) OVER (PARTITION BY variant_slug) AS n, row_number() OVER (PARTITION BY variant_slug ORDER BY run_id DESC) AS rn FROM run_registry) x WHERE rn <= 20 GROUP BY 1) q", "run_registry"),
     ),
     "t06_level_rate": (
         lambda v: v.level_events.groupBy(F.floor(F.col("us") / 3600000000).alias("hour"), "dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells")),

@@ -126,7 +126,7 @@ QUERIES = {
     ),
     "p17_validate_truth": (
         lambda v: T.validate_truth(T.classify_terms(monomials(v)).groupBy("system_id").agg(F.collect_set("basis_term").alias("terms")), T.classify_terms(monomials(v)).where("eq < 3").groupBy("system_id").agg(F.collect_set("basis_term").alias("terms"))),
-        oracle("SELECT system_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AND len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS agrees, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS missing, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS extra FROM (SELECT system_id, list(DISTINCT t) AS a, coalesce(list(DISTINCT t) FILTER (eq < 3), []) AS b FROM (SELECT *, CASE WHEN stage = 3 THEN 'u1*u2' WHEN stage IS NOT NULL THEN core END AS t FROM cl) q WHERE t IS NOT NULL GROUP BY system_id) z", **CL),
+        oracle("SELECT system_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AND len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS agrees, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS missing, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS extra FROM (SELECT system_id, coalesce(list(DISTINCT t) FILTER (t IS NOT NULL), []) AS a, coalesce(list(DISTINCT t) FILTER (eq < 3 AND t IS NOT NULL), []) AS b FROM (SELECT *, CASE WHEN stage = 3 THEN 'u1*u2' WHEN stage IS NOT NULL THEN core END AS t FROM cl) q GROUP BY system_id) z", **CL),
     ),
     "p18_expected_stage": (lambda v: T.expected_stage(v.structure_terms, T.terms_table(v.spark, B2)), oracle(f"SELECT run_id, eq, max({STAGE_SQL}) AS expected_stage FROM structure_terms GROUP BY run_id, eq", "structure_terms")),
     "p18_expected_stage_run": (lambda v: T.expected_stage(v.structure_terms, T.terms_table(v.spark, B2), ["run_id"]), oracle(f"SELECT run_id, max({STAGE_SQL}) AS expected_stage FROM structure_terms GROUP BY run_id", "structure_terms")),
