@@ -68,11 +68,11 @@ def _gen(v):
 
 GEN = "SELECT system_id, variant_slug, seed, count(*) AS n, avg(loss) AS mr, min(loss) AS mn, max(loss) AS mx, avg(elapsed_s / 100) AS mf, count(*) FILTER (loss IS NOT NULL AND r2 IS NOT NULL AND loss < 10 * (loss / (final_stage + 2) / 4)) AS ok FROM run_registry GROUP BY ALL"
 CELLS = "SELECT cell, max(level) AS levels, min(best_loss) AS best, any_value(dim) AS dim, any_value(representability) AS rep, any_value(pretune) AS pretune FROM level_events GROUP BY cell"
-COST = "SELECT stage, level, best_loss / 100 AS cost, level % 7 AS solves FROM level_events"
+COST = "SELECT stage, level, best_loss / 97 AS cost, level % 7 AS solves FROM level_events"
 
 
 def _levels(v):
-    return v.level_events.select("stage", "level", (F.col("best_loss") / 100).alias("cost"), (F.col("level") % 7).alias("solves"))
+    return v.level_events.select("stage", "level", (F.col("best_loss") / 97).alias("cost"), (F.col("level") % 7).alias("solves"))
 
 
 def _cost_sql(key: str) -> str:
