@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,53 @@ def test_lm_model(documents, none):
     assert lm.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["uni", "bi"])
+def test_filter_grows_with_what_it_stores(kind):
+    """A shard of a 30 GB corpus: as many keys as 32 MB of text send, levels of 1.4 on average, a fifth only held out."""
+    g = np.random.default_rng(1)
+    n = 1_000_000
+    keys = np.unique(g.integers(0, 2 ** (63 if kind == "uni" else 48), n, dtype=np.uint64))
+    counts = np.where(g.random(len(keys)) < 0.2, 0, g.choice([1, 2, 30], len(keys), p=[0.85, 0.12, 0.03])).astype(np.int64)
+    rows = pd.DataFrame({"kind": kind, "shard": 5, "block": [7], "keys": [lm.pack_keys(keys)], "counts": [counts.astype("<u4").tobytes()]})
+    got = lm._merge((kind, 5), rows)
+    a = got[got["what"] == kind].iloc[0]
+    level, want = np.frombuffer(a["levels"], np.uint8).astype(int), np.where(counts > 0, lm.level_of(np.maximum(counts, 1)), 0)
+    assert (level >= want).all() and np.mean(level > want) < 0.001
+    total = got[got["what"] == f"{kind}-total"].iloc[0]
+    assert (total["n"], total["distinct"]) == (counts.sum(), (counts > 0).sum())
+    if kind == "uni":
+        assert (np.frombuffer(a["exact"], "<i8") == counts).all()
+
+
+def plain_scores(rows):
+    """Scores from a dictionary of levels: what a filter without chance hits gives."""
+    tok = [(d, words(t) + [None]) for d, t in rows]
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1
+    train = [ws for d, ws in tok if not held(d)]
+    uni, bi = Counter(w for ws in train for w in ws), Counter(x for ws in train for x in zip([None, *ws], ws))
+    soft = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]) if c else 0.0
+    floor = sum(uni.values()) + 0.5 * (len(uni) + 1)
+
+    def score(ws):
+        out = 0.0
+        for v, w in zip([None, *ws], ws):
+            both = min(soft(bi[v, w]), soft(uni[w]))
+            out += math.log10((both + lm.PRIOR * (soft(uni[w]) + 0.5) / floor) / (max(soft(uni[v]), both) + lm.PRIOR))
+        return out
+
+    return {d: score(ws) for d, ws in tok}
+
+
+def test_lm_scores_over_many_shards(spark, documents, monkeypatch):
+    """Blocks and shards as many as a large corpus has: scores are those of exact levels but for rare chance hits."""
+    monkeypatch.setattr(lm, "BLOCK", 20_000)
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(documents).collect()}
+    want = plain_scores([(r["doc_id"], r["text"]) for r in documents.collect()])
+    off = np.array([abs(got[d] - want[d]) for d in want])
+    assert got.keys() == want.keys() and np.mean(off < 1e-6) > 0.75 and np.mean(off) < 0.02 * np.mean(np.abs(list(want.values())))
+
+
 def test_filter_counts():
     g = np.random.default_rng(0)
     keys, counts = np.unique(g.integers(0, 2**63, 3000, dtype=np.uint64)), None

@@ -1,8 +1,9 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised 1- and 2-gram counts.
 
 Texts meet corpus counts in blocks: a block is a hashed group of about BLOCK bytes of text. Blocks send their distinct
-n-grams, not their tokens, to shards that hold a range of the n-gram hash; shards answer unigram counts to the blocks
-that asked and set the bits of their own segment of the filter. The filter, of a bounded size, is broadcast.
+n-grams, not their tokens, to shards that hold a range of the n-gram hash. A shard sets the bits of its own segment of
+the filter, sized by what it stores, probes it for the blocks that asked and answers levels and exact unigram counts. No
+task holds the whole filter, so it grows with the corpus and chance hits stay as rare.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ BLOCK, SHARD = 16 << 20, 32 << 20
 END = np.uint64(0xE2D0FE2D0FE2D0FE)
 #: Counts are stored as 1 + floor(log_QBASE count); a filter has PROBES bits per stored level.
 QBASE, PROBES = 1.5, 4
-#: Most bits of each of the two filters: 64 MiB and 16 MiB at any input size; past about a tenth as many n-grams, more
-#: chance hits raise some counts.
-BITS = {"bi": 1 << 29, "uni": 1 << 27}
+#: Bits of a segment for each stored level of a key: 1 - exp(-PROBES / LOAD) are set, so that about 6 of 10,000 absent
+#: levels are hit by chance.
+LOAD = 24
+#: Keys that a filter works on at once.
+STEP = 1 << 19
 #: Weight of the unigram estimate, in occurrences of the context.
 PRIOR = 2.0
 
@@ -71,11 +74,10 @@ def count_of(level: np.ndarray) -> np.ndarray:
 class Filter:
     """Bit segments by shard; a key's bits lie in its shard's segment."""
 
-    def __init__(self, kind: str, shards: int, n_bytes: int):
+    def __init__(self, kind: str, shards: int, n_bits: int):
         self.bits = 64 if kind == "uni" else 48
         self.shards = shards
-        # about 24 bits for every 6 bytes of text until the bound is reached
-        self.seg = max(64, min(BITS[kind], 4 * n_bytes + 4096) // shards // 8 * 8)
+        self.seg = max(64, n_bits // shards // 8 * 8)
 
     def places(self, keys: np.ndarray, level: int) -> list[np.ndarray]:
         h = mix64(keys * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level))
@@ -83,15 +85,23 @@ class Filter:
         return [((h + np.uint64(i) * g) % np.uint64(self.seg)).astype(np.int64) for i in range(PROBES)]
 
     def segment(self, keys: np.ndarray, counts: np.ndarray) -> bytes:
-        on, q = np.zeros(self.seg, bool), level_of(counts)
-        for level in range(1, int(q.max(initial=0)) + 1):
-            keys, q = keys[q >= level], q[q >= level]
-            for p in self.places(keys, level):
-                on[p] = True
+        on = np.zeros(self.seg, bool)
+        for i in range(0, len(keys), STEP):
+            k, q = keys[i : i + STEP], level_of(counts[i : i + STEP])
+            for level in range(1, int(q.max(initial=0)) + 1):
+                k, q = k[q >= level], q[q >= level]
+                for p in self.places(k, level):
+                    on[p] = True
         return np.packbits(on, bitorder="little").tobytes()
 
     def counts(self, data: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Each key's count from membership probes of level 1, 2, ... until one is absent."""
+        return count_of(self.levels(data, keys))
+
+    def levels(self, data: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Each key's level from membership probes of level 1, 2, ... until one is absent."""
+        return np.concatenate([self._levels(data, keys[i : i + STEP]) for i in range(0, max(1, len(keys)), STEP)])
+
+    def _levels(self, data: np.ndarray, keys: np.ndarray) -> np.ndarray:
         level, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
         base = shard_of(keys, self.bits, self.shards) * (self.seg // 8)
         for q in range(1, 200):
@@ -102,7 +112,12 @@ class Filter:
             if not len(at):
                 break
             level[at] = q
-        return count_of(level)
+        return level
+
+
+def filter_for(kind: str, counts: np.ndarray) -> Filter:
+    """A filter of one segment for keys of these counts."""
+    return Filter(kind, 1, LOAD * int(level_of(counts).sum()))
 
 
 def _gather(shards: int) -> Callable:
@@ -116,7 +131,9 @@ def _gather(shards: int) -> Callable:
             learn = np.repeat(train[i:j], n)
             u, inv = np.unique(t, return_inverse=True)
             seen["uni"].append((u, np.bincount(inv, learn, len(u)).astype(np.int64)))
-            seen["bi"].append(np.unique(bigrams(t, n)[learn], return_counts=True))
+            b = np.sort(bigrams(t, n) << np.uint64(1) | learn)
+            first = np.flatnonzero(np.diff(b >> np.uint64(1), prepend=~np.uint64(0)))
+            seen["bi"].append((b[first] >> np.uint64(1), np.add.reduceat(b & np.uint64(1), first).astype(np.int64)))
         rows, block = [], int(g["block"].iloc[0])
         for kind, parts in seen.items():
             keys, counts = add_up(parts)
@@ -139,41 +156,43 @@ def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _merge(shards: int, n_bytes: int) -> Callable:
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = key
-        parts = [(unpack_keys(k), np.frombuffer(c, "<u4").astype(np.int64)) for k, c in zip(g["keys"], g["counts"], strict=True)]
-        keys, counts = add_up(parts)
-        rows = []
-        if kind == "uni":
-            rows = [("counts", shard, int(b), counts[np.searchsorted(keys, k)].astype("<i8").tobytes(), 0, 0) for b, (k, _) in zip(g["block"], parts, strict=True)]
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        rows.append((kind, shard, -1, Filter(kind, shards, n_bytes).segment(keys, counts), int(counts.sum()), len(keys)))
-        return pd.DataFrame(rows, columns=["what", "shard", "block", "data", "n", "distinct"])
-
-    return run
+def _merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """A shard's answers to each block, in the order of the block's keys (levels, for unigrams also counts), and its totals."""
+    kind, shard = key
+    parts = [(unpack_keys(k), np.frombuffer(c, "<u4").astype(np.int64)) for k, c in zip(g["keys"], g["counts"], strict=True)]
+    keys, counts = add_up(parts)
+    known = counts > 0
+    own = filter_for(kind, counts[known])
+    levels = own.levels(np.frombuffer(own.segment(keys[known], counts[known]), np.uint8), keys).astype(np.uint8)
+    rows = [(f"{kind}-total", shard, -1, b"", b"", int(counts.sum()), int(known.sum()))]
+    for b, (k, _) in zip(g["block"], parts, strict=True):
+        at = np.searchsorted(keys, k)
+        rows.append((kind, shard, int(b), levels[at].tobytes(), counts[at].astype("<i8").tobytes() if kind == "uni" else b"", 0, 0))
+    return pd.DataFrame(rows, columns=["what", "shard", "block", "levels", "exact", "n", "distinct"])
 
 
-def _score(shards: int, n_bytes: int, filters: dict, total: int, distinct: int) -> Callable:
+def _score(total: int, distinct: int) -> Callable:
     floor = total + 0.5 * (distinct + 1)
 
     def run(g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(g):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        exact = np.concatenate([np.frombuffer(x, "<i8") for x in answers.sort_values("shard")["data"]])
+        answers = answers.sort_values("shard")
+        exact = np.concatenate([np.frombuffer(x, "<i8") for x in answers["exact"][answers["what"] == "uni"]])
+        soft, soft2 = (count_of(np.concatenate([np.frombuffer(x, np.uint8) for x in answers["levels"][answers["what"] == kind]]).astype(np.int64)) for kind in ("uni", "bi"))
         texts, out = as_bytes(g["text"]), []
-        parts = [(i, j, *tokens(texts[i:j])) for i, j in chunks(texts)]
+        parts = []
+        for i, j in chunks(texts):
+            t, n = tokens(texts[i:j])
+            parts.append((i, j, t, n, *np.unique(bigrams(t, n), return_inverse=True)))
         words = np.unique(np.concatenate([np.unique(p[2]) for p in parts]))
-        uni, bi = Filter("uni", shards, n_bytes), Filter("bi", shards, n_bytes)
-        bits = {k: np.frombuffer(v.value, np.uint8) for k, v in filters.items()}
+        pairs = np.unique(np.concatenate([p[4] for p in parts]))
         base = np.log10((exact + 0.5) / floor)
-        soft = uni.counts(bits["uni"], words)
-        for i, j, t, n in parts:
+        for i, j, t, n, seen, inv in parts:
             w, at = np.searchsorted(words, t), np.cumsum(n) - n
             before = np.r_[0, w[:-1]]
             before[at] = np.searchsorted(words, END)
-            pairs, inv = np.unique(bigrams(t, n), return_inverse=True)
-            both = np.minimum(bi.counts(bits["bi"], pairs)[inv], soft[w])
+            both = np.minimum(soft2[np.searchsorted(pairs, seen)][inv], soft[w])
             p = (both + PRIOR * (soft[w] + 0.5) / floor) / (np.maximum(soft[before], both) + PRIOR)
             out.append(pd.DataFrame({
                 "doc_id": g["doc_id"].iloc[i:j], "held_out": g["held_out"].iloc[i:j], "n_tokens": n, "n_known": np.add.reduceat((exact[w] > 0).astype(np.int64), at), "train_tokens": total,
@@ -199,19 +218,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     src = src.withColumns({"held_out": held, "block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")})
     grams = src.groupBy("block").applyInPandas(_gather(shards), "kind string, shard int, block int, keys binary, counts binary")
-    merged = materialize(grams.groupBy("kind", "shard").applyInPandas(_merge(shards, n_bytes), "what string, shard int, block int, data binary, n long, distinct long"), "lm-counts")
-    head = merged.where("what <> 'counts'")
-    total, distinct = head.where("what = 'uni'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    filters = {}
-    for kind in ("uni", "bi"):  # at most BITS[kind] bits come to the driver
-        seg = Filter(kind, shards, n_bytes).seg // 8
-        data = bytearray(seg * shards)
-        for r in head.where(F.col("what") == kind).select("shard", "data").toLocalIterator():
-            data[r["shard"] * seg : (r["shard"] + 1) * seg] = r["data"]
-        filters[kind] = spark.sparkContext.broadcast(bytes(data))
-    answers = merged.where("what = 'counts'").select("block", "shard", "data")
+    merged = materialize(grams.groupBy("kind", "shard").applyInPandas(_merge, "what string, shard int, block int, levels binary, exact binary, n long, distinct long"), "lm-counts")
+    total, distinct = merged.where("what = 'uni-total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    answers = merged.where("what in ('uni', 'bi')").select("what", "block", "shard", "levels", "exact")
     scored = src.groupBy("block").cogroup(answers.groupBy("block"))
-    return scored.applyInPandas(_score(shards, n_bytes, filters, int(total), int(distinct)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.applyInPandas(_score(int(total), int(distinct)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
