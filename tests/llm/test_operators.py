@@ -249,6 +249,23 @@ def test_html_text(model):
     assert html.main_text(page, model) == "A & B\nFirst line goes on <here>.\nSecond boldtext."
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", "", "</head>", "<link rel=x><noscript><p>no</p></noscript></HEAD><body>"])
+def test_html_open_head(model, start):
+    article = "<article><h1>The title</h1><p>Some words of the first paragraph, and some more of them.</p><p>Another paragraph follows here, with words.</p></article>"
+    page = f"<html><head><meta charset=utf-8><title>x</title><script>var a</script>{start}{article}</body></html>"
+    assert html.main_text(page, model) == "The title\nSome words of the first paragraph, and some more of them.\nAnother paragraph follows here, with words."
+
+
+def test_html_text_ends_the_head():
+    assert [x.text for x in html.dom("<head><title>no</title>Words<p>more") if x.tag == "#"] == ["Words", "more"]
+    assert [x.text for x in html.dom("<head><template><p>no</p></template><style>no</style></head><p>yes") if x.tag == "#"] == ["yes"]
+
+
+def test_html_formula(model):
+    page = "<article><h1>The title</h1><p>The sum is <math><mrow><mi>a</mi><mo>+</mo><mn>2</mn></mrow></math> for all of the values that were given.</p></article>"
+    assert html.main_text(page, model) == "The title\nThe sum is a+2 for all of the values that were given."
+
+
 def test_html_odd_pages(spark, model):
     pages = [(1, "u", None), (2, "u", ""), (3, None, "plain"), (4, "u", "<p><div><p></b></x><<<&#xffffffff;"), (5, "u", "<div>" * 3000 + "deep"), (5, "u", "<article><p>" + "Many words here. " * 20000), (6, "u", "<script>never closed"), (7, "u", "<table><tr><td>a<tr><td>b</table>")]
     got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()

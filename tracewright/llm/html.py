@@ -22,8 +22,12 @@ from .common import hash32, table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text is never page text.
-SKIP = frozenset("script style noscript template head svg math iframe object audio video canvas select button textarea".split())
+SKIP = frozenset("script style noscript template head svg iframe object audio video canvas select button textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
+#: A formula is part of the text around it.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split())
+#: Start tags that leave an open head open; any other, or text, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 #: A start tag of these ends an open p; li, dt/dd, tr, td/th and option end an open one of their own.
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -86,6 +90,8 @@ def dom(page: str) -> list[Node]:
     while at < n:
         m = TOKEN.search(page, at)
         begin = m.start() if m else n
+        if stack[-1][0] == "head" and page[at:begin].strip():
+            close(len(stack) - 1)
         if begin > at and not skip:
             run.append((page[at:begin], links > 0))
         if not m:
@@ -103,6 +109,8 @@ def dom(page: str) -> list[Node]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag in ("html", "body") and not nodes[0].attrs:
             continue
         if tag == "br":
