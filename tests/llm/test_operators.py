@@ -195,6 +195,19 @@ def test_media(spark, odd, none):
     assert media.features(media.store(none)).count() == 0
 
 
+def test_media_text_that_looks_like_a_tag():
+    """TAG where an ID3v1 tag would begin, inside the last frame of an odd number of frames."""
+    for n in (1, 3):
+        raw = ("x" * (576 * (n - 1) + 506) + "TAG" + "ü").encode()
+        pay = media.pad(raw)
+        clip = media.encode(pay, len(raw))
+        got = media.parse(clip)
+        assert clip[-128:-125] == b"TAG" and media.payload_of(clip, got) == pay and got["skipped"] == 0 and "TIT2" not in got["tags"]
+        both = clip + b"TAG" + b"title".ljust(125, b"\0")
+        got = media.parse(both)
+        assert media.payload_of(both, got) == pay and got["tags"]["TIT2"] == "title"
+
+
 def test_media_resynchronises():
     pay = media.pad(bytes(random.Random(1).randbytes(5000)))
     clip = media.encode(pay, 5000)

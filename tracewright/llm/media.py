@@ -116,7 +116,8 @@ def parse(data: bytes) -> dict:
 
     A frame counts if its header is valid and the next frame's header (or the end, or an ID3v1 tag) follows it directly;
     otherwise one byte is skipped and the search goes on. Frames of another layer or sample rate than the first are
-    skipped the same way. Anything that holds no frame gives zero frames.
+    skipped the same way. "TAG" at 128 bytes before the end is an ID3v1 tag unless a frame spans that position. Anything
+    that holds no frame gives zero frames.
     """
     at, end, tags = 0, len(data), {}
     if data[:3] == b"ID3" and end >= 10:
@@ -129,17 +130,17 @@ def parse(data: bytes) -> dict:
             name, _, value = text.partition("\0") if k in ("TXXX", "COMM") else (k, "", text)
             tags[name], at = value, at + 10 + n
         at = stop
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        tags.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1"))
+    tail = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else -1
+    tagged = lambda i: 0 <= tail - i < 4
     known: dict[bytes, tuple | None] = {}
     look = lambda i: known[k] if (k := data[i : i + 3]) in known else known.setdefault(k, header(int.from_bytes(data[i : i + 3] + b"\0", "big")))
     offsets, skipped, samples, kind, table_of = [], 0, 0, None, {}
-    while at + 4 <= end:
+    while at + 4 <= end and not tagged(at):
         f = look(at)
-        if not f or kind and (f[2], f[3]) != kind or at + f[0] > end or at + f[0] + 4 <= end and not look(at + f[0]):
-            nxt = data.find(b"\xff", at + 1, end)
-            skipped, at = skipped + ((nxt if nxt >= 0 else end) - at), nxt if nxt >= 0 else end
+        if not f or kind and (f[2], f[3]) != kind or at + f[0] > end or at + f[0] + 4 <= end and not tagged(at + f[0]) and not look(at + f[0]):
+            stop = tail if at < tail else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            skipped, at = skipped + ((nxt if nxt >= 0 else stop) - at), nxt if nxt >= 0 else stop
             continue
         kind = f[2], f[3]
         side = at + HEAD + SIDE + 2 * f[4]
@@ -152,6 +153,8 @@ def parse(data: bytes) -> dict:
             offsets.append((at, f[0], f[4]))
             samples += f[1]
         at += f[0]
+    if tagged(at):
+        tags.setdefault("TIT2", data[tail + 3 : tail + 33].split(b"\0")[0].decode("latin-1"))
     out = np.array(offsets, np.int64).reshape(-1, 3)
     checked, bad = out[out[:, 2] == 1], 0
     if len(checked) and kind[1] == 3:
