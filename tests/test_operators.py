@@ -1,5 +1,6 @@
 """Golden cases and numpy references for what SQL can't express, and errors."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -12,6 +13,7 @@ from tracewright.operators import regression as R
 from tracewright.operators import search as S
 from tracewright.operators import stagecaps as C
 from tracewright.operators import terms as T
+from tracewright.plans.search import GROW
 from tracewright.sources import records as SR
 
 INF = float("inf")
@@ -79,6 +81,20 @@ def test_logistic_cap(spark, growth):
     assert len(rows) == 1 and (rows[0]["cap"] is None or rows[0]["cap"] >= 2)
 
 
+def test_grow_passes_all_stages(spark, growth):
+    """By the queries' policy (with a tolerance that makes every level flat) all stages open, and a cap of 1 keeps u^2 out."""
+    basis, policy = T.staged_basis(1), dataclasses.replace(GROW, plateau_tol=1e9, pop_size=4)
+    f = R.block_factors(R.prepare(growth, basis, ["u1"]), len(basis), 1).cache()
+    caps = spark.createDataFrame([(1, 1, 1)], "traj_id long, eq int, cap int")
+    stage = [t.stage for t in basis]
+    free, log = S.grow(f, basis, 1, policy)
+    assert {r["stage"] for r in log.collect()} == set(range(1, max(stage) + 1))
+    used = lambda best: max(stage[i - 1] for i in best.first()["structure"][0])
+    # stage 2 is open from level 4 on
+    capped, _ = S.grow(f, basis, 1, dataclasses.replace(policy, max_levels=5), caps)
+    assert used(free) > 1 and used(capped) == 1
+
+
 def test_local_polynomial(spark, growth):
     t, x, r, k = logistic()
     got = [y["d_u1"] for y in D.deriv_local_poly(growth, ["u1"]).orderBy("seq").collect()]

@@ -14,6 +14,8 @@ from .regression import B2, P, factors
 from .views import Views, oracle
 
 POL = S.SearchPolicy(window=2, min_levels=4, max_levels=60, loss_tol=1.0, plateau_tol=0.5, min_per_stage=2)
+#: The search ends when every series has stopped in the last stage; the bound on levels is far above that.
+GROW = S.SearchPolicy(max_levels=60)
 ROWS = "SELECT *, cand_id = parent_id AS incumbent, cand_id % 13 <> 0 AS valid, CASE WHEN cand_id % 13 <> 0 THEN residual + 1e-12 * n_params ELSE 'Infinity'::DOUBLE END AS score FROM candidates"
 RANKED = {"a": ROWS, "k": "SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY incumbent DESC, valid DESC, score, cand_id) AS rn FROM (SELECT * EXCLUDE (incumbent), cand_id % 50 = 0 AS incumbent FROM a) q"}
 HIST = "SELECT cell AS traj_id, level, stage, min(best_loss) OVER (PARTITION BY cell ORDER BY level) AS best, best_loss AS loss FROM level_events"
@@ -69,7 +71,7 @@ def gate_pairs(v: Views) -> DataFrame:
 def searched(v: Views, caps: bool) -> DataFrame:
     f = S.cut(factors(v), "factors")
     c = C.estimate_stage_caps(v.traj_events, B2, EV) if caps else None
-    best, _ = S.grow(f, B2, 2, S.SearchPolicy(max_levels=3), S.cut(c, "caps") if caps else None)
+    best, _ = S.grow(f, B2, 2, GROW, S.cut(c, "caps") if caps else None)
     return text(best).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"))
 
 
