@@ -25,7 +25,7 @@ def plain(v):
         return bool(v)
     v = v.tolist() if hasattr(v, "tolist") else v
     if isinstance(v, (int, float)):
-        return None if v != v else float(v)
+        return None if v != v else float(v) + 0.0
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
 
 

@@ -92,7 +92,7 @@ QUERIES = {
     ),
     "d11_spearman": (
         lambda v: r(S.spearman(v.candidates, ["traj_id"], "residual", "loss")),
-        oracle("SELECT traj_id, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT traj_id, rank() OVER (PARTITION BY traj_id ORDER BY residual) + (count(*) OVER (PARTITION BY traj_id, residual) - 1) / 2 AS rx, rank() OVER (PARTITION BY traj_id ORDER BY loss) + (count(*) OVER (PARTITION BY traj_id, loss) - 1) / 2 AS ry FROM candidates) q GROUP BY 1", "candidates"),
+        oracle("SELECT traj_id, count(*) AS n, round(corr(rx, ry), 6) + 0e0 AS rho FROM (SELECT traj_id, rank() OVER (PARTITION BY traj_id ORDER BY residual) + (count(*) OVER (PARTITION BY traj_id, residual) - 1) / 2 AS rx, rank() OVER (PARTITION BY traj_id ORDER BY loss) + (count(*) OVER (PARTITION BY traj_id, loss) - 1) / 2 AS ry FROM candidates) q GROUP BY 1", "candidates"),
     ),
     "d12_rank_summary": (
         lambda v: r(S.rank_summary(S.spearman(v.candidates, ["traj_id"], "residual", "loss"))),
