@@ -368,6 +368,10 @@ def test_mixing(documents, odd, none):
             assert abs(n - want[s]) <= largest[s] / 2 + 1
         assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(5)).collect()))
     assert mixing.mix(none).count() == 0
+    clash = documents.select("*", *[F.lit("x").alias(c) for c in ("target", "need", "whole", "source_size", "end_bucket", "end_before", "level", "w", "cap", "budget", "n", "mix_size", "__tw_key")])
+    mixed = mixing.mix(clash)
+    assert mixed.columns[: len(clash.columns) - 2] == clash.columns[:-2] and {r["target"] for r in mixed.select("target").collect()} == {"x"}
+    assert mixed.agg(F.sum("mix_taken")).first() == mixing.mix(documents).agg(F.sum("mix_taken")).first()
     assert mixing.repeat_documents(mixing.mix(documents)).count() == mixing.mix(documents).agg(F.sum("mix_reps")).first()[0]
 
 
