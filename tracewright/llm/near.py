@@ -20,7 +20,8 @@ HASHES = BANDS * ROWS
 LONGS = HASHES * LOW_BITS // 64
 #: A pair goes on to the exact check from this estimate on: five standard deviations under 0.8.
 MARGIN = 0.2
-TILE = 1024
+#: Members of a bucket that are compared with as many outsiders in one group, and members that share a copy of their centre.
+TILE, FAN = 256, 256
 _rng = np.random.default_rng(1597)
 _MUL = _rng.integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -109,50 +110,71 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
+def _links(sets: list[np.ndarray], i: int, j: int, percent: int) -> bool:
+    inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    return bool(inter) and 100 * inter >= percent * (len(sets[i]) + len(sets[j]) - inter)
+
+
 def _verify(k: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 200):
-                part = b.iloc[i : i + 200]
-                # a centre's rows mostly stand together: each distinct text is hashed once
-                codes, texts = pd.factorize(pd.concat([part["text_a"], part["text_b"]], ignore_index=True))
-                sets = shingle_sets(as_bytes(texts), k)
-                n, keep = len(part), []
-                for r in range(n):
-                    x, y = sets[codes[r]], sets[codes[n + r]]
-                    inter = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(inter) and 100 * inter >= percent * (len(x) + len(y) - inter))
-                yield part.loc[keep, ["a", "b"]]
+    """The members of a part of a star whose full sets reach the similarity with the centre's, whose text is the row a = b."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("a", key=lambda a: a != g["b"], kind="stable")
+        texts = as_bytes(g["text"])
+        sets = [x for i, j in chunks(texts) for x in shingle_sets(texts[i:j], k)]
+        keep = [i for i in range(1, len(sets)) if _links(sets, 0, i, percent)]
         release()
+        return g.iloc[keep][["a", "b"]]
+
+    return run
+
+
+def similar(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Corrected estimates of the similarity of each row of packed bits with one."""
+    ones, chance = np.uint64(sum(1 << (LOW_BITS * i) for i in range(64 // LOW_BITS))), 2.0**-LOW_BITS
+    x = sig ^ one
+    y = x.copy()
+    for s in range(1, LOW_BITS):
+        y |= x >> np.uint64(s)
+    return (1 - np.bitwise_count(y & ones).sum(axis=1) / HASHES - chance) / (1 - chance)
+
+
+def _pairs(g: pd.DataFrame, cut: float) -> list[tuple[float, int, int]]:
+    """(estimate, outsider, other) of a tile's rows that may be linked, best first.
+
+    A pair of members is looked at in the first band that both share, so in one bucket only; of two outsiders the smaller
+    one asks.
+    """
+    comp, asks, own, outer = g["component"].to_numpy(), *(g[c].to_numpy(bool) for c in ("asks", "own", "outer"))
+    sig, bands, rep = g[SIGS].to_numpy(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy()), g["rep"].to_numpy()
+    band, out = int((bands[0] == g["bucket"].iloc[0]).argmax()), []
+    for r in np.flatnonzero(asks):
+        hit = own & (comp != comp[r]) & ~(outer & (rep < rep[r])) & (similar(sig, sig[r]) >= cut)
+        at = np.flatnonzero(hit)
+        at = at[(bands[at] == bands[r]).argmax(axis=1) == band]
+        out += zip(similar(sig[at], sig[r]).tolist(), [int(r)] * len(at), at.tolist())
+    return sorted(out, key=lambda x: (-x[0], rep[x[1]], rep[x[2]]))
+
+
+def _likely(cut: float):
+    """Rows of a tile that have a likely partner in another component: only their texts are fetched."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        at = sorted({i for _, r, o in _pairs(g, cut) for i in (r, o)})
+        return g.iloc[at][["bucket", "chunk", "slice", "rep", "component", "outer", "asks", "own", *SIGS, "bands"]]
 
     return run
 
 
 def _tile(cut: float, k: int, percent: int):
-    """Confirmed links between different components within one tile of a bucket; enough of them to join what is linked.
+    """Confirmed links between components within one tile; enough of them to join what is linked.
 
-    A pair is looked at in the first band that its members share, so in one bucket only. Likely pairs are confirmed on
-    full sets, best estimates first; a pair whose members were joined meanwhile needs no check.
+    Likely pairs are confirmed on full sets, best estimates first; a pair whose members were joined meanwhile needs no
+    check.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        comp, rep, side = g["component"].to_numpy(), g["rep"].to_numpy(), g["side"].to_numpy()
-        sig, bands = g[SIGS].to_numpy(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
-        band = int((bands[0] == g["bucket"].iloc[0]).argmax())
-        most = pd.Series(comp).mode().iloc[0]
-        ones, chance, likely = np.uint64(sum(1 << (LOW_BITS * i) for i in range(64 // LOW_BITS))), 2.0**-LOW_BITS, []
-        two = side.max() > 0
-        # whoever is outside the largest component is compared with all
-        for r in np.flatnonzero(comp != most):
-            x = sig ^ sig[r]
-            y = x.copy()
-            for s in range(1, LOW_BITS):
-                y |= x >> np.uint64(s)
-            est = (1 - np.bitwise_count(y & ones).sum(axis=1) / HASHES - chance) / (1 - chance)
-            hit = (est >= cut) & (comp != comp[r]) & ((bands == bands[r]).argmax(axis=1) == band)
-            if two:
-                hit &= side != side[r]
-            likely += [(-est[q], min(r, q), max(r, q)) for q in np.flatnonzero(hit).tolist()]
+        comp, rep, texts = g["component"].to_numpy(), g["rep"].to_numpy(), as_bytes(g["text"])
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -161,18 +183,18 @@ def _tile(cut: float, k: int, percent: int):
             return c
 
         sets: dict[int, np.ndarray] = {}
-        texts, found = g["text"].to_numpy(), []
-        for _, i, j in sorted(set(likely)):
+        found = []
+        for _, i, j in _pairs(g, cut):
             a, b = find(comp[i]), find(comp[j])
             if a == b:
                 continue
             for m in (i, j):
                 if m not in sets:
-                    sets[m] = shingle_sets(as_bytes([texts[m]]), k)[0]
-            inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if inter and 100 * inter >= percent * (len(sets[i]) + len(sets[j]) - inter):
+                    sets[m] = shingle_sets([texts[m]], k)[0]
+            if _links(sets, i, j, percent):
                 root[a] = b
                 found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        release()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -199,12 +221,16 @@ class NearDuplicates:
         return materialize(texts.join(materialize(named.distinct(), "near-named"), "doc_id", "left_semi"), "near-texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the similarity."""
-        pairs = materialize(pairs, "near-pairs")
-        texts = self.texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
-        rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialize(rows.select("a", "b", "text_a", "text_b").mapInPandas(_verify(self.k, self.percent), "a long, b long").distinct(), "near-links")
+        """The pairs (a, b) of members and centres whose full sets reach the similarity.
+
+        A centre's text goes once to every FAN of its members, not once to each.
+        """
+        sizes = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts")), "near-stars")
+        dealt = materialize(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "near-pairs")
+        both = dealt.unionByName(dealt.select(F.col("b").alias("a"), "b", "part").distinct())
+        texts = self.texts_of(both.select(F.col("a").alias("doc_id")))
+        rows = both.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+        return materialize(rows.groupBy("b", "part").applyInPandas(_verify(self.k, self.percent), "a long, b long"), "near-links")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose packed bits say that they may reach the similarity."""
@@ -216,24 +242,33 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """Links (a, b) between set representatives with the same components as all links.
 
-        First every member of a bucket is compared with the bucket's centre. Buckets whose members then lie in more than
-        one component are searched in full: each member outside the bucket's largest component against all others, in
-        tiles of TILE documents, with no cap. Links inside one component are not needed and not listed.
+        First every member of a bucket is compared with the bucket's centre. Then each bucket whose members lie in more
+        than one component is searched in full, with no cap: its outsiders, who are not in its largest component, meet
+        all its members in tiles of TILE outsiders and TILE members. Tiles hold packed bits; texts are fetched only for
+        rows that have a likely partner there. Links inside one component are not needed and not listed.
         """
         star = self.members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
         first = self.confirmed(self.likely(star))
         comp = materialize(connected_components(first), "near-components")
-        named = materialize(self.members.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component")), "near-named")
         # two members were compared above
-        apart = named.where("size > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-        open_ = materialize(apart.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-open")
-        rows = materialize(named.join(open_, "bucket"), "near-open-members")
-        texts = self.texts_of(rows.select(F.col("rep").alias("doc_id")))
-        full = texts.withColumnRenamed("doc_id", "rep").join(self.sets.select("rep", "bands", *SIGS), "rep")
-        t = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        rows = rows.withColumn("t", t).withColumn("o", other).select("bucket", "rep", "component", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"))
-        second = rows.join(full, "rep").groupBy("bucket", "lo", "hi").applyInPandas(_tile(self.cut, self.k, self.percent), "a long, b long")
+        named = materialize(self.members.where("size > 2").join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "near-named")
+        parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = F.max_by("component", F.struct("n", F.negate("component")))
+        open_ = parts.groupBy("bucket").agg(largest.alias("most"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders")).where("outsiders > 0")
+        open_ = materialize(open_.select("bucket", "most", F.ceil(F.col("members") / TILE).cast("int").alias("slices"), F.ceil(F.col("outsiders") / TILE).cast("int").alias("chunks")), "near-open")
+        rows = named.join(open_, "bucket").withColumns({"outer": F.col("component") != F.col("most"), "h": F.xxhash64("rep")})
+        rows = rows.withColumns({"c": F.pmod("h", F.col("chunks")).cast("int"), "s": F.pmod(F.xxhash64("h"), F.col("slices")).cast("int")})
+        # a member stands once in the tiles of its slice; an outsider asks in the tiles of its chunk
+        asked = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.col("c").alias("chunk"), s.alias("slice"), F.lit(True).alias("asks"), (s == F.col("s")).alias("own")))
+        given = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.col("s").alias("slice"), F.lit(False).alias("asks"), F.lit(True).alias("own")))
+        given = F.when(F.col("outer"), F.filter(given, lambda x: x["chunk"] != F.col("c"))).otherwise(given)
+        places = F.when(F.col("outer"), F.concat(asked, given)).otherwise(given)
+        rows = rows.select("bucket", "rep", "component", "outer", F.explode(places).alias("p")).select("bucket", "rep", "component", "outer", "p.*")
+        tile = ["bucket", "chunk", "slice"]
+        schema = "bucket long, chunk int, slice int, rep long, component long, outer boolean, asks boolean, own boolean, " + ", ".join(f"{s} long" for s in SIGS) + ", bands array<long>"
+        likely = materialize(rows.join(self.sets.select("rep", "bands", *SIGS), "rep").groupBy(*tile).applyInPandas(_likely(self.cut), schema), "near-likely")
+        texts = self.texts_of(likely.select(F.col("rep").alias("doc_id")))
+        second = likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy(*tile).applyInPandas(_tile(self.cut, self.k, self.percent), "a long, b long")
         return first.unionByName(second)
 
     def components(self) -> DataFrame:
