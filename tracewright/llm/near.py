@@ -22,6 +22,8 @@ LONGS = HASHES * LOW_BITS // 64
 MARGIN = 0.2
 #: Members of a bucket that are compared with as many outsiders in one group, and members that share a copy of their centre.
 TILE, FAN = 256, 256
+#: Rows of the groups that small tiles and stars share.
+CROWD = 1024
 _rng = np.random.default_rng(1597)
 _MUL = _rng.integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -115,16 +117,26 @@ def _links(sets: list[np.ndarray], i: int, j: int, percent: int) -> bool:
     return bool(inter) and 100 * inter >= percent * (len(sets[i]) + len(sets[j]) - inter)
 
 
+def _parts(g: pd.DataFrame, *by: str) -> Iterator[np.ndarray]:
+    """Row numbers of the groups by the integer columns `by`: many small groups come to a task as one frame."""
+    cols = [g[c].to_numpy() for c in reversed(by)]
+    order = np.lexsort(cols)
+    new = np.any([np.diff(c[order]) != 0 for c in cols], axis=0)
+    yield from np.split(order, np.flatnonzero(new) + 1)
+
+
 def _verify(k: int, percent: int):
     """The members of a part of a star whose full sets reach the similarity with the centre's, whose text is the row a = b."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("a", key=lambda a: a != g["b"], kind="stable")
-        texts = as_bytes(g["text"])
-        sets = [x for i, j in chunks(texts) for x in shingle_sets(texts[i:j], k)]
-        keep = [i for i in range(1, len(sets)) if _links(sets, 0, i, percent)]
+        a, b, texts, keep = g["a"].to_numpy(), g["b"].to_numpy(), as_bytes(g["text"]), []
+        for at in _parts(g, "b", "part"):
+            at = at[np.argsort(a[at] != b[at], kind="stable")]
+            own = [texts[i] for i in at]
+            sets = [x for i, j in chunks(own) for x in shingle_sets(own[i:j], k)]
+            keep += [int(at[i]) for i in range(1, len(sets)) if _links(sets, 0, i, percent)]
         release()
-        return g.iloc[keep][["a", "b"]]
+        return pd.DataFrame({"a": a[keep], "b": b[keep]})
 
     return run
 
@@ -139,61 +151,74 @@ def similar(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (1 - np.bitwise_count(y & ones).sum(axis=1) / HASHES - chance) / (1 - chance)
 
 
-def _pairs(g: pd.DataFrame, cut: float) -> list[tuple[float, int, int]]:
-    """(estimate, outsider, other) of a tile's rows that may be linked, best first.
+class Rows:
+    """The columns of tile rows as arrays."""
 
-    A pair of members is looked at in the first band that both share, so in one bucket only; of two outsiders the smaller
-    one asks.
-    """
-    comp, asks, own, outer = g["component"].to_numpy(), *(g[c].to_numpy(bool) for c in ("asks", "own", "outer"))
-    sig, bands, rep = g[SIGS].to_numpy(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy()), g["rep"].to_numpy()
-    band, out = int((bands[0] == g["bucket"].iloc[0]).argmax()), []
-    for r in np.flatnonzero(asks):
-        hit = own & (comp != comp[r]) & ~(outer & (rep < rep[r])) & (similar(sig, sig[r]) >= cut)
-        at = np.flatnonzero(hit)
-        at = at[(bands[at] == bands[r]).argmax(axis=1) == band]
-        out += zip(similar(sig[at], sig[r]).tolist(), [int(r)] * len(at), at.tolist())
-    return sorted(out, key=lambda x: (-x[0], rep[x[1]], rep[x[2]]))
+    def __init__(self, g: pd.DataFrame):
+        self.comp, self.rep, self.bucket = (g[c].to_numpy() for c in ("component", "rep", "bucket"))
+        self.asks, self.own, self.outer = (g[c].to_numpy(bool) for c in ("asks", "own", "outer"))
+        self.sig, self.bands = g[SIGS].to_numpy(np.int64).view(np.uint64), np.stack(g["bands"].to_numpy())
+
+    def pairs(self, at: np.ndarray, cut: float) -> list[tuple[float, int, int]]:
+        """(estimate, outsider, other) of the rows `at` of one tile that may be linked, best first.
+
+        A pair of members is looked at in the first band that both share, so in one bucket only; of two outsiders the
+        smaller one asks.
+        """
+        comp, rep, sig, bands, out = self.comp[at], self.rep[at], self.sig[at], self.bands[at], []
+        band = int((bands[0] == self.bucket[at[0]]).argmax())
+        for r in np.flatnonzero(self.asks[at]):
+            est = similar(sig, sig[r])
+            hit = np.flatnonzero(self.own[at] & (comp != comp[r]) & ~(self.outer[at] & (rep < rep[r])) & (est >= cut))
+            hit = hit[(bands[hit] == bands[r]).argmax(axis=1) == band] if len(hit) else hit
+            out += zip(est[hit].tolist(), [int(at[r])] * len(hit), at[hit].tolist())
+        return sorted(out, key=lambda x: (-x[0], self.rep[x[1]], self.rep[x[2]]))
+
+
+TILE_KEY = ("bucket", "chunk", "slice")
 
 
 def _likely(cut: float):
-    """Rows of a tile that have a likely partner in another component: only their texts are fetched."""
+    """Rows of tiles that have a likely partner in another component: only their texts are fetched."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        at = sorted({i for _, r, o in _pairs(g, cut) for i in (r, o)})
-        return g.iloc[at][["bucket", "chunk", "slice", "rep", "component", "outer", "asks", "own", *SIGS, "bands"]]
+        rows, keep = Rows(g), []
+        for at in _parts(g, *TILE_KEY):
+            keep += sorted({i for _, r, o in rows.pairs(at, cut) for i in (r, o)})
+        return g.iloc[keep]
 
     return run
 
 
 def _tile(cut: float, k: int, percent: int):
-    """Confirmed links between components within one tile; enough of them to join what is linked.
+    """Confirmed links between components within each tile; enough of them to join what is linked.
 
     Likely pairs are confirmed on full sets, best estimates first; a pair whose members were joined meanwhile needs no
     check.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        comp, rep, texts = g["component"].to_numpy(), g["rep"].to_numpy(), as_bytes(g["text"])
-        root = {c: c for c in comp.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        sets: dict[int, np.ndarray] = {}
-        found = []
-        for _, i, j in _pairs(g, cut):
-            a, b = find(comp[i]), find(comp[j])
-            if a == b:
-                continue
-            for m in (i, j):
-                if m not in sets:
-                    sets[m] = shingle_sets([texts[m]], k)[0]
-            if _links(sets, i, j, percent):
-                root[a] = b
-                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        rows, texts, found = Rows(g), as_bytes(g["text"]), []
+        comp, rep = rows.comp, rows.rep
+        for at in _parts(g, *TILE_KEY):
+            root = {c: c for c in comp[at].tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:  # noqa: B023
+                    root[c] = c = root[root[c]]  # noqa: B023
+                return c
+
+            sets: dict[int, np.ndarray] = {}
+            for _, i, j in rows.pairs(at, cut):
+                a, b = find(comp[i]), find(comp[j])
+                if a == b:
+                    continue
+                for m in (i, j):
+                    if m not in sets:
+                        sets[m] = shingle_sets([texts[m]], k)[0]
+                if _links(sets, i, j, percent):
+                    root[a] = b
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         release()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -230,7 +255,8 @@ class NearDuplicates:
         both = dealt.unionByName(dealt.select(F.col("b").alias("a"), "b", "part").distinct())
         texts = self.texts_of(both.select(F.col("a").alias("doc_id")))
         rows = both.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
-        return materialize(rows.groupBy("b", "part").applyInPandas(_verify(self.k, self.percent), "a long, b long"), "near-links")
+        crowd = F.pmod(F.xxhash64("b", "part"), F.lit(1 + dealt.count() // CROWD)).alias("crowd")
+        return materialize(rows.select("*", crowd).groupBy("crowd").applyInPandas(_verify(self.k, self.percent), "a long, b long"), "near-links")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose packed bits say that they may reach the similarity."""
@@ -264,11 +290,13 @@ class NearDuplicates:
         given = F.when(F.col("outer"), F.filter(given, lambda x: x["chunk"] != F.col("c"))).otherwise(given)
         places = F.when(F.col("outer"), F.concat(asked, given)).otherwise(given)
         rows = rows.select("bucket", "rep", "component", "outer", F.explode(places).alias("p")).select("bucket", "rep", "component", "outer", "p.*")
-        tile = ["bucket", "chunk", "slice"]
-        schema = "bucket long, chunk int, slice int, rep long, component long, outer boolean, asks boolean, own boolean, " + ", ".join(f"{s} long" for s in SIGS) + ", bands array<long>"
-        likely = materialize(rows.join(self.sets.select("rep", "bands", *SIGS), "rep").groupBy(*tile).applyInPandas(_likely(self.cut), schema), "near-likely")
+        rows = materialize(rows, "near-tiles")
+        crowd = F.pmod(F.xxhash64(*TILE_KEY), F.lit(1 + rows.count() // CROWD))
+        schema = "bucket long, chunk int, slice int, rep long, component long, outer boolean, asks boolean, own boolean, crowd long, " + ", ".join(f"{s} long" for s in SIGS) + ", bands array<long>"
+        full = rows.withColumn("crowd", crowd).join(self.sets.select("rep", "bands", *SIGS), "rep").select(*[c.split()[0] for c in schema.split(", ")])
+        likely = materialize(full.groupBy("crowd").applyInPandas(_likely(self.cut), schema), "near-likely")
         texts = self.texts_of(likely.select(F.col("rep").alias("doc_id")))
-        second = likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy(*tile).applyInPandas(_tile(self.cut, self.k, self.percent), "a long, b long")
+        second = likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("crowd").applyInPandas(_tile(self.cut, self.k, self.percent), "a long, b long")
         return first.unionByName(second)
 
     def components(self) -> DataFrame:
@@ -303,3 +331,18 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if twice.isEmpty():
         return rest
     return rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node WHERE r.c < e.b),
+m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
