@@ -74,6 +74,17 @@ def byte_size(df: DataFrame, *cols: str) -> int:
     return int(df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"])
 
 
+def lowest(keys: DataFrame, most: int) -> DataFrame:
+    """The `most` distinct values of the one column of keys with the lowest hashes (all, if there are fewer), as a table.
+
+    A bound on the hash goes first, so that a task passes on its part of the answer and not `most` rows of its own.
+    """
+    (name,) = keys.columns
+    bound = int((1.5 * most + 100) / max(1, keys.count()) * (1 << 32))
+    few = keys.where((hash32(name) < bound) & F.col(name).isNotNull()).distinct()
+    return materialize(few.orderBy(hash32(name), name).limit(most), "lowest")
+
+
 def hash32(*cols: Column | str) -> Column:
     """Unsigned 32 bits of the md5 of the columns' text, joined by ':'; the same in any SQL engine with md5."""
     text = F.concat_ws(":", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
