@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash32, table
+from .common import hash32, lowest, table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose text is never page text.
@@ -47,11 +47,63 @@ WORDS = {
     "hide": "hidden sr-only visually-hidden screen-reader invisible offscreen",
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends a tag, or begins a quoted value in it.
+IN_TAG = re.compile(r">|=[\x20\x09-\x0D]*([\"'])")
 ATTR = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 
+class Scanner:
+    """The tags of a page, one after the other, in time linear in its length: a search that fails isn't tried again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.plain = page, {}, False
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` is next, or -1."""
+        if at >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Where a tag's > stands, quoted values aside; -1 if the page ends before."""
+        while m := IN_TAG.search(self.page, at):
+            if not m[1]:
+                return m.start()
+            close = self.find(m[1], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(begin, end, "" or "/" or "?" or "<", name, attributes) of the next piece of markup from `at` on.
+
+        "?" is a comment, CDATA section or declaration; "<" one that is text; begin is the page's end if there is none.
+        """
+        page, n = self.page, len(self.page)
+        begin = self.find("<", at)
+        if begin < 0:
+            return n, n, "", "", ""
+        for opens, closes, bare in (("<!--", "-->", True), ("<![CDATA[", "]]>", False), ("<!", ">", False), ("<?", ">", False)):
+            if page.startswith(opens, begin):
+                close = self.find(closes, begin + len(opens) - (opens == "<!--") * 2)
+                if close >= 0:
+                    return begin, close + len(closes), "?", "", ""
+                if bare:
+                    return begin, n, "?", "", ""
+        m = NAME.match(page, begin)
+        close = self.end_of_tag(m.end()) if m and not self.plain else -1
+        if m and close < 0:
+            # quotes that swallow the rest of the page are no quotes, here and from here on
+            self.plain, close = True, self.find(">", m.end())
+        if close < 0:
+            return begin, begin + 1, "<", "", ""
+        return begin, close + 1, m[1], m[2].lower(), page[m.end() : close]
+
+
 class Node:
     __slots__ = ("attrs", "label", "link", "linked", "parent", "tag", "text", "total")
 
@@ -67,6 +119,8 @@ def dom(page: str) -> list[Node]:
     run: list[tuple[str, bool]] = []
     skip, links, at, n = 0, 0, 0, len(page)
 
+    scan, opened = Scanner(page), {"html": 1}  # how many of each tag are open
+
     def flush() -> None:
         if run:
             text = " ".join(entities.unescape("".join(t for t, _ in run)).split())
@@ -77,6 +131,10 @@ def dom(page: str) -> list[Node]:
                 nodes.append(leaf)
             run.clear()
 
+    def push(tag: str, block: int) -> None:
+        stack.append((tag, block))
+        opened[tag] = opened.get(tag, 0) + 1
+
     def close(k: int) -> None:
         """Close all open elements from the k-th on."""
         nonlocal links, skip
@@ -85,24 +143,22 @@ def dom(page: str) -> list[Node]:
         for t, _ in stack[k:]:
             links -= t == "a"
             skip -= t in SKIP
+            opened[t] -= 1
         del stack[k:]
 
     while at < n:
-        m = TOKEN.search(page, at)
-        begin = m.start() if m else n
+        begin, end, what, tag, attrs = scan.next(at)
         if stack[-1][0] == "head" and page[at:begin].strip():
             close(len(stack) - 1)
         if begin > at and not skip:
             run.append((page[at:begin], links > 0))
-        if not m:
-            break
-        at, tag = m.end(), (m[2] or "").lower()
+        at = end
         if not tag:
-            if m[0] == "<" and not skip:
+            if what == "<" and not skip:
                 run.append(("&lt;", links > 0))
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if what:
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -111,7 +167,7 @@ def dom(page: str) -> list[Node]:
             continue
         if stack[-1][0] == "head" and tag not in HEAD:
             close(len(stack) - 1)
-        if tag in ("html", "body") and not nodes[0].attrs:
+        if tag in ("html", "body"):
             continue
         if tag == "br":
             if not skip:
@@ -119,7 +175,7 @@ def dom(page: str) -> list[Node]:
             continue
         if tag in CLOSES_P or tag in OWN:
             ends = OWN.get(tag, ("p",))
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened.get(t) for t in ends) else ():
                 if stack[k][0] in ends and (tag != "tr" or stack[k][0] == "tr"):
                     close(k)
                     break
@@ -128,21 +184,20 @@ def dom(page: str) -> list[Node]:
         if tag not in INLINE:
             flush()
         if tag in RAW_END and tag != "template":
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else n
+            stop = RAW_END[tag].search(page, at)
+            at = stop.end() if stop else n
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_P:
+        if tag in VOID or attrs.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             links += tag == "a"
+        elif not skip and tag not in SKIP:
+            nodes.append(Node(tag, stack[-1][1], attrs))
+            push(tag, len(nodes) - 1)
         else:
-            if not skip and tag not in SKIP:
-                nodes.append(Node(tag, stack[-1][1], m[3]))
-                stack.append((tag, len(nodes) - 1))
-            else:
-                stack.append((tag, stack[-1][1]))
-                skip += tag in SKIP
+            push(tag, stack[-1][1])
+            skip += tag in SKIP
     close(1)
     flush()
     add_sums(nodes)
@@ -150,7 +205,7 @@ def dom(page: str) -> list[Node]:
 
 
 TAGS = "html div section article main nav header footer aside form fieldset ul ol li dl dt dd table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details center #".split()
-NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], *[f"sum-len{i}" for i in range(6)], *[f"sum-link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li"]
+NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], *[f"sum-len{i}" for i in range(6)], *[f"sum-link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li", "bare-article"]
 INDEX = {x: i for i, x in enumerate(NAMES)}
 KINDS = {t: i for i, t in enumerate(["#", "p", "li", "ul", "ol", "h1", "h2", "td", "div", "section", "article", "main", "other", "marked"])}
 _MARK = re.compile(r"©|\(c\) ?\d{4}|all rights reserved", re.I)
@@ -199,6 +254,8 @@ def features(nodes: list[Node], i: int) -> list[int]:
     out = [0, INDEX.get(f"t:{x.tag}", 1)]
     if x.tag != "#":
         out += [INDEX["sum-len0"] + min(5, int(math.log(x.total + 1, 5))), INDEX["sum-link0"] + _share(x.linked, x.total)]
+        if x.tag == "article" and not groups(x.attrs):
+            out.append(INDEX["bare-article"])
         return out + [INDEX["hidden" if g == "hidden" else f"w:{g}"] for g in groups(x.attrs)]
     n, parent = len(x.text), nodes[x.parent].tag
     out.append(INDEX["len0"] + min(4, int(math.log(n + 1, 5))))
@@ -261,11 +318,13 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     prose = lambda a, b: " ".join(words(3, 14).capitalize() + r.choice("....?!") for _ in range(r.randint(a, b)))
     link = lambda a=1, b=3: f'<a href="/{word()}">{words(a, b)}</a>'
     items = lambda k: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(k)) + "</ul>"
+    teaser = lambda: r.choice((f"<h3>{link(2, 6)}</h3><p>{prose(1, 2)}</p>", f"<h4>{words(2, 6)}</h4><p>{prose(1, 3)} {link(1, 2)}</p>", f"<a href='/{word()}'><h3>{words(2, 6)}</h3></a>"))
+    teasers = lambda k: "".join(r.choice(('<article class="teaser">{}</article>', '<div class="card">{}</div>')).format(teaser()) for _ in range(k))
     bad = {
         "menu": lambda: r.choice(('<nav data-y="0">{}</nav>', '<div class="menu" data-y="0">{}</div>', '<div id="nav" data-y="0">{}</div>', '<ul class="breadcrumbs" data-y="0">{}</ul>', '<div data-y="0">{}</div>')).format(items(r.randint(3, 8))),
         "head": lambda: r.choice(('<header data-y="0">{}</header>', '<div class="site-header" id="masthead" data-y="0">{}</div>', '<div class="header" data-y="0">{}</div>')).format(f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>" + items(r.randint(0, 4))),
         "foot": lambda: r.choice(('<footer data-y="0">{}</footer>', '<div id="footer" data-y="0">{}</div>', '<div class="copyright" data-y="0">{}</div>')).format(r.choice((f"&copy; {word()}.com &middot; {prose(1, 2)}", f"<p>{prose(1, 3)}</p><p>Copyright 20{r.randint(10, 24)} {words(1, 3)}</p>", items(4) + f"<p>{words(2, 9)}</p>"))),
-        "side": lambda: r.choice(('<aside data-y="0">{}</aside>', '<div class="sidebar" data-y="0">{}</div>', '<div class="related widget" data-y="0">{}</div>', '<section class="recommended" data-y="0">{}</section>')).format(f"<h3>{words(1, 3)}</h3>" + r.choice((items(5), f"<p>{prose(1, 3)}</p>", f"<p>{words(3, 9)}</p>{items(2)}"))),
+        "side": lambda: r.choice(('<aside data-y="0">{}</aside>', '<div class="sidebar" data-y="0">{}</div>', '<div class="related widget" data-y="0">{}</div>', '<section class="recommended" data-y="0">{}</section>')).format(f"<h3>{words(1, 3)}</h3>" + r.choice((items(5), f"<p>{prose(1, 3)}</p>", f"<p>{words(3, 9)}</p>{items(2)}", teasers(r.randint(1, 3))))),
         "ad": lambda: r.choice(('<div class="ad" data-y="0">{}</div>', '<div class="advert banner" data-y="0">{}</div>', '<div id="sponsored-{0}" data-y="0">{0}</div>', '<section class="promo" data-y="0">{}</section>', '<div class="ads" data-y="0">{}</div>')).format(r.choice((prose(1, 3), words(2, 7), f"<p>{prose(1, 2)}</p>"))),
         "note": lambda: r.choice(('<div class="cookie-notice" data-y="0">{}</div>', '<div id="consent" data-y="0">{}</div>', '<div class="notice alert" data-y="0">{}</div>', '<div role="dialog" data-y="0">{}</div>')).format(f"<p>{prose(1, 4)}</p>"),
         "form": lambda: r.choice(('<form data-y="0">{}</form>', '<form class="newsletter" data-y="0"><p>{}</p></form>', '<div class="login subscribe" data-y="0">{}</div>', '<form id="search" data-y="0"><label>{}</label></form>')).format(r.choice((words(1, 6), prose(1, 2))) + ' <input name="q">'),
@@ -273,11 +332,11 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         "share": lambda: r.choice(('<div class="share" data-y="0">{}</div>', '<ul class="social" data-y="0">{}</ul>')).format("".join(f"<li>{link(1, 2)}</li>" for _ in range(3))),
         "hide": lambda: f'<div style="display:none" data-y="0"><p>{prose(1, 3)}</p></div>',
     }
-    wraps = ("<article data-y='1'>{}</article>", "<main data-y='1'>{}</main>", "<div class='content' data-y='1'>{}</div>", "<div class='post' data-y='1'><div class='entry-content'>{}</div></div>", "<div id='article-body' data-y='1'>{}</div>", "<section class='story' data-y='1'>{}</section>", "<div role='main' data-y='1'>{}</div>", "<table><tr><td class='text' data-y='1'>{}</td></tr></table>", "<div data-y='1'>{}</div>", "<main><article data-y='1'>{}</article></main>")
+    wraps = ("<article data-y='1'>{}</article>",) * 4 + ("<article class='post' data-y='1'>{}</article>", "<main data-y='1'>{}</main>", "<div class='content' data-y='1'>{}</div>", "<div class='post' data-y='1'><div class='entry-content'>{}</div></div>", "<div id='article-body' data-y='1'>{}</div>", "<section class='story' data-y='1'>{}</section>", "<div role='main' data-y='1'>{}</div>", "<table><tr><td class='text' data-y='1'>{}</td></tr></table>", "<div data-y='1'>{}</div>", "<main><article data-y='1'>{}</article></main>")
     pages = []
     for _ in range(n):
         para = lambda: r.choice((f"<p>{prose(1, 9)}</p>",) * 6 + (f"<p>{prose(1, 1)[:12]}.</p>", f"<p>{word().capitalize()}.</p>", f"<p><b>{prose(1, 6)}<br>", f"<p>{prose(1, 4)} {link()} {prose(1, 3)}</p>", f"<h2>{words(2, 6)}</h2>", f"<ul><li>{prose(1, 1)}</li><li>{words(3, 9)}</li></ul>", f"<blockquote>{prose(1, 3)}</blockquote>", f"<pre>{words(4, 20)}</pre>", f"<figure><img><figcaption>{words(3, 9)}</figcaption></figure>"))
-        parts = [f"<h1>{words(2, 9)}</h1>", *[para() for _ in range(r.randint(0, 12))]]
+        parts = [f"<h1>{words(2, 9)}</h1>", *[para() for _ in range(r.randint(0, r.choice((3, 12))))]]
         for k in r.sample(("ad", "share", "talk", "side", "form", "note", "hide"), r.randint(0, 3)):
             parts.insert(len(parts) if k == "talk" else r.randint(1, len(parts)), bad[k]())
         before = "".join(bad[k]() for k in r.sample(("menu", "head", "ad", "note", "form"), r.randint(0, 4)))
@@ -286,15 +345,36 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     return pages
 
 
-def labelled(page: str, inside: str | None = None) -> list[Node]:
-    """A page's nodes with labels from data-y, or content where `inside` is an ancestor tag; a box of both is content."""
+BOXES = frozenset("aside nav header footer form".split())
+
+
+def labelled(page: str) -> list[Node]:
+    """A page's nodes with labels from data-y; a box of both kinds is content."""
     nodes = dom(page)
     for x in nodes:
-        said = re.search(r"""data-y=["']([01])""", x.attrs) if not inside else None
+        said = re.search(r"""data-y=["']([01])""", x.attrs)
         x.attrs = re.sub(r"""\s*data-y=["'][01]["']""", "", x.attrs)
-        up = nodes[x.parent].label if x.parent >= 0 else 0
-        x.label = int(said[1]) if said else 1 if inside and x.tag == inside else up
-    for x in reversed(nodes):  # an outer box that holds content leans to content, its own text aside
+        x.label = int(said[1]) if said else nodes[x.parent].label if x.parent >= 0 else 0
+    return _lean(nodes)
+
+
+def weakly_labelled(page: str) -> list[Node] | None:
+    """A page's nodes, content if they are in its one article that lies in no side box; None if there isn't just one."""
+    nodes = dom(page)
+    apart = [False] * len(nodes)
+    for i, x in enumerate(nodes):
+        apart[i] = x.parent >= 0 and (apart[x.parent] or nodes[x.parent].tag == "article") or x.tag in BOXES or x.tag != "#" and any(g != "main" for g in groups(x.attrs))
+        x.label = int(x.tag == "article" and not apart[i])
+    if sum(x.label for x in nodes) != 1:
+        return None
+    for x in nodes[1:]:
+        x.label = x.label or nodes[x.parent].label
+    return _lean(nodes)
+
+
+def _lean(nodes: list[Node]) -> list[Node]:
+    """An outer box that holds content leans to content, its own text aside."""
+    for x in reversed(nodes):
         if x.parent >= 0 and x.label and x.tag != "#":
             nodes[x.parent].label = 1
     return nodes
@@ -305,20 +385,22 @@ def train(pages: list[list[Node]], steps: int = 600) -> Model:
 
     The pair tables hold P(child | parent) over the root of P(child): node weights carry part of how common content is.
     """
-    rows, y = [], []
+    seen: dict[tuple, list[int]] = {}
     pairs = np.full((len(KINDS), 2, 2), 2.0)
     for nodes in pages:
         for i, x in enumerate(nodes):
-            rows.append(features(nodes, i))
-            y.append(x.label)
+            n = seen.setdefault(tuple(features(nodes, i)), [0, 0])
+            n[0] += 1
+            n[1] += x.label
             if i:
                 pairs[kind(x), nodes[x.parent].label, x.label] += 1
-    m = np.zeros((len(rows), len(NAMES)))
-    for i, f in enumerate(rows):
-        m[i, f] = 1
-    y, w, speed = np.array(y, float), np.zeros(len(NAMES)), np.zeros(len(NAMES))
+    m = np.zeros((len(seen), len(NAMES)))
+    for i, f in enumerate(seen):
+        m[i, list(f)] = 1
+    n, y = np.array(list(seen.values()), float).T
+    w, speed = np.zeros(len(NAMES)), np.zeros(len(NAMES))
     for _ in range(steps):
-        g = m.T @ (1 / (1 + np.exp(-m @ w)) - y) / len(y) + 1e-4 * w
+        g = m.T @ (n / (1 + np.exp(-m @ w)) - y) / n.sum() + 1e-4 * w
         speed = 0.9 * speed - 2.0 * g
         w = w + speed
     given = pairs / pairs.sum(2, keepdims=True)
@@ -326,11 +408,21 @@ def train(pages: list[list[Node]], steps: int = 600) -> Model:
     return Model(w, np.log(given / np.sqrt(apart)))
 
 
+#: Of all pages one in HELD never trains, so that extraction can be measured on it.
+HELD = 5
+
+
+def held_out(key: str = "page_id") -> Column:
+    return hash32(F.lit("held"), F.col(key)) % HELD == 0
+
+
 def train_on(pages: DataFrame, most: int = 400) -> Model:
     """A model from the drawn layouts and, as weakly labelled pages, at most `most` rows that mark their article."""
-    near = pages.where("html like '%<article%'").orderBy(hash32("page_id"), "page_id").limit(most).select("html")
-    own = [labelled(r["html"], "article") for r in near.collect()]
-    return train([labelled(p) for p in labelled_pages()] + own)
+    ids = lowest(pages.where("html like '%<article%'").where(~held_out()).select(F.col("page_id").cast("long").alias("page_id")), most)
+    # at most `most` ids, so safe to broadcast; of rows that repeat one, one is taken
+    near = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(F.broadcast(ids), "page_id", "left_semi").where("html like '%<article%'")
+    own = [weakly_labelled(r["html"]) for r in near.groupBy("page_id").agg(F.max("html").alias("html")).orderBy("page_id").select("html").collect()]
+    return train([labelled(p) for p in labelled_pages()] + [x for x in own if x])
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
