@@ -17,6 +17,8 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 SQL = {
+    "op5_sharding": sharding.sql(),
     "op6_mixing": mixing.SQL.replace("{docs}", "documents"),
+    "op9_near_dedup": near.SQL,
     "op10_warc": warc.SQL,
 }

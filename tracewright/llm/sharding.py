@@ -61,6 +61,16 @@ def write_shards(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -
     placed.write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return place(docs, "doc_id", [f"shard-{i:02d}" for i in range(64)])
+    return place(docs, "doc_id", SHARDS)
+
+
+def sql() -> str:
+    """The placement in SQL; the table is written out as two digits a slot."""
+    digits = "".join(f"{i:02d}" for i in lookup_table(SHARDS).tolist())
+    slot = "CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {n} AS INTEGER)".format(n=SLOTS)
+    return f"SELECT doc_id, source, slot, 'shard-' || substr('{digits}', 2 * slot + 1, 2) AS shard FROM (SELECT doc_id, source, {slot} AS slot FROM documents) d"
