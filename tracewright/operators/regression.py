@@ -19,6 +19,8 @@ from .terms import Term, design
 
 #: Rows of one elementary piece; a longer block is several pieces.
 PIECE = 4096
+#: Candidates of a series that meet its factors in one group.
+SLICE = 4096
 SENTINEL = 1e6
 INF = float("inf")
 #: Elementary blocks cut at these parts of a series; every fit and holdout set of the four splits is a union of them.
@@ -67,10 +69,12 @@ FACTORS = "traj_id long, block int, first int, last int, n int, plain array<doub
 def block_factors(rows: DataFrame, p: int, dim: int) -> DataFrame:
     """Factors per (series, elementary block, piece). rows: traj_id, seq, phi, d, w, rich (arrays; w and rich per equation).
 
-    Groups hold at most PIECE rows, so a hot series is spread over tasks; what moves on does not depend on its length.
+    Groups hold at most PIECE rows and lengths come from a grouped count, so a hot series is spread over tasks; what moves
+    on does not depend on its length. rows may bring the series' length as __n.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("traj_id"))
-    keyed = rows.withColumn("__n", n).withColumns({"block": block_of(F.col("seq"), F.col("__n")).cast("int"), "__piece": F.floor(F.col("seq") / PIECE)})
+    if "__n" not in rows.columns:
+        rows = rows.join(rows.groupBy("traj_id").agg(F.count(F.lit(1)).alias("__n")), "traj_id")
+    keyed = rows.withColumns({"block": block_of(F.col("seq"), F.col("__n")).cast("int"), "__piece": F.floor(F.col("seq") / PIECE)})
     keyed = keyed.select("traj_id", "block", "__piece", "seq", "phi", "d", "w", "rich")
     return keyed.groupBy("traj_id", "__piece").applyInPandas(_pack(p, dim), FACTORS)
 
@@ -186,41 +190,65 @@ def warm_start(coefs: DataFrame, limit: float = 1e6) -> DataFrame:
     return coefs.withColumn("coef", F.when(F.coalesce(ok, F.lit(False)), F.col("coef")).otherwise(0.0))
 
 
-def screen(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_limit: float = 1e6) -> DataFrame:
-    """cand_id, traj_id, eq, n, n_params, residual, valid, reasons for candidates (cand_id, traj_id, structure).
+def solve_many(r: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum-norm coefficients, mean squared residuals) of the column sets cols (sets x k) against columns y, at once."""
+    a, b = r[:, cols].transpose(1, 0, 2), r[:, y].T
+    if not cols.shape[1]:
+        return np.zeros((len(y), 0)), (b * b).sum(1) / n
+    u, s, v = np.linalg.svd(a, full_matrices=False)
+    small = s <= np.finfo(float).eps * max(a.shape[1:]) * s[:, :1]
+    c = np.einsum("mkj,mk->mj", v, np.einsum("mik,mi->mk", u, b) * np.where(small, 0, 1 / np.where(small, 1, s)))
+    e = np.einsum("mik,mk->mi", a, c) - b
+    return c, (e * e).sum(1) / n
+
+
+def screen_sets(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_limit: float = 1e6, most: int | None = None) -> DataFrame:
+    """traj_id, cand_id, structure, n, and by equation n_params, residuals, reasons of candidates (cand_id, traj_id, structure).
 
-    structure holds the term numbers of each equation. A candidate costs a small solve on its series' factor; series meet
-    their candidates in one cogroup by traj_id, hot series' candidates in slices of 4096.
+    structure holds the term numbers of each equation. All term sets of one size are solved at once on their series'
+    factor, equal ones once. Series meet their candidates in one cogroup by traj_id, in slices of SLICE candidates; with
+    most, a known bound on the candidates of a series that is no larger, there is one slice.
     """
-    slices = candidates.withColumn("__slice", F.floor(F.row_number().over(Window.partitionBy("traj_id").orderBy("cand_id")) / 4096))
-    wanted = candidates.groupBy("traj_id").agg(F.floor(F.count(F.lit(1)) / 4096).alias("__most"))
-    dealt = factors.join(wanted, "traj_id").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__most")))).drop("__most")
+    if most is not None and most <= SLICE:
+        slices, dealt = candidates.withColumn("__slice", F.lit(0)), factors.withColumn("__part", F.lit(0))
+    else:
+        slices = candidates.withColumn("__slice", F.floor(F.row_number().over(Window.partitionBy("traj_id").orderBy("cand_id")) / SLICE))
+        wanted = candidates.groupBy("traj_id").agg(F.floor(F.count(F.lit(1)) / SLICE).alias("__most"))
+        dealt = factors.join(wanted, "traj_id").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__most")))).drop("__most")
+    slices = slices.select("traj_id", "__slice", "cand_id", "structure")
 
     def run(key: tuple, cand: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        names = ["cand_id", "traj_id", "eq", "n", "n_params", "residual", "valid", "reasons"]
+        names = ["traj_id", "cand_id", "structure", "n", "n_params", "residuals", "reasons"]
         if not len(cand) or not len(g):
             return pd.DataFrame(columns=names)
-        s, out = Stack(g, p, dim), []
+        s = Stack(g, p, dim)
         r = s.plain_of(np.arange(len(s.count)))
-        for cid, structure in zip(cand["cand_id"], cand["structure"], strict=True):
-            for e in range(dim):
-                cols = [t - 1 for t in structure[e]] if e < len(structure) else []
-                why = []
-                c = solve(r[:, cols], r[:, p + e])
-                if not np.isfinite(c).all():
-                    why.append("non_finite_coefficients")
-                elif np.linalg.norm(c) > norm_limit:
-                    why.append("norm_limit")
-                mse = residual(r, cols, p + e, c, s.n)
-                if not np.isfinite(mse):
-                    why.append("non_finite_residual")
-                out.append((cid, int(key[0]), e + 1, s.n, len(cols), mse if not why else np.inf, not why, ";".join(why)))
-        return pd.DataFrame(out, columns=names)
-
-    schema = "cand_id long, traj_id long, eq int, n int, n_params int, residual double, valid boolean, reasons string"
+        asked = [[(e, *[t - 1 for t in x[e]]) if e < len(x) else (e,) for e in range(dim)] for x in cand["structure"]]
+        found, sizes = {}, {}
+        for k in {k for row in asked for k in row} if np.isfinite(r).all() else ():
+            sizes.setdefault(len(k) - 1, []).append(k)
+        for k, sets in sorted(sizes.items()):
+            c, mse = solve_many(r, np.array([x[1:] for x in sets], int).reshape(-1, k), np.array([p + x[0] for x in sets]), s.n)
+            for x, v, m in zip(sets, c, mse.tolist(), strict=True):
+                norm = np.linalg.norm(v)
+                why = ["non_finite_coefficients"] if not np.isfinite(norm) else ["norm_limit"] if norm > norm_limit else []
+                why += [] if np.isfinite(m) else ["non_finite_residual"]
+                found[x] = (np.inf if why else m, ";".join(why))
+        lost = (np.inf, "non_finite_coefficients;non_finite_residual")
+        rows = [[found.get(x, lost) for x in row] for row in asked]
+        return pd.DataFrame({"traj_id": int(key[0]), "cand_id": cand["cand_id"].to_numpy(), "structure": cand["structure"], "n": s.n, "n_params": [[len(x) - 1 for x in row] for row in asked], "residuals": [[m for m, _ in row] for row in rows], "reasons": [[w for _, w in row] for row in rows]})
+
+    schema = "traj_id long, cand_id long, structure array<array<int>>, n int, n_params array<int>, residuals array<double>, reasons array<string>"
     return slices.groupBy("traj_id", "__slice").cogroup(dealt.groupBy("traj_id", "__part")).applyInPandas(run, schema)
 
 
+def screen(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_limit: float = 1e6) -> DataFrame:
+    """cand_id, traj_id, eq, n, n_params, residual, valid, reasons for candidates (cand_id, traj_id, structure)."""
+    per = F.posexplode(F.arrays_zip("n_params", "residuals", "reasons")).alias("at", "x")
+    rows = screen_sets(candidates, factors, p, dim, norm_limit).select("cand_id", "traj_id", "n", per)
+    return rows.select("cand_id", "traj_id", (F.col("at") + 1).alias("eq"), "n", F.col("x.n_params").alias("n_params"), F.col("x.residuals").alias("residual"), (F.col("x.reasons") == "").alias("valid"), F.col("x.reasons").alias("reasons"))
+
+
 def pool(screened: DataFrame) -> DataFrame:
     """One row per candidate: mean residual over equations (Infinity if any is invalid), parameters, distinct reasons."""
     ok = F.bool_and("valid")

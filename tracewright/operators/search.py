@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracewright.sources.scratch import cut
 
 from . import regression as R
-from .terms import Term, terms_table
+from .terms import Term, open_terms
 
 INF = float("inf")
 
@@ -37,13 +37,19 @@ class SearchPolicy:
     plateau_relative: bool = False
     min_per_stage: int = 1
     coherent: bool = True
+    #: Stages belong to each equation of a series ("equation") or to the series as a whole ("series").
+    progress: str = "equation"
+    #: Children that enter selection per series and level, gated against their parents first (None: all of them).
+    screen_k: int | None = None
+    gate_alpha: float = 0.05
     seed: int = 0
 
 
 def draw(n: Column, seed: int, *keys: Column | str) -> Column:
-    """Whole number from 0 to n - 1."""
+    """Whole number from 0 to n - 1, from the md5 of the keys' text: the same in any SQL engine."""
     cols = [F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]]
-    return F.pmod(F.xxhash64(*cols), F.greatest(n.cast("long"), F.lit(1).cast("long"))).cast("int")
+    text = F.concat_ws(":", *[c.cast("string") for c in cols])
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.greatest(n.cast("long"), F.lit(1).cast("long"))).cast("int")
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -79,6 +85,11 @@ def expand(parents: DataFrame, allowed: DataFrame, current: DataFrame | None, po
         raise ValueError(f"unknown growth {mode!r}")
     rows = parents.join(allowed.withColumnRenamed("terms", "allowed"), "traj_id")
     rows = rows.join(current.withColumnRenamed("terms", "current"), "traj_id") if current is not None else rows.withColumn("current", F.transform("allowed", lambda x: F.array().cast("array<int>")))
+    return _children(rows, policy, level, mode).select("traj_id", F.col("cand_id").alias("parent_id"), "child", F.col("grown").alias("structure"))
+
+
+def _children(rows: DataFrame, policy: SearchPolicy, level: int, mode: str) -> DataFrame:
+    """rows (traj_id, cand_id, structure, allowed, current) times children, with child (from 1) and grown."""
     rows = rows.withColumn("child", F.explode(F.sequence(F.lit(1), F.lit(policy.children))))
     key = (F.lit(level), "traj_id", "cand_id", "child")
     room = lambda s: F.size(s) < policy.max_terms
@@ -89,12 +100,13 @@ def expand(parents: DataFrame, allowed: DataFrame, current: DataFrame | None, po
     forced = F.lit(mode == "hard") if mode != "soft" else uniform(policy.seed, *key, F.lit("mode")) < policy.hard_p
     rows = rows.withColumn("is_hard", forced & (F.size("hard_eqs") > 0))
     any_eq = draw(F.size("structure"), policy.seed, *key, F.lit("eq"))
-    calm = F.coalesce(pick(F.col("growable"), policy.seed, *key, F.lit("eq")), any_eq) if mode == "soft" else any_eq
+    # without any term of a current stage growth is passive
+    calm = F.when(F.exists("current", lambda t: F.size(t) > 0), F.coalesce(pick(F.col("growable"), policy.seed, *key, F.lit("eq")), any_eq)).otherwise(any_eq) if mode == "soft" else any_eq
     rows = rows.withColumn("eq", F.when(F.col("is_hard"), pick(F.col("hard_eqs"), policy.seed, *key, F.lit("hard"))).otherwise(calm))
     options = F.when(F.col("is_hard"), free(F.col("current"), F.col("eq"))).otherwise(free(F.col("allowed"), F.col("eq")))
     term = F.when(room(F.element_at("structure", F.col("eq") + 1)), pick(F.col("options"), policy.seed, *key, F.lit("term")))
     rows = rows.withColumn("options", options).withColumn("term", term)
-    return rows.select("traj_id", F.col("cand_id").alias("parent_id"), "child", _grow(F.col("structure"), F.col("term"), F.col("eq")).alias("structure"))
+    return rows.withColumn("grown", _grow(F.col("structure"), F.col("term"), F.col("eq")))
 
 
 def score(residual: Column, n: Column, p: Column, valid: Column, mode: str = "residual", eps: float = 2.220446049250313e-16) -> Column:
@@ -225,18 +237,35 @@ def should_stop(history: DataFrame, policy: SearchPolicy) -> DataFrame:
     return history.withColumn("reason", reason).withColumn("stop", ~F.col("reason").isin("min_levels", "continue"))
 
 
-def stage_progression(history: DataFrame, policy: SearchPolicy, top: int) -> DataFrame:
-    """history (traj_id, level, stage, best, loss) with action (stop, stay, promote) and reason; plateaus are per stage."""
-    w = Window.partitionBy("traj_id", "stage").orderBy("level")
-    old, n = F.lag("best", policy.window).over(w), F.row_number().over(w)
-    h = history.withColumns({"__old": old, "__n": n})
-    flat = F.col("__old").isNotNull() & _plateau(F.col("best"), F.col("__old"), policy)
+def _progress(level: Column, loss: Column, n: Column, best: Column, old: Column, stage: Column, top: int | Column, policy: SearchPolicy) -> tuple[Column, Column]:
+    """(reason, action) of a series whose stage has n levels, the last of them `best`, and `old` a window before (or null)."""
+    flat = old.isNotNull() & _plateau(best, old, policy)
     reason = (
-        F.when(F.col("level") >= policy.max_levels, "max_levels").when(F.col("loss") < policy.loss_tol, "loss_tol").when(F.col("__n") < policy.min_per_stage, "stage_budget")
-        .when(F.col("__old").isNull(), "insufficient_history").when(flat, _why(policy)).otherwise("continue")
+        F.when(level >= policy.max_levels, "max_levels").when(loss < policy.loss_tol, "loss_tol").when(n < policy.min_per_stage, "stage_budget")
+        .when(old.isNull(), "insufficient_history").when(flat, _why(policy)).otherwise("continue")
     )
-    action = F.when(F.col("reason").isin("max_levels", "loss_tol"), "stop").when(F.col("reason") == _why(policy), F.when(F.col("stage") < top, "promote").otherwise("stop")).otherwise("stay")
-    return h.withColumn("reason", reason).withColumn("action", action).drop("__old", "__n")
+    return reason, F.when(reason.isin("max_levels", "loss_tol"), "stop").when(reason == _why(policy), F.when(stage < top, "promote").otherwise("stop")).otherwise("stay")
+
+
+def stage_progression(history: DataFrame, policy: SearchPolicy, top: int | Column) -> DataFrame:
+    """history (traj_id, level, stage, best, loss) with action (stop, stay, promote) and reason; plateaus are per stage.
+
+    top is the last stage, a number or a column.
+    """
+    w = Window.partitionBy("traj_id", "stage").orderBy("level")
+    h = history.withColumns({"__old": F.lag("best", policy.window).over(w), "__n": F.row_number().over(w)})
+    reason, action = _progress(F.col("level"), F.col("loss"), F.col("__n"), F.col("best"), F.col("__old"), F.col("stage"), top, policy)
+    return h.withColumns({"reason": reason, "action": action}).drop("__old", "__n")
+
+
+def _limit(stage: Column, cap: Column, top: int) -> Column:
+    """The last stage that an equation may reach: its cap, but not less than where it stands."""
+    return F.when(cap.isNull(), F.lit(top)).otherwise(F.greatest(cap, stage))
+
+
+def _may_promote(flat: Column, n: Column, residual: Column, stage: Column, cap: Column, policy: SearchPolicy, top: int) -> Column:
+    """Flat, after n levels of its stage that are enough, above loss_tol and below its limit."""
+    return flat & (n >= max(policy.min_per_stage, policy.window + 1)) & (residual > policy.loss_tol) & (stage < _limit(stage, cap, top))
 
 
 def promote_equations(history: DataFrame, policy: SearchPolicy, top: int) -> DataFrame:
@@ -245,9 +274,8 @@ def promote_equations(history: DataFrame, policy: SearchPolicy, top: int) -> Dat
     w = Window.partitionBy("traj_id", "eq", "stage").orderBy("level")
     frame = w.rowsBetween(-(policy.window - 1), 0)
     flat = (F.count("residual").over(frame) >= policy.window) & (F.max("residual").over(frame) - F.min("residual").over(frame) < policy.plateau_tol)
-    limit = F.when(F.col("cap").isNull(), F.lit(top)).otherwise(F.greatest(F.col("cap"), F.col("stage")))
-    enough = F.row_number().over(w) >= max(policy.min_per_stage, policy.window + 1)
-    return history.withColumns({"plateaued": flat, "promote": flat & enough & (F.col("residual") > policy.loss_tol) & (F.col("stage") < limit)})
+    h = history.withColumns({"plateaued": flat, "__n": F.row_number().over(w)})
+    return h.withColumn("promote", _may_promote(F.col("plateaued"), F.col("__n"), F.col("residual"), F.col("stage"), F.col("cap"), policy, top)).drop("__n")
 
 
 def apply_promotion(promotions: DataFrame) -> DataFrame:
@@ -258,12 +286,15 @@ def apply_promotion(promotions: DataFrame) -> DataFrame:
     return p.withColumn("in_stage", F.row_number().over(Window.partitionBy("traj_id", "eq", "stage").orderBy("level"))).withColumn("promoted_at", F.when(F.col("promote"), F.col("level")))
 
 
+def _ending(level: Column, loss: Column, done: Column, policy: SearchPolicy) -> Column:
+    """Why a series with stages by equation ends, or min_levels or continue; done: all equations flat at their limits."""
+    return F.when(level >= policy.max_levels, "max_levels").when(level < policy.min_levels, "min_levels").when(loss < policy.loss_tol, "loss_tol").when(done, "all_equations_max_stage_plateau").otherwise("continue")
+
+
 def terminate_v3(rows: DataFrame, policy: SearchPolicy, top: int) -> DataFrame:
     """Per series and level: reason and stop. rows: traj_id, level, loss, eq, stage, cap, plateaued."""
-    limit = F.when(F.col("cap").isNull(), F.lit(top)).otherwise(F.greatest(F.col("cap"), F.col("stage")))
-    g = rows.groupBy("traj_id", "level").agg(F.max("loss").alias("loss"), F.bool_and((F.col("stage") >= limit) & F.col("plateaued")).alias("done"))
-    reason = F.when(F.col("level") >= policy.max_levels, "max_levels").when(F.col("level") < policy.min_levels, "min_levels").when(F.col("loss") < policy.loss_tol, "loss_tol").when(F.col("done"), "all_equations_max_stage_plateau").otherwise("continue")
-    return g.select("traj_id", "level", reason.alias("reason")).withColumn("stop", ~F.col("reason").isin("min_levels", "continue"))
+    g = rows.groupBy("traj_id", "level").agg(F.max("loss").alias("loss"), F.bool_and((F.col("stage") >= _limit(F.col("stage"), F.col("cap"), top)) & F.col("plateaued")).alias("done"))
+    return g.select("traj_id", "level", _ending(F.col("level"), F.col("loss"), F.col("done"), policy).alias("reason")).withColumn("stop", ~F.col("reason").isin("min_levels", "continue"))
 
 
 def overshoot(stage: Column, expected: Column) -> Column:
@@ -324,66 +355,159 @@ def gp_generation(pop: DataFrame, n_terms: int, seed: int, level: int, elite: in
     return slots.where(F.col("slot") < elite).select("traj_id", F.col("slot").cast("long").alias("cand_id"), F.col("own").alias("structure"), F.lit(True).alias("is_elite")).unionByName(made)
 
 
-def _lists(series: DataFrame, terms: DataFrame, dim: int, stage: int | None, exact: bool = False, caps: DataFrame | None = None) -> DataFrame:
-    """traj_id, terms: per equation the sorted terms up to (or at) the stage, limited by caps."""
-    keep = terms.where(F.col("stage") == stage) if exact else terms.where(F.col("stage") <= stage)
-    eqs = series.select("traj_id", F.explode(F.array(*[F.lit(e + 1) for e in range(dim)])).alias("eq"))
-    eqs = eqs.join(caps, ["traj_id", "eq"], "left") if caps is not None else eqs.withColumn("cap", F.lit(None).cast("int"))
-    rows = eqs.join(F.broadcast(keep.select(F.col("term"), F.col("stage").alias("ts"))), F.col("cap").isNull() | (F.col("ts") <= F.greatest(F.col("cap"), F.lit(1))), "left")
-    per = rows.groupBy("traj_id", "eq").agg(F.array_sort(F.collect_list("term")).alias("t"))
-    return per.groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("eq", "t"))).alias("x")).select("traj_id", F.col("x.t").alias("terms"))
+def scored(cands: DataFrame, factors: DataFrame, p: int, dim: int, most: int | None = None) -> DataFrame:
+    """traj_id, cand_id, structure, n, n_params, residuals by equation, valid and loss: their mean, Infinity if one is invalid."""
+    rows = R.screen_sets(cands, factors, p, dim, most=most)
+    total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
+    rows = rows.withColumn("valid", F.forall("reasons", lambda w: w == ""))
+    loss = F.when(F.col("valid"), total("residuals", 0.0) / dim).otherwise(F.lit(INF))
+    return rows.select("traj_id", "cand_id", "structure", "n", total("n_params", 0).alias("n_params"), "residuals", "valid", loss.alias("loss"))
+
+
+def screened(kids: DataFrame, parents: DataFrame, policy: SearchPolicy) -> DataFrame:
+    """The screen_k children (with parent_id) of each series that selection goes on with: those that pass the nested F gate
+    against their parents first, then by screening score."""
+    up = parents.select("traj_id", F.col("cand_id").alias("parent_id"), F.col("n_params").alias("p_parent"), F.col("loss").alias("r_parent"))
+    pairs = kids.join(up, ["traj_id", "parent_id"]).withColumns({"p_child": F.col("n_params"), "r_child": F.col("loss")})
+    rows = nested_f_gate(pairs, policy.gate_alpha).withColumns({"incumbent": F.lit(False), "score": score(F.col("loss"), F.col("n"), F.col("n_params"), F.col("valid"))})
+    return select_topk(rows, policy.screen_k, gate=True).select(kids.columns)
+
+
+#: What a series carries from level to level: stages and caps by equation; levels and last residuals of each equation's
+#: stage; stage, levels and last objectives of the series as a whole.
+STATE = ("stages", "caps", "in_stage", "recent", "stage", "stage_levels", "bests")
+
+
+def _start(series: DataFrame, dim: int, top: int, stage_caps: DataFrame | None) -> DataFrame:
+    """traj_id and the state before the first level."""
+    each = lambda x: F.array(*[x] * dim)
+    caps = each(F.lit(None).cast("int"))
+    rows = series
+    if stage_caps is not None:
+        by_eq = stage_caps.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("eq", F.greatest(F.lit(1), F.least(F.col("cap"), F.lit(top))).alias("cap")))).alias("m"))  # dim entries
+        rows = series.join(by_eq, "traj_id", "left")
+        caps = F.when(F.col("m").isNull(), caps).otherwise(F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda e: F.element_at("m", e)))
+    none = F.array().cast("array<double>")
+    return rows.select("traj_id", each(F.lit(1)).alias("stages"), caps.alias("caps"), each(F.lit(0)).alias("in_stage"), each(none).alias("recent"), F.lit(1).alias("stage"), F.lit(0).alias("stage_levels"), none.alias("bests"))
+
+
+def _tail(values: Column, x: Column, n: int) -> Column:
+    """The last n of values and x."""
+    grown = F.array_append(values, x)
+    return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - n + 1), F.lit(n))
+
+
+def _by_equation(rows: DataFrame, level: int, policy: SearchPolicy, top: int) -> DataFrame:
+    """rows (state, top_loss, top_residuals) with reason, promoted and the next state: every equation has its own stage."""
+    x = F.zip_with("recent", "top_residuals", lambda v, r: _tail(v, r, policy.window))
+    rows = rows.withColumns({"recent": x, "in_stage": F.transform("in_stage", lambda n: n + 1)})
+    rows = rows.withColumn("flat", F.transform("recent", lambda v: (F.size(v) >= policy.window) & (F.array_max(v) - F.array_min(v) < policy.plateau_tol)))
+    eqs = F.arrays_zip("stages", "caps", "in_stage", "flat", "top_residuals")
+    done = F.forall(eqs, lambda e: (e["stages"] >= _limit(e["stages"], e["caps"], top)) & e["flat"])
+    rows = rows.withColumn("reason", _ending(F.lit(level), F.col("top_loss"), done, policy))
+    go = F.transform(eqs, lambda e: _may_promote(e["flat"], e["in_stage"], e["top_residuals"], e["stages"], e["caps"], policy, top) & F.col("reason").isin("min_levels", "continue"))
+    return rows.withColumn("up", go).withColumns({
+        "stages": F.zip_with("stages", "up", lambda s, u: s + u.cast("int")), "in_stage": F.zip_with("in_stage", "up", lambda n, u: F.when(u, 0).otherwise(n)),
+        "recent": F.zip_with("recent", "up", lambda v, u: F.when(u, F.array().cast("array<double>")).otherwise(v)),
+    })
+
+
+def _by_series(rows: DataFrame, level: int, policy: SearchPolicy, top: int) -> DataFrame:
+    """The same for stages of whole series: an equation's stage stays at its cap, and the last stage is the largest cap."""
+    most = F.array_max(F.transform("caps", lambda c: F.coalesce(c, F.lit(top))))
+    rows = rows.withColumns({"bests": _tail(F.col("bests"), F.col("best"), policy.window + 1), "stage_levels": F.col("stage_levels") + 1})
+    old = F.when(F.size("bests") > policy.window, F.element_at("bests", 1))
+    reason, action = _progress(F.lit(level), F.col("top_loss"), F.col("stage_levels"), F.col("best"), old, F.col("stage"), most, policy)
+    rows = rows.withColumns({"reason": reason, "up": action == "promote", "ends": action == "stop"})
+    stage = F.col("stage") + F.col("up").cast("int")
+    return rows.withColumns({
+        "reason": F.when(F.col("up"), "continue").otherwise(F.when(~F.col("ends") & (F.col("reason") == _why(policy)), "continue").otherwise(F.col("reason"))),
+        "stages": F.transform("caps", lambda c: F.least(stage, F.coalesce(c, F.lit(top)))), "bests": F.when(F.col("up"), F.array().cast("array<double>")).otherwise(F.col("bests")),
+        "stage_levels": F.when(F.col("up"), 0).otherwise(F.col("stage_levels")), "stage": stage, "up": F.transform("caps", lambda c: F.col("up")),
+    })
 
 
 def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), stage_caps: DataFrame | None = None, on_level: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(best, log): the best structure of every series, and one row per series and level.
 
-    A level: expand all populations, score the children on the block factors, keep the best, write the level. Stages
-    unlock one per plateau of the slowest rule, in step for all series of a run; finished series leave the loop. Each level
-    reads the previous level's table, so lineage stays one level deep. With stage_caps (traj_id, eq, cap) equations never
-    take terms above their cap; terms that are there are never removed. on_level sees each level's population.
+    A level is one job over all running series: expand their populations, score the children on the block factors, screen
+    them, keep the best, decide. Every series carries its own state: each equation has its own stage (or, with progress
+    "series", all share one) and unlocks the next when its residuals are flat, so a series' result doesn't depend on which
+    others are there. What an equation may take follows from all stages of its series (open_terms). With stage_caps
+    (traj_id, eq, cap) no equation unlocks stages above its cap; terms that are there are never removed. Series that stop
+    leave the loop. A level reads the table of the one before, so lineage stays one level deep. on_level sees each level's
+    population.
+    best: traj_id, structure, loss, objective, n_params, stages, levels, reason. log: traj_id, level, stages (during the
+    level), best, loss, residuals, promoted, reason, stop.
     """
-    spark, p = factors.sparkSession, len(basis)
-    terms, top = terms_table(spark, basis), max(t.stage for t in basis)
+    if policy.progress not in ("equation", "series"):
+        raise ValueError(f"unknown progress {policy.progress!r}")
+    p, top = len(basis), max(t.stage for t in basis)
+    decide = _by_equation if policy.progress == "equation" else _by_series
+    allowed, own = open_terms(basis, policy.coherent), F.array(*[F.array(*[F.lit(t.idx) for t in basis if t.stage == s]).cast("array<int>") for s in range(1, top + 1)])
+    # an equation's current terms are those of its own stage, unless they are all that it has
+    current = F.zip_with("allowed", "stages", lambda a, s: F.when(F.size(F.array_except(a, F.element_at(own, s))) == 0, F.array().cast("array<int>")).otherwise(F.array_intersect(a, F.element_at(own, s))))
+    columns = ("traj_id", "cand_id", "structure", "n_params", "loss", "residuals")
+    ranked = Window.partitionBy("traj_id").orderBy("objective", "is_child", "cand_id")
+
+    def ranks(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("objective", F.col("loss") + policy.penalty * F.col("n_params")).withColumn("rn", F.row_number().over(ranked))
+        return rows.where(F.col("rn") <= policy.pop_size).drop("is_child")
+
+    state = cut(_start(factors.select("traj_id").distinct(), dim, top, stage_caps), "state")
+    first = init_population(state.select("traj_id", allowed.alias("terms")), policy.pop_size, policy.seed)
+    pop = cut(ranks(scored(first, factors, p, dim, policy.pop_size).select(*columns, F.lit(0).alias("is_child"))), "population")
+    levels = []
+    for level in range(1, policy.max_levels + 1):
+        lists = state.withColumn("allowed", allowed).withColumn("current", current)
+        kids = _children(pop.select("traj_id", "cand_id", "structure").join(lists, "traj_id"), policy, level, policy.growth)
+        # ids: level, then place among the series' children
+        number = F.lit(level * 1_000_000).cast("long") + F.row_number().over(Window.partitionBy("traj_id").orderBy("parent_id", "child"))
+        kids = kids.select("traj_id", F.col("cand_id").alias("parent_id"), "child", F.col("grown").alias("structure")).withColumn("cand_id", number)
+        new = scored(kids, factors, p, dim, policy.pop_size * policy.children)
+        if policy.screen_k is not None:
+            new = screened(new.join(kids.select("traj_id", "cand_id", "parent_id"), ["traj_id", "cand_id"]), pop, policy)
+        both = pop.select(*columns, F.lit(0).alias("is_child")).unionByName(new.select(*columns, F.lit(1).alias("is_child")))
+        rows = ranks(both).withColumn("t", F.first(F.struct("objective", "loss", "residuals")).over(Window.partitionBy("traj_id").orderBy("rn")))
+        rows = rows.withColumns({"best": F.col("t.objective"), "top_loss": F.col("t.loss"), "top_residuals": F.col("t.residuals")}).join(state.withColumn("during", F.col("stages")), "traj_id")
+        rows = decide(rows, level, policy, top).withColumn("stop", ~F.col("reason").isin("min_levels", "continue", "stage_budget", "insufficient_history"))
+        promoted = F.filter(F.sequence(F.lit(1), F.size("up")), lambda e: F.element_at("up", e))
+        pop = cut(rows.select(*columns, "objective", "rn", *STATE, "during", "best", "top_loss", "top_residuals", promoted.alias("promoted"), "reason", "stop"), "population")
+        levels.append(pop.where("rn = 1").withColumn("level", F.lit(level)))
+        if on_level:
+            on_level(pop, level)
+        pop = pop.where("not stop")
+        state = pop.where("rn = 1").select("traj_id", *STATE)
+        if level == policy.max_levels or state.isEmpty():
+            break
+    whole = levels[0]
+    for x in levels[1:]:
+        whole = whole.unionByName(x)
+    log = whole.select("traj_id", "level", F.col("during").alias("stages"), "best", F.col("top_loss").alias("loss"), F.col("top_residuals").alias("residuals"), "promoted", "reason", "stop")
+    return whole.where("stop").select("traj_id", "structure", "loss", "objective", "n_params", F.col("during").alias("stages"), F.col("level").alias("levels"), "reason"), log
+
+
+def gp_search(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), elite: int = 1, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(best, log) of the evolutionary baseline: max_levels generations over the full library, or until should_stop."""
+    p, ids = len(basis), [t.idx for t in basis]
+    every = F.array(*[F.array(*[F.lit(i) for i in ids]) for _ in range(dim)])
     series = cut(factors.select("traj_id").distinct(), "series")
 
-    def scored(cands: DataFrame) -> DataFrame:
-        s = R.pool(R.screen(cands.select("cand_id", "traj_id", "structure"), factors.join(series, "traj_id", "left_semi"), p, dim))
-        return cands.join(s.select("traj_id", "cand_id", "n_params", F.col("residual").alias("loss")), ["traj_id", "cand_id"])
+    def with_objective(rows: DataFrame) -> DataFrame:
+        return cut(scored(rows, factors, p, dim, policy.pop_size).select("traj_id", "cand_id", "structure", "n_params", "loss", (F.col("loss") + policy.penalty * F.col("n_params")).alias("objective")), "population")
 
-    stage = 1
-    pop = scored(init_population(_lists(series, terms, dim, 1, caps=stage_caps), policy.pop_size, policy.seed))
-    pop = cut(select_population(pop.limit(0), pop, policy.pop_size, policy.penalty).drop("rn", "is_child"), "population")
-    done, logs = None, []
+    pop = with_objective(init_population(series.select("traj_id", every.alias("terms")), policy.pop_size, policy.seed))
+    best, log, done = None, None, None
     for level in range(1, policy.max_levels + 1):
-        current = _lists(series, terms, dim, stage, exact=True, caps=stage_caps)
-        kids = expand(pop.drop("objective", "loss", "n_params"), _lists(series, terms, dim, stage, caps=stage_caps), current if stage > 1 else None, policy, level)
-        # ids: level, then rank within the series
-        rn = F.row_number().over(Window.partitionBy("traj_id").orderBy("parent_id", "child"))
-        kids = cut(scored(kids.select("traj_id", (F.lit(level * 1_000_000).cast("long") + rn).alias("cand_id"), "structure")), "children")
-        pop = cut(select_population(pop.drop("objective"), kids, policy.pop_size, policy.penalty).drop("rn", "is_child"), "population")
-        if on_level:
-            on_level(pop, level)
-        best = pop.groupBy("traj_id").agg(F.min("objective").alias("best"), F.min("loss").alias("loss"))
-        logs.append(cut(best.select("traj_id", F.lit(level).alias("level"), F.lit(stage).alias("stage"), "best", "loss"), "level"))
-        log = logs[0]
-        for x in logs[1:]:
-            log = log.unionByName(x)
-        last = should_stop(log, policy).where(F.col("level") == level)
-        n = last.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").startswith("plateau")).alias("flat"), F.count_if(F.col("reason") == "loss_tol").alias("good")).first()
-        finished = last.where(F.col("reason") == "loss_tol") if stage < top else last.where("stop")
-        if level == policy.max_levels or n["n"] == 0:
+        pop = with_objective(gp_generation(pop, p, policy.seed, level, elite, k, policy.max_terms).drop("is_elite"))
+        top = pop.groupBy("traj_id").agg(F.min(F.struct("objective", "cand_id", "structure", "loss", "n_params")).alias("b"))
+        rows = top.select("traj_id", F.lit(level).alias("level"), F.col("b.objective").alias("best"), F.col("b.loss").alias("loss"), F.col("b.structure").alias("structure"), F.col("b.n_params").alias("n_params"))
+        log = cut(rows if log is None else log.unionByName(rows), "generations")
+        now = cut(should_stop(log, policy).where(F.col("level") == level), "generation")
+        gone = now.where("stop").select("traj_id", "structure", "loss", F.col("best").alias("objective"), "n_params", F.col("level").alias("levels"), "reason")
+        done = gone if done is None else done.unionByName(gone)
+        on = now.where("not stop").select("traj_id")
+        if level == policy.max_levels or on.isEmpty():
             break
-        if (n["good"] if stage < top else n["good"] + n["flat"]):
-            gone = cut(finished.select("traj_id"), "finished")
-            part = pop.join(gone, "traj_id", "left_semi")
-            done = part if done is None else done.unionByName(part)
-            pop = cut(pop.join(gone, "traj_id", "left_anti"), "population")
-            series = cut(series.join(gone, "traj_id", "left_anti"), "series")
-            if series.isEmpty():
-                break
-        # the stage moves on once half of the running series are flat
-        if stage < top and 2 * n["flat"] >= n["n"]:
-            stage += 1
-    whole = pop if done is None else pop.unionByName(done)
-    best = whole.groupBy("traj_id").agg(F.min(F.struct("objective", "cand_id", "structure", "loss", "n_params")).alias("b")).select("traj_id", "b.structure", "b.loss", "b.objective", "b.n_params")
-    return best, log
+        pop = pop.join(on, "traj_id", "left_semi")
+    return done, log.drop("structure", "n_params")

@@ -86,21 +86,31 @@ def current_terms(terms: DataFrame, stage: int) -> DataFrame:
     return terms.where(F.col("stage") == stage)
 
 
-def equation_terms(stages: DataFrame, terms: DataFrame, coherent: bool = True) -> DataFrame:
-    """traj_id, eq, term: what each equation may use. stages: traj_id, eq, stage, cap (null: none).
+def term_open(term: Column, eq: Column, state: Callable[[Column], Column], coherent: bool = True) -> Column:
+    """May equation eq use the term (struct of stage and vars)? state(v) is variable v's equation: struct of stage and cap.
 
     A term's stage may not exceed the equation's. With coherence, a term of several variables also needs every other
     variable's equation at that stage, unless that equation's cap lies below it.
     """
+    ready = state(eq)["stage"] >= term["stage"]
+    if not coherent:
+        return ready
+    others = F.forall(term["vars"], lambda v: (v == eq) | (state(v)["stage"] >= term["stage"]) | F.coalesce(state(v)["cap"] < term["stage"], F.lit(False)))
+    return ready & F.coalesce((F.size(term["vars"]) < 2) | others, F.lit(True))
+
+
+def equation_terms(stages: DataFrame, terms: DataFrame, coherent: bool = True) -> DataFrame:
+    """traj_id, eq, term: what each equation may use (term_open). stages: traj_id, eq, stage, cap (null: none)."""
     per = stages.groupBy("traj_id").agg(F.map_from_entries(F.collect_list(F.struct("eq", F.struct("stage", "cap")))).alias("__all"))
-    rows = stages.select("traj_id", "eq", F.col("stage").alias("eq_stage")).join(per, "traj_id").crossJoin(F.broadcast(terms)).where(F.col("stage") <= F.col("eq_stage"))
-    if coherent:
-        fine = F.forall(
-            F.filter("vars", lambda v: v != F.col("eq")),
-            lambda v: (F.element_at("__all", v)["stage"] >= F.col("stage")) | F.coalesce(F.element_at("__all", v)["cap"] < F.col("stage"), F.lit(False)),
-        )
-        rows = rows.where((F.size("vars") < 2) | F.coalesce(fine, F.lit(True)))
-    return rows.select("traj_id", "eq", "term")
+    rows = stages.select("traj_id", "eq").join(per, "traj_id").crossJoin(F.broadcast(terms))
+    return rows.where(term_open(F.struct("stage", "vars"), F.col("eq"), lambda v: F.element_at("__all", v), coherent)).select("traj_id", "eq", "term")
+
+
+def open_terms(basis: Sequence[Term], coherent: bool = True) -> Column:
+    """equation_terms as an array of sorted term numbers for each equation, from array columns stages and caps."""
+    known = F.array(*[F.struct(F.lit(t.idx).alias("term"), F.lit(t.stage).alias("stage"), F.array(*[F.lit(v) for v in t.vars]).alias("vars")) for t in basis])
+    state = lambda v: F.struct(F.element_at("stages", v).alias("stage"), F.element_at("caps", v).alias("cap"))
+    return F.transform(F.sequence(F.lit(1), F.size("stages")), lambda e: F.transform(F.filter(known, lambda t: term_open(t, e, state, coherent)), lambda t: t["term"]))
 
 
 def coupling_audit(stages: DataFrame, terms: DataFrame, top: int) -> DataFrame:

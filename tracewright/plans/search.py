@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def population(v: Views) -> DataFrame:
 
 
 def lists(v: Views, stage: int, exact: bool = False) -> DataFrame:
-    return S._lists(v.candidates.select("traj_id").distinct(), T.terms_table(v.spark, B2), 2, stage, exact)
+    own = F.array(*[F.lit(t.idx) for t in B2 if (t.stage == stage if exact else t.stage <= stage)])
+    return v.candidates.select("traj_id").distinct().select("traj_id", F.array(own, own).alias("terms"))
 
 
 def text(df: DataFrame) -> DataFrame:
@@ -68,11 +71,14 @@ def gate_pairs(v: Views) -> DataFrame:
     return c.where("cand_id <> parent_id").join(par, ["traj_id", "parent_id"]).select("traj_id", "cand_id", F.lit(97).alias("n"), F.col("n_params").alias("p_child"), "p_parent", F.col("residual").alias("r_child"), "r_parent", (F.col("cand_id") % 13 != 0).alias("valid"))
 
 
-def searched(v: Views, caps: bool) -> DataFrame:
+def searched(v: Views, caps: bool, policy: S.SearchPolicy = GROW) -> tuple[DataFrame, DataFrame]:
     f = S.cut(factors(v), "factors")
     c = C.estimate_stage_caps(v.traj_events, B2, EV) if caps else None
-    best, _ = S.grow(f, B2, 2, GROW, S.cut(c, "caps") if caps else None)
-    return text(best).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"))
+    return S.grow(f, B2, 2, policy, S.cut(c, "caps") if caps else None)
+
+
+def found(best: DataFrame) -> DataFrame:
+    return text(best).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"), F.concat_ws(",", F.transform("stages", lambda x: x.cast("string"))).alias("stages"), "levels", "reason")
 
 
 QUERIES = {
@@ -135,8 +141,9 @@ QUERIES = {
         lambda v: S.stage_first_use(history(v).withColumn("uses", F.col("loss") < 30)),
         oracle("SELECT traj_id, stage, count(*) AS levels, min(level) FILTER (loss < 30) AS first_use FROM h GROUP BY 1, 2", "level_events", h=HIST),
     ),
-    "d22_grow": (lambda v: searched(v, False), None),
-    "d23_grow_capped": (lambda v: searched(v, True), None),
+    "d22_grow": (lambda v: found(searched(v, False)[0]), None),
+    "d22_grow_by_series": (lambda v: found(searched(v, False, dataclasses.replace(GROW, progress="series", screen_k=6))[0]), None),
+    "d23_grow_capped": (lambda v: found(searched(v, True)[0]), None),
     "d24_gp_generation": (lambda v: text(S.gp_generation(population(v), 11, 0, 1)), None),
     "d25_cost_totals": (
         lambda v: S.cost_totals(v.lineitem.select(F.col("l_suppkey").alias("traj_id"), F.col("l_linenumber").alias("level"), F.col("l_partkey").alias("fits"), F.col("l_orderkey").alias("solves"), F.col("l_returnflag").alias("retcode")), ["traj_id", "level"], ["fits", "solves"], "retcode"),
