@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.scratch import cut
+
 from .aggregates import as_bool
 
 #: What names a cell of a campaign.
@@ -14,16 +16,35 @@ KEY = ("variant", "system_id", "initial_condition_set", "seed", "config_fingerpr
 
 
 def build_manifest(variants: DataFrame, systems: DataFrame, ics: DataFrame, seeds: DataFrame) -> DataFrame:
-    """manifest_index, variant, system_id, initial_condition_set, seed: the product of four small lists, numbered from 0.
+    """manifest_index, variant, system_id, initial_condition_set, seed: the product of four lists, numbered from 0.
 
-    A value twice in a list is an error, as it would repeat identities.
+    A row's number follows from its places in the lists, so the product itself is never sorted. A value twice in a list is
+    an error, as it would repeat identities.
     """
+    sizes, rows, index = [], None, F.lit(0).cast("long")
     for d in (variants, systems, ics, seeds):
-        if d.count() != d.distinct().count():
+        (c,) = d.columns
+        n = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(c).alias("k"), F.count(c).alias("m")).first()
+        if n["n"] != n["k"] + (n["n"] > n["m"]):
             raise ValueError(f"repeated values in {d.columns}")
-    rows = variants.crossJoin(F.broadcast(systems)).crossJoin(F.broadcast(ics)).crossJoin(F.broadcast(seeds))
-    order = Window.orderBy("variant", "system_id", "initial_condition_set", "seed")
-    return rows.select((F.row_number().over(order) - 1).alias("manifest_index"), "variant", "system_id", "initial_condition_set", "seed")
+        sizes.append(n["n"])
+        numbered = d.withColumn(f"__{c}", F.row_number().over(Window.orderBy(c)) - 1)
+        rows = numbered if rows is None else rows.crossJoin(numbered)
+        index = index * n["n"] + F.col(f"__{c}")
+    return rows.select(index.alias("manifest_index"), "variant", "system_id", "initial_condition_set", "seed")
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's place from 1 by order (which no two rows of a group share) within its group, as column name.
+
+    Rows are cut into ranges; a place is that within the range plus the sizes of the group's ranges before. So a group of
+    any size is numbered by many tasks.
+    """
+    ranged = cut(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    return ranged.withColumn(name, inside).join(sizes.select(*group, "__part", before.alias("__before")), [*group, "__part"]).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
 def manifest_order(manifest: DataFrame, dims: DataFrame, costs: Mapping[int, float]) -> DataFrame:
@@ -31,11 +52,11 @@ def manifest_order(manifest: DataFrame, dims: DataFrame, costs: Mapping[int, flo
     cost = F.lit(0.0)
     for d, c in costs.items():
         cost = F.when(F.col("dim") == d, c).otherwise(cost)
-    m = manifest.join(F.broadcast(dims), "system_id").withColumn("__cost", cost)
-    return m.select("manifest_index", "dim", F.row_number().over(Window.partitionBy("dim").orderBy("manifest_index")).alias("by_dim"), F.row_number().over(Window.orderBy(F.col("__cost").desc(), "manifest_index")).alias("by_cost"))
+    m = manifest.select("manifest_index", "system_id").join(dims, "system_id").select("manifest_index", "dim", (-cost).alias("__cheap"))
+    return ranked(ranked(m, ["dim"], ["manifest_index"], "by_dim"), [], ["__cheap", "manifest_index"], "by_cost").select("manifest_index", "dim", "by_dim", "by_cost")
 
 
-def _ic(df: DataFrame) -> DataFrame:
+def with_ic(df: DataFrame) -> DataFrame:
     return df.withColumn("initial_condition_set", F.coalesce("initial_condition_set", F.lit(1)))
 
 
@@ -45,7 +66,7 @@ def ok_record() -> Column:
 
 def remaining_cells(manifest: DataFrame, history: DataFrame, fingerprint: str) -> DataFrame:
     """Manifest rows without a finished record of the same fingerprint; a missing condition set is 1."""
-    done = _ic(history.where(ok_record() & (F.col("config_fingerprint") == fingerprint))).select("variant", "system_id", "initial_condition_set", "seed").distinct()
+    done = with_ic(history.where(ok_record() & (F.col("config_fingerprint") == fingerprint))).select("variant", "system_id", "initial_condition_set", "seed").distinct()
     return manifest.join(done, ["variant", "system_id", "initial_condition_set", "seed"], "left_anti")
 
 
@@ -72,8 +93,8 @@ def registry_counts(registry: DataFrame) -> DataFrame:
 def merge_records(new: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to append, counts): failed records and keys already in the history are skipped; of equal keys the first by
     (file, line) wins. new also has file and line."""
-    have = _ic(history).select(*KEY).distinct()
-    rows = _ic(new).withColumn("__rn", F.row_number().over(Window.partitionBy(*KEY, ok_record()).orderBy("file", "line")))
+    have = with_ic(history).select(*KEY).distinct()
+    rows = with_ic(new).withColumn("__rn", F.row_number().over(Window.partitionBy(*KEY, ok_record()).orderBy("file", "line")))
     seen = rows.join(have.withColumn("__seen", F.lit(True)), [rows[k].eqNullSafe(have[k]) for k in KEY], "left").select(rows["*"], "__seen")
     added = ok_record() & F.col("__seen").isNull() & (F.col("__rn") == 1)
     counts = seen.agg(F.count(F.lit(1)).alias("considered"), F.count_if(added).alias("added"), F.count_if(ok_record() & ~added).alias("skipped_duplicates"), F.count_if(~ok_record()).alias("skipped_failed"))

@@ -16,12 +16,12 @@ from pyspark.sql.window import WindowSpec
 HALF, DEGREE = 4, 3
 
 
-def by_seq() -> WindowSpec:
-    return Window.partitionBy("traj_id").orderBy("seq")
+def by_seq(by: Sequence[str] = ("traj_id",)) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy("seq")
 
 
-def whole() -> WindowSpec:
-    return Window.partitionBy("traj_id")
+def whole(by: Sequence[str] = ("traj_id",)) -> WindowSpec:
+    return Window.partitionBy(*by)
 
 
 def to_trajectories(df: DataFrame, id_col: str, ts: str, cols: Sequence[str], tie: Sequence[str] = (), unit_us: float = 1e6) -> DataFrame:
@@ -49,22 +49,22 @@ def central(col: str, w: WindowSpec | None = None) -> Column:
     return _ratio(up - dn, F.coalesce(F.lead(t).over(w), t) - F.coalesce(F.lag(t).over(w), t))
 
 
-def deriv_central(traj: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return traj.select("*", *[central(c).alias(f"d_{c}") for c in cols])
+def deriv_central(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    return traj.select("*", *[central(c, by_seq(by)).alias(f"d_{c}") for c in cols])
 
 
-def deriv_fd4(traj: DataFrame, cols: Sequence[str]) -> DataFrame:
+def deriv_fd4(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """Fourth-order difference on the mean step; second and first order at the edge rows; under 5 points: central."""
-    n = F.count(F.lit(1)).over(whole())
-    h = (F.max("t").over(whole()) - F.min("t").over(whole())) / (n - 1)
-    at = lambda c, k: F.lead(c, k).over(by_seq()) if k > 0 else F.lag(c, -k).over(by_seq()) if k else F.col(c)
+    n = F.count(F.lit(1)).over(whole(by))
+    h = (F.max("t").over(whole(by)) - F.min("t").over(whole(by))) / (n - 1)
+    at = lambda c, k: F.lead(c, k).over(by_seq(by)) if k > 0 else F.lag(c, -k).over(by_seq(by)) if k else F.col(c)
     out = []
     for c in cols:
         d = F.when(n < 5, F.col(f"__c_{c}"))
         d = d.when(F.col("seq") == 1, (at(c, 1) - at(c, 0)) / F.col("__h")).when(F.col("seq") == n, (at(c, 0) - at(c, -1)) / F.col("__h"))
         d = d.when((F.col("seq") == 2) | (F.col("seq") == n - 1), (at(c, 1) - at(c, -1)) / (F.col("__h") * 2))
         out.append(d.otherwise((at(c, -2) - at(c, -1) * 8 + at(c, 1) * 8 - at(c, 2)) / (F.col("__h") * 12)).alias(f"d_{c}"))
-    base = traj.select("*", h.alias("__h"), *[central(c).alias(f"__c_{c}") for c in cols])
+    base = traj.select("*", h.alias("__h"), *[central(c, by_seq(by)).alias(f"__c_{c}") for c in cols])
     return base.select(*traj.columns, *out)
 
 
@@ -94,13 +94,13 @@ def _local(k: int):
     return run
 
 
-def deriv_local_poly(traj: DataFrame, cols: Sequence[str]) -> DataFrame:
+def deriv_local_poly(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """Linear coefficient of a cubic least-squares fit over seq - 4 .. seq + 4, clipped at the ends.
 
     Frames carry at most nine points, so a long series is windowed in order, never gathered. Batches go to numpy in
     stacked form, grouped by window length.
     """
-    frame = by_seq().rowsBetween(-HALF, HALF)
+    frame = by_seq(by).rowsBetween(-HALF, HALF)
     wide = traj.select("*", F.collect_list("t").over(frame).alias("__t"), *[F.collect_list(c).over(frame).alias(f"__u{j}") for j, c in enumerate(cols)])
     schema = ", ".join([f"`{n}` {t}" for n, t in traj.dtypes] + [f"__d{j} double" for j in range(len(cols))])
     return wide.mapInPandas(_local(len(cols)), schema).select(*traj.columns, *[F.col(f"__d{j}").alias(f"d_{c}") for j, c in enumerate(cols)])
@@ -109,10 +109,11 @@ def deriv_local_poly(traj: DataFrame, cols: Sequence[str]) -> DataFrame:
 ESTIMATORS = {"central": deriv_central, "fd4": deriv_fd4, "local_poly": deriv_local_poly}
 
 
-def derivatives(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly") -> DataFrame:
+def derivatives(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly", by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """traj with d_<col>. by: the columns that name a series."""
     if estimator not in ESTIMATORS:
         raise ValueError(f"unknown derivative estimator {estimator!r}; known: {', '.join(ESTIMATORS)}")
-    return ESTIMATORS[estimator](traj, cols)
+    return ESTIMATORS[estimator](traj, cols, by)
 
 
 def coarsen(traj: DataFrame, k: int = 2) -> DataFrame:
@@ -120,37 +121,61 @@ def coarsen(traj: DataFrame, k: int = 2) -> DataFrame:
     return traj.where((F.col("seq") - 1) % k == 0).withColumn("seq", F.floor((F.col("seq") - 1) / k).cast("int") + 1)
 
 
+def _between(point: Column, cols: Sequence[str]) -> dict[str, Column]:
+    """Linear interpolation at t between the last non-null point (struct of t and cols) at or before a row and the first at
+    or after it, held constant beyond both ends."""
+    w = Window.partitionBy("traj_id").orderBy("t")
+    a, b = F.last(point, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(point, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    f = F.when(b["t"] > a["t"], (F.col("t") - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
+    return {c: F.when(a.isNull(), b[c]).when(b.isNull(), a[c]).otherwise(a[c] + f * (b[c] - a[c])) for c in cols}
+
+
 def interp_to_full(full: DataFrame, coarse: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Linear interpolation of coarse columns at the full grid's times, held constant beyond both ends.
 
-    One union and two running windows: the last coarse point at or before a row and the first at or after it.
+    One union and two running windows.
     """
     both = full.select("traj_id", "t", "seq", F.lit(1).alias("__full"), *[F.lit(None).cast("double").alias(c) for c in cols]).unionByName(
         coarse.select("traj_id", "t", F.lit(None).cast("int").alias("seq"), F.lit(0).alias("__full"), *cols)
     )
-    point = F.when(F.col("__full") == 0, F.struct("t", *cols))
-    back = Window.partitionBy("traj_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("traj_id").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
-    both = both.select("*", F.last(point, True).over(back).alias("__a"), F.first(point, True).over(ahead).alias("__b")).where("__full = 1")
-    f = F.when(F.col("__b.t") > F.col("__a.t"), (F.col("t") - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))).otherwise(0.0)
-    val = lambda c: F.when(F.col("__a").isNull(), F.col(f"__b.{c}")).when(F.col("__b").isNull(), F.col(f"__a.{c}")).otherwise(F.col(f"__a.{c}") + f * (F.col(f"__b.{c}") - F.col(f"__a.{c}")))
-    return both.select("traj_id", "seq", "t", *[val(c).alias(c) for c in cols])
+    at = _between(F.when(F.col("__full") == 0, F.struct("t", *cols)), cols)
+    return both.select("traj_id", "seq", "t", "__full", *[x.alias(c) for c, x in at.items()]).where("__full = 1").drop("__full")
+
+
+def with_errors(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly") -> DataFrame:
+    """traj with d_<col> and r_<col>: the derivative and its difference from the half-grid derivative, interpolated.
+
+    One chain of windows over the series' partitioning, without a join: the rows of the half grid (1st, 3rd, ...) are a
+    series of their own beside the others.
+    """
+    full = derivatives(traj, cols, estimator)
+    rows = full.withColumnsRenamed({f"d_{c}": f"rx_{c}" for c in cols}).withColumns({"rx_seq": F.col("seq"), "rx_odd": F.col("seq") % 2 == 1})
+    half = derivatives(rows.withColumn("seq", F.floor((F.col("seq") - 1) / 2).cast("int") + 1), cols, estimator, ("traj_id", "rx_odd"))
+    at = _between(F.when(F.col("rx_odd"), F.struct("t", *[f"d_{c}" for c in cols])), [f"d_{c}" for c in cols])
+    keep = [F.col("rx_seq").alias("seq") if c == "seq" else F.col(c) for c in traj.columns]
+    return half.select(*keep, *[F.col(f"rx_{c}").alias(f"d_{c}") for c in cols], *[F.abs(F.col(f"rx_{c}") - at[f"d_{c}"]).alias(f"r_{c}") for c in cols])
 
 
 def richardson_error(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly") -> DataFrame:
     """traj_id, seq, t and r_<col>: absolute difference of full-grid and interpolated half-grid derivatives."""
-    d = [f"d_{c}" for c in cols]
-    full = derivatives(traj, cols, estimator)
-    half = interp_to_full(traj, derivatives(coarsen(traj), cols, estimator).select("traj_id", "t", *d), d)
-    half = half.select("traj_id", "seq", *[F.col(x).alias(f"__h_{x}") for x in d])
-    return full.join(half, ["traj_id", "seq"]).select("traj_id", "seq", "t", *[F.abs(F.col(f"d_{c}") - F.col(f"__h_d_{c}")).alias(f"r_{c}") for c in cols])
+    return with_errors(traj, cols, estimator).select("traj_id", "seq", "t", *[f"r_{c}" for c in cols])
+
+
+EPS = 2.220446049250313e-16
+
+
+def medians(rich: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """traj_id, m_<col> (exact median of r^2) and __n, the series' length."""
+    return rich.groupBy("traj_id").agg(*[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).alias(f"m_{c}") for c in cols], F.count(F.lit(1)).alias("__n"))
+
+
+def weight(c: str, eps: float = EPS) -> Column:
+    return 1 / (F.col(f"r_{c}") * F.col(f"r_{c}") + F.col(f"m_{c}") + eps)
 
 
-def richardson_weights(rich: DataFrame, cols: Sequence[str], eps: float = 2.220446049250313e-16) -> DataFrame:
+def richardson_weights(rich: DataFrame, cols: Sequence[str], eps: float = EPS) -> DataFrame:
     """w_<col> = 1 / (r^2 + median r^2 + eps) per trajectory, with the exact median."""
-    sq = lambda c: F.col(f"r_{c}") * F.col(f"r_{c}")
-    med = rich.groupBy("traj_id").agg(*[F.percentile(sq(c), F.lit(0.5)).alias(f"m_{c}") for c in cols])
-    return rich.join(med, "traj_id").select("traj_id", "seq", *[(1 / (sq(c) + F.col(f"m_{c}") + eps)).alias(f"w_{c}") for c in cols])
+    return rich.join(medians(rich, cols), "traj_id").select("traj_id", "seq", *[weight(c, eps).alias(f"w_{c}") for c in cols])
 
 
 def blocks_of(seq: Column, n: Column) -> Column:

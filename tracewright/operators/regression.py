@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .terms import Term, design
+from .terms import Term
 
 #: Rows of one elementary piece; a longer block is several pieces.
 PIECE = 4096
@@ -122,14 +122,17 @@ def residual(r: np.ndarray, cols: list[int], y: int, coef: np.ndarray, n: int) -
 
 
 def prepare(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], estimator: str = "central", weighting: str = "richardson_wls") -> DataFrame:
-    """Rows for block_factors: term values, derivatives, weights and error bounds of each state."""
-    from .derivatives import derivatives, richardson_error, richardson_weights
-
-    d = derivatives(traj, cols, estimator).select("traj_id", "seq", F.array(*[f"d_{c}" for c in cols]).alias("d"))
-    rich = richardson_error(traj, cols, estimator)
-    w = richardson_weights(rich, cols) if weighting == "richardson_wls" else rich.select("traj_id", "seq", *[F.lit(1.0).alias(f"w_{c}") for c in cols])
-    side = rich.select("traj_id", "seq", F.array(*[f"r_{c}" for c in cols]).alias("rich")).join(w.select("traj_id", "seq", F.array(*[f"w_{c}" for c in cols]).alias("w")), ["traj_id", "seq"])
-    return design(traj, basis).join(d, ["traj_id", "seq"]).join(side, ["traj_id", "seq"])
+    """Rows for block_factors: term values, derivatives, weights and error bounds of each state, and the series' length.
+
+    One chain of windows; medians and lengths come from a grouped aggregate with the same partitioning.
+    """
+    from .derivatives import medians, weight, with_errors
+
+    rows = with_errors(traj, cols, estimator)
+    rows = rows.join(medians(rows, cols), "traj_id")
+    w = [weight(c) if weighting == "richardson_wls" else F.lit(1.0) for c in cols]
+    each = lambda k: F.array(*[f"{k}_{c}" for c in cols])
+    return rows.select("traj_id", "seq", "__n", F.array(*[t.column() for t in basis]).alias("phi"), each("d").alias("d"), each("r").alias("rich"), F.array(*w).alias("w"))
 
 
 def _per_series(factors: DataFrame, p: int, dim: int, fn, schema: str) -> DataFrame:

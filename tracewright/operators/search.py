@@ -168,7 +168,7 @@ def nested_f_gate(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
     stat = ((F.col("r_parent") - F.col("r_child")) * n / F.col("df1")) / F.greatest(F.col("r_child") * n / F.col("df2"), F.lit(2.220446049250313e-16))
     f = F.when(~F.col("valid") | (F.col("df1") <= 0) | (F.col("df2") <= 0), None).when(worse, 0.0).otherwise(stat)
     ok = F.when(~F.col("valid"), False).when(F.col("df1") <= 0, True).when(F.col("df2") <= 0, False).otherwise(~worse & (stat > F.col("threshold")))
-    return j.select(*pairs.columns, F.coalesce(ok, F.lit(False)).alias("passes"), f.alias("f_stat"), "threshold")
+    return j.select(*pairs.columns, F.coalesce(ok, F.lit(False)).alias("passes"), f.alias("f_stat"), F.when(F.col("valid"), F.col("threshold")).alias("threshold"))
 
 
 def _ranked(rows: DataFrame, gate: bool) -> DataFrame:

@@ -37,13 +37,13 @@ def record_files(v: Views) -> str:
 
 
 def run_folders(v: Views) -> DataFrame:
-    """Status and metrics files of one folder per customer; some are missing, some broken."""
-    c, root = v.customer.select((F.col("c_custkey") % 40).alias("k"), F.col("c_acctbal")).groupBy("k").agg(F.max("c_acctbal").alias("b")), folder(v, "runs")
+    """Status and metrics files of one folder per run of 50 customers; some are missing, some broken."""
+    c, root = v.customer.groupBy(F.floor(F.col("c_custkey") / 50).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")), folder(v, "runs")
     run = F.concat(F.lit("run"), F.col("k").cast("string"))
     parts = {
         "config": c.select(run.alias("run"), F.concat(F.lit('{"run_id":"'), run, F.lit('"}')).alias("value")),
         "status": c.where("k % 7 <> 1").select(run.alias("run"), F.when(F.col("k") % 5 == 0, '{"status": "run').otherwise(F.lit('{"status":"finished","finished_at":"t"}')).alias("value")),
-        "metrics": c.where("k % 9 <> 1").select(run.alias("run"), F.concat(F.lit('{"loss":'), F.col("k").cast("string"), F.lit("}")).alias("value")),
+        "metrics": c.where("k % 9 <> 1").select(run.alias("run"), F.concat(F.lit('{"loss":'), F.col("n").cast("string"), F.lit("}")).alias("value")),
         "result": c.select(run.alias("run"), F.lit('{"ok":true}').alias("value")),
     }
 
@@ -92,7 +92,7 @@ QUERIES = {
         lambda v: S.read_records(v.spark, record_files(v)).select("manifest_index", "variant", "system_id", "seed", "initial_condition_set", "error", "loss"),
         oracle("SELECT manifest_index, variant, system_id, seed, initial_condition_set, error, CASE WHEN manifest_index % 50 = 0 THEN 'Infinity'::DOUBLE ELSE loss END AS loss FROM rc", rc=REC_SQL),
     ),
-    "s04_read_run_folders": (run_folders, oracle("SELECT 'run' || k AS run_id, CASE WHEN k % 7 = 1 THEN NULL WHEN k % 5 = 0 THEN 'corrupted' ELSE 'finished' END AS status, CASE WHEN k % 7 = 1 THEN 'never_started' WHEN k % 5 = 0 THEN 'corrupted' ELSE 'finished' END AS inferred_status, k % 9 <> 1 AS metrics_available, (k % 7 <> 1 AND k % 5 = 0) OR (k % 7 <> 1 AND k % 5 <> 0 AND k % 9 = 1) AS corrupted, CASE WHEN k % 9 <> 1 THEN k END AS loss FROM (SELECT DISTINCT c_custkey % 40 AS k FROM customer) q")),
+    "s04_read_run_folders": (run_folders, oracle("SELECT 'run' || k AS run_id, CASE WHEN k % 7 = 1 THEN NULL WHEN k % 5 = 0 THEN 'corrupted' ELSE 'finished' END AS status, CASE WHEN k % 7 = 1 THEN 'never_started' WHEN k % 5 = 0 THEN 'corrupted' ELSE 'finished' END AS inferred_status, k % 9 <> 1 AS metrics_available, (k % 7 <> 1 AND k % 5 = 0) OR (k % 7 <> 1 AND k % 5 <> 0 AND k % 9 = 1) AS corrupted, CASE WHEN k % 9 <> 1 THEN n END AS loss FROM (SELECT CAST(floor(c_custkey / 50.0) AS INT) AS k, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY 1) q")),
     "s05_read_registry": (registry_csv, oracle("SELECT run_id, variant_slug, system_id, loss, r2 FROM run_registry", "run_registry")),
     "s06_read_heartbeats": (
         lambda v: S.numbers(read_beats(v)).where("event = 'level' and corrupt is null").select("system_id", "variant", "level", "stage", "best_loss", F.unix_micros(F.to_timestamp("timestamp")).alias("us")),

@@ -47,9 +47,9 @@ QUERIES = {
         progress,
         oracle("SELECT cell, max(level) AS level, min(best_loss) AS best, max(level) - min(level) FILTER (best_loss = b) AS silent FROM (SELECT *, min(best_loss) OVER (PARTITION BY cell) AS b FROM level_events) q GROUP BY cell", "level_events"),
     ),
-    "t04_stuck_stream": (lambda v: H.run_to_table(H.stuck_stream(source(v), 7200, "1 minute"), folder(v, "stuck")), None),
+    "t04_stuck_stream": (lambda v: H.run_to_table(H.stuck_stream(source(v), 7200, "1 minute"), folder(v, "stuck")), oracle("SELECT cell, max(us) AS last_us FROM level_events GROUP BY cell HAVING max(us) // 1000 + 7200000 < (SELECT max(us) // 1000 - 60000 FROM level_events)", "level_events")),
     "t06_level_rate_stream": (lambda v: H.run_to_table(H.level_rate(source(v), "1 hour"), folder(v, "rate"), "complete").drop("trigger").groupBy("start_us", "stage").agg(F.max("n").alias("n")), oracle("SELECT us // 3600000000 * 3600000000 AS start_us, stage, count(*) AS n FROM level_events GROUP BY 1, 2", "level_events")),
-    "t06_level_sessions": (lambda v: H.run_to_table(H.level_sessions(source(v), "6 hours", "1 minute"), folder(v, "sessions")), None),
+    "t06_level_sessions": (lambda v: H.run_to_table(H.level_sessions(source(v), "6 hours", "1 minute"), folder(v, "sessions")), oracle("SELECT cell, start_us, end_us, n FROM ss WHERE end_us <= (SELECT (max(us) // 1000 - 60000) * 1000 FROM level_events)", "level_events", ga="SELECT cell, us, CASE WHEN us - lag(us) OVER w <= 21600000000 THEN 0 ELSE 1 END AS opens FROM level_events WINDOW w AS (PARTITION BY cell ORDER BY us)", nu="SELECT cell, us, sum(opens) OVER (PARTITION BY cell ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM ga", ss="SELECT cell, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM nu GROUP BY cell, k")),
     "t07_stream_merge": (
         merged,
         oracle("SELECT DISTINCT concat('v', substr(o_orderpriority, 1, 1)) AS variant, o_custkey % 10 + 1 AS system_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 ELSE 1 END AS initial_condition_set, o_orderkey % 50 AS seed, CASE WHEN o_orderkey % 4 = 0 THEN 'f0' ELSE 'f1' END AS config_fingerprint FROM orders WHERE o_orderkey % 13 <> 0"),

@@ -55,11 +55,31 @@ RHS = {"dd": ONE["dd"], "rh": "SELECT traj_id, seq, eq, d, CASE WHEN eq = 1 THEN
 
 
 def structures(v: Views) -> DataFrame:
-    """cand_id, traj_id, structure: hashed two-equation structures over the series of events."""
-    t = v.part.select(F.col("p_partkey").alias("cand_id"), (F.col("p_partkey") % 150).alias("traj_id"), "p_size")
+    """cand_id, traj_id, structure: hashed two-equation structures over all series of events."""
+    n = v.events.agg(F.countDistinct("user_id")).first()[0]
+    t = v.part.select(F.col("p_partkey").alias("cand_id"), (F.col("p_partkey") % n).alias("traj_id"), "p_size")
     return t.select("cand_id", "traj_id", F.array(F.array_distinct(F.array((F.col("p_size") % 11 + 1).cast("int"), (F.col("cand_id") % 11 + 1).cast("int"))), F.array((F.col("cand_id") % 5 + 1).cast("int"))).alias("structure"))
 
 
+#: Sums of products of the library's terms and derivatives by series, and the candidates' fits by elimination.
+SCREEN = {
+    **ONE,
+    "ph": "SELECT traj_id, [u1, u2, u1 * u1, u2 * u2, u1 * u2, u1 * u1 * u1, u2 * u2 * u2, sin(u1), cos(u1), sin(u2), cos(u2)] AS p, [d_u1, d_u2] AS d FROM xy",
+    "gm": "SELECT traj_id, i, j, sum(p[i] * p[j]) AS s FROM ph, range(1, 12) a(i), range(1, 12) b(j) GROUP BY ALL",
+    "bm": "SELECT traj_id, i, e, sum(p[i] * d[e]) AS s, sum(d[e] * d[e]) AS yy, count(*) AS n FROM ph, range(1, 12) a(i), range(1, 3) b(e) GROUP BY ALL",
+    "ca": "SELECT p_partkey AS cand_id, p_partkey % (SELECT count(DISTINCT user_id) FROM events) AS traj_id, p_size % 11 + 1 AS a, p_partkey % 11 + 1 AS b, p_partkey % 5 + 1 AS c FROM part",
+    "te": "SELECT cand_id, traj_id, 1 AS eq, a AS i, CASE WHEN a <> b THEN b END AS j FROM ca UNION ALL SELECT cand_id, traj_id, 2, c, NULL FROM ca",
+    "sc": "SELECT t.cand_id, t.traj_id, t.eq, x.n, CASE WHEN t.j IS NULL THEN 1 ELSE 2 END AS n_params, "
+    "(x.yy - CASE WHEN t.j IS NULL THEN x.s * x.s / g.s ELSE (h.s * x.s * x.s - 2 * k.s * x.s * y.s + g.s * y.s * y.s) / (g.s * h.s - k.s * k.s) END) / x.n AS residual FROM te t "
+    "JOIN gm g ON g.traj_id = t.traj_id AND g.i = t.i AND g.j = t.i JOIN bm x ON x.traj_id = t.traj_id AND x.i = t.i AND x.e = t.eq "
+    "LEFT JOIN gm h ON h.traj_id = t.traj_id AND h.i = t.j AND h.j = t.j LEFT JOIN gm k ON k.traj_id = t.traj_id AND k.i = t.i AND k.j = t.j LEFT JOIN bm y ON y.traj_id = t.traj_id AND y.i = t.j AND y.e = t.eq",
+}
+RIDGE = {
+    **ONE,
+    "sm": "SELECT traj_id, sum(u1 * u1) + 1e-8 AS a, sum(u1 * u2) AS b, sum(u2 * u2) + 1e-8 AS c, [sum(u1 * d_u1), sum(u1 * d_u2)] AS x, [sum(u2 * d_u1), sum(u2 * d_u2)] AS y FROM xy GROUP BY 1",
+}
+
+
 def fit_eval(v: Views) -> DataFrame:
     from tracewright.operators import stagecaps as C
 
@@ -75,10 +95,15 @@ QUERIES = {
         oracle("SELECT traj_id, round(sum((u1 - u2) * d_u1) / sum((u1 - u2) * (u1 - u2)), 6) + 0e0 AS coef FROM xy GROUP BY 1", "traj_events", **ONE),
     ),
     "b02_warm_start": (lambda v: r(R.warm_start(R.fit_ols(factors(v), P, 2).select("traj_id", "eq", "term", "coef"), 1e3), n=4), None),
-    "b03_screen": (lambda v: r(R.screen(structures(v), factors(v), P, 2), n=6), None),
-    "b03_pool": (lambda v: r(R.pool(R.screen(structures(v), factors(v), P, 2)), n=6), None),
+    "b02_warm_start_linear": (
+        # two terms an equation, so that the norm limit and the fit have a closed form
+        lambda v: r(R.warm_start(R.fit_ols(R.block_factors(R.prepare(v.traj_events, linear(v), EV), 2, 2), 2, 2).select("traj_id", "eq", "term", "coef"), 0.5), n=5),
+        oracle("SELECT traj_id, eq, term, round(CASE WHEN sqrt(k1 * k1 + k2 * k2) <= 0.5e0 THEN CASE WHEN term = 1 THEN k1 ELSE k2 END ELSE 0 END, 5) + 0e0 AS coef FROM (SELECT traj_id, eq, (c * x[eq] - b * y[eq]) / (a * c - b * b) AS k1, (a * y[eq] - b * x[eq]) / (a * c - b * b) AS k2 FROM (SELECT * REPLACE (a - 1e-8 AS a, c - 1e-8 AS c) FROM sm), (VALUES (1), (2)) e(eq)) q, (VALUES (1), (2)) t(term)", "traj_events", **RIDGE),
+    ),
+    "b03_screen": (lambda v: r(R.screen(structures(v), factors(v), P, 2), n=6), oracle("SELECT cand_id, traj_id, eq, n, n_params, round(residual, 6) + 0e0 AS residual, true AS valid, '' AS reasons FROM sc", "traj_events", **SCREEN)),
+    "b03_pool": (lambda v: r(R.pool(R.screen(structures(v), factors(v), P, 2)), n=6), oracle("SELECT traj_id, cand_id, max(n) AS n, sum(n_params) AS n_params, round(avg(residual), 6) + 0e0 AS residual, true AS valid, '' AS reasons FROM sc GROUP BY 1, 2", "traj_events", **SCREEN)),
     "b04_fit_eval": (fit_eval, None),
-    "b05_fit_ridge": (lambda v: r(R.fit_ridge(R.block_factors(R.prepare(v.traj_events, linear(v), EV), 2, 2), 2, 2), n=5), None),
+    "b05_fit_ridge": (lambda v: r(R.fit_ridge(R.block_factors(R.prepare(v.traj_events, linear(v), EV), 2, 2), 2, 2), n=5), oracle("SELECT traj_id, eq, term, round(CASE WHEN term = 1 THEN (c * x[eq] - b * y[eq]) ELSE (a * y[eq] - b * x[eq]) END / (a * c - b * b), 5) + 0e0 AS coef FROM sm, (VALUES (1), (2)) e(eq), (VALUES (1), (2)) t(term)", "traj_events", **RIDGE)),
     "b06_nmse": (
         lambda v: r(R.nmse(pairs(v), ["traj_id", "eq"], "obs", "pred")),
         oracle("SELECT traj_id, eq, round(CASE WHEN var_pop(obs) > 2.220446049250313e-16 THEN avg((obs - pred) * (obs - pred)) / var_pop(obs) ELSE 'Infinity'::DOUBLE END, 6) AS nmse FROM ob GROUP BY 1, 2", "traj_events", ob=OBS),

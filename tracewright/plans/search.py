@@ -81,16 +81,68 @@ def found(best: DataFrame) -> DataFrame:
     return text(best).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"), F.concat_ws(",", F.transform("stages", lambda x: x.cast("string"))).alias("stages"), "levels", "reason")
 
 
+def hashed(n: str, *keys: str) -> str:
+    """A draw from 0 to n - 1."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 8) AS BIGINT) % {n}"
+
+
+def ids(stage: int, exact: bool = False) -> str:
+    return str([t.idx for t in B2 if (t.stage == stage if exact else t.stage <= stage)])
+
+
+def growth(mode: str, allowed: str, current: str) -> dict[str, str]:
+    """Steps of expand over the population of hashed structures; both equations have the same lists."""
+    key = ("0", "1", "traj_id", "cand_id", "child")
+    at = lambda a, n: f"{a}[1 + {n}]"
+    eq = {"passive": "any_eq", "hard": f"CASE WHEN is_hard THEN {at('hard', hashed('len(hard)', *key, repr('hard')))} ELSE any_eq END"}
+    calm = f"CASE WHEN len({current}) > 0 AND len(growable) > 0 THEN {at('growable', hashed('greatest(len(growable), 1)', *key, repr('eq')))} ELSE any_eq END"
+    eq["soft"] = f"CASE WHEN is_hard THEN {at('hard', hashed('greatest(len(hard), 1)', *key, repr('hard')))} ELSE {calm} END"
+    eq["hard"] = eq["hard"].replace("% len(hard)", "% greatest(len(hard), 1)")
+    forced = {"passive": "false", "hard": "true", "soft": f"({hashed(str(1 << 30), *key, repr('mode'))}) / {float(1 << 30)!r}::DOUBLE < 0.75e0"}[mode]
+    free = lambda a, s: f"[t FOR t IN {a}::INT[] IF NOT list_contains({s}, t)]"
+    return {
+        "po": "SELECT traj_id, cand_id, [[cand_id % 11 + 1], list_sort(list_distinct([cand_id % 5 + 1, cand_id % 7 + 1]))] AS s FROM candidates",
+        "ki": f"SELECT *, unnest([1, 2, 3]) AS child, [e FOR e IN [1, 2] IF len({free(current, 's[e]')}) > 0] AS hard, [e FOR e IN [1, 2] IF len({free(allowed, 's[e]')}) > 0] AS growable FROM po",
+        "kh": f"SELECT *, {forced} AND len(hard) > 0 AS is_hard, 1 + {hashed('2', *key, repr('eq'))} AS any_eq FROM ki",
+        "ke": f"SELECT *, {eq[mode]} AS e FROM kh",
+        "kf": f"SELECT *, CASE WHEN is_hard THEN {free(current, 's[e]')} ELSE {free(allowed, 's[e]')} END AS options FROM ke",
+        "kt": f"SELECT *, CASE WHEN len(options) > 0 THEN {at('options', hashed('greatest(len(options), 1)', *key, repr('term')))} END AS term FROM kf",
+        "kg": "SELECT *, [CASE WHEN i = e AND term IS NOT NULL THEN list_sort(list_distinct(list_append(s[i], term))) ELSE s[i] END FOR i IN [1, 2]] AS g FROM kt",
+    }
+
+
+GROWN = "SELECT traj_id, cand_id AS parent_id, child, array_to_string(g[1], ',') || '|' || array_to_string(g[2], ',') AS structure FROM kg"
+#: Quantiles of F by bisection on the regularised incomplete beta, integrated over s = sqrt(t) by Simpson's rule.
+QUANTILE = {
+    "dp": "SELECT DISTINCT c.n_params - p.n_params AS df1, 97 - c.n_params AS df2 FROM candidates c JOIN candidates p ON p.traj_id = c.traj_id AND p.cand_id = c.parent_id WHERE c.cand_id <> c.parent_id AND c.n_params > p.n_params",
+    "bs": "SELECT df1, df2, 0 AS k, 0e0 AS lo, 1e0 AS hi FROM dp UNION ALL SELECT df1, df2, k + 1, CASE WHEN b < 0.95e0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN b < 0.95e0 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, "
+    "2 * exp(lgamma((df1 + df2) / 2e0) - lgamma(df1 / 2e0) - lgamma(df2 / 2e0)) * sqrt((lo + hi) / 2) / 1200 * list_sum([CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(i * sqrt((lo + hi) / 2) / 400, df1 - 1) * pow(1 - i * i * (lo + hi) / 2 / 160000, df2 / 2e0 - 1) FOR i IN range(401)]) AS b FROM bs WHERE k < 50) q",
+    "fq": "SELECT df1, df2, df2 * lo / (df1 * (1 - lo)) AS threshold FROM bs WHERE k = 50",
+}
+GATE = {
+    **QUANTILE,
+    "gp": "SELECT c.traj_id, c.cand_id, 97 AS n, c.n_params AS p_child, p.n_params AS p_parent, c.residual AS r_child, p.residual AS r_parent, c.cand_id % 13 <> 0 AS valid FROM candidates c JOIN candidates p ON p.traj_id = c.traj_id AND p.cand_id = c.parent_id WHERE c.cand_id <> c.parent_id",
+    "gs": "SELECT gp.*, p_child - p_parent AS d1, n - p_child AS d2, ((r_parent - r_child) * n / (p_child - p_parent)) / greatest(r_child * n / (n - p_child), 2.220446049250313e-16) AS f, CASE WHEN valid THEN threshold END AS threshold FROM gp LEFT JOIN fq ON df1 = p_child - p_parent AND df2 = n - p_child",
+}
+
 QUERIES = {
-    "d01_init_population": (lambda v: text(S.init_population(lists(v, 3), 8)), None),
-    **{f"d0{i}_expand_{m}": ((lambda v, m=m: text(S.expand(population(v).drop("objective", "loss", "n_params"), lists(v, 3), lists(v, 3, True), S.SearchPolicy(), 1, m))), None) for i, m in ((2, "passive"), (3, "hard"), (4, "soft"))},
-    "d05_expand_policy": (lambda v: text(S.expand(population(v).drop("objective", "loss", "n_params"), lists(v, 1), None, S.SearchPolicy(), 1)), None),
+    "d01_init_population": (
+        lambda v: text(S.init_population(lists(v, 3), 8)),
+        oracle(f"SELECT traj_id, cand_id, ({ids(3)})[1 + {hashed('5', '0', 'traj_id', 'cand_id', '0', repr('init'))}] || '|' || ({ids(3)})[1 + {hashed('5', '0', 'traj_id', 'cand_id', '1', repr('init'))}] AS structure FROM (SELECT DISTINCT traj_id FROM candidates) t, range(8) r(cand_id)", "candidates"),
+    ),
+    **{f"d0{i}_expand_{m}": ((lambda v, m=m: text(S.expand(population(v).drop("objective", "loss", "n_params"), lists(v, 3), lists(v, 3, True), S.SearchPolicy(), 1, m))), oracle(GROWN, "candidates", **growth(m, ids(3), ids(3, True)))) for i, m in ((2, "passive"), (3, "hard"), (4, "soft"))},
+    "d05_expand_policy": (lambda v: text(S.expand(population(v).drop("objective", "loss", "n_params"), lists(v, 1), None, S.SearchPolicy(), 1)), oracle(GROWN, "candidates", **growth("soft", ids(1), "[]::INT[]"))),
     "d06_score": (
         lambda v: rows(v).select("cand_id", F.when(F.col("valid"), F.round("score", 9)).alias("score"), F.round(S.score(F.col("residual"), F.lit(100), F.col("n_params"), F.lit(True), "aic"), 6).alias("aic")),
         oracle("SELECT cand_id, CASE WHEN valid THEN round(score, 9) END AS score, round(100 * ln(greatest(residual, 2.220446049250313e-16)) + 2 * n_params, 6) AS aic FROM a", "candidates", a=ROWS),
     ),
-    "d07_nested_f_gate": (lambda v: r(S.nested_f_gate(gate_pairs(v)), n=6), None),
-    "d08_f_quantiles": (lambda v: r(S.f_quantiles(gate_pairs(v).select((F.col("p_child") - F.col("p_parent")).alias("df1"), (F.col("n") - F.col("p_child")).alias("df2")).where("df1 > 0"), 0.05)), None),
+    "d07_nested_f_gate": (
+        lambda v: r(S.nested_f_gate(gate_pairs(v)), n=6),
+        oracle(
+            "SELECT traj_id, cand_id, n, p_child, p_parent, round(r_child, 6) + 0e0 AS r_child, round(r_parent, 6) + 0e0 AS r_parent, valid, CASE WHEN NOT valid THEN false WHEN d1 <= 0 THEN true WHEN d2 <= 0 OR r_parent <= r_child THEN false ELSE f > threshold END AS passes, "
+            "round(CASE WHEN NOT valid OR d1 <= 0 OR d2 <= 0 THEN NULL WHEN r_parent <= r_child THEN 0 ELSE f END, 6) + 0e0 AS f_stat, round(threshold, 6) AS threshold FROM gs", "candidates", **GATE),
+    ),
+    "d08_f_quantiles": (lambda v: r(S.f_quantiles(gate_pairs(v).select((F.col("p_child") - F.col("p_parent")).alias("df1"), (F.col("n") - F.col("p_child")).alias("df2")).where("df1 > 0"), 0.05)), oracle("SELECT df1, df2, round(threshold, 6) AS threshold FROM fq", "candidates", **QUANTILE)),
     "d09_select_topk": (lambda v: S.select_topk(rows(v), 10).select("traj_id", "cand_id"), oracle("SELECT traj_id, cand_id FROM k WHERE rn <= 10 AND (valid OR incumbent)", "candidates", **RANKED)),
     "d10_selection_diff": (
         lambda v: S.selection_diff(S.select_topk(rows(v), 10), S.select_topk(rows(v).withColumn("incumbent", F.lit(False)), 10)),

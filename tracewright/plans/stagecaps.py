@@ -107,6 +107,37 @@ LOSO = {
     "c": "SELECT h.grp, drop_ratio, floor_ratio, count(*) FILTER (verdict = 'wrong_commit') AS w, count(*) FILTER (verdict = 'abstain') AS a, count(*) FILTER (verdict = 'correct_commit') AS k FROM h JOIN p ON p.grp <> h.grp GROUP BY 1, 2, 3",
     "o": "SELECT *, row_number() OVER (PARTITION BY grp ORDER BY a, k DESC, drop_ratio, floor_ratio) AS rn FROM c WHERE w = 0",
 }
+
+
+def walk(factors: tuple[float, ...] = (1.0,)) -> dict[str, str]:
+    """Steps that follow every split's exits: mv has where each position leads, wk the walk, one per scaled threshold."""
+    grid = ", ".join(f"({i}, {POL.tau_rel * f!r}::DOUBLE, {POL.tau_abs * f!r}::DOUBLE)" for i, f in enumerate(factors))
+    gain = "cur > f AND cur - res[q] > f AND CASE WHEN cur = 0 THEN 'Infinity'::DOUBLE ELSE (cur - res[q]) / cur END > tr AND (res[q] <= f OR cur - res[q] > ta)"
+    return {
+        "ls": "SELECT traj_id, split, list(residual ORDER BY stage) AS res, list(floor_ms ORDER BY stage) AS fl, list(usable ORDER BY stage) AS us, list(stage ORDER BY stage) AS st FROM stage_residuals GROUP BY ALL",
+        "ps": "SELECT *, len(st) AS m, unnest(range(1, len(st) + 1)) AS p FROM ls",
+        "pc": "SELECT *, res[p] AS cur, fl[p] AS f, list_min(res[p + 1:]) AS later, p = m OR us[p + 1] AS succ FROM ps",
+        "pf": f"SELECT *, CASE WHEN cur > f THEN 'not_applicable' WHEN cur <= 0 OR f <= 0 OR cur / f < {POL.floor_ratio!r}::DOUBLE OR p = m THEN 'no_clear_drop' WHEN later / cur <= {POL.drop_ratio!r}::DOUBLE THEN 'clear_drop' ELSE 'no_clear_drop' END AS after FROM pc",
+        "fx": f"SELECT pf.*, x.policy, x.ta, list_min([q FOR q IN range(p + 1, least(p + {POL.horizon}, m) + 1) IF NOT us[q] OR ({gain})]) AS nxt, list_max([abs(r) FOR r IN res[p:]]) <= ta AS faint FROM pf, (VALUES {grid}) x(policy, tr, ta)",
+        "mv": "SELECT traj_id, split, policy, p, st, gained, CASE WHEN NOT us[p] THEN {'q': 0, 'kind': 'invalid', 'stage': st[p]} "
+        "WHEN cur <= f THEN CASE WHEN gained AND after = 'clear_drop' THEN {'q': p + 1, 'kind': '', 'stage': 0} WHEN gained AND after = 'no_clear_drop' AND succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p]} ELSE {'q': 0, 'kind': 'undecidable', 'stage': st[p]} END "
+        "WHEN p = m THEN {'q': 0, 'kind': CASE WHEN gained THEN 'positive' ELSE 'undecidable' END, 'stage': st[p]} "
+        "WHEN nxt IS NULL THEN CASE WHEN NOT gained AND faint THEN {'q': 0, 'kind': 'undecidable', 'stage': st[p]} WHEN succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p]} ELSE {'q': 0, 'kind': 'invalid', 'stage': st[p + 1]} END "
+        "WHEN NOT us[nxt] THEN {'q': 0, 'kind': 'invalid', 'stage': st[nxt]} ELSE {'q': nxt, 'kind': '', 'stage': 0} END AS x FROM fx, (VALUES (false), (true)) g(gained)",
+        "wk": "SELECT traj_id, split, policy, CAST(1 AS BIGINT) AS p, false AS gained, '' AS kind, 0 AS stage FROM ls, (SELECT DISTINCT policy FROM mv) o UNION ALL "
+        "SELECT w.traj_id, w.split, w.policy, x.q, x.q > 0, x.kind, x.stage FROM wk w JOIN mv USING (traj_id, split, policy, p, gained) WHERE w.kind = ''",
+        "dc": "SELECT traj_id, 1 AS eq, split, policy, kind, CASE WHEN kind = 'positive' THEN stage END AS cap, stage FROM wk WHERE kind <> ''",
+    }
+
+
+TRACE = "SELECT traj_id, split, string_agg('stage ' || st[p] || ': ' || fresh || ', after a gain: ' || late, '; ' ORDER BY p) AS trace FROM (SELECT traj_id, split, p, st, max(w) FILTER (NOT gained) AS fresh, max(w) FILTER (gained) AS late FROM (SELECT *, CASE WHEN x.q > 0 THEN 'to ' || st[x.q] ELSE x.kind || ' at ' || x.stage END AS w FROM mv) y GROUP BY ALL) z GROUP BY ALL"
+EVENTS = "SELECT traj_id, 1 AS eq, split, st[p] AS stage, CASE WHEN cur > 0 THEN later / cur END AS later_ratio, CASE WHEN f > 0 THEN cur / f END AS floor_ratio, after AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, split ORDER BY p) AS rn FROM pf WHERE cur <= f) q WHERE rn = 1"
+SENSE = {
+    "gs": "SELECT traj_id, policy, count(*) FILTER (kind <> 'invalid') AS n, min(stage) FILTER (kind = 'undecidable') AS b FROM dc GROUP BY ALL",
+    "cs": "SELECT traj_id, policy, cap, count(*) AS k FROM dc WHERE cap IS NOT NULL GROUP BY ALL",
+    "vs": "SELECT g.traj_id, g.policy, (SELECT min(c.cap) FROM cs c WHERE c.traj_id = g.traj_id AND c.policy = g.policy AND c.k > g.n / 2 AND (g.b IS NULL OR g.b > c.cap)) AS cap FROM gs g",
+}
+
 QUERIES = {
     "c01_stage_table": (lambda v: r(C.stage_table(v.traj_events, B2, EV, C.CapPolicy()).select("traj_id", "eq", "split", "stage", F.when(F.col("usable"), F.col("residual")).alias("residual"), "floor_ms", "usable", "rank"), n=4), None),
     "c02_counts_gain": (
@@ -125,7 +156,7 @@ QUERIES = {
         lambda v: arrays(v).select("traj_id", "split", "stage", C.uninformative(F.col("res"), F.col("p"), F.lit(0.02)).alias("flat")),
         oracle("SELECT traj_id, split, stage, max(abs(residual)) OVER (PARTITION BY traj_id, split ORDER BY stage ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= 0.02e0 AS flat FROM stage_residuals", "stage_residuals"),
     ),
-    "c06_split_decision": (decisions, None),
+    "c06_split_decision": (decisions, oracle("SELECT traj_id, eq, split, kind, cap, stage FROM dc", "stage_residuals", **walk())),
     **{f"c07_vote_{m}": ((lambda v, m=m: C.vote(stored(v), m)), oracle(sql, "stage_residuals", **G)) for m, sql in VOTE.items()},
     "c08_estimate_stage_caps": (lambda v: C.estimate_stage_caps(v.traj_events, B2, EV), None),
     "c08_flat_library": (lambda v: C.estimate_stage_caps(v.traj_events, T.flat_basis(2), EV), oracle("SELECT DISTINCT traj_id, eq, NULL AS cap FROM traj_events, (VALUES (1), (2)) e(eq)", "traj_events")),
@@ -184,12 +215,15 @@ QUERIES = {
         lambda v: C.reliability_matrix(at(v, 2).select("traj_id", "eq", "cap"), at(v, 5), at(v, 2).select("traj_id", "eq", "true_stage")),
         oracle("SELECT count(*) FILTER (a.cap >= a.true_stage) AS correct_commit, count(*) FILTER (a.cap < a.true_stage) AS wrong_commit, count(*) FILTER (a.cap IS NULL AND coalesce(b.cap >= b.true_stage, false)) AS unnecessary_abstain, count(*) FILTER (a.cap IS NULL AND NOT coalesce(b.cap >= b.true_stage, false)) AS correct_abstain FROM cp a JOIN cp b ON a.traj_id = b.traj_id AND b.horizon = 5 WHERE a.horizon = 2", cp=CAPS_SQL),
     ),
-    "c23_trace_decisions": (lambda v: C.trace_decisions(table(v), C.policy_struct(POL)), None),
+    "c23_trace_decisions": (lambda v: C.trace_decisions(table(v), C.policy_struct(POL)), oracle("SELECT traj_id, eq, split, kind, cap, stage, trace FROM dc JOIN tr USING (traj_id, split)", "stage_residuals", **walk(), tr=TRACE)),
     "c24_cap_changes": (
         lambda v: C.cap_changes(at(v, 3), at(v, 2), at(v, 2).where("traj_id % 2 = 0")),
         oracle("SELECT a.traj_id, a.eq, b.cap AS old, a.cap AS new, a.traj_id % 2 = 0 AS allowed FROM cp a JOIN cp b ON a.traj_id = b.traj_id AND b.horizon = 2 WHERE a.horizon = 3 AND a.cap IS DISTINCT FROM b.cap", cp=CAPS_SQL),
     ),
-    "c25_cap_sensitivity": (lambda v: C.cap_sensitivity(table(v), (0.1, 1.0, 10.0, 1000.0), POL).select("traj_id", "eq", F.concat_ws(",", F.transform("caps", lambda x: x.cast("string"))).alias("caps"), "n_caps"), None),
-    "c26_post_floor_events": (lambda v: r(C.post_floor_events(table(v), POL), n=9), None),
-    "c26_nearest_event": (lambda v: r(C.nearest_event(C.post_floor_events(table(v), POL)), n=9), None),
+    "c25_cap_sensitivity": (
+        lambda v: C.cap_sensitivity(table(v), (0.1, 1.0, 10.0, 1000.0), POL).select("traj_id", "eq", F.concat_ws(",", F.transform("caps", lambda x: x.cast("string"))).alias("caps"), "n_caps"),
+        oracle("SELECT traj_id, 1 AS eq, array_to_string(list_sort(list(DISTINCT coalesce(cap, 0))), ',') AS caps, count(DISTINCT coalesce(cap, 0)) AS n_caps FROM vs GROUP BY traj_id", "stage_residuals", **walk((0.1, 1.0, 10.0, 1000.0)), **SENSE),
+    ),
+    "c26_post_floor_events": (lambda v: r(C.post_floor_events(table(v), POL), n=9), oracle("SELECT traj_id, eq, split, stage, round(later_ratio, 9) AS later_ratio, round(floor_ratio, 9) AS floor_ratio, outcome FROM ev", "stage_residuals", **{k: q for k, q in walk().items() if k in ("ls", "ps", "pc", "pf")}, ev=EVENTS)),
+    "c26_nearest_event": (lambda v: r(C.nearest_event(C.post_floor_events(table(v), POL)), n=9), oracle("SELECT traj_id, eq, split, stage, round(later_ratio, 9) AS later_ratio, outcome FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, eq ORDER BY coalesce(abs(later_ratio - 0.5e0), 'Infinity'::DOUBLE), split) AS rn FROM ev) q WHERE rn = 1", "stage_residuals", **{k: q for k, q in walk().items() if k in ("ls", "ps", "pc", "pf")}, ev=EVENTS)),
 }

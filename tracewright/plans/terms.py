@@ -15,15 +15,33 @@ B2 = T.staged_basis(2)
 NAMES = {t.idx: t.name for t in B2}
 #: Expanded terms of all kinds, one per part by its key.
 TERMS = ["u1", "2.5*u2^2", "u2*u1", "u1^3", "sin(u1)", "-3*cos(u2)", "4", "exp(u1)", "sin(2*u1)", "u1^2*u2", "u2^4", "u1*u2*u3", "u1*exp(u2)", "u3"]
-MONO_SQL = "SELECT p_size AS system_id, p_partkey % 3 + 1 AS eq, CASE p_partkey % 14 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TERMS)) + " END AS term FROM part WHERE p_size % 3 = 0 OR p_partkey % 14 < 6"
+#: Systems of two thirds of the sizes hold library terms only.
+MONO_SQL = "SELECT p_size AS system_id, p_partkey % 3 + 1 AS eq, CASE CASE WHEN p_size % 3 = 0 THEN p_partkey % 14 ELSE p_partkey % 14 % 6 END " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TERMS)) + " END AS term FROM part"
 NAME_SQL = "CASE term " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in NAMES.items()) + " END"
 STAGE_SQL = "CASE " + " ".join(f"WHEN term IN ({', '.join(str(t.idx) for t in B2 if t.stage == s)}) THEN {s}" for s in range(1, 6)) + " END"
 
 
 def monomials(v: Views) -> DataFrame:
     k = F.col("p_partkey") % len(TERMS)
+    k = F.when(F.col("p_size") % 3 == 0, k).otherwise(k % 6)
     term = F.element_at(F.array(*[F.lit(t) for t in TERMS]), (k + 1).cast("int"))
-    return v.part.where((F.col("p_size") % 3 == 0) | (k < 6)).select(F.col("p_size").alias("system_id"), (F.col("p_partkey") % 3 + 1).alias("eq"), term.alias("term"))
+    return v.part.select(F.col("p_size").alias("system_id"), (F.col("p_partkey") % 3 + 1).alias("eq"), term.alias("term"))
+
+
+def libraries(v: Views) -> DataFrame:
+    """The staged library of every cell, by the cell's dimension."""
+    cells = v.level_events.select("cell", "dim").distinct()
+    each = F.array(*[F.array(*[F.struct(F.lit(t.idx).alias("term"), F.lit(t.name).alias("name"), F.lit(t.stage).alias("stage")) for t in T.staged_basis(d)]) for d in range(1, 5)])
+    return cells.select("cell", "dim", F.inline(F.element_at(each, F.col("dim").cast("int"))))
+
+
+#: The same by rule: five stages over the variables 1 to dim.
+LIBRARY_SQL = {
+    "ce": "SELECT DISTINCT cell, dim FROM level_events",
+    "vi": "SELECT cell, dim, unnest(range(1, dim + 1)) AS i FROM ce",
+    "nm": "SELECT cell, dim, 1 AS stage, i AS a, 0 AS b, 'u' || i AS name FROM vi UNION ALL SELECT cell, dim, 2, i, 0, 'u' || i || '^2' FROM vi UNION ALL SELECT x.cell, x.dim, 3, x.i, y.i, 'u' || x.i || '*u' || y.i FROM vi x JOIN vi y ON x.cell = y.cell AND x.i < y.i "
+    "UNION ALL SELECT cell, dim, 4, i, 0, 'u' || i || '^3' FROM vi UNION ALL SELECT cell, dim, 5, i, 1, 'sin(u' || i || ')' FROM vi UNION ALL SELECT cell, dim, 5, i, 2, 'cos(u' || i || ')' FROM vi",
+}
 
 
 def stages_of(v: Views) -> DataFrame:
@@ -73,7 +91,7 @@ def _pruned_match(v: Views) -> DataFrame:
 
 
 QUERIES = {
-    "p01_staged_basis": (lambda v: T.terms_table(v.spark, T.staged_basis(3)).select("term", "name", "stage").crossJoin(v.region.agg(F.count(F.lit(1)).alias("n_regions"))), oracle("SELECT term, name, stage, (SELECT count(*) FROM region) AS n_regions FROM (VALUES " + ", ".join(f"({t.idx}, '{t.name}', {t.stage})" for t in T.staged_basis(3)) + ") x(term, name, stage)")),
+    "p01_staged_basis": (libraries, oracle("SELECT cell, dim, CAST(row_number() OVER (PARTITION BY cell ORDER BY stage, a, b) AS INT) AS term, name, stage FROM nm", "level_events", **LIBRARY_SQL)),
     "p02_flat_basis": (
         lambda v: r(v.traj_events.select("traj_id", "seq", *[t.column().alias(f"f{t.idx}") for t in T.flat_basis(0, ["u1", "u2"])]), n=9),
         oracle("SELECT traj_id, seq, round(u1, 9) AS f1, round(u2, 9) AS f2, round(u1 * u1, 9) AS f3, round(u2 * u2, 9) AS f4, round(u1 * u2, 9) AS f5 FROM traj_events", "traj_events"),

@@ -46,7 +46,7 @@ FROM lineitem GROUP BY l_suppkey, l_linenumber % 4 + 1, CAST(l_quantity AS INT)
 SELECT l_orderkey AS run_id, l_linenumber % 2 + 1 AS eq, l_partkey % 11 + 1 AS term, max(round(l_discount - 0.05, 4)) AS coef
 FROM lineitem GROUP BY l_orderkey, l_linenumber % 2 + 1, l_partkey % 11 + 1"""),
     "candidates": ("part", """
-SELECT p_size % 20 AS traj_id, p_partkey AS cand_id, p_partkey - p_partkey % 5 AS parent_id, p_size % 6 + 1 AS n_params,
+SELECT CAST(floor(p_partkey / 50.0) AS INT) AS traj_id, p_partkey AS cand_id, p_partkey - p_partkey % 5 AS parent_id, p_size % 6 + 1 AS n_params,
        p_retailprice / 1000 AS residual, CAST((p_partkey * 7919) % 1009 AS DOUBLE) / 1009 AS loss
 FROM part"""),
 }
@@ -82,4 +82,4 @@ class Views:
 def oracle(select: str, *views: str, **ctes: str) -> str:
     """SQL for the oracle engine: the views, then the named steps, then the query."""
     parts = [f"{v} AS ({_oracle(VIEWS[v][1])})" for v in views] + [f"{k} AS ({v})" for k, v in ctes.items()]
-    return (f"WITH {', '.join(parts)} " if parts else "") + select
+    return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + select

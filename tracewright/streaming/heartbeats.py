@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,7 +38,10 @@ def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     best, silent, last = state.get if state.exists else (float("inf"), 0, 0)
     rows = pd.concat(list(batches)).sort_values("level")
     for level, loss in rows[["level", "best_loss"]].itertuples(index=False):
-        if loss < best:
+        if level <= last:
+            # late or repeated: it may lower the best, but the levels after it have been counted
+            best = min(best, float(loss))
+        elif loss < best:
             best, silent = float(loss), 0
         else:
             silent += 1
@@ -47,7 +51,11 @@ def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def live_progress(events: DataFrame) -> DataFrame:
-    """A row per cell and trigger: last level, best loss, levels since it improved. A cell's events arrive in level order."""
+    """A row per cell and trigger: last level, best loss, levels since it improved. 
+
+    Levels at or below a cell's last one are late: they may lower the best loss but aren't counted as silent, nor do they
+    end a silence that came after them.
+    """
     return events.where("event = 'level'").groupBy("cell").applyInPandasWithState(_progress, PROGRESS, "best double, silent int, last int", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -88,17 +96,26 @@ def level_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour"
     return s.select("cell", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
 
 
-def stream_merge(records: DataFrame, history: str, checkpoint: str) -> StreamingQuery:
+#: Folders that the history's keys are hashed to; a batch reads those that its own keys fall into.
+BUCKETS = 256
+
+
+def stream_merge(records: DataFrame, history: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Append finished cells to the Parquet history, each key once; a batch that is run again adds nothing.
 
-    Each batch goes to a folder of its own number, overwritten if the batch is retried.
+    Each batch goes to a folder of its own number, overwritten if the batch is retried, and within it to folders by key
+    hash. Only the folders of keys that the batch brings are read, and of them only the keys.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        out = f"{history}/batch={number}"
-        old = spark.read.schema(batch.drop("file", "line").schema.add("batch", "long")).parquet(history).where(F.col("batch") != number).drop("batch") if number else batch.drop("file", "line").limit(0)
-        E.merge_records(batch, old)[0].write.mode("overwrite").parquet(out)
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(*[F.col(k) for k in E.KEY if k in batch.columns]), F.lit(buckets)).cast("int")
+        new = E.with_ic(batch).withColumn("bucket", bucket)
+        schema = batch.drop("file", "line").schema
+        old = spark.createDataFrame([], schema)
+        if number:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            old = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(history).where((F.col("batch") != number) & F.col("bucket").isin(touched)).drop("batch", "bucket")
+        E.merge_records(new.drop("bucket"), old)[0].withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={number}")
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
