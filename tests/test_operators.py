@@ -1,6 +1,7 @@
 """Golden cases and numpy references for what SQL can't express, and errors."""
 
 import dataclasses
+import hashlib
 import math
 
 import numpy as np
@@ -13,6 +14,7 @@ from tracewright.operators import regression as R
 from tracewright.operators import search as S
 from tracewright.operators import stagecaps as C
 from tracewright.operators import terms as T
+from tracewright.operators.discover import discover
 from tracewright.plans.search import GROW
 from tracewright.sources import records as SR
 
@@ -88,7 +90,7 @@ def test_grow_passes_all_stages(spark, growth):
     caps = spark.createDataFrame([(1, 1, 1)], "traj_id long, eq int, cap int")
     stage = [t.stage for t in basis]
     free, log = S.grow(f, basis, 1, policy)
-    assert {r["stage"] for r in log.collect()} == set(range(1, max(stage) + 1))
+    assert {max(r["stages"]) for r in log.collect()} == set(range(1, max(stage) + 1))
     used = lambda best: max(stage[i - 1] for i in best.first()["structure"][0])
     # stage 2 is open from level 4 on
     capped, _ = S.grow(f, basis, 1, dataclasses.replace(policy, max_levels=5), caps)
@@ -174,6 +176,176 @@ def test_search_does_not_depend_on_partitions(spark, wide):
     assert one == many
 
 
+def plain_search(stack, basis, traj, policy, caps):
+    """(best structure, rows of the log) of one series: the search's rules one candidate at a time."""
+    dim, p, top = len(caps), len(basis), max(t.stage for t in basis)
+    r = stack.plain_of(np.arange(len(stack.count)))
+    draw = lambda n, *k: int(hashlib.md5(":".join(map(str, (policy.seed, *k))).encode()).hexdigest()[:8], 16) % max(n, 1)
+    pick = lambda v, *k: v[draw(len(v), *k)]
+
+    def allowed(stages):
+        ok = lambda t, e: t.stage <= stages[e] and (len(t.vars) < 2 or all(v == e + 1 or stages[v - 1] >= t.stage or caps[v - 1] and caps[v - 1] < t.stage for v in t.vars))
+        return [[t.idx for t in basis if ok(t, e)] for e in range(dim)]
+
+    def scored(s, cid):
+        res = [R.residual(r, [t - 1 for t in s[e]], p + e, R.solve(r[:, [t - 1 for t in s[e]]], r[:, p + e]), stack.n) for e in range(dim)]
+        loss = sum(res) / dim
+        return {"s": s, "id": cid, "res": res, "loss": loss, "obj": loss + policy.penalty * sum(map(len, s))}
+
+    stages, in_stage, recent, stage, n_stage, bests = [1] * dim, [0] * dim, [[] for _ in range(dim)], 1, 0, []
+    start = allowed(stages)
+    pop = sorted((scored([[pick(start[e], traj, c, e, "init")] for e in range(dim)], c) for c in range(policy.pop_size)), key=lambda x: (x["obj"], x["id"]))
+    log = []
+    for level in range(1, policy.max_levels + 1):
+        lists = allowed(stages)
+        now = [[t for t in lists[e] if basis[t - 1].stage == stages[e]] for e in range(dim)]
+        now = [[] if len(now[e]) == len(lists[e]) else now[e] for e in range(dim)]
+        kids = []
+        for parent in sorted(pop, key=lambda x: x["id"]):
+            for child in range(1, policy.children + 1):
+                s, k = parent["s"], (level, traj, parent["id"], child)
+                room = [len(x) < policy.max_terms for x in s]
+                hard = [e for e in range(dim) if room[e] and set(now[e]) - set(s[e])]
+                free = [e for e in range(dim) if room[e] and set(lists[e]) - set(s[e])]
+                if hard and draw(1 << 30, *k, "mode") / (1 << 30) < policy.hard_p:
+                    e = pick(hard, *k, "hard")
+                    options = [t for t in now[e] if t not in s[e]]
+                else:
+                    e = pick(free, *k, "eq") if free and any(now) else draw(dim, *k, "eq")
+                    options = [t for t in lists[e] if t not in s[e]]
+                grown = [list(x) for x in s]
+                if options and room[e]:
+                    grown[e] = sorted({*s[e], pick(options, *k, "term")})
+                kids.append(scored(grown, level * 1_000_000 + len(kids) + 1))
+        pop = sorted([(x["obj"], 0, x["id"], x) for x in pop] + [(x["obj"], 1, x["id"], x) for x in kids], key=lambda x: x[:3])[: policy.pop_size]
+        pop = [x for *_, x in pop]
+        best, during = pop[0], list(stages)
+        if policy.progress == "equation":
+            flat, limit = [], [top if c is None else max(c, s) for c, s in zip(caps, stages)]
+            for e in range(dim):
+                in_stage[e] += 1
+                recent[e].append(best["res"][e])
+                last = recent[e][-policy.window :]
+                flat.append(len(last) == policy.window and max(last) - min(last) < policy.plateau_tol)
+            why = "max_levels" if level >= policy.max_levels else "min_levels" if level < policy.min_levels else "loss_tol" if best["loss"] < policy.loss_tol else "all_equations_max_stage_plateau" if all(flat) and all(s >= m for s, m in zip(stages, limit)) else "continue"
+            up = [flat[e] and in_stage[e] >= max(policy.min_per_stage, policy.window + 1) and best["res"][e] > policy.loss_tol and stages[e] < limit[e] and why in ("min_levels", "continue") for e in range(dim)]
+            for e in range(dim):
+                if up[e]:
+                    stages[e], in_stage[e], recent[e] = stages[e] + 1, 0, []
+        else:
+            n_stage += 1
+            bests.append(best["obj"])
+            most = max(top if c is None else c for c in caps)
+            level_off = len(bests) > policy.window and bests[-1 - policy.window] - bests[-1] < policy.plateau_tol
+            why = "max_levels" if level >= policy.max_levels else "loss_tol" if best["loss"] < policy.loss_tol else "stage_budget" if n_stage < policy.min_per_stage else "insufficient_history" if len(bests) <= policy.window else "plateau_absolute" if level_off and stage >= most else "continue"
+            up = [why == "continue" and level_off] * dim
+            if up[0]:
+                stage, n_stage, bests = stage + 1, 0, []
+                stages = [min(stage, top if c is None else c) for c in caps]
+        log.append((level, during, [e + 1 for e in range(dim) if up[e]], why, round(best["loss"], 9)))
+        if why in ("max_levels", "loss_tol", "all_equations_max_stage_plateau", "plateau_absolute"):
+            break
+    return pop[0]["s"], log
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    """Three short series of dimension 2."""
+    g = np.random.default_rng(8)
+    rows = []
+    for k, n in ((1, 60), (2, 45), (3, 80)):
+        x = np.cumsum(g.normal(size=(n, 2)), 0) / 10
+        rows += [(k, i + 1, i * 0.05, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    traj = spark.createDataFrame(rows, "traj_id long, seq int, t double, u1 double, u2 double")
+    basis = T.staged_basis(2)
+    return S.cut(R.block_factors(R.prepare(traj, basis, ["u1", "u2"]), len(basis), 2)), basis
+
+
+@pytest.mark.parametrize("progress", ["equation", "series"])
+def test_search_equals_plain_rules(spark, three, progress):
+    """Structures, stages, promotions and reasons of every series and level; a series' result doesn't depend on others."""
+    f, basis = three
+    policy = S.SearchPolicy(pop_size=4, children=2, max_levels=13, plateau_tol=0.3, progress=progress)
+    caps = spark.createDataFrame([(1, 1, None), (1, 2, 2), (2, 1, 1), (2, 2, 1)], "traj_id long, eq int, cap int")
+    best, log = S.grow(f, basis, 2, policy, caps)
+    best, log = {r["traj_id"]: r for r in best.collect()}, log.collect()
+    groups = {k: g for k, g in f.toPandas().groupby("traj_id")}
+    for k, own in ((1, [None, 2]), (2, [1, 1]), (3, [None, None])):
+        structure, rows = plain_search(R.Stack(groups[k], len(basis), 2), basis, k, policy, own)
+        assert best[k]["structure"] == structure and best[k]["levels"] == len(rows)
+        assert sorted((r["level"], r["stages"], r["promoted"], r["reason"], round(r["loss"], 9)) for r in log if r["traj_id"] == k) == rows
+    assert {max(r["stages"]) for r in log} >= {1, 2, 3} and any(r["stages"][0] != r["stages"][1] for r in log)
+    alone, _ = S.grow(f.where("traj_id = 3"), basis, 2, policy)
+    assert alone.collect() == [best[3]]
+
+
+def test_search_callback_and_errors(spark, three):
+    f, basis = three
+    seen = []
+    S.grow(f, basis, 2, S.SearchPolicy(pop_size=3, children=1, max_levels=2), on_level=lambda pop, level: seen.append((level, pop.count())))
+    assert seen == [(1, 9), (2, 9)]
+    with pytest.raises(ValueError):
+        S.grow(f, basis, 2, S.SearchPolicy(progress="other"))
+
+
+def test_screening_keeps_the_best_children(spark, three):
+    """Of each series' children those that pass the gate come first, then by score."""
+    f, basis = three
+    kids = spark.createDataFrame([(1, 10, 0, [[1, 2], [1]]), (1, 11, 0, [[1], [1]]), (1, 12, 0, [[1, 2, 3, 4], [1, 2, 3, 4]])], "traj_id long, cand_id long, parent_id long, structure array<array<int>>")
+    parent = S.scored(spark.createDataFrame([(1, 0, [[1], [1]])], "traj_id long, cand_id long, structure array<array<int>>"), f, 11, 2)
+    new = S.scored(kids, f, 11, 2).join(kids.drop("structure"), ["traj_id", "cand_id"])
+    rows = {r["cand_id"]: r for r in new.collect()}
+    p = parent.first()
+
+    def passes(r):
+        d1, d2 = r["n_params"] - p["n_params"], r["n"] - r["n_params"]
+        return d1 <= 0 or p["loss"] > r["loss"] and (p["loss"] - r["loss"]) * r["n"] / d1 / (r["loss"] * r["n"] / d2) > S.f_quantile(0.95, d1, d2)
+
+    order = sorted(rows, key=lambda i: (not passes(rows[i]), rows[i]["loss"] + 1e-12 * rows[i]["n_params"], i))
+    for k in (1, 2):
+        got = S.screened(new, parent, S.SearchPolicy(screen_k=k)).collect()
+        assert sorted(r["cand_id"] for r in got) == sorted(order[:k])
+
+
+def test_batched_solves_equal_single_ones():
+    g = np.random.default_rng(1)
+    r = np.triu(g.normal(size=(8, 8)))
+    r[:, 3] = r[:, 1]  # two equal columns: the smallest coefficients
+    cols, y = np.array([[0, 1, 3], [0, 2, 4], [1, 3, 5]]), np.array([6, 7, 6])
+    c, mse = R.solve_many(r, cols, y, 20)
+    for i in range(3):
+        want = R.solve(r[:, cols[i]], r[:, y[i]])
+        assert np.allclose(c[i], want) and math.isclose(mse[i], R.residual(r, cols[i].tolist(), y[i], want, 20), rel_tol=1e-9)
+    assert R.solve_many(r, np.zeros((2, 0), int), np.array([6, 7]), 20)[0].shape == (2, 0)
+
+
+def test_evolutionary_search(spark, three):
+    f, basis = three
+    best, log = S.gp_search(f, basis, 2, S.SearchPolicy(pop_size=6, max_levels=4, min_levels=4))
+    rows = log.collect()
+    assert sorted(r["traj_id"] for r in best.collect()) == [1, 2, 3] and len(rows) == 12
+    for k in (1, 2, 3):  # the best survives
+        objective = [r["best"] for r in sorted(rows, key=lambda r: r["level"]) if r["traj_id"] == k]
+        assert objective == sorted(objective, reverse=True)
+
+
+def test_discover_records(spark):
+    """A linear system, whose own equations are the truth; another truth isn't matched."""
+    a = np.array([[-0.5, 1.0], [-1.0, -0.5]])
+    w, v = np.linalg.eig(a)
+    rows = [(1, i + 1, i * 0.02, *(v @ np.diag(np.exp(w * i * 0.02)) @ np.linalg.inv(v) @ [1.0, 0.5]).real.tolist()) for i in range(200)]
+    traj = spark.createDataFrame(rows, "traj_id long, seq int, t double, u1 double, u2 double")
+    for terms, match in ([(1, 1), (1, 2), (2, 1), (2, 2)], True), ([(1, 1), (2, 2)], False):
+        truth = spark.createDataFrame([(1, e, t) for e, t in terms] + [(9, 1, 1)], "traj_id long, eq int, term int")
+        records, log = discover(traj, T.staged_basis(2), ["u1", "u2"], S.SearchPolicy(max_levels=6, children=4, loss_tol=1e-6), caps=C.CapPolicy(), truth=truth)
+        x = records.collect()
+        assert len(x) == 1
+        x = x[0]
+        assert x["pruned_match"] is match and x["r2"] > 0.999 and x["pruned_terms"] == [["u1", "u2"], ["u1", "u2"]] and len(x["stage_caps"]) == 2
+        assert np.allclose([c for e in x["params"] for c in e[:2]], a.ravel(), atol=0.02)
+    assert x["levels"] == log.count()
+
+
 def test_growth_modes(spark):
     pop = spark.createDataFrame([(1, 0, [[1], [2]]), (1, 1, [[1, 2, 3, 4], [1, 2, 3, 4]])], "traj_id long, cand_id long, structure array<array<int>>")
     allowed = spark.createDataFrame([(1, [[1, 2, 3, 4, 5], [1, 2, 3, 4, 5]])], "traj_id long, terms array<array<int>>")

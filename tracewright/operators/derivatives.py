@@ -124,8 +124,10 @@ def coarsen(traj: DataFrame, k: int = 2) -> DataFrame:
 def _between(point: Column, cols: Sequence[str]) -> dict[str, Column]:
     """Linear interpolation at t between the last non-null point (struct of t and cols) at or before a row and the first at
     or after it, held constant beyond both ends."""
-    w = Window.partitionBy("traj_id").orderBy("t")
-    a, b = F.last(point, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(point, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # both frames grow row by row; a frame that shrinks towards the end would be folded anew for every row
+    before = Window.partitionBy("traj_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("traj_id").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    a, b = F.last(point, True).over(before), F.last(point, True).over(after)
     f = F.when(b["t"] > a["t"], (F.col("t") - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
     return {c: F.when(a.isNull(), b[c]).when(b.isNull(), a[c]).otherwise(a[c] + f * (b[c] - a[c])) for c in cols}
 

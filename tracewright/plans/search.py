@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import search as S
 from tracewright.operators import stagecaps as C
 from tracewright.operators import terms as T
+from tracewright.operators.discover import discover
 
 from .derivatives import EV, r
 from .regression import B2, P, factors
@@ -77,6 +78,13 @@ def searched(v: Views, caps: bool, policy: S.SearchPolicy = GROW) -> tuple[DataF
     return S.grow(f, B2, 2, policy, S.cut(c, "caps") if caps else None)
 
 
+def callback(v: Views) -> DataFrame:
+    """What a level callback sees of three levels: the series that run and the last of them."""
+    seen = []
+    S.grow(S.cut(factors(v), "factors"), B2, 2, dataclasses.replace(GROW, max_levels=3, min_levels=4), on_level=lambda pop, level: seen.append(pop.where("rn = 1").agg(F.count(F.lit(1)).alias("series"), F.max("traj_id").alias("last")).withColumn("level", F.lit(level))))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).select("level", "series", "last")
+
+
 def found(best: DataFrame) -> DataFrame:
     return text(best).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"), F.concat_ws(",", F.transform("stages", lambda x: x.cast("string"))).alias("stages"), "levels", "reason")
 
@@ -196,6 +204,14 @@ QUERIES = {
     "d22_grow": (lambda v: found(searched(v, False)[0]), None),
     "d22_grow_by_series": (lambda v: found(searched(v, False, dataclasses.replace(GROW, progress="series", screen_k=6))[0]), None),
     "d23_grow_capped": (lambda v: found(searched(v, True)[0]), None),
+    "d22_discover": (
+        # the truth is that every equation is linear in its own state: what the records say about it
+        lambda v: r(discover(v.traj_events, B2, EV, dataclasses.replace(GROW, max_levels=8), caps=C.CapPolicy(), truth=v.traj_events.select("traj_id").distinct().select("traj_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("eq")).withColumn("term", F.col("eq")))[0].select(
+            "traj_id", "dim", "n_params", "loss", "r2", "final_stage", "levels", "promotions", "termination", F.concat_ws("|", F.transform("support_terms", lambda x: F.concat_ws(",", x))).alias("support"), "raw_match", "pruned_match"), n=4),
+        None,
+    ),
+    "d24_gp_search": (lambda v: text(S.gp_search(S.cut(factors(v), "factors"), B2, 2, dataclasses.replace(GROW, max_levels=10))[0]).select("traj_id", "structure", "n_params", F.round("loss", 4).alias("loss"), "levels", "reason"), None),
+    "u02_level_callback": (callback, oracle("SELECT level, count(DISTINCT traj_id) AS series, max(traj_id) AS last FROM traj_events, range(1, 4) l(level) GROUP BY level", "traj_events")),
     "d24_gp_generation": (lambda v: text(S.gp_generation(population(v), 11, 0, 1)), None),
     "d25_cost_totals": (
         lambda v: S.cost_totals(v.lineitem.select(F.col("l_suppkey").alias("traj_id"), F.col("l_linenumber").alias("level"), F.col("l_partkey").alias("fits"), F.col("l_orderkey").alias("solves"), F.col("l_returnflag").alias("retcode")), ["traj_id", "level"], ["fits", "solves"], "retcode"),
