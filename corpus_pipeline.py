@@ -35,7 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("quality classifier", keep_good), ("near duplicates", keep_one_of_each), ("mixing", mix_sources), ("packing", pack_sequences)]
-#: The tokenizer and the classifier have no SQL form; tests/llm/test_pipeline.py has a brute-force version.
+#: The tokenizer and the classifier have no SQL form; test_pipeline in tests/llm/test_queries.py has a brute-force version.
 ORACLE_SQL = None
 
 
