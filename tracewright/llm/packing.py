@@ -17,8 +17,10 @@ from .words import chunks, hash_pieces
 DIMS, BITS, FEATURES = 3, 10, 1024
 #: Most pieces of text that a worker keeps with their ids (about 20 bytes each): the first ones met, so the frequent ones.
 KEPT = 1_000_000
-#: Pieces that go through the tokenizer in one text, a line each; the id of a line end.
-LINES, NEWLINE = 200, 198
+#: Pieces that go through the tokenizer in one text, a line each.
+LINES = 200
+#: What a tokenizer must cut at a space before a non-space and at a line end after one; else texts go through it whole.
+PROBES = tuple("It's one small test of twelve words 12345 don't naïve ñandú 東京 x (y) [z] . a_b c-d A .5 \U0001f600 e".split())
 CHUNK = 1_000_000
 FIRST = np.uint64(0xA0761D6478BD642F)
 
@@ -29,7 +31,7 @@ class Ids:
     A byte-level BPE with a leading-space pre-tokenizer never merges across the start of " x" (one space before a
     non-space), so a text's ids are those of its pieces cut there. Pieces are told apart by 64-bit hashes; each new one
     goes through the library, and known ones are gathered from one pool of ids. Texts with runs of white space after a
-    space, or with NUL, go through the library whole.
+    space, or with NUL, go through the library whole; so do all texts if a tokenizer fails the PROBES.
     """
 
     def __init__(self, path: str):
@@ -37,7 +39,14 @@ class Ids:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.odd = re.compile(r" \s|\x00").search
+        if self.tok.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
+        encode = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.newline = (encode("\n") or [-1])[0]
+        one = [encode(" " + x) for x in PROBES]
+        lines = [i for x in one for i in [*x, self.newline]]
+        self.cuts = len(encode("\n")) == 1 and encode(" " + " ".join(PROBES)) == [i for x in one for i in x] and encode("".join(f" {x}\n" for x in PROBES)) == lines == encode("\n".join([" " + x for x in PROBES])) + [self.newline]
+        self.odd = re.compile(r" \s|\x00" if self.cuts else r"").search
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint16)
 
@@ -93,7 +102,7 @@ class Ids:
         for part, c in zip(parts, self.tok.encode_batch_fast(["".join([f" {pieces[i]}\n" for i in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(c.ids, "<u2")
             raw, at = ids.tobytes(), 0
-            for i, end in zip(part, np.flatnonzero(ids == NEWLINE).tolist(), strict=True):
+            for i, end in zip(part, np.flatnonzero(ids == self.newline).tolist(), strict=True):
                 out[i] = raw[2 * at : 2 * end]
                 at = end + 1
         return out
