@@ -172,6 +172,29 @@ def test_packing(documents, odd, none):
     assert [len(r["ids"]) // 2 for r in s[:-1]] == [5] * (len(s) - 1)
 
 
+def test_ids_of_other_tokenizers():
+    """A tokenizer that doesn't cut at spaces and line ends gets whole texts."""
+    import public_tokenizers
+
+    texts = ["a b c\nd  e", "x" * 50, "", "It's one\n\n test of  words ", "größe \x00 東京\r\n\tx"]
+    for name, cuts in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        ids = packing.Ids(public_tokenizers.path(name))
+        assert ids.cuts == cuts
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == [ids.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from tracewright.llm import words as w
+
+    texts = [b"", b"one  two\tthree", b"x" * 300, b" lead and trail ", b"a b " * 200, b"\n"]
+    whole = w.hash_words(texts)
+    monkeypatch.setattr(w, "_segments", lambda space: iter([(i, j) for i, j in zip([0, *cuts[:-1]], cuts) if j > i]))
+    data = b"\n".join(texts) + b"\n"
+    cuts = [i + 1 for i, c in enumerate(data) if c in b" \t\n"]
+    got = w.hash_words(texts)
+    assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+
+
 def test_hilbert_curve_is_continuous():
     g = np.array(np.meshgrid(*[range(8)] * 3)).reshape(3, -1).T
     key = packing.hilbert_key(g, 3)

@@ -33,12 +33,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _segments(space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of parts of about CHUNK bytes that end with white space, as the whole does; a longer word is one part."""
+    at, n = 0, len(space)
+    while at < n:
+        end = min(at + CHUNK + 100_000, n)
+        if not space[end - 1]:
+            end += int(space[end:].argmax()) + 1
+        yield at, end
+        at = end
+
+
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, number of words of each text); words are maximal runs without ASCII white space."""
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[b]
+    space, hashes, starts = _SPACE[b], [], []
+    for i, j in _segments(space):
+        h, start = _hash_part(b[i:j], space[i:j])
+        hashes.append(h)
+        starts.append(start + i)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.r_[0, np.searchsorted(np.concatenate(starts), bounds)])
+
+
+def _hash_part(b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the words of bytes that end with white space."""
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.r_[0, edge]
@@ -46,9 +67,7 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(b))
     total = np.cumsum(_BYTE[b] * up, dtype=np.uint64)
     h = total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))
-    h = mix64(h * down[start] + (end - start).astype(np.uint64))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.r_[0, np.searchsorted(start, bounds)])
+    return mix64(h * down[start] + (end - start).astype(np.uint64)), start
 
 
 #: As _BYTE, but with a value of its own for every byte.
