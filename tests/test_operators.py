@@ -319,6 +319,51 @@ def test_batched_solves_equal_single_ones():
     assert R.solve_many(r, np.zeros((2, 0), int), np.array([6, 7]), 20)[0].shape == (2, 0)
 
 
+def test_best_estimator_is_of_the_smallest_median(spark):
+    rows = [("a", "all", 3.0), ("a", "all", 1.0), ("a", "all", 9.0), ("b", "all", 2.0), ("b", "all", 2.5), ("c", "first", 0.1), ("b", "first", 99.0)]
+    assert tuple(D.best_estimator(spark.createDataFrame(rows, "estimator string, block string, rms double")).first()) == ("b", 2.25)
+
+
+def test_full_library_fit(spark, three):
+    """Coefficients, errors, R2 and rank of every equation against a direct fit on the series' factor."""
+    f, basis = three
+    got = {(r["traj_id"], r["eq"], r["term"]): r for r in R.fit_ols(f, len(basis), 2).collect()}
+    for k, g in f.toPandas().groupby("traj_id"):
+        s = R.Stack(g, len(basis), 2)
+        r = s.plain_of(np.arange(len(s.count)))
+        for e in range(2):
+            c, _, rank, _ = np.linalg.lstsq(r[:, :11], r[:, 11 + e], rcond=None)
+            mse = float(np.sum((r[:, :11] @ c - r[:, 11 + e]) ** 2)) / s.n
+            y2, y1 = s.sums[:, 1, e].sum(), s.sums[:, 0, e].sum()
+            for t in range(11):
+                x = got[k, e + 1, t + 1]
+                assert math.isclose(x["coef"], c[t], rel_tol=1e-9) and math.isclose(x["mse"], mse, rel_tol=1e-9) and x["rank"] == rank
+                assert math.isclose(x["r2"], 1 - mse * s.n / (y2 - y1 * y1 / s.n), rel_tol=1e-9)
+
+
+def test_generation_equals_plain_rules(spark):
+    """Elite, tournaments, crossover by equation and the three mutations, slot by slot."""
+    g = np.random.default_rng(4)
+    pop = [(k, i, [sorted({int(x) for x in g.integers(1, 12, g.integers(1, 5))}) for _ in range(2)], float(g.integers(0, 50))) for k in (1, 2) for i in range(30)]
+    got = S.gp_generation(spark.createDataFrame(pop, "traj_id long, cand_id long, structure array<array<int>>, objective double"), 11, 3, 7, elite=2, k=3, max_terms=4).collect()
+    draw = lambda n, *k: int(hashlib.md5(":".join(map(str, (3, 7, *k))).encode()).hexdigest()[:8], 16) % n
+    want, kinds = [], set()
+    for k in (1, 2):
+        order = [s for *_, s in sorted((o, i, s) for j, i, s, o in pop if j == k)]
+        want += [(k, slot, order[slot], True) for slot in range(2)]
+        for slot in range(2, 30):
+            a, b = (order[min(draw(30, k, slot, side, i) for i in range(3))] for side in "ab")
+            s = [list((a, b)[draw(2, k, slot, "cross", e)][e]) for e in range(2)]
+            e, op = draw(2, k, slot, "eq"), draw(1 << 30, k, slot, "op") / (1 << 30)
+            free, own = [t for t in range(1, 12) if t not in s[e]], s[e]
+            new, gone = free[draw(len(free), k, slot, "term")], own[draw(len(own), k, slot, "drop")]
+            less = [t for t in own if t != gone]
+            s[e] = sorted(own + [new] if op < 0.34 and len(own) < 4 else own if op < 0.34 else (less if len(own) > 1 else own) if op < 0.67 else less + [new])
+            kinds.add(op < 0.34 and 1 or op < 0.67 and 2 or 3)
+            want.append((k, slot, s, False))
+    assert kinds == {1, 2, 3} and sorted((r["traj_id"], r["cand_id"], r["structure"], r["is_elite"]) for r in got) == sorted(want)
+
+
 def test_evolutionary_search(spark, three):
     f, basis = three
     best, log = S.gp_search(f, basis, 2, S.SearchPolicy(pop_size=6, max_levels=4, min_levels=4))
