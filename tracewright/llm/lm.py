@@ -203,18 +203,19 @@ def _score(total: int, distinct: int) -> Callable:
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, *, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     Texts with crc32(doc_id as text) mod 5 = 1 are held out; the others train. base_score uses exact counts (words are
     told apart by 64-bit hashes); score mixes quantised 2-gram counts with the unigram estimate, both read from the
     filter. Null or empty text: the end token alone. Null doc_id: hashed as the empty string. Repeated rows count each.
     Empty table: empty result. Other columns are not read.
+    Blocks and shards hold about block_bytes and shard_bytes of text (BLOCK and SHARD); a task needs some ten times that.
+    They exchange 2 * blocks * shards rows, so corpora of many TB want larger ones on executors with more memory.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     n_bytes = byte_size(src, "text")
-    blocks, shards = max(1, -(-n_bytes // BLOCK)), max(1, -(-n_bytes // SHARD))
+    blocks, shards = max(1, -(-n_bytes // (block_bytes or BLOCK))), max(1, -(-n_bytes // (shard_bytes or SHARD)))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     src = src.withColumns({"held_out": held, "block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")})
     grams = src.groupBy("block").applyInPandas(_gather(shards), "kind string, shard int, block int, keys binary, counts binary")
