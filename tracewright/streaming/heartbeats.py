@@ -97,7 +97,7 @@ def level_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour"
 
 
 #: Folders that the history's keys are hashed to; a batch reads those that its own keys fall into.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def stream_merge(records: DataFrame, history: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
