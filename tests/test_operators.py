@@ -468,3 +468,13 @@ def test_manifest_rejects_repeats(spark):
 def test_normalize_needs_columns(spark):
     with pytest.raises(ValueError):
         E.normalize_registry(spark.createDataFrame([(1,)], "system_id int"))
+
+
+def test_written_tables_are_cleaned_up(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from tracewright.sources import scratch
+
+    path = urlparse(S.cut(spark.range(3)).inputFiles()[0]).path
+    assert os.path.exists(path) and scratch.clean_up(spark) > 0 and not os.path.exists(path) and scratch.clean_up(spark) == 0

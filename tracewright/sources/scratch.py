@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only for a plain local session that names none."""
@@ -22,5 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """df written and read back: its lineage ends here and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that this process has written, and how many. Frames that read them can't be used afterwards."""
+    conf, n = spark._jsparkSession.sessionState().newHadoopConf(), len(_written)
+    for name in _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _written.clear()
+    return n
