@@ -811,3 +811,13 @@ def test_warc_restores_foreign_revisits(spark, tmp_path):
     c = got["<urn:uuid:c>"]
     assert bytes(c["payload"]) == pay and c["original"] == "<urn:uuid:a>" and c["refers_to_id"] == "<urn:uuid:b>" and c["payload_bytes"] is None
     assert got["<urn:uuid:d>"]["payload"] is None is got["<urn:uuid:e>"]["original"] and got["<urn:uuid:0>"]["record_type"] == "warcinfo"
+
+
+def test_written_tables_are_cleaned_up(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from tracewright.llm import common
+
+    path = urlparse(common.materialize(spark.range(3), "x").inputFiles()[0]).path
+    assert os.path.exists(path) and common.clean_up(spark) > 0 and not os.path.exists(path) and common.clean_up(spark) == 0

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
 #: Rows of an Arrow batch between the JVM and Python; texts of 100 kB then make batches of 100 MB at most.
 BATCH_ROWS = 1000
 
@@ -54,7 +56,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that this process has written, and how many. Frames that read them can't be used afterwards."""
+    conf, n = spark._jsparkSession.sessionState().newHadoopConf(), len(_written)
+    for name in _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _written.clear()
+    return n
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
