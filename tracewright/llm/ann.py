@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import lowest, materialize, table
 
 SAMPLE, ROUNDS, SALT_ROWS, QUERY_ROWS = 20_000, 12, 32_768, 1024
+#: Queries whose cells one task looks up.
+PROBED = 64
 #: Recall that the traversal's length is set for, and how many rows of the sample ask for that.
 RECALL, ASKED = 0.96, 256
 
@@ -159,7 +161,8 @@ class MultiIndex:
         wanted = max(int(np.ceil(share * total)), min(50 * k, total))
         salts = np.maximum(1, -(-counts.sum(1) // SALT_ROWS))
         asking = materialize(usable(queries).where(F.size("v") == self.dim).dropDuplicates(["vec_id", "v"]), "imi-queries")
-        blocks = max(1, -(-asking.count() // QUERY_ROWS))
+        n_queries = asking.count()
+        blocks = max(1, -(-n_queries // QUERY_ROWS))
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -184,7 +187,7 @@ class MultiIndex:
             return pd.DataFrame({"query_id": own[a], "qkey": asked["qkey"].to_numpy()[a], "vec_id": ids[e], "score": d})
 
         block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-        asked = asking.withColumns({"block": block, "qkey": F.xxhash64("v")}).mapInPandas(probe, "query_id long, qkey long, q array<double>, c1 int, salt int, block int, codes array<int>")
+        asked = asking.withColumns({"block": block, "qkey": F.xxhash64("v")}).repartition(max(1, -(-n_queries // PROBED)), "vec_id", "qkey").mapInPandas(probe, "query_id long, qkey long, q array<double>, c1 int, salt int, block int, codes array<int>")
         n = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("c1") + 1)
         entries = self.rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), n).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         group = ["c1", "salt", "block"]
