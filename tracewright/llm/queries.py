@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, lm, media, mixing, near, packing, quality, sharding, warc
+from . import ann, html, lm, media, mixing, near, packing, quality, runs, sharding, variants, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_runs": runs.op11_runs,
+    "op12_variants": variants.op12_variants,
 }
 SQL = {
     "op5_sharding": sharding.sql(),
     "op6_mixing": mixing.SQL.replace("{docs}", "documents"),
     "op9_near_dedup": near.SQL,
     "op10_warc": warc.SQL,
+    "op12_variants": variants.sql(),
 }
