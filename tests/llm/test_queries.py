@@ -26,7 +26,7 @@ def test_sql(name, spark, sf):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def plain_mixture(rows):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, lm, media, mixing, near, packing, quality, runs, sharding, variants, warc
+from . import ann, html, lm, media, mixing, near, packing, quality, runs, secrets, sharding, variants, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_runs": runs.op11_runs,
     "op12_variants": variants.op12_variants,
+    "op13_secrets": secrets.op13_secrets,
 }
 SQL = {
     "op5_sharding": sharding.sql(),

@@ -53,7 +53,8 @@ def gram_dictionary(words: DataFrame, frequent: int = FREQUENT, most: int = MOST
     Every prefix of such a gram is one too. All other grams that a word may be parted into follow from these.
     """
     marked = words.select(F.concat(F.lit(START), "word", F.lit(END)).alias("w"))
-    sizes = [F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i, q=q: F.substr(F.col("w"), i, F.lit(q))) for q in range(SHORT, longest)]
+    of = lambda q: F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i: F.substr(F.col("w"), i, F.lit(q)))
+    sizes = [of(q) for q in range(SHORT, longest)]
     if not sizes:
         return frozenset()
     counts = materialize(marked.select(F.explode(F.array_distinct(F.concat(*sizes))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "variant-grams")
