@@ -128,7 +128,9 @@ def near_pairs(words: DataFrame, frequent: int = FREQUENT, most: int = MOST, lon
             yield pd.DataFrame(rows, columns=["kind", "at", "key", "word", "n"])
         release()
 
-    index = materialize(words.select("word", "n").mapInPandas(work, "kind string, at int, key long, word string, n long"), "variant-index")
+    # words are few bytes, so Spark would read them in few tasks
+    dealt = words.select("word", "n").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    index = materialize(dealt.mapInPandas(work, "kind string, at int, key long, word string, n long"), "variant-index")
     side = lambda kind, x: index.where(F.col("kind") == kind).select("key", *[F.col(c).alias(f"{x}{c}") for c in ("at", "word", "n")])
     before = lambda w, at: F.substr(F.col(w), F.lit(1), F.col(at) - 1)
     behind = lambda w, at, skip: F.substr(F.col(w), F.col(at) + skip, F.length(w))
