@@ -179,3 +179,18 @@ def compare_variants(runs: DataFrame, a: str, b: str) -> DataFrame:
     """Per system and seed set: runtime ratio a / b and equal support of the two variants."""
     side = lambda v, x: runs.where(F.col("variant_slug") == v).groupBy("system_id").agg(F.sum("elapsed_s").alias(f"t{x}"), F.array_sort(F.collect_set("final_stage")).alias(f"s{x}"))
     return side(a, "a").join(side(b, "b"), "system_id").select("system_id", F.when(F.col("tb") > 0, F.col("ta") / F.col("tb")).alias("runtime_ratio"), (F.col("sa") == F.col("sb")).alias("same_support"))
+
+
+def same_pruned_support(terms: DataFrame, a: str, b: str, cell: Sequence[str] = ("system_id", "seed"), relative: float = 1e-3, absolute: float = 1e-6) -> DataFrame:
+    """system_id, cells, same_cells, same_support: do two variants find the same supports, cell by cell, once small terms are
+    pruned? terms: variant_slug, cell, eq, term, coef.
+
+    Cells that both variants have are compared; equal means the same terms in each equation. same_support: in all of them.
+    """
+    from .terms import prune
+
+    kept = prune(terms.where(F.col("variant_slug").isin(a, b)), ["variant_slug", *cell, "eq"], absolute, relative)
+    per = kept.groupBy("variant_slug", *cell).agg(F.array_sort(F.collect_set(F.struct("eq", "term"))).alias("s"))  # a structure is small
+    side = lambda v, x: per.where(F.col("variant_slug") == v).select(*cell, F.col("s").alias(x))
+    j = side(a, "sa").join(side(b, "sb"), list(cell)).withColumn("same", F.col("sa") == F.col("sb"))
+    return j.groupBy("system_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if("same").alias("same_cells"), F.bool_and("same").alias("same_support"))

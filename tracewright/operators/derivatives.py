@@ -5,7 +5,7 @@ Every window is partitioned by trajectory, so the only shuffle is one by traj_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,25 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
-def central(col: str, w: WindowSpec | None = None) -> Column:
-    """Central difference inside, one-sided at the ends; one point alone gives 0."""
+def _at(c: str, k: int, w: WindowSpec) -> Column:
+    """The value k rows further on."""
+    return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w) if k else F.col(c)
+
+
+def central(col: str, w: WindowSpec | None = None, stride: int = 1) -> Column:
+    """Central difference inside, one-sided at the ends; one point alone gives 0. stride: rows between neighbours."""
     x, t, w = F.col(col), F.col("t"), w or by_seq()
-    up, dn = F.coalesce(F.lead(x).over(w), x), F.coalesce(F.lag(x).over(w), x)
-    return _ratio(up - dn, F.coalesce(F.lead(t).over(w), t) - F.coalesce(F.lag(t).over(w), t))
+    up, dn = F.coalesce(_at(col, stride, w), x), F.coalesce(_at(col, -stride, w), x)
+    return _ratio(up - dn, F.coalesce(_at("t", stride, w), t) - F.coalesce(_at("t", -stride, w), t))
+
+
+def fd4(col: str, place: Column, n: Column, h: Column, w: WindowSpec, stride: int = 1) -> Column:
+    """Fourth-order difference on the mean step h; second and first order at the edges; under 5 points: central.
+
+    place: number (from 1) among the n points of the series."""
+    at = lambda k: _at(col, k * stride, w)
+    d = F.when(n < 5, central(col, w, stride)).when(place == 1, (at(1) - at(0)) / h).when(place == n, (at(0) - at(-1)) / h)
+    return d.when((place == 2) | (place == n - 1), (at(1) - at(-1)) / (h * 2)).otherwise((at(-2) - at(-1) * 8 + at(1) * 8 - at(2)) / (h * 12))
 
 
 def deriv_central(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
@@ -54,46 +68,49 @@ def deriv_central(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("tr
 
 
 def deriv_fd4(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
-    """Fourth-order difference on the mean step; second and first order at the edge rows; under 5 points: central."""
     n = F.count(F.lit(1)).over(whole(by))
     h = (F.max("t").over(whole(by)) - F.min("t").over(whole(by))) / (n - 1)
-    at = lambda c, k: F.lead(c, k).over(by_seq(by)) if k > 0 else F.lag(c, -k).over(by_seq(by)) if k else F.col(c)
-    out = []
-    for c in cols:
-        d = F.when(n < 5, F.col(f"__c_{c}"))
-        d = d.when(F.col("seq") == 1, (at(c, 1) - at(c, 0)) / F.col("__h")).when(F.col("seq") == n, (at(c, 0) - at(c, -1)) / F.col("__h"))
-        d = d.when((F.col("seq") == 2) | (F.col("seq") == n - 1), (at(c, 1) - at(c, -1)) / (F.col("__h") * 2))
-        out.append(d.otherwise((at(c, -2) - at(c, -1) * 8 + at(c, 1) * 8 - at(c, 2)) / (F.col("__h") * 12)).alias(f"d_{c}"))
-    base = traj.select("*", h.alias("__h"), *[central(c, by_seq(by)).alias(f"__c_{c}") for c in cols])
-    return base.select(*traj.columns, *out)
+    base = traj.select("*", n.alias("__n"), h.alias("__h"))
+    return base.select(*traj.columns, *[fd4(c, F.col("seq"), F.col("__n"), F.col("__h"), by_seq(by)).alias(f"d_{c}") for c in cols])
+
+
+def _slopes(t: np.ndarray, times, values) -> np.ndarray:
+    """Slope at t of a cubic through each window's points (lower degree with fewer points); null windows give nan."""
+    n = np.array([0 if x is None else len(x) for x in times], dtype=int)
+    res = np.full((len(t), len(values)), np.nan)
+    for m in np.unique(n[n > 0]):
+        rows = np.flatnonzero(n == m)
+        x = np.stack([np.asarray(times[i]) for i in rows]) - t[rows, None]
+        scale = np.abs(x).max(axis=1, keepdims=True)
+        scale[scale == 0] = 1
+        v = (x / scale)[..., None] ** np.arange(min(DEGREE, m - 1) + 1)
+        inv = np.linalg.pinv(v)
+        for j, u in enumerate(values):
+            res[rows, j] = np.einsum("nm,nm->n", inv[:, 1], np.stack([np.asarray(u[i]) for i in rows])) / scale[:, 0] if v.shape[2] > 1 else 0.0
+    return res
 
 
-def _local(k: int):
-    """Slope at each window's own time of a cubic through the window's points (lower degree with fewer points)."""
+def _local(k: int, tags: Sequence[str]):
+    """__d<j> (and with tag h the half grid's __h<j>) from collected windows __t, __u<j> (__ht, __hu<j>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = {c: b[c] for c in b.columns if not c.startswith("__")}
-            n = np.array([len(x) for x in b["__t"]], dtype=int)
-            res = np.zeros((len(b), k))
-            for m in np.unique(n):
-                rows = np.flatnonzero(n == m)
-                x = np.stack([np.asarray(v) for v in b["__t"].iloc[rows]]) - b["t"].to_numpy()[rows, None]
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                scale[scale == 0] = 1
-                v = (x / scale)[..., None] ** np.arange(min(DEGREE, m - 1) + 1)
-                inv = np.linalg.pinv(v)
-                for j in range(k):
-                    y = np.stack([np.asarray(q) for q in b[f"__u{j}"].iloc[rows]])
-                    if v.shape[2] > 1:
-                        res[rows, j] = np.einsum("nm,nm->n", inv[:, 1], y) / scale[:, 0]
-            for j in range(k):
-                out[f"__d{j}"] = res[:, j]
+            out = {c: b[c] for c in b.columns if not c.startswith("__w")}
+            for tag in tags:
+                res = _slopes(b["t"].to_numpy(), b[f"__w{tag}t"].to_numpy(), [b[f"__w{tag}{j}"].to_numpy() for j in range(k)])
+                out |= {f"__{tag}{j}": res[:, j] for j in range(k)}
             yield pd.DataFrame(out)
 
     return run
 
 
+def _poly(rows: DataFrame, cols: Sequence[str], frames: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """rows with __<tag><j>: slopes of column j over the windows that frames[tag] collects."""
+    wide = rows.select("*", *[x for tag, f in frames.items() for x in (f("t").alias(f"__w{tag}t"), *[f(c).alias(f"__w{tag}{j}") for j, c in enumerate(cols)])])
+    schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [f"__{tag}{j} double" for tag in frames for j in range(len(cols))])
+    return wide.mapInPandas(_local(len(cols), list(frames)), schema)
+
+
 def deriv_local_poly(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """Linear coefficient of a cubic least-squares fit over seq - 4 .. seq + 4, clipped at the ends.
 
@@ -101,9 +118,7 @@ def deriv_local_poly(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = (
     stacked form, grouped by window length.
     """
     frame = by_seq(by).rowsBetween(-HALF, HALF)
-    wide = traj.select("*", F.collect_list("t").over(frame).alias("__t"), *[F.collect_list(c).over(frame).alias(f"__u{j}") for j, c in enumerate(cols)])
-    schema = ", ".join([f"`{n}` {t}" for n, t in traj.dtypes] + [f"__d{j} double" for j in range(len(cols))])
-    return wide.mapInPandas(_local(len(cols)), schema).select(*traj.columns, *[F.col(f"__d{j}").alias(f"d_{c}") for j, c in enumerate(cols)])
+    return _poly(traj, cols, {"d": lambda c: F.collect_list(c).over(frame)}).select(*traj.columns, *[F.col(f"__d{j}").alias(f"d_{c}") for j, c in enumerate(cols)])
 
 
 ESTIMATORS = {"central": deriv_central, "fd4": deriv_fd4, "local_poly": deriv_local_poly}
@@ -144,31 +159,74 @@ def interp_to_full(full: DataFrame, coarse: DataFrame, cols: Sequence[str]) -> D
     return both.select("traj_id", "seq", "t", "__full", *[x.alias(c) for c, x in at.items()]).where("__full = 1").drop("__full")
 
 
-def with_errors(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly") -> DataFrame:
-    """traj with d_<col> and r_<col>: the derivative and its difference from the half-grid derivative, interpolated.
+#: How many rows away an estimator looks.
+REACH = {"central": 1, "fd4": 2, "local_poly": HALF}
+#: Rows of a range of a series that is spread over tasks.
+RANGE = 1 << 17
 
-    One chain of windows over the series' partitioning, without a join: the rows of the half grid (1st, 3rd, ...) are a
-    series of their own beside the others.
-    """
-    full = derivatives(traj, cols, estimator)
-    rows = full.withColumnsRenamed({f"d_{c}": f"rx_{c}" for c in cols}).withColumns({"rx_seq": F.col("seq"), "rx_odd": F.col("seq") % 2 == 1})
-    half = derivatives(rows.withColumn("seq", F.floor((F.col("seq") - 1) / 2).cast("int") + 1), cols, estimator, ("traj_id", "rx_odd"))
-    at = _between(F.when(F.col("rx_odd"), F.struct("t", *[f"d_{c}" for c in cols])), [f"d_{c}" for c in cols])
-    keep = [F.col("rx_seq").alias("seq") if c == "seq" else F.col(c) for c in traj.columns]
-    return half.select(*keep, *[F.col(f"rx_{c}").alias(f"d_{c}") for c in cols], *[F.abs(F.col(f"rx_{c}") - at[f"d_{c}"]).alias(f"r_{c}") for c in cols])
 
+def ranged(traj: DataFrame, reach: int, by: Sequence[str] = ("traj_id",), rows: int = RANGE) -> DataFrame:
+    """traj in ranges of `rows` rows of each series: __range, and __core false for the `reach` rows of either neighbour that a
+    range needs beside its own. A series of any length is spread over tasks; a short one is one range."""
+    if rows <= reach:
+        raise ValueError("a range must hold more rows than an estimator looks away")
+    own, at = F.floor((F.col("seq") - 1) / rows), (F.col("seq") - 1) % rows
+    near = F.array(own, F.when((at < reach) & (own > 0), own - 1), F.when(at >= rows - reach, own + 1))
+    return traj.select("*", own.alias("__own"), F.explode(F.filter(near, lambda x: x.isNotNull())).alias("__range")).withColumn("__core", F.col("__own") == F.col("__range")).drop("__own")
+
+
+def with_errors(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly", by: Sequence[str] = ("traj_id",), rows: int | None = None) -> DataFrame:
+    """traj with d_<col> and r_<col>: the derivative and its difference from the half-grid derivative, interpolated.
 
-def richardson_error(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly") -> DataFrame:
-    """traj_id, seq, t and r_<col>: absolute difference of full-grid and interpolated half-grid derivatives."""
-    return with_errors(traj, cols, estimator).select("traj_id", "seq", "t", *[f"r_{c}" for c in cols])
+    The half grid is the 1st, 3rd, ... point; rows between take the line between their neighbours' derivatives, a last row
+    that is not on it its left neighbour's. All comes from the rows up to twice the estimator's reach away, so that one
+    window by seq does; a series' points must be in time order. With `rows`, long series are spread over tasks in ranges of
+    so many rows; what it needs of a whole series (length, first and last time) then comes from a grouped aggregate.
+    """
+    if estimator not in REACH:
+        raise ValueError(f"unknown derivative estimator {estimator!r}; known: {', '.join(REACH)}")
+    odd = F.col("seq") % 2 == 1
+    last_odd = F.max(F.when(odd, F.col("t")))
+    if rows is None:
+        keys, w = list(by), by_seq(by)
+        base = traj.select("*", F.lit(True).alias("__core"))
+        if estimator == "fd4":
+            over = whole(by)
+            base = base.select("*", F.count(F.lit(1)).over(over).alias("__n"), F.min("t").over(over).alias("__lo"), F.max("t").over(over).alias("__hi"), last_odd.over(over).alias("__ho"))
+    else:
+        keys, w = [*by, "__range"], by_seq([*by, "__range"])
+        base = ranged(traj, 2 * REACH[estimator] + 1, by, rows)
+        if estimator == "fd4":
+            base = base.join(traj.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("t").alias("__lo"), F.max("t").alias("__hi"), last_odd.alias("__ho")), list(by))
+    if estimator == "central":
+        base = base.select("*", *[central(c, w).alias(f"__d{j}") for j, c in enumerate(cols)], *[central(c, w, 2).alias(f"__h{j}") for j, c in enumerate(cols)])
+    elif estimator == "fd4":
+        half = F.floor((F.col("__n") + 1) / 2)
+        base = base.withColumns({"__m": half, "__step": (F.col("__hi") - F.col("__lo")) / (F.col("__n") - 1), "__step2": (F.col("__ho") - F.col("__lo")) / (half - 1)})
+        place = (F.floor((F.col("seq") - 1) / 2) + 1).cast("int")
+        base = base.select("*", *[fd4(c, F.col("seq"), F.col("__n"), F.col("__step"), w).alias(f"__d{j}") for j, c in enumerate(cols)], *[fd4(c, place, F.col("__m"), F.col("__step2"), w, 2).alias(f"__h{j}") for j, c in enumerate(cols)])
+    else:
+        # the half grid's windows skip every other row of twice the width
+        at = lambda c: F.array(*[_at(c, 2 * k, w) for k in range(-HALF, HALF + 1)])
+        base = _poly(base, cols, {"d": lambda c: F.collect_list(c).over(w.rowsBetween(-HALF, HALF)), "h": lambda c: F.when(odd, F.filter(at(c), lambda x: x.isNotNull()))})
+    dn, up = (lambda c: _at(c, -1, w)), (lambda c: _at(c, 1, w))
+    f = F.when(up("t") > dn("t"), (F.col("t") - dn("t")) / (up("t") - dn("t"))).otherwise(0.0)
+    between = lambda h: F.when(odd, F.col(h)).when(up(h).isNull(), dn(h)).otherwise(dn(h) + f * (up(h) - dn(h)))
+    out = base.select(*traj.columns, "__core", *[F.col(f"__d{j}").alias(f"d_{c}") for j, c in enumerate(cols)], *[F.abs(F.col(f"__d{j}") - between(f"__h{j}")).alias(f"r_{c}") for j, c in enumerate(cols)])
+    return out.where("__core").drop("__core") if rows is not None else out.drop("__core")
+
+
+def richardson_error(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly", by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """The series' keys, seq, t and r_<col>: absolute difference of full-grid and interpolated half-grid derivatives."""
+    return with_errors(traj, cols, estimator, by).select(*by, "seq", "t", *[f"r_{c}" for c in cols])
 
 
 EPS = 2.220446049250313e-16
 
 
-def medians(rich: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """traj_id, m_<col> (exact median of r^2) and __n, the series' length."""
-    return rich.groupBy("traj_id").agg(*[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).alias(f"m_{c}") for c in cols], F.count(F.lit(1)).alias("__n"))
+def medians(rich: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """The series' keys, m_<col> (exact median of r^2) and __n, the series' length."""
+    return rich.groupBy(*by).agg(*[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).alias(f"m_{c}") for c in cols], F.count(F.lit(1)).alias("__n"))
 
 
 def weight(c: str, eps: float = EPS) -> Column:
@@ -180,22 +238,23 @@ def richardson_weights(rich: DataFrame, cols: Sequence[str], eps: float = EPS) -
     return rich.join(medians(rich, cols), "traj_id").select("traj_id", "seq", *[weight(c, eps).alias(f"w_{c}") for c in cols])
 
 
-def blocks_of(seq: Column, n: Column) -> Column:
-    """Names of the report blocks that hold a row: all, first / middle / last 30 %."""
-    k = F.floor(n * 0.3)
-    mid = F.floor(n * 0.35)
-    named = F.array(F.lit("all"), F.when(seq <= k, F.lit("first")), F.when((seq > mid) & (seq <= n - mid), F.lit("middle")), F.when(seq > n - k, F.lit("last")))
-    return F.filter(named, lambda x: x.isNotNull())
+def blocks_of(seq: Column, n: Column, fits: bool = False) -> Column:
+    """Names of the report blocks that hold a row: all, first / middle / last 30 %, and with fits the rows that the splits
+    A, B and C fit on."""
+    k, mid = F.floor(n * 0.3), F.floor(n * 0.35)
+    first, middle, last = seq <= k, (seq > mid) & (seq <= n - mid), seq > n - k
+    held = {"first": first, "middle": middle, "last": last} | ({"fit_a": ~last, "fit_b": ~first, "fit_c": ~middle} if fits else {})
+    return F.filter(F.array(F.lit("all"), *[F.when(c, F.lit(x)) for x, c in held.items()]), lambda x: x.isNotNull())
 
 
-def estimator_error(est: DataFrame, truth: DataFrame, col: str) -> DataFrame:
+def estimator_error(est: DataFrame, truth: DataFrame, col: str, fits: bool = False) -> DataFrame:
     """Per trajectory and block: RMS and maximum of the error against a known derivative, RMS of the error bound r,
     their ratio (Infinity at a zero bound), correlation of |error| with r, and the share of rows where r covers it.
 
     est: traj_id, seq, d, r; truth: traj_id, seq, d_true.
     """
     rows = est.join(truth, ["traj_id", "seq"]).withColumns({"e": F.abs(F.col("d") - F.col("d_true")), "__n": F.count(F.lit(1)).over(whole())})
-    rows = rows.withColumn("block", F.explode(blocks_of(F.col("seq"), F.col("__n"))))
+    rows = rows.withColumn("block", F.explode(blocks_of(F.col("seq"), F.col("__n"), fits)))
     rms, bound = F.sqrt(F.avg(F.col("e") * F.col("e"))), F.sqrt(F.avg(F.col("r") * F.col("r")))
     return rows.groupBy("traj_id", "block").agg(
         F.count(F.lit(1)).alias("n"), rms.alias("rms"), F.max("e").alias("max_abs"), bound.alias("bound_rms"),
@@ -237,10 +296,15 @@ def max_difference(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame
     return j.groupBy("traj_id").agg(*[F.max(F.abs(F.col(c) - F.col(f"o_{c}"))).alias(f"max_{c}") for c in cols])
 
 
-def density_sweep(traj: DataFrame, cols: Sequence[str], ks: Sequence[int] = (1, 2, 4), estimator: str = "central") -> DataFrame:
-    """RMS error bound per trajectory, column and decimation k: one job over (trajectory, k)."""
+def decimated(traj: DataFrame, ks: Sequence[int], by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """traj once for each k, with k: every k-th row from the first, numbered anew. The keys of its series are by and k."""
+    if min(ks) < 1 or len(set(ks)) != len(ks):
+        raise ValueError("densities must be distinct whole numbers from 1 on")
     rows = traj.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where((F.col("seq") - 1) % F.col("k") == 0)
-    key = F.struct("traj_id", "k")
-    rows = rows.withColumn("seq", (F.floor((F.col("seq") - 1) / F.col("k")) + 1).cast("int")).select(key.alias("traj_id"), "seq", "t", *cols)
-    r = richardson_error(rows, cols, estimator)
-    return r.groupBy(F.col("traj_id.traj_id").alias("traj_id"), F.col("traj_id.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), *[F.sqrt(F.avg(F.col(f"r_{c}") * F.col(f"r_{c}"))).alias(f"bound_{c}") for c in cols])
+    return rows.withColumn("seq", (F.floor((F.col("seq") - 1) / F.col("k")) + 1).cast("int"))
+
+
+def density_bounds(traj: DataFrame, cols: Sequence[str], ks: Sequence[int] = (1, 2, 4), estimator: str = "central") -> DataFrame:
+    """RMS error bound per trajectory, column and decimation k: one job over (trajectory, k)."""
+    r = richardson_error(decimated(traj, ks), cols, estimator, ("traj_id", "k"))
+    return r.groupBy("traj_id", "k").agg(F.count(F.lit(1)).alias("n"), *[F.sqrt(F.avg(F.col(f"r_{c}") * F.col(f"r_{c}"))).alias(f"bound_{c}") for c in cols])

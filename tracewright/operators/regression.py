@@ -8,12 +8,16 @@ Normal equations are avoided on purpose: they square the condition number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .terms import Term
 
@@ -46,37 +50,240 @@ def triangle(a: np.ndarray) -> np.ndarray:
     return np.vstack([r, np.zeros((a.shape[1] - len(r), a.shape[1]))]) if len(r) < a.shape[1] else r
 
 
-def _pack(p: int, dim: int):
-    """A piece's factors: plain over [terms | derivatives], and one weighted by each equation over [terms | d_eq]."""
+def factor_schema(rows: DataFrame, by: Sequence[str]) -> T.StructType:
+    ints = [T.StructField(c, T.IntegerType()) for c in ("block", "first", "last", "n")]
+    return T.StructType([rows.schema[c] for c in by] + ints + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("plain", "weighted", "sums")])
+
+
+def _starts(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Where sorted rows begin a new combination of values."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _codes(t: pa.Table, by: Sequence[str]) -> list[np.ndarray]:
+    """Numbers that tell keys apart, whatever their types."""
+    return [pc.dictionary_encode(pc.fill_null(pc.cast(t[c].combine_chunks(), pa.string()), "\0null")).indices.to_numpy() for c in by]
+
+
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    values = t[name].combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def triangles(a: np.ndarray) -> np.ndarray:
+    """Square R factors of a stack of matrices, padded with zero rows."""
+    m, n = a.shape[-2:]
+    r = np.linalg.qr(a, mode="r") if m else np.zeros((*a.shape[:-2], 0, n))
+    return np.concatenate([r, np.zeros((*a.shape[:-2], n - r.shape[-2], n))], -2) if r.shape[-2] < n else r
+
+
+class Factors:
+    """Factors of many pieces at once: arrays over pieces."""
+
+    names = ("block", "first", "last", "n", "plain", "weighted", "sums")
+
+    def __init__(self, *parts: np.ndarray):
+        self.block, self.first, self.last, self.n, self.plain, self.weighted, self.sums = parts
+
+    def take(self, at) -> Factors:
+        return Factors(*[getattr(self, x)[at] for x in self.names])
+
+    @classmethod
+    def of_rows(cls, block: np.ndarray, seq: np.ndarray, x: np.ndarray, d: np.ndarray, w: np.ndarray, rich: np.ndarray, start: np.ndarray) -> Factors:
+        """Of the rows from each start to the next: pieces of one length are factored together."""
+        n, (p, dim) = np.diff(np.r_[start, len(seq)]), (x.shape[1], d.shape[1])
+        plain, weighted, root = np.zeros((len(start), p + dim, p + dim)), np.zeros((len(start), dim, p + 1, p + 1)), np.sqrt(np.maximum(w, 0))
+        for m in np.unique(n):
+            at = np.flatnonzero(n == m)
+            rows = start[at][:, None] + np.arange(m)
+            xs, ds = x[rows], d[rows]
+            plain[at] = triangles(np.concatenate([xs, ds], 2))
+            for e in range(dim):
+                weighted[at, e] = triangles(np.concatenate([xs, ds[:, :, e : e + 1]], 2) * root[rows, e][..., None])
+        sums = np.stack([np.add.reduceat(v, start, axis=0) for v in (d, d * d, rich * rich)], 1) if len(start) else np.zeros((0, 3, dim))
+        return cls(block[start], np.minimum.reduceat(seq, start) - 1 if len(start) else seq[:0], np.maximum.reduceat(seq, start) if len(start) else seq[:0], n, plain, weighted, sums)
+
+    def merged(self, start: np.ndarray) -> Factors:
+        """One factor for the pieces from each start to the next."""
+        n = np.diff(np.r_[start, len(self.block)])
+        if (n == 1).all():
+            return self
+        out = self.take(start)
+        for i in np.flatnonzero(n > 1):
+            part = slice(start[i], start[i] + n[i])
+            out.first[i], out.last[i], out.n[i], out.sums[i] = self.first[part].min(), self.last[part].max(), self.n[part].sum(), self.sums[part].sum(0)
+            out.plain[i] = triangle(self.plain[part].reshape(-1, self.plain.shape[-1]))
+            for e in range(self.weighted.shape[1]):
+                out.weighted[i, e] = triangle(self.weighted[part, e].reshape(-1, self.weighted.shape[-1]))
+        return out
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    flat = a.reshape(len(a), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1] if len(flat) else np.zeros(1, np.int32)), pa.array(flat.ravel()))
 
-    def one(traj_id: int, block: int, seq: np.ndarray, x: np.ndarray, d: np.ndarray, w: np.ndarray, rich: np.ndarray) -> tuple:
-        weighted = np.concatenate([triangle(np.hstack([x, d[:, [e]]]) * np.sqrt(np.maximum(w[:, [e]], 0))).ravel() for e in range(dim)])
-        sums = np.concatenate([d.sum(0), (d * d).sum(0), (rich * rich).sum(0)])
-        return traj_id, block, seq.min() - 1, seq.max(), len(seq), triangle(np.hstack([x, d])).ravel(), weighted, sums
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.stack(g[c].to_numpy()) for c in ("phi", "d", "w", "rich")]
-        block, seq = g["block"].to_numpy(), g["seq"].to_numpy()
-        rows = [one(int(g["traj_id"].iloc[0]), int(k), seq[m], *[x[m] for x in parts]) for k in np.unique(block) for m in [block == k]]
-        return pd.DataFrame(rows, columns=["traj_id", "block", "first", "last", "n", "plain", "weighted", "sums"])
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """The batches of a sorted partition as tables that end where a combination of `by` ends."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        start = _starts(_codes(t, by)) if len(t) else []
+        if len(start) < 2:
+            rest = t
+            continue
+        yield t.slice(0, start[-1]).combine_chunks()
+        rest = t.slice(start[-1]).combine_chunks()
+    if rest is not None and len(rest):
+        yield rest.combine_chunks()
 
-    return run
+
+def _keyed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their blocks, in order within partitions. Without __n a window counts them, so a series is one partition's."""
+    if "__n" not in rows.columns:
+        rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    keyed = rows.withColumns({"block": block_of(F.col("seq"), F.col("__n")).cast("int"), "__piece": F.floor((F.col("seq") - 1) / PIECE).cast("int"), "seq": F.col("seq").cast("int")})
+    return keyed.select(*by, "block", "__piece", "seq", "phi", "d", "w", "rich").sortWithinPartitions(*by, "seq")
 
 
-FACTORS = "traj_id long, block int, first int, last int, n int, plain array<double>, weighted array<double>, sums array<double>"
+def _factored(batches: Iterator[pa.RecordBatch], by: Sequence[str], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Factors of a partition's sorted rows; of one series at most PIECE rows are held at a time."""
+    for t in _whole_groups(batches, [*by, "__piece"]):
+        block, codes = t["block"].to_numpy(), _codes(t, by)
+        start = _starts([*codes, t["__piece"].to_numpy(), block])
+        f = Factors.of_rows(block, t["seq"].to_numpy(), *[_matrix(t, c) for c in ("phi", "d", "w", "rich")], start)
+        again = _starts([c[start] for c in codes] + [block[start]])
+        f, at = f.merged(again), pa.array(start[again])
+        yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(at) for c in by] + [pa.array(getattr(f, c).astype(np.int32)) for c in Factors.names[:4]] + [_lists(getattr(f, c)) for c in Factors.names[4:]], names=names)
 
 
-def block_factors(rows: DataFrame, p: int, dim: int) -> DataFrame:
-    """Factors per (series, elementary block, piece). rows: traj_id, seq, phi, d, w, rich (arrays; w and rich per equation).
+def block_factors(rows: DataFrame, p: int, dim: int, by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """Factors per (series, elementary block, stretch). rows: by, seq, phi, d, w, rich (arrays; w and rich per equation).
 
-    Groups hold at most PIECE rows and lengths come from a grouped count, so a hot series is spread over tasks; what moves
-    on does not depend on its length. rows may bring the series' length as __n.
+    A task factors what lies in its partition, in sorted order and at most PIECE rows of one series at a time; factors of
+    any parts of a block add up to the block's, so a series of any length can be spread over tasks, and what moves on does
+    not depend on its length. Rows of series that are spread bring the series' length as __n.
     """
-    if "__n" not in rows.columns:
-        rows = rows.join(rows.groupBy("traj_id").agg(F.count(F.lit(1)).alias("__n")), "traj_id")
-    keyed = rows.withColumns({"block": block_of(F.col("seq"), F.col("__n")).cast("int"), "__piece": F.floor(F.col("seq") / PIECE)})
-    keyed = keyed.select("traj_id", "block", "__piece", "seq", "phi", "d", "w", "rich")
-    return keyed.groupBy("traj_id", "__piece").applyInPandas(_pack(p, dim), FACTORS)
+    keyed = _keyed(rows, by)
+    schema = factor_schema(keyed, by)
+    return keyed.mapInArrow(lambda batches: _factored(batches, by, schema.names), schema)
+
+
+class Many:
+    """The factors of several series, one a block: arrays (series, N_BLOCKS, ...)."""
+
+    def __init__(self, t: pa.Table, by: Sequence[str], p: int, dim: int):
+        self.p, self.dim, self.by = p, dim, list(by)
+        codes, block = _codes(t, by), t["block"].to_numpy()
+        each = [t[c].to_numpy().copy() for c in ("block", "first", "last", "n")]
+        f = Factors(*each, _matrix(t, "plain").reshape(-1, p + dim, p + dim).copy(), _matrix(t, "weighted").reshape(-1, dim, p + 1, p + 1).copy(), _matrix(t, "sums").reshape(-1, 3, dim).copy())
+        start = _starts([*codes, block])
+        f, first = f.merged(start), _starts(codes)
+        series = np.searchsorted(first, start, side="right") - 1
+        self.keys = t.select(self.by).take(pa.array(first))
+        size = (len(first), N_BLOCKS)
+        put = lambda a, shape: _put(np.zeros((*size, *shape)), series, f.block, a)
+        self.plain, self.weighted, self.sums = put(f.plain, f.plain.shape[1:]), put(f.weighted, f.weighted.shape[1:]), put(f.sums, f.sums.shape[1:])
+        self.count = put(f.n, ()).astype(np.int64)
+        self.first, self.last = put(f.first, ()).astype(np.int64), put(f.last, ()).astype(np.int64)
+        self.n = self.count.sum(1)
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def roles(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """split -> (fit, holdout): which blocks of each series belong to them."""
+        out = {x: (np.zeros(self.count.shape, bool), np.zeros(self.count.shape, bool)) for x in "ABCD"}
+        for n in np.unique(self.n):
+            at = np.flatnonzero(self.n == n)
+            for split, parts in roles(int(n)).items():
+                for mask, ranges in zip(out[split], parts, strict=True):
+                    mask[at] = np.any([(self.first[at] >= a) & (self.last[at] <= b) & (self.count[at] > 0) for a, b in ranges], axis=0)
+        return out
+
+    def every(self) -> np.ndarray:
+        return self.count > 0
+
+    def plain_of(self, mask: np.ndarray) -> np.ndarray:
+        a = self.plain * mask[:, :, None, None]
+        return triangles(a.reshape(len(a), -1, a.shape[-1]))
+
+    def weighted_of(self, mask: np.ndarray, eq: int) -> np.ndarray:
+        a = self.weighted[:, :, eq] * mask[:, :, None, None]
+        return triangles(a.reshape(len(a), -1, a.shape[-1]))
+
+    def rows_of(self, mask: np.ndarray) -> np.ndarray:
+        return (self.count * mask).sum(1)
+
+    def mean_of(self, mask: np.ndarray, kind: int, eq: int) -> np.ndarray:
+        """Mean over the masked blocks' rows of d (0), d^2 (1) or r^2 (2); nan without rows."""
+        n = self.rows_of(mask)
+        return np.where(n > 0, (self.sums[:, :, kind, eq] * mask).sum(1) / np.maximum(n, 1), np.nan)
+
+
+def _put(out: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray) -> np.ndarray:
+    out[i, j] = a
+    return out
+
+
+def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum-norm solutions of a stack of systems a x = b."""
+    if not a.shape[-1]:
+        return np.zeros((len(a), 0))
+    u, s, v = np.linalg.svd(a, full_matrices=False)
+    small = s <= np.finfo(float).eps * max(a.shape[-2:]) * s[:, :1]
+    return np.einsum("mkj,mk->mj", v, np.einsum("mik,mi->mk", u, b) * np.where(small, 0, 1 / np.where(small, 1, s)))
+
+
+def ranks(a: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, condition number) of a stack of factors of so many rows."""
+    if not a.shape[-1]:
+        return np.zeros(len(a), int), np.full(len(a), np.inf)
+    s = np.linalg.svd(a, compute_uv=False)
+    top = s[:, :1]
+    rank = ((s > np.minimum(rows, a.shape[-1])[:, None] * np.finfo(float).eps * top) & (top > 0)).sum(1)
+    return rank, np.where(s[:, -1] > 0, s[:, 0] / np.where(s[:, -1] > 0, s[:, -1], 1), np.inf)
+
+
+def residuals(r: np.ndarray, cols: Sequence[int], y: int, coef: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean squared residuals over the n rows behind each factor; Infinity without rows."""
+    v = np.einsum("mij,mj->mi", r[:, :, list(cols)], coef) - r[:, :, y] if len(cols) else -r[:, :, y]
+    return np.where(n > 0, (v * v).sum(1) / np.maximum(n, 1), np.inf)
+
+
+def in_batches(src: DataFrame, p: int, dim: int, fn: Callable[[Many], dict[str, np.ndarray]], schema: str, by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """The keys of each series with what fn(Many) tells of it: arrays over (series, ...) by name, one row an element.
+
+    src: block factors, which are brought together by series, or rows for block_factors. Of rows without __n the series
+    are factored and solved in one go, where their rows lie. Series come many at a time, so that small systems of many
+    series are solved together.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    plain_rows = "phi" in src.columns
+    if plain_rows and "__n" in src.columns:
+        src, plain_rows = block_factors(src, p, dim, by), False
+    dealt = _keyed(src, by) if plain_rows else src.repartition(*by).sortWithinPartitions(*by, "block", "first")
+    inner = factor_schema(dealt, by).names
+    out = T.StructType([dealt.schema[c] for c in by] + list(T._parse_datatype_string(schema).fields))
+    kinds = [to_arrow_type(f.dataType) for f in out.fields[len(by) :]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(_factored(batches, by, inner) if plain_rows else batches, by):
+            m = Many(t, by, p, dim)
+            found = fn(m)
+            shape = np.broadcast_shapes(*[np.shape(x) for x in found.values()])
+            if not np.prod(shape):
+                continue
+            who = pa.array(np.repeat(np.arange(len(m)), int(np.prod(shape[1:]))))
+            yield pa.RecordBatch.from_arrays([m.keys[c].combine_chunks().take(who) for c in by] + [pa.array(np.broadcast_to(found[c], shape).ravel().tolist(), kind) for c, kind in zip(names, kinds, strict=True)], names=out.names)
+
+    return dealt.mapInArrow(work, out)
 
 
 class Stack:
@@ -121,47 +328,56 @@ def residual(r: np.ndarray, cols: list[int], y: int, coef: np.ndarray, n: int) -
     return float(v @ v / n) if n else np.inf
 
 
-def prepare(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], estimator: str = "central", weighting: str = "richardson_wls") -> DataFrame:
-    """Rows for block_factors: term values, derivatives, weights and error bounds of each state, and the series' length.
+def prepare(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], estimator: str = "central", weighting: str = "richardson_wls", by: Sequence[str] = ("traj_id",), rows: int | None = None, exact: Sequence[str] = ()) -> DataFrame:
+    """Rows for block_factors: term values, derivatives, weights and error bounds of each state.
 
-    One chain of windows; medians and lengths come from a grouped aggregate with the same partitioning.
+    exact: columns of known derivatives, which follow the estimated ones as further right-hand sides (bound 0, weight 1).
+    One chain of windows by series. With `rows`, series are spread over tasks in ranges of so many rows: lengths and
+    medians then come from grouped aggregates, and the result brings __n.
     """
-    from .derivatives import medians, weight, with_errors
-
-    rows = with_errors(traj, cols, estimator)
-    rows = rows.join(medians(rows, cols), "traj_id")
-    w = [weight(c) if weighting == "richardson_wls" else F.lit(1.0) for c in cols]
-    each = lambda k: F.array(*[f"{k}_{c}" for c in cols])
-    return rows.select("traj_id", "seq", "__n", F.array(*[t.column() for t in basis]).alias("phi"), each("d").alias("d"), each("r").alias("rich"), F.array(*w).alias("w"))
+    from .derivatives import EPS, medians, weight, with_errors
 
+    out = with_errors(traj, cols, estimator, by, rows)
+    weighted = weighting == "richardson_wls"
+    if rows is not None:
+        whole = medians(out, cols, by) if weighted else out.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        out = out.join(whole, list(by))
+    elif weighted:
+        over = Window.partitionBy(*by)
+        out = out.select("*", *[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).over(over).alias(f"m_{c}") for c in cols])
+    w = [weight(c, EPS) if weighted else F.lit(1.0) for c in cols]
+    known = [F.col(c).cast("double") for c in exact]
+    d, rich = [F.col(f"d_{c}") for c in cols] + known, [F.col(f"r_{c}") for c in cols] + [F.lit(0.0) for _ in known]
+    return out.select(*by, "seq", *(["__n"] if rows is not None else []), F.array(*[t.column() for t in basis]).alias("phi"), F.array(*d).alias("d"), F.array(*rich).alias("rich"), F.array(*w, *[F.lit(1.0) for _ in known]).alias("w"))
 
-def _per_series(factors: DataFrame, p: int, dim: int, fn, schema: str) -> DataFrame:
-    """fn(traj_id, Stack) -> rows, for each series; a group holds one small factor per piece."""
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in schema.split(", ")]
-        return pd.DataFrame(fn(int(key[0]), Stack(g, p, dim)), columns=names)
+def prepare_given(traj: DataFrame, basis: Sequence[Term], given: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """Rows for block_factors with derivatives that are known (the columns `given`): no error bound, so no floor, and
+    equal weights."""
+    dim = len(given)
+    return traj.select(*by, "seq", F.array(*[t.column() for t in basis]).alias("phi"), F.array(*[F.col(c).cast("double") for c in given]).alias("d"), F.array(*[F.lit(0.0)] * dim).alias("rich"), F.array(*[F.lit(1.0)] * dim).alias("w"))
 
-    return factors.groupBy("traj_id").applyInPandas(run, schema)
 
+def fit_ols(factors: DataFrame, p: int, dim: int, cols: Sequence[int] | None = None, by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """by, eq, term (1-based), coef, mse, r2, rank: unweighted fit of the given columns (all) over whole series.
 
-def fit_ols(factors: DataFrame, p: int, dim: int, cols: Sequence[int] | None = None) -> DataFrame:
-    """traj_id, eq, term (1-based), coef, mse, r2, rank: unweighted fit of the given columns (all) over whole series."""
+    factors: block factors, or rows for them."""
     use = list(cols if cols is not None else range(p))
 
-    def fit(traj_id: int, s: Stack) -> list[tuple]:
-        r, out = s.plain_of(np.arange(len(s.count))), []
-        rank = rank_and_cond(r[:, use], s.n)[0] if use else 0
+    def fit(m: Many) -> dict:
+        r, out = m.plain_of(m.every()), {}
+        rank = ranks(r[:, :, use], m.n)[0]
+        coef, mse, r2 = (np.zeros((len(m), dim, len(use))) for _ in range(3))
         for e in range(dim):
-            c = solve(r[:, use], r[:, p + e])
-            mse = residual(r, use, p + e, c, s.n)
-            total, sq = s.sums[:, 0, e].sum(), s.sums[:, 1, e].sum()
-            sst = sq - total * total / s.n
-            r2 = 1 - mse * s.n / sst if sst > 0 else None
-            out += [(traj_id, e + 1, u + 1, float(v), mse, r2, rank) for u, v in zip(use, c, strict=True)]
+            coef[:, e] = least_squares(r[:, :, use], r[:, :, p + e])
+            mse[:, e] = residuals(r, use, p + e, coef[:, e], m.n)[:, None]
+            total, sq = m.sums[:, :, 0, e].sum(1), m.sums[:, :, 1, e].sum(1)
+            sst = sq - total * total / m.n
+            r2[:, e] = np.where(sst > 0, 1 - mse[:, e, 0] * m.n / np.where(sst > 0, sst, 1), np.nan)[:, None]
+        out = {"eq": np.arange(1, dim + 1)[None, :, None], "term": np.array(use)[None, None, :] + 1, "coef": coef, "mse": mse, "r2": np.where(np.isnan(r2), None, r2), "rank": rank[:, None, None]}
         return out
 
-    return _per_series(factors, p, dim, fit, "traj_id long, eq int, term int, coef double, mse double, r2 double, rank int")
+    return in_batches(factors, p, dim, fit, "eq int, term int, coef double, mse double, r2 double, rank int", by)
 
 
 def fit_ols_grouped(rows: DataFrame, p: int, dim: int) -> DataFrame:
@@ -175,15 +391,17 @@ def fit_ols_grouped(rows: DataFrame, p: int, dim: int) -> DataFrame:
     return rows.groupBy("traj_id").applyInPandas(run, "traj_id long, eq int, term int, coef double")
 
 
-def fit_ridge(factors: DataFrame, p: int, dim: int, alpha: float = 1e-8) -> DataFrame:
+def fit_ridge(factors: DataFrame, p: int, dim: int, alpha: float = 1e-8, by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """Ridge coefficients from R'R + alpha I."""
 
-    def fit(traj_id: int, s: Stack) -> list[tuple]:
-        r = s.plain_of(np.arange(len(s.count)))
-        gram = r[:, :p].T @ r[:, :p] + alpha * np.eye(p)
-        return [(traj_id, e + 1, t + 1, float(v)) for e in range(dim) for t, v in enumerate(np.linalg.lstsq(gram, r[:, :p].T @ r[:, p + e], rcond=None)[0])]
+    def fit(m: Many) -> dict:
+        r = m.plain_of(m.every())
+        x = r[:, :, :p]
+        gram = np.einsum("mki,mkj->mij", x, x) + alpha * np.eye(p)
+        coef = np.stack([least_squares(gram, np.einsum("mki,mk->mi", x, r[:, :, p + e])) for e in range(dim)], 1)
+        return {"eq": np.arange(1, dim + 1)[None, :, None], "term": np.arange(1, p + 1)[None, None, :], "coef": coef}
 
-    return _per_series(factors, p, dim, fit, "traj_id long, eq int, term int, coef double")
+    return in_batches(factors, p, dim, fit, "eq int, term int, coef double", by)
 
 
 def warm_start(coefs: DataFrame, limit: float = 1e6) -> DataFrame:
@@ -313,30 +531,33 @@ def null_baseline(traj: DataFrame, cols: Sequence[str]) -> DataFrame:
     return mse_loss(pairs, ["traj_id"], "obs", "pred")
 
 
-def derive_support(factors: DataFrame, p: int, dim: int, absolute: float = 1e-9, relative: float = 1e-9) -> DataFrame:
+def derive_support(factors: DataFrame, p: int, dim: int, absolute: float = 1e-9, relative: float = 1e-9, by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """traj_id, eq, status, support: terms left after dropping them in ascending |coef| while the fit stays exact.
 
     Exact: the RMS residual is within absolute + relative * RMS derivative. status: ok, or not_representable.
     """
 
-    def fit(traj_id: int, s: Stack) -> list[tuple]:
-        r, out = s.plain_of(np.arange(len(s.count))), []
-        for e in range(dim):
-            limit = absolute + relative * np.sqrt(s.sums[:, 1, e].sum() / s.n)
-            good = lambda cols, c: np.sqrt(residual(r, cols, p + e, c, s.n)) <= limit  # noqa: B023, E731
-            cols = list(range(p))
-            c = solve(r[:, cols], r[:, p + e])
-            if not good(cols, c):
-                out.append((traj_id, e + 1, "not_representable", []))
-                continue
-            for t in np.argsort(np.abs(c), kind="stable").tolist():
-                less = [x for x in cols if x != t]
-                if good(less, solve(r[:, less], r[:, p + e])):
-                    cols = less
-            out.append((traj_id, e + 1, "ok", [x + 1 for x in cols]))
-        return out
-
-    return _per_series(factors, p, dim, fit, "traj_id long, eq int, status string, support array<int>")
+    def fit(m: Many) -> dict:
+        whole = m.plain_of(m.every())
+        status, support = np.full((len(m), dim), "ok", object), np.empty((len(m), dim), object)
+        for i in range(len(m)):
+            r, n = whole[i], int(m.n[i])
+            for e in range(dim):
+                limit = absolute + relative * np.sqrt(m.sums[i, :, 1, e].sum() / n)
+                good = lambda cols, c: np.sqrt(residual(r, cols, p + e, c, n)) <= limit  # noqa: B023, E731
+                cols = list(range(p))
+                c = solve(r[:, cols], r[:, p + e])
+                if not good(cols, c):
+                    status[i, e], support[i, e] = "not_representable", []
+                    continue
+                for t in np.argsort(np.abs(c), kind="stable").tolist():
+                    less = [x for x in cols if x != t]
+                    if good(less, solve(r[:, less], r[:, p + e])):
+                        cols = less
+                support[i, e] = [x + 1 for x in cols]
+        return {"eq": np.arange(1, dim + 1)[None, :], "status": status, "support": support}
+
+    return in_batches(factors, p, dim, fit, "eq int, status string, support array<int>", by)
 
 
 def noise_floor(factors_true: DataFrame, exact: DataFrame) -> DataFrame:

@@ -82,11 +82,17 @@ def uninformative(res: Column, p: Column, tau_abs: Column) -> Column:
     return F.forall(F.filter(F.slice(res, p, F.lit(STAGES)), lambda x: finite(x)), lambda x: F.abs(x) <= tau_abs)
 
 
+#: Names of the rules that end a walk. Reports are read by them.
+BRANCHES = ("empty_applicable_stages", "usability", "floor_after_gain", "floor_doubt_band", "horizon_exhausted", "uninformative_without_gain", "gain_search_exhausted", "successor_usability")
+
+
 def _moves(res: Column, fl: Column, us: Column, st: Column, pol: Column, p: Column) -> tuple[Column, Column]:
-    """Where position p leads, before and after a gain was seen: struct(to, kind, stage); to = 0 ends with kind."""
+    """Where position p leads, before and after a gain was seen: struct(to, kind, stage, branch); to = 0 ends with kind.
+
+    branch names the rule that ends the walk (BRANCHES)."""
     m, at = F.size(st), lambda a, q: F.element_at(a, q)
-    end = lambda kind, stage: F.struct(F.lit(0).alias("to"), F.lit(kind).alias("kind"), stage.cast("int").alias("stage"))
-    go = lambda q: F.struct(q.cast("int").alias("to"), F.lit("").alias("kind"), F.lit(0).alias("stage"))
+    end = lambda kind, stage, why: F.struct(F.lit(0).alias("to"), F.lit(kind).alias("kind"), stage.cast("int").alias("stage"), F.lit(why).alias("branch"))
+    go = lambda q: F.struct(q.cast("int").alias("to"), F.lit("").alias("kind"), F.lit(0).alias("stage"), F.lit("").alias("branch"))
     here, nxt = at(st, p), F.least(p + 1, m)
     succ = (p == m) | at(us, nxt)
     after = post_floor(res, fl, p, pol["drop_ratio"], pol["floor_ratio"])
@@ -94,27 +100,28 @@ def _moves(res: Column, fl: Column, us: Column, st: Column, pol: Column, p: Colu
     first = F.when(F.size(ahead) > 0, F.element_at(ahead, F.lit(1)))
 
     def one(gained: bool) -> Column:
-        stay = F.when(succ, end("positive", here)).otherwise(end("invalid", at(st, nxt)))
+        stay = F.when(succ, end("positive", here, "gain_search_exhausted")).otherwise(end("invalid", at(st, nxt), "successor_usability"))
         if not gained:
-            stay = F.when(uninformative(res, p, pol["tau_abs"]), end("undecidable", here)).otherwise(stay)
-        low = end("undecidable", here)
+            stay = F.when(uninformative(res, p, pol["tau_abs"]), end("undecidable", here, "uninformative_without_gain")).otherwise(stay)
+        low = end("undecidable", here, "floor_doubt_band")
         if gained:
-            low = F.when(after == "clear_drop", go(p + 1)).when((after == "no_clear_drop") & succ, end("positive", here)).otherwise(low)
-        above = F.when(p == m, end("positive" if gained else "undecidable", here)).when(first.isNull(), stay).when(~at(us, first), end("invalid", at(st, first))).otherwise(go(first))
-        return F.when(~at(us, p), end("invalid", here)).when(at(res, p) <= at(fl, p), low).otherwise(above)
+            low = F.when(after == "clear_drop", go(p + 1)).when((after == "no_clear_drop") & succ, end("positive", here, "floor_after_gain")).otherwise(low)
+        above = F.when(p == m, end("positive" if gained else "undecidable", here, "horizon_exhausted")).when(first.isNull(), stay).when(~at(us, first), end("invalid", at(st, first), "usability")).otherwise(go(first))
+        return F.when(~at(us, p), end("invalid", here, "usability")).when(at(res, p) <= at(fl, p), low).otherwise(above)
 
     return one(False), one(True)
 
 
 def split_decision(res: Column, fl: Column, us: Column, st: Column, pol: Column) -> Column:
-    """struct(kind, cap, stage) of one split: positive with a cap, undecidable or invalid at a stage.
+    """struct(kind, cap, stage, branch) of one split: positive with a cap, undecidable or invalid at a stage; branch names
+    the rule that decided.
 
     res, fl, us, st: residuals, floors, usability and numbers of the applicable stages in order (no empty stage). The walk
     jumps to the first later stage within the horizon that gains; each position's exits are computed at once, and the
     walk is a fold that follows them.
     """
     table = F.transform(F.sequence(F.lit(1), F.size(st)), lambda p: F.struct(*[x.alias(n) for x, n in zip(_moves(res, fl, us, st, pol, p), ("fresh", "gained"), strict=True)]))
-    start = F.struct(F.lit(1).alias("pos"), F.lit(False).alias("gained"), F.lit("").alias("kind"), F.lit(0).alias("stage"))
+    start = F.struct(F.lit(1).alias("pos"), F.lit(False).alias("gained"), F.lit("").alias("kind"), F.lit(0).alias("stage"), F.lit("").alias("branch"))
 
     def step(acc: Column, _: Column) -> Column:
         row = F.element_at(acc["table"], F.greatest(acc["pos"], F.lit(1)))
@@ -122,14 +129,14 @@ def split_decision(res: Column, fl: Column, us: Column, st: Column, pol: Column)
         jumped = x["to"] > 0
         nxt = F.struct(
             F.when(jumped, x["to"]).otherwise(acc["pos"]).alias("pos"), (acc["gained"] | jumped).alias("gained"), F.when(jumped, acc["kind"]).otherwise(x["kind"]).alias("kind"),
-            F.when(jumped, acc["stage"]).otherwise(x["stage"]).alias("stage"), acc["table"].alias("table"),
+            F.when(jumped, acc["stage"]).otherwise(x["stage"]).alias("stage"), F.when(jumped, acc["branch"]).otherwise(x["branch"]).alias("branch"), acc["table"].alias("table"),
         )
         return F.when(acc["kind"] != "", acc).otherwise(nxt)
 
-    whole = F.struct(start["pos"].alias("pos"), start["gained"].alias("gained"), start["kind"].alias("kind"), start["stage"].alias("stage"), table.alias("table"))
+    whole = F.struct(start["pos"].alias("pos"), start["gained"].alias("gained"), start["kind"].alias("kind"), start["stage"].alias("stage"), start["branch"].alias("branch"), table.alias("table"))
     out = F.aggregate(F.sequence(F.lit(1), F.size(st) + 1), whole, step)
-    found = F.struct(out["kind"].alias("kind"), F.when(out["kind"] == "positive", out["stage"]).alias("cap"), out["stage"].alias("stage"))
-    none = F.struct(F.lit("invalid").alias("kind"), F.lit(None).cast("int").alias("cap"), F.lit(1).alias("stage"))
+    found = F.struct(out["kind"].alias("kind"), F.when(out["kind"] == "positive", out["stage"]).alias("cap"), out["stage"].alias("stage"), out["branch"].alias("branch"))
+    none = F.struct(F.lit("invalid").alias("kind"), F.lit(None).cast("int").alias("cap"), F.lit(1).alias("stage"), F.lit("empty_applicable_stages").alias("branch"))
     return F.when(F.size(st) == 0, none).otherwise(found)
 
 
@@ -139,12 +146,19 @@ def policy_struct(policy: CapPolicy | None = None, prefix: str = "") -> Column:
     return F.struct(*[(F.lit(getattr(policy, n)) if policy else F.col(prefix + n)).alias(n) for n in names])
 
 
-def decide(stages: DataFrame, pol: Column, keys: Sequence[str] = ("traj_id", "eq", "split")) -> DataFrame:
-    """keys, kind, cap, stage from a stage table (keys, stage, residual, floor_ms, usable; missing stages are empty)."""
+def decide(stages: DataFrame, pol: Column, keys: Sequence[str] = ("traj_id", "eq", "split"), branches: bool = False) -> DataFrame:
+    """keys, kind, cap, stage (and branch) from a stage table (keys, stage, residual, floor_ms, usable; missing stages are
+    empty)."""
     extra = [c for c in stages.columns if c not in (*keys, "stage", "residual", "floor_ms", "usable")]
     g = stages.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(F.struct("stage", "residual", "floor_ms", "usable"))).alias("s"))  # at most five
     d = split_decision(F.col("s.residual"), F.col("s.floor_ms"), F.col("s.usable"), F.col("s.stage"), pol)
-    return g.select(*keys, *extra, d.alias("d")).select(*keys, *extra, "d.kind", "d.cap", "d.stage")
+    return g.select(*keys, *extra, d.alias("d")).select(*keys, *extra, "d.kind", "d.cap", "d.stage", *(["d.branch"] if branches else []))
+
+
+def majority_branch(decisions: DataFrame, keys: Sequence[str] = ("traj_id", "eq")) -> DataFrame:
+    """keys and branch: the one that decides most splits; ties by name. A series has as many decisions as splits."""
+    n = decisions.groupBy(*keys, "branch").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "branch"))["branch"].alias("branch"))
 
 
 def vote(decisions: DataFrame, mode: str = "majority", keys: Sequence[str] = ("traj_id", "eq")) -> DataFrame:
@@ -168,36 +182,47 @@ def vote(decisions: DataFrame, mode: str = "majority", keys: Sequence[str] = ("t
     return g.select(*keys, cap.alias("cap"))
 
 
-def stage_table(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], policy: CapPolicy) -> DataFrame:
-    """traj_id, eq, split, stage, residual, floor_ms, usable, rank, cond: the cumulative fit of each non-empty stage.
+STAGE_FITS = "eq int, split string, stage int, residual double, floor_ms double, usable boolean, rank int, cond double"
+
 
-    Weighted fit on a split's fit rows, unweighted residual on its holdout, from block factors alone.
+def stage_fits(src: DataFrame, basis: Sequence[Term], dim: int, policy: CapPolicy = CapPolicy(), by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """by, eq, split, stage, residual, floor_ms, usable, rank, cond: the cumulative fit of each non-empty stage.
+
+    Weighted fit on a split's fit rows, unweighted residual on its holdout, from block factors (or rows for them) alone.
     """
     policy.check()
-    p, dim = len(basis), len(cols)
+    p = len(basis)
     upto = {s: sum(t.stage <= s for t in basis) for s in range(1, STAGES + 1) if any(t.stage == s for t in basis)}
-    factors = R.block_factors(R.prepare(traj, basis, cols, policy.estimator, policy.weighting), p, dim)
-
-    def fits(traj_id: int, s: R.Stack) -> list[tuple]:
-        out = []
-        for split, (fit, hold) in R.roles(s.n).items():
-            a, b = s.rows(fit), s.rows(hold)
-            na, nb = int(s.count[a].sum()), int(s.count[b].sum())
-            plain, held = s.plain_of(a), s.plain_of(b)
+
+    def fits(m: R.Many) -> dict:
+        shape = (len(m), 4, dim, len(upto))
+        res, floor, cond, rank, good = np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(shape, int), np.zeros(shape, bool)
+        for i, (fit, hold) in enumerate(m.roles().values()):
+            na, nb, plain, held = m.rows_of(fit), m.rows_of(hold), m.plain_of(fit), m.plain_of(hold)
+            tested = [R.ranks(plain[:, :, :k], na) for k in upto.values()]
             for e in range(dim):
-                w = s.weighted_of(a, e)
-                spread = s.sums[a, 1, e].sum() / na - (s.sums[a, 0, e].sum() / na) ** 2 if na else 0.0
-                floor = float(s.sums[b, 2, e].sum() / nb) if nb else np.inf
-                for stage, k in upto.items():
-                    cols_ = list(range(k))
-                    rank, cond = R.rank_and_cond(plain[:, :k], na)
-                    c = R.solve(w[:, :k], w[:, p])
-                    res = R.residual(held, cols_, p + e, c, nb)
-                    good = rank == k and cond <= policy.cond_cap and spread >= policy.excitation_floor and np.isfinite(c).all() and np.isfinite(res)
-                    out.append((traj_id, e + 1, split, stage, res, floor, bool(good), rank, float(cond)))
-        return out
+                w = m.weighted_of(fit, e)
+                spread = np.nan_to_num(m.mean_of(fit, 1, e) - m.mean_of(fit, 0, e) ** 2)
+                floor[:, i, e] = np.nan_to_num(m.mean_of(hold, 2, e), nan=np.inf)[:, None]
+                for j, k in enumerate(upto.values()):
+                    c = R.least_squares(w[:, :, :k], w[:, :, p])
+                    res[:, i, e, j] = R.residuals(held, range(k), p + e, c, nb)
+                    rank[:, i, e, j], cond[:, i, e, j] = tested[j]
+                    good[:, i, e, j] = (rank[:, i, e, j] == k) & (cond[:, i, e, j] <= policy.cond_cap) & (spread >= policy.excitation_floor) & np.isfinite(c).all(1) & np.isfinite(res[:, i, e, j])
+        at = lambda values, axis: np.array(values).reshape([-1 if k == axis else 1 for k in range(4)])
+        return {"eq": at(range(1, dim + 1), 2), "split": at(list("ABCD"), 1), "stage": at(list(upto), 3), "residual": res, "floor_ms": floor, "usable": good, "rank": rank, "cond": cond}
 
-    return R._per_series(factors, p, dim, fits, "traj_id long, eq int, split string, stage int, residual double, floor_ms double, usable boolean, rank int, cond double")
+    return R.in_batches(src, p, dim, fits, STAGE_FITS, by)
+
+
+def stage_table(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], policy: CapPolicy, by: Sequence[str] = ("traj_id",), rows: int | None = None) -> DataFrame:
+    """The stage fits of trajectories. rows: spread series over tasks in ranges of so many rows."""
+    return stage_fits(R.prepare(traj, basis, cols, policy.estimator, policy.weighting, by, rows), basis, len(cols), policy, by)
+
+
+def stage_table_given(traj: DataFrame, basis: Sequence[Term], given: Sequence[str], policy: CapPolicy, by: Sequence[str] = ("traj_id",)) -> DataFrame:
+    """The stage fits where the derivatives are known: columns `given` of traj, with floor 0 and equal weights."""
+    return stage_fits(R.prepare_given(traj, basis, given, by), basis, len(given), policy, by)
 
 
 def estimate_stage_caps(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], policy: CapPolicy = CapPolicy()) -> DataFrame:
@@ -378,6 +403,42 @@ def cap_sensitivity(stages: DataFrame, factors: Sequence[float], policy: CapPoli
     return caps.groupBy("traj_id", "eq").agg(F.array_sort(F.collect_set(F.coalesce("cap", F.lit(0)))).alias("caps")).select("traj_id", "eq", "caps", F.size("caps").alias("n_caps"))
 
 
+def sensitivity(stages: DataFrame, rel_factors: Sequence[float], abs_factors: Sequence[float], policy: CapPolicy = CapPolicy(), keys: Sequence[str] = ("traj_id", "eq")) -> DataFrame:
+    """keys, rel_factor, abs_factor, cap, branch: caps and the branch of most splits with both thresholds scaled, each by
+    every factor of its own list.
+
+    Thresholds change no fit, so all pairs share one stage table; each split's rows are gathered once and decided for the
+    grid's few pairs. keys may hold the source of the derivatives (stage_table, stage_table_given).
+    """
+    grid = [(x, y) for x in rel_factors for y in abs_factors]
+    if not grid or len(set(grid)) != len(grid):
+        raise ValueError("factors must be distinct, at least one for each threshold")
+    pairs = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("rel_factor"), F.lit(float(y)).alias("abs_factor")) for x, y in grid]))
+    g = stages.groupBy(*keys, "split").agg(F.array_sort(F.collect_list(F.struct("stage", "residual", "floor_ms", "usable"))).alias("s")).select("*", pairs.alias("g"))  # at most five stages
+    p = F.struct(F.lit(policy.horizon).alias("horizon"), (F.lit(policy.tau_rel) * F.col("g.rel_factor")).alias("tau_rel"), (F.lit(policy.tau_abs) * F.col("g.abs_factor")).alias("tau_abs"), F.lit(policy.drop_ratio).alias("drop_ratio"), F.lit(policy.floor_ratio).alias("floor_ratio"))
+    d = split_decision(F.col("s.residual"), F.col("s.floor_ms"), F.col("s.usable"), F.col("s.stage"), p)
+    per = [*keys, "rel_factor", "abs_factor"]
+    rows = g.select(*keys, "split", "g.rel_factor", "g.abs_factor", d.alias("d")).select(*per, "split", "d.*")
+    return vote(rows, policy.aggregation, per).join(majority_branch(rows, per), per)
+
+
+def sensitivity_summary(rows: DataFrame, stage: int, keys: Sequence[str] = ("traj_id", "eq")) -> DataFrame:
+    """keys, caps (distinct ones as text, none for null), n (pairs of factors) and at_stage (pairs whose cap is `stage`)."""
+    text = F.concat_ws(", ", F.array_sort(F.collect_set(F.coalesce(F.col("cap").cast("string"), F.lit("none")))))
+    return rows.groupBy(*keys).agg(text.alias("caps"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("cap") == stage).alias("at_stage"))
+
+
+def cap_audit(new: DataFrame, base: DataFrame, allowed: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: rows compared, changed, changed outside `allowed`, caps (not null) before and after, targets, targets met and
+    targets without a row. allowed: traj_id, eq; targets: traj_id, eq, expected (null: no cap), one row each."""
+    j = new.select("traj_id", "eq", F.col("cap").alias("new")).join(base.select("traj_id", "eq", F.col("cap").alias("old")), ["traj_id", "eq"])
+    j = j.join(allowed.select("traj_id", "eq", F.lit(True).alias("allowed")).distinct(), ["traj_id", "eq"], "left").withColumn("changed", ~F.col("new").eqNullSafe(F.col("old")))
+    t = targets.join(j.select("traj_id", "eq", "new", F.lit(True).alias("there")), ["traj_id", "eq"], "left")
+    met = t.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("there") & F.col("new").eqNullSafe(F.col("expected"))).alias("targets_met"), F.count_if(F.col("there").isNull()).alias("targets_missing"))
+    n = j.agg(F.count(F.lit(1)).alias("rows"), F.count_if("changed").alias("changed"), F.count_if(F.col("changed") & F.col("allowed").isNull()).alias("violations"), F.count("old").alias("finite_before"), F.count("new").alias("finite_after"))
+    return n.crossJoin(F.broadcast(met))  # one row each
+
+
 def post_floor_events(stages: DataFrame, policy: CapPolicy = CapPolicy(), keys: Sequence[str] = ("traj_id", "eq", "split")) -> DataFrame:
     """The first stage of each split that lies at its floor: ratio of the best later residual, floor ratio and outcome."""
     g = stages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("stage", "residual", "floor_ms", "usable"))).alias("s"))

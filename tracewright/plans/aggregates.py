@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import aggregates as A
 
 from .derivatives import r
-from .views import oracle
+from .views import Views, oracle
 
 MATCH = "CASE lower(exact_support_match) WHEN 'true' THEN 1e0 WHEN 'false' THEN 0e0 END"
 
@@ -83,6 +84,18 @@ def _costs(v, key):
     return A.level_costs(_levels(v), [key]).select(key, "n", *[F.round(c, n).alias(c) for c, n in (("mean_cost", 9), ("median_cost", 9), ("total_cost", 9), ("share", 9), ("ms_per_solve", 7))])
 
 
+SUPPORTS = {
+    "st": "SELECT variant_slug, system_id, seed, run_id % 97 AS ic, eq, term, coef FROM structure_terms JOIN run_registry USING (run_id)",
+    "sm": "SELECT *, max(abs(coef)) OVER (PARTITION BY variant_slug, system_id, seed, ic, eq) AS top FROM st",
+    "sk": "SELECT variant_slug, system_id, seed, ic, list_sort(list(DISTINCT eq * 100 + term)) AS s FROM sm WHERE abs(coef) >= greatest(1e-6, 0.9e0 * top) GROUP BY ALL",
+}
+
+
+def _supports(v: Views) -> DataFrame:
+    """Terms of the runs by variant and cell."""
+    return v.structure_terms.join(v.run_registry.select("run_id", "variant_slug", "system_id", "seed", (F.col("run_id") % 97).alias("ic")), "run_id")
+
+
 QUERIES = {
     "g01_aggregate_runs": (lambda v: r(A.aggregate_runs(v.run_registry)), oracle(rounded("variant_slug, system_id"), "run_registry", **AG)),
     "g01_aggregate_runs_ic": (lambda v: r(A.aggregate_runs(v.run_registry, True)), oracle(rounded("variant_slug, system_id, initial_condition_set"), "run_registry", ag=agg_sql("variant_slug, system_id, initial_condition_set"))),
@@ -133,4 +146,10 @@ QUERIES = {
         lambda v: r(A.compare_variants(v.run_registry, "v1", "v2")),
         oracle("SELECT a.system_id, round(CASE WHEN b.t > 0 THEN a.t / b.t END, 6) AS runtime_ratio, a.s = b.s AS same_support FROM (SELECT system_id, sum(elapsed_s) AS t, list_sort(list(DISTINCT final_stage)) AS s FROM run_registry WHERE variant_slug = 'v1' GROUP BY 1) a JOIN (SELECT system_id, sum(elapsed_s) AS t, list_sort(list(DISTINCT final_stage)) AS s FROM run_registry WHERE variant_slug = 'v2' GROUP BY 1) b USING (system_id)", "run_registry"),
     ),
+    "g16_same_pruned_support": (
+        lambda v: A.same_pruned_support(_supports(v), "v1", "v2", ["system_id", "seed", "ic"], relative=0.9),
+        oracle(
+            "SELECT system_id, count(*) AS cells, count(*) FILTER (a.s = b.s) AS same_cells, bool_and(a.s = b.s) AS same_support FROM (SELECT * FROM sk WHERE variant_slug = 'v1') a JOIN (SELECT * FROM sk WHERE variant_slug = 'v2') b USING (system_id, seed, ic) GROUP BY 1",
+            "run_registry", "structure_terms", **SUPPORTS),
+    ),
 }

@@ -136,7 +136,7 @@ QUERIES = {
         lambda v: D.settle_time(v.traj_events, EV),
         oracle("SELECT traj_id, " + ", ".join(f"min(CASE WHEN hi_{c} > lo_{c} AND {c} <= lo_{c} + 0.01e0 * (hi_{c} - lo_{c}) THEN t END) AS settle_{c}" for c in EV) + " FROM m GROUP BY traj_id", "traj_events", m="SELECT *, " + ", ".join(f"min({c}) OVER (PARTITION BY traj_id) AS lo_{c}, max({c}) OVER (PARTITION BY traj_id) AS hi_{c}" for c in EV) + " FROM traj_events"),
     ),
-    "a13_density_sweep": (lambda v: r(D.density_sweep(v.traj_supplier, ["u1"]), n=4), oracle("SELECT traj_id // 10 AS traj_id, traj_id % 10 AS k, count(*) AS n, round(sqrt(avg(r_u1 * r_u1)), 4) AS bound_u1 FROM rich GROUP BY 1, 2", "traj_supplier", **SWEEP)),
+    "a13_density_sweep": (lambda v: r(D.density_bounds(v.traj_supplier, ["u1"]), n=4), oracle("SELECT traj_id // 10 AS traj_id, traj_id % 10 AS k, count(*) AS n, round(sqrt(avg(r_u1 * r_u1)), 4) AS bound_u1 FROM rich GROUP BY 1, 2", "traj_supplier", **SWEEP)),
     "a14_audit": (
         lambda v: D.audit_trajectories(v.traj_events, _declared(v, "traj_events", EV), EV),
         oracle("SELECT traj_id, count(*) AS n, min(t) AS t_min, max(t) AS t_max, traj_id % 5 <> 0 AS starts_as_declared FROM traj_events GROUP BY traj_id", "traj_events"),

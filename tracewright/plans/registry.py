@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .views import Views
 
-MODULES = ("derivatives", "terms", "campaign", "aggregates", "levels", "regression", "stagecaps", "search", "files", "live")
+MODULES = ("derivatives", "terms", "campaign", "aggregates", "levels", "regression", "stagecaps", "probes", "search", "files", "live")
 
 
 def _all() -> dict[str, tuple]:

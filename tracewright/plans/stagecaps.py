@@ -109,9 +109,10 @@ LOSO = {
 }
 
 
-def walk(factors: tuple[float, ...] = (1.0,)) -> dict[str, str]:
-    """Steps that follow every split's exits: mv has where each position leads, wk the walk, one per scaled threshold."""
-    grid = ", ".join(f"({i}, {POL.tau_rel * f!r}::DOUBLE, {POL.tau_abs * f!r}::DOUBLE)" for i, f in enumerate(factors))
+def walk(factors: tuple[float, ...] = (1.0,), pairs: list[tuple[float, float]] | None = None, policy: C.CapPolicy = POL) -> dict[str, str]:
+    """Steps that follow every split's exits: mv has where each position leads, wk the walk, one per scaled threshold (or
+    pair of thresholds)."""
+    grid = ", ".join(f"({i}, {policy.tau_rel * a!r}::DOUBLE, {policy.tau_abs * b!r}::DOUBLE)" for i, (a, b) in enumerate(pairs or [(f, f) for f in factors]))
     gain = "cur > f AND cur - res[q] > f AND CASE WHEN cur = 0 THEN 'Infinity'::DOUBLE ELSE (cur - res[q]) / cur END > tr AND (res[q] <= f OR cur - res[q] > ta)"
     return {
         "ls": "SELECT traj_id, split, list(residual ORDER BY stage) AS res, list(floor_ms ORDER BY stage) AS fl, list(usable ORDER BY stage) AS us, list(stage ORDER BY stage) AS st FROM stage_residuals GROUP BY ALL",
@@ -119,14 +120,16 @@ def walk(factors: tuple[float, ...] = (1.0,)) -> dict[str, str]:
         "pc": "SELECT *, res[p] AS cur, fl[p] AS f, list_min(res[p + 1:]) AS later, p = m OR us[p + 1] AS succ FROM ps",
         "pf": f"SELECT *, CASE WHEN cur > f THEN 'not_applicable' WHEN cur <= 0 OR f <= 0 OR cur / f < {POL.floor_ratio!r}::DOUBLE OR p = m THEN 'no_clear_drop' WHEN later / cur <= {POL.drop_ratio!r}::DOUBLE THEN 'clear_drop' ELSE 'no_clear_drop' END AS after FROM pc",
         "fx": f"SELECT pf.*, x.policy, x.ta, list_min([q FOR q IN range(p + 1, least(p + {POL.horizon}, m) + 1) IF NOT us[q] OR ({gain})]) AS nxt, list_max([abs(r) FOR r IN res[p:]]) <= ta AS faint FROM pf, (VALUES {grid}) x(policy, tr, ta)",
-        "mv": "SELECT traj_id, split, policy, p, st, gained, CASE WHEN NOT us[p] THEN {'q': 0, 'kind': 'invalid', 'stage': st[p]} "
-        "WHEN cur <= f THEN CASE WHEN gained AND after = 'clear_drop' THEN {'q': p + 1, 'kind': '', 'stage': 0} WHEN gained AND after = 'no_clear_drop' AND succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p]} ELSE {'q': 0, 'kind': 'undecidable', 'stage': st[p]} END "
-        "WHEN p = m THEN {'q': 0, 'kind': CASE WHEN gained THEN 'positive' ELSE 'undecidable' END, 'stage': st[p]} "
-        "WHEN nxt IS NULL THEN CASE WHEN NOT gained AND faint THEN {'q': 0, 'kind': 'undecidable', 'stage': st[p]} WHEN succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p]} ELSE {'q': 0, 'kind': 'invalid', 'stage': st[p + 1]} END "
-        "WHEN NOT us[nxt] THEN {'q': 0, 'kind': 'invalid', 'stage': st[nxt]} ELSE {'q': nxt, 'kind': '', 'stage': 0} END AS x FROM fx, (VALUES (false), (true)) g(gained)",
-        "wk": "SELECT traj_id, split, policy, CAST(1 AS BIGINT) AS p, false AS gained, '' AS kind, 0 AS stage FROM ls, (SELECT DISTINCT policy FROM mv) o UNION ALL "
-        "SELECT w.traj_id, w.split, w.policy, x.q, x.q > 0, x.kind, x.stage FROM wk w JOIN mv USING (traj_id, split, policy, p, gained) WHERE w.kind = ''",
-        "dc": "SELECT traj_id, 1 AS eq, split, policy, kind, CASE WHEN kind = 'positive' THEN stage END AS cap, stage FROM wk WHERE kind <> ''",
+        "mv": "SELECT traj_id, split, policy, p, st, gained, CASE WHEN NOT us[p] THEN {'q': 0, 'kind': 'invalid', 'stage': st[p], 'branch': 'usability'} "
+        "WHEN cur <= f THEN CASE WHEN gained AND after = 'clear_drop' THEN {'q': p + 1, 'kind': '', 'stage': 0, 'branch': ''} WHEN gained AND after = 'no_clear_drop' AND succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p], 'branch': 'floor_after_gain'} "
+        "ELSE {'q': 0, 'kind': 'undecidable', 'stage': st[p], 'branch': 'floor_doubt_band'} END "
+        "WHEN p = m THEN {'q': 0, 'kind': CASE WHEN gained THEN 'positive' ELSE 'undecidable' END, 'stage': st[p], 'branch': 'horizon_exhausted'} "
+        "WHEN nxt IS NULL THEN CASE WHEN NOT gained AND faint THEN {'q': 0, 'kind': 'undecidable', 'stage': st[p], 'branch': 'uninformative_without_gain'} WHEN succ THEN {'q': 0, 'kind': 'positive', 'stage': st[p], 'branch': 'gain_search_exhausted'} "
+        "ELSE {'q': 0, 'kind': 'invalid', 'stage': st[p + 1], 'branch': 'successor_usability'} END "
+        "WHEN NOT us[nxt] THEN {'q': 0, 'kind': 'invalid', 'stage': st[nxt], 'branch': 'usability'} ELSE {'q': nxt, 'kind': '', 'stage': 0, 'branch': ''} END AS x FROM fx, (VALUES (false), (true)) g(gained)",
+        "wk": "SELECT traj_id, split, policy, CAST(1 AS BIGINT) AS p, false AS gained, '' AS kind, 0 AS stage, '' AS branch FROM ls, (SELECT DISTINCT policy FROM mv) o UNION ALL "
+        "SELECT w.traj_id, w.split, w.policy, x.q, x.q > 0, x.kind, x.stage, x.branch FROM wk w JOIN mv USING (traj_id, split, policy, p, gained) WHERE w.kind = ''",
+        "dc": "SELECT traj_id, 1 AS eq, split, policy, kind, CASE WHEN kind = 'positive' THEN stage END AS cap, stage, branch FROM wk WHERE kind <> ''",
     }
 
 
@@ -138,6 +141,20 @@ SENSE = {
     "vs": "SELECT g.traj_id, g.policy, (SELECT min(c.cap) FROM cs c WHERE c.traj_id = g.traj_id AND c.policy = g.policy AND c.k > g.n / 2 AND (g.b IS NULL OR g.b > c.cap)) AS cap FROM gs g",
 }
 
+PAIRS = [(a, b) for a in (0.1, 1.0, 100.0) for b in (0.1, 10.0, 1000.0)]
+#: Caps and the branch of most splits under each pair of scaled thresholds.
+GRIDDED = {
+    **walk(pairs=PAIRS), **SENSE,
+    "pp": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(PAIRS)) + ") x(policy, rel_factor, abs_factor)",
+    "br": "SELECT traj_id, policy, branch FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, policy ORDER BY n DESC, branch) AS rn FROM (SELECT traj_id, policy, branch, count(*) AS n FROM dc GROUP BY ALL) q) z WHERE rn = 1",
+    "sg": "SELECT traj_id, 1 AS eq, rel_factor, abs_factor, cap, branch FROM vs JOIN br USING (traj_id, policy) JOIN pp USING (policy)",
+}
+
+
+def gridded(v: Views) -> DataFrame:
+    return C.sensitivity(table(v), (0.1, 1.0, 100.0), (0.1, 10.0, 1000.0), POL)
+
+
 QUERIES = {
     "c01_stage_table": (lambda v: r(C.stage_table(v.traj_events, B2, EV, C.CapPolicy()).select("traj_id", "eq", "split", "stage", F.when(F.col("usable"), F.col("residual")).alias("residual"), "floor_ms", "usable", "rank"), n=4), None),
     "c02_counts_gain": (
@@ -224,6 +241,17 @@ QUERIES = {
         lambda v: C.cap_sensitivity(table(v), (0.1, 1.0, 10.0, 1000.0), POL).select("traj_id", "eq", F.concat_ws(",", F.transform("caps", lambda x: x.cast("string"))).alias("caps"), "n_caps"),
         oracle("SELECT traj_id, 1 AS eq, array_to_string(list_sort(list(DISTINCT coalesce(cap, 0))), ',') AS caps, count(DISTINCT coalesce(cap, 0)) AS n_caps FROM vs GROUP BY traj_id", "stage_residuals", **walk((0.1, 1.0, 10.0, 1000.0)), **SENSE),
     ),
+    "c25_sensitivity": (gridded, oracle("SELECT * FROM sg", "stage_residuals", **GRIDDED)),
+    "c25_sensitivity_summary": (
+        lambda v: C.sensitivity_summary(gridded(v), 3),
+        oracle("SELECT traj_id, eq, string_agg(DISTINCT c, ', ' ORDER BY c) AS caps, count(*) AS n, count(*) FILTER (cap = 3) AS at_stage FROM (SELECT *, coalesce(CAST(cap AS VARCHAR), 'none') AS c FROM sg) q GROUP BY 1, 2", "stage_residuals", **GRIDDED),
+    ),
+    "c24_cap_audit": (
+        lambda v: C.cap_audit(at(v, 3), at(v, 2), at(v, 2).where("traj_id % 2 = 0"), at(v, 5).where("traj_id % 5 = 0").select(F.when(F.col("traj_id") % 15 == 0, -1 - F.col("traj_id")).otherwise(F.col("traj_id")).alias("traj_id"), "eq", F.col("cap").alias("expected"))),
+        oracle(
+            "SELECT * FROM (SELECT count(*) AS rows, count(*) FILTER (ch) AS changed, count(*) FILTER (ch AND traj_id % 2 <> 0) AS violations, count(old) AS finite_before, count(cap) AS finite_after FROM (SELECT a.traj_id, a.cap, b.cap AS old, a.cap IS DISTINCT FROM b.cap AS ch FROM cp a JOIN cp b ON a.traj_id = b.traj_id AND b.horizon = 2 WHERE a.horizon = 3) q), "
+            "(SELECT count(*) AS targets, count(*) FILTER (c.traj_id % 15 <> 0 AND a.cap IS NOT DISTINCT FROM c.cap) AS targets_met, count(*) FILTER (c.traj_id % 15 = 0) AS targets_missing FROM cp c LEFT JOIN cp a ON a.traj_id = c.traj_id AND a.horizon = 3 WHERE c.horizon = 5 AND c.traj_id % 5 = 0)", cp=CAPS_SQL),
+    ),
     "c26_post_floor_events": (lambda v: r(C.post_floor_events(table(v), POL), n=9), oracle("SELECT traj_id, eq, split, stage, round(later_ratio, 9) AS later_ratio, round(floor_ratio, 9) AS floor_ratio, outcome FROM ev", "stage_residuals", **{k: q for k, q in walk().items() if k in ("ls", "ps", "pc", "pf")}, ev=EVENTS)),
     "c26_nearest_event": (lambda v: r(C.nearest_event(C.post_floor_events(table(v), POL)), n=9), oracle("SELECT traj_id, eq, split, stage, round(later_ratio, 9) AS later_ratio, outcome FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, eq ORDER BY coalesce(abs(later_ratio - 0.5e0), 'Infinity'::DOUBLE), split) AS rn FROM ev) q WHERE rn = 1", "stage_residuals", **{k: q for k, q in walk().items() if k in ("ls", "ps", "pc", "pf")}, ev=EVENTS)),
 }
