@@ -6,7 +6,7 @@ joining a small table of policies to the same stage table; fits are never repeat
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,30 +86,39 @@ def uninformative(res: Column, p: Column, tau_abs: Column) -> Column:
 BRANCHES = ("empty_applicable_stages", "usability", "floor_after_gain", "floor_doubt_band", "horizon_exhausted", "uninformative_without_gain", "gain_search_exhausted", "successor_usability")
 
 
-def _moves(res: Column, fl: Column, us: Column, st: Column, pol: Column, p: Column) -> tuple[Column, Column]:
-    """Where position p leads, before and after a gain was seen: struct(to, kind, stage, branch); to = 0 ends with kind.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed (and planned) once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    branch names the rule that ends the walk (BRANCHES)."""
+
+def _moves(res: Column, fl: Column, us: Column, st: Column, pol: Column, p: Column) -> Column:
+    """Where position p leads, before (fresh) and after (gained) a gain was seen: struct(to, kind, stage, branch) of each; to = 0
+    ends with kind, by the rule that branch names (BRANCHES)."""
     m, at = F.size(st), lambda a, q: F.element_at(a, q)
     end = lambda kind, stage, why: F.struct(F.lit(0).alias("to"), F.lit(kind).alias("kind"), stage.cast("int").alias("stage"), F.lit(why).alias("branch"))
     go = lambda q: F.struct(q.cast("int").alias("to"), F.lit("").alias("kind"), F.lit(0).alias("stage"), F.lit("").alias("branch"))
-    here, nxt = at(st, p), F.least(p + 1, m)
-    succ = (p == m) | at(us, nxt)
-    after = post_floor(res, fl, p, pol["drop_ratio"], pol["floor_ratio"])
+    nxt = F.least(p + 1, m)
     ahead = F.filter(F.sequence(F.lit(1), m), lambda q: (q > p) & (q <= p + pol["horizon"]) & (~at(us, q) | counts_gain(at(res, p), at(res, q), at(fl, p), pol["tau_rel"], pol["tau_abs"])))
-    first = F.when(F.size(ahead) > 0, F.element_at(ahead, F.lit(1)))
+    known = F.struct(
+        post_floor(res, fl, p, pol["drop_ratio"], pol["floor_ratio"]).alias("after"), F.array_min(ahead).alias("first"), ((p == m) | at(us, nxt)).alias("succ"), at(st, p).alias("here"), uninformative(res, p, pol["tau_abs"]).alias("faint"),
+    )
+
+    def both(x: Column) -> Column:
+        here, first = x["here"], x["first"]
 
-    def one(gained: bool) -> Column:
-        stay = F.when(succ, end("positive", here, "gain_search_exhausted")).otherwise(end("invalid", at(st, nxt), "successor_usability"))
-        if not gained:
-            stay = F.when(uninformative(res, p, pol["tau_abs"]), end("undecidable", here, "uninformative_without_gain")).otherwise(stay)
-        low = end("undecidable", here, "floor_doubt_band")
-        if gained:
-            low = F.when(after == "clear_drop", go(p + 1)).when((after == "no_clear_drop") & succ, end("positive", here, "floor_after_gain")).otherwise(low)
-        above = F.when(p == m, end("positive" if gained else "undecidable", here, "horizon_exhausted")).when(first.isNull(), stay).when(~at(us, first), end("invalid", at(st, first), "usability")).otherwise(go(first))
-        return F.when(~at(us, p), end("invalid", here, "usability")).when(at(res, p) <= at(fl, p), low).otherwise(above)
+        def one(gained: bool) -> Column:
+            stay = F.when(x["succ"], end("positive", here, "gain_search_exhausted")).otherwise(end("invalid", at(st, nxt), "successor_usability"))
+            if not gained:
+                stay = F.when(x["faint"], end("undecidable", here, "uninformative_without_gain")).otherwise(stay)
+            low = end("undecidable", here, "floor_doubt_band")
+            if gained:
+                low = F.when(x["after"] == "clear_drop", go(p + 1)).when((x["after"] == "no_clear_drop") & x["succ"], end("positive", here, "floor_after_gain")).otherwise(low)
+            above = F.when(p == m, end("positive" if gained else "undecidable", here, "horizon_exhausted")).when(first.isNull(), stay).when(~at(us, first), end("invalid", at(st, first), "usability")).otherwise(go(first))
+            return F.when(~at(us, p), end("invalid", here, "usability")).when(at(res, p) <= at(fl, p), low).otherwise(above)
 
-    return one(False), one(True)
+        return F.struct(one(False).alias("fresh"), one(True).alias("gained"))
+
+    return _let(known, both)
 
 
 def split_decision(res: Column, fl: Column, us: Column, st: Column, pol: Column) -> Column:
@@ -120,24 +129,24 @@ def split_decision(res: Column, fl: Column, us: Column, st: Column, pol: Column)
     jumps to the first later stage within the horizon that gains; each position's exits are computed at once, and the
     walk is a fold that follows them.
     """
-    table = F.transform(F.sequence(F.lit(1), F.size(st)), lambda p: F.struct(*[x.alias(n) for x, n in zip(_moves(res, fl, us, st, pol, p), ("fresh", "gained"), strict=True)]))
-    start = F.struct(F.lit(1).alias("pos"), F.lit(False).alias("gained"), F.lit("").alias("kind"), F.lit(0).alias("stage"), F.lit("").alias("branch"))
+    table = F.transform(F.sequence(F.lit(1), F.size(st)), lambda p: _moves(res, fl, us, st, pol, p))
 
     def step(acc: Column, _: Column) -> Column:
         row = F.element_at(acc["table"], F.greatest(acc["pos"], F.lit(1)))
-        x = F.when(acc["gained"], row["gained"]).otherwise(row["fresh"])
-        jumped = x["to"] > 0
-        nxt = F.struct(
-            F.when(jumped, x["to"]).otherwise(acc["pos"]).alias("pos"), (acc["gained"] | jumped).alias("gained"), F.when(jumped, acc["kind"]).otherwise(x["kind"]).alias("kind"),
-            F.when(jumped, acc["stage"]).otherwise(x["stage"]).alias("stage"), F.when(jumped, acc["branch"]).otherwise(x["branch"]).alias("branch"), acc["table"].alias("table"),
-        )
-        return F.when(acc["kind"] != "", acc).otherwise(nxt)
 
-    whole = F.struct(start["pos"].alias("pos"), start["gained"].alias("gained"), start["kind"].alias("kind"), start["stage"].alias("stage"), start["branch"].alias("branch"), table.alias("table"))
-    out = F.aggregate(F.sequence(F.lit(1), F.size(st) + 1), whole, step)
-    found = F.struct(out["kind"].alias("kind"), F.when(out["kind"] == "positive", out["stage"]).alias("cap"), out["stage"].alias("stage"), out["branch"].alias("branch"))
-    none = F.struct(F.lit("invalid").alias("kind"), F.lit(None).cast("int").alias("cap"), F.lit(1).alias("stage"), F.lit("empty_applicable_stages").alias("branch"))
-    return F.when(F.size(st) == 0, none).otherwise(found)
+        def moved(x: Column) -> Column:
+            jumped = x["to"] > 0
+            return F.struct(
+                F.when(jumped, x["to"]).otherwise(acc["pos"]).alias("pos"), (acc["gained"] | jumped).alias("gained"), F.when(jumped, acc["kind"]).otherwise(x["kind"]).alias("kind"),
+                F.when(jumped, acc["stage"]).otherwise(x["stage"]).alias("stage"), F.when(jumped, acc["branch"]).otherwise(x["branch"]).alias("branch"), acc["table"].alias("table"),
+            )
+
+        return F.when(acc["kind"] != "", acc).otherwise(_let(F.when(acc["gained"], row["gained"]).otherwise(row["fresh"]), moved))
+
+    whole = F.struct(F.lit(1).alias("pos"), F.lit(False).alias("gained"), F.lit("").alias("kind"), F.lit(0).alias("stage"), F.lit("").alias("branch"), table.alias("table"))
+    result = lambda kind, cap, stage, branch: F.struct(kind.alias("kind"), cap.cast("int").alias("cap"), stage.alias("stage"), branch.alias("branch"))
+    found = F.aggregate(F.sequence(F.lit(1), F.size(st) + 1), whole, step, lambda out: result(out["kind"], F.when(out["kind"] == "positive", out["stage"]), out["stage"], out["branch"]))
+    return F.when(F.size(st) == 0, result(F.lit("invalid"), F.lit(None), F.lit(1), F.lit("empty_applicable_stages"))).otherwise(found)
 
 
 def policy_struct(policy: CapPolicy | None = None, prefix: str = "") -> Column:
@@ -152,7 +161,7 @@ def decide(stages: DataFrame, pol: Column, keys: Sequence[str] = ("traj_id", "eq
     extra = [c for c in stages.columns if c not in (*keys, "stage", "residual", "floor_ms", "usable")]
     g = stages.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(F.struct("stage", "residual", "floor_ms", "usable"))).alias("s"))  # at most five
     d = split_decision(F.col("s.residual"), F.col("s.floor_ms"), F.col("s.usable"), F.col("s.stage"), pol)
-    return g.select(*keys, *extra, d.alias("d")).select(*keys, *extra, "d.kind", "d.cap", "d.stage", *(["d.branch"] if branches else []))
+    return g.select(*keys, *extra, F.inline(F.array(d))).drop(*([] if branches else ["branch"]))
 
 
 def majority_branch(decisions: DataFrame, keys: Sequence[str] = ("traj_id", "eq")) -> DataFrame:
@@ -381,11 +390,10 @@ def trace_decisions(stages: DataFrame, pol: Column, keys: Sequence[str] = ("traj
 
     def text(p: Column) -> Column:
         word = lambda x: F.when(x["to"] > 0, F.concat(F.lit("to "), F.element_at(st, F.greatest(x["to"], F.lit(1))).cast("string"))).otherwise(F.concat(x["kind"], F.lit(" at "), x["stage"].cast("string")))
-        a, b = _moves(res, fl, us, st, pol, p)
-        return F.concat(F.lit("stage "), F.element_at(st, p).cast("string"), F.lit(": "), word(a), F.lit(", after a gain: "), word(b))
+        return _let(_moves(res, fl, us, st, pol, p), lambda x: F.concat(F.lit("stage "), F.element_at(st, p).cast("string"), F.lit(": "), word(x["fresh"]), F.lit(", after a gain: "), word(x["gained"])))
 
-    d = split_decision(res, fl, us, st, pol)
-    return g.select(*keys, d.alias("d"), F.concat_ws("; ", F.transform(F.sequence(F.lit(1), F.size(st)), text)).alias("trace")).select(*keys, "d.kind", "d.cap", "d.stage", "trace")
+    traced = g.withColumn("trace", F.concat_ws("; ", F.transform(F.sequence(F.lit(1), F.size(st)), text)))
+    return traced.select(*keys, "trace", F.inline(F.array(split_decision(res, fl, us, st, pol)))).select(*keys, "kind", "cap", "stage", "trace")
 
 
 def cap_changes(new: DataFrame, base: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -418,7 +426,7 @@ def sensitivity(stages: DataFrame, rel_factors: Sequence[float], abs_factors: Se
     p = F.struct(F.lit(policy.horizon).alias("horizon"), (F.lit(policy.tau_rel) * F.col("g.rel_factor")).alias("tau_rel"), (F.lit(policy.tau_abs) * F.col("g.abs_factor")).alias("tau_abs"), F.lit(policy.drop_ratio).alias("drop_ratio"), F.lit(policy.floor_ratio).alias("floor_ratio"))
     d = split_decision(F.col("s.residual"), F.col("s.floor_ms"), F.col("s.usable"), F.col("s.stage"), p)
     per = [*keys, "rel_factor", "abs_factor"]
-    rows = g.select(*keys, "split", "g.rel_factor", "g.abs_factor", d.alias("d")).select(*per, "split", "d.*")
+    rows = g.select(*keys, "split", "g.rel_factor", "g.abs_factor", F.inline(F.array(d)))
     return vote(rows, policy.aggregation, per).join(majority_branch(rows, per), per)
 
 

@@ -24,6 +24,11 @@ def factors(v: Views) -> DataFrame:
     return R.block_factors(R.prepare(v.traj_events, B2, EV), P, 2)
 
 
+def prepared(v: Views) -> DataFrame:
+    """The rows behind them: fits of whole series factor and solve them in one go."""
+    return R.prepare(v.traj_events, B2, EV)
+
+
 def linear(v: Views) -> list[T.Term]:
     return [t for t in B2 if t.stage == 1]
 
@@ -88,13 +93,13 @@ def fit_eval(v: Views) -> DataFrame:
 
 QUERIES = {
     "b01_fit_one_term": (one_term, oracle("SELECT traj_id, 1 AS eq, 1 AS term, round(a1, 6) + 0e0 AS coef FROM s1 UNION ALL SELECT traj_id, 2, 2, round(a2, 6) + 0e0 FROM s1", "traj_events", **ONE)),
-    "b01_fit_ols": (lambda v: r(R.fit_ols(factors(v), P, 2), n=4), None),
+    "b01_fit_ols": (lambda v: r(R.fit_ols(prepared(v), P, 2), n=4), None),
     "u01_custom_basis": (
         # du1/dt on one term of one's own
         lambda v: r(R.fit_ols(R.block_factors(R.prepare(v.traj_events, T.custom_basis([("u1-u2", 1, (1, 2), lambda u: u[0] - u[1])]), EV), 1, 2), 1, 2).where("eq = 1").select("traj_id", "coef")),
         oracle("SELECT traj_id, round(sum((u1 - u2) * d_u1) / sum((u1 - u2) * (u1 - u2)), 6) + 0e0 AS coef FROM xy GROUP BY 1", "traj_events", **ONE),
     ),
-    "b02_warm_start": (lambda v: r(R.warm_start(R.fit_ols(factors(v), P, 2).select("traj_id", "eq", "term", "coef"), 1e3), n=4), None),
+    "b02_warm_start": (lambda v: r(R.warm_start(R.fit_ols(prepared(v), P, 2).select("traj_id", "eq", "term", "coef"), 1e3), n=4), None),
     "b02_warm_start_linear": (
         # two terms an equation, so that the norm limit and the fit have a closed form
         lambda v: r(R.warm_start(R.fit_ols(R.block_factors(R.prepare(v.traj_events, linear(v), EV), 2, 2), 2, 2).select("traj_id", "eq", "term", "coef"), 0.5), n=5),
@@ -130,7 +135,7 @@ QUERIES = {
         oracle("SELECT traj_id, round((sum((u1 - f1) * (u1 - f1)) + sum((u2 - f2) * (u2 - f2))) / (2 * count(*)), 6) AS loss FROM (SELECT *, first_value(u1) OVER w AS f1, first_value(u2) OVER w AS f2 FROM traj_events WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) q GROUP BY 1", "traj_events"),
     ),
     "b13_full_basis_reference": (
-        lambda v: r(R.fit_ols(factors(v), P, 2).groupBy("traj_id", "eq").agg(F.max("mse").alias("mse"), F.max("r2").alias("r2"), F.sqrt(F.sum(F.col("coef") * F.col("coef"))).alias("norm"), F.max("rank").alias("rank")), n=4),
+        lambda v: r(R.fit_ols(prepared(v), P, 2).groupBy("traj_id", "eq").agg(F.max("mse").alias("mse"), F.max("r2").alias("r2"), F.sqrt(F.sum(F.col("coef") * F.col("coef"))).alias("norm"), F.max("rank").alias("rank")), n=4),
         None,
     ),
     "b14_derive_support": (
@@ -139,7 +144,7 @@ QUERIES = {
         oracle("SELECT DISTINCT traj_id, eq, 'ok' AS status, CASE WHEN eq = 1 THEN '1,2' ELSE '4' END AS support FROM traj_events, (VALUES (1), (2)) e(eq)", "traj_events"),
     ),
     "b15_support_countercheck": (
-        lambda v: T.support_match(T.prune(R.fit_ols(factors(v), P, 2).withColumnRenamed("traj_id", "run_id"), relative=0.05), T.prune(R.fit_ridge(factors(v), P, 2).withColumnRenamed("traj_id", "run_id"), relative=0.05)),
+        lambda v: T.support_match(T.prune(R.fit_ols(prepared(v), P, 2).withColumnRenamed("traj_id", "run_id"), relative=0.05), T.prune(R.fit_ridge(prepared(v), P, 2).withColumnRenamed("traj_id", "run_id"), relative=0.05)),
         None,
     ),
     "b16_noise_floor": (
