@@ -17,7 +17,17 @@ from . import stagecaps as C
 from .terms import Term, prune, support_match, terms_table
 
 
-def fit_structures(best: DataFrame, factors: DataFrame, p: int, dim: int) -> DataFrame:
+#: (factors, basis, dim, policy, scoring) -> (best, log): any search; best has traj_id, structure, loss, objective, n_params,
+#: levels, reason, and log a row a series and level with what it cost (search.COUNTERS, codes).
+Search = Callable[[DataFrame, Sequence[Term], int, S.SearchPolicy, S.Scoring], tuple[DataFrame, DataFrame]]
+
+
+def evolutionary(factors: DataFrame, basis: Sequence[Term], dim: int, policy: S.SearchPolicy, scoring: S.Scoring) -> tuple[DataFrame, DataFrame]:
+    """The evolutionary baseline as a Search."""
+    return S.gp_search(factors, basis, dim, policy, scoring=scoring)
+
+
+def fit_structures(best: DataFrame, factors: DataFrame, p: int, dim: int, solver: R.Solver = R.solve_many) -> DataFrame:
     """traj_id, eq, term, coef, mse, r2 of each series' structure: one small solve an equation on its factors."""
 
     def run(key: tuple, chosen: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
@@ -29,8 +39,8 @@ def fit_structures(best: DataFrame, factors: DataFrame, p: int, dim: int) -> Dat
         for structure in chosen["structure"]:
             for e, terms in enumerate(structure):
                 cols = [t - 1 for t in terms]
-                c = R.solve(r[:, cols], r[:, p + e])
-                mse, total = R.residual(r, cols, p + e, c, s.n), s.sums[:, 0, e].sum()
+                found, errors = solver(r, np.array([cols], int), np.array([p + e]), s.n)
+                c, mse, total = found[0], float(errors[0]), s.sums[:, 0, e].sum()
                 sst = s.sums[:, 1, e].sum() - total * total / s.n
                 out += [(int(key[0]), e + 1, int(t), float(v), mse, 1 - mse * s.n / sst if sst > 0 else None) for t, v in zip(terms, c, strict=True)]
         return pd.DataFrame(out, columns=names)
@@ -40,23 +50,30 @@ def fit_structures(best: DataFrame, factors: DataFrame, p: int, dim: int) -> Dat
 
 def discover(
     traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], policy: S.SearchPolicy = S.SearchPolicy(), *, caps: C.CapPolicy | None = None, estimator: str = "central",
-    truth: DataFrame | None = None, on_level: Callable[[DataFrame, int], None] | None = None,
+    truth: DataFrame | None = None, on_level: Callable[[DataFrame, int], None] | None = None, scoring: S.Scoring = S.Scoring(), search: Search | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(records, log): one record per series, and the search's row per series and level.
 
     With caps, stage caps are estimated once from the data before the search. The found structure is fitted, its small
-    terms pruned, and both supports are compared with truth (traj_id, eq, term), where given.
+    terms pruned, and both supports are compared with truth (traj_id, eq, term), where given. scoring judges candidates by a
+    loss or a solver of one's own; search replaces the staged search (evolutionary, or any Search). Parameters are those of
+    scoring's solver.
     records: traj_id, dim, loss, objective, n_params, r2 (mean) and r2_by_dim (null without spread), final_stages,
     final_stage, stage_caps, levels, promotions, termination, support_terms and pruned_terms (names by equation), params,
-    raw_match and pruned_match (null without truth). A series without rows has no record; an equation that lost all its
+    raw_match and pruned_match (null without truth), evaluations, fits, shared, invalid and codes (what the search cost). A
+    search without stages has null final_stages, and promotions 0. A series without rows has no record; an equation that lost all its
     terms has an empty list.
     """
     p, dim = len(basis), len(cols)
     factors = cut(R.block_factors(R.prepare(traj, basis, cols, estimator), p, dim), "factors")
     limits = cut(C.estimate_stage_caps(traj, basis, cols, caps), "caps") if caps else None
-    best, log = S.grow(factors, basis, dim, policy, limits, on_level)
+    if search is None:
+        best, log = S.grow(factors, basis, dim, policy, limits, on_level, scoring)
+    else:
+        best, log = search(factors, basis, dim, policy, scoring)
+        best, log = best.withColumn("stages", F.lit(None).cast("array<int>")), log.withColumn("promoted", F.array().cast("array<int>"))
     best = cut(best, "best")
-    fit = cut(fit_structures(best, factors, p, dim), "fit").join(F.broadcast(terms_table(traj.sparkSession, basis).select("term", "name")), "term")
+    fit = cut(fit_structures(best, R.series_factors(factors, p, dim), p, dim, scoring.solver), "fit").join(F.broadcast(terms_table(traj.sparkSession, basis).select("term", "name")), "term")
     kept = prune(fit.select("traj_id", "eq", "term", "name", "coef"), ("traj_id", "eq"))
 
     def by_equation(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -69,7 +86,7 @@ def discover(
     eqs = fit.groupBy("traj_id", "eq").agg(F.first("r2").alias("r2"))
     r2 = eqs.groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("eq", "r2"))), lambda x: x["r2"]).alias("r2_by_dim"), F.when(F.every(F.col("r2").isNotNull()), F.avg("r2")).alias("r2"))
     moves = log.groupBy("traj_id").agg(F.sum(F.size("promoted")).alias("promotions"))
-    records = best.join(r2, "traj_id", "left").join(moves, "traj_id", "left")
+    records = best.join(r2, "traj_id", "left").join(moves, "traj_id", "left").join(S.run_costs(log).drop("levels"), "traj_id", "left")
     for rows, value, name in ((fit, "name", "support_terms"), (fit, "coef", "params"), (kept, "name", "pruned_terms")):
         records = records.join(by_equation(rows, value, name), "traj_id", "left")
     if limits is not None:
@@ -86,5 +103,5 @@ def discover(
         records = records.join(same.select(F.col("run_id").alias("traj_id"), F.col("matched").alias(name)), "traj_id", "left")
     return records.select(
         "traj_id", F.lit(dim).alias("dim"), "loss", "objective", "n_params", "r2", "r2_by_dim", F.col("stages").alias("final_stages"), F.array_max("stages").alias("final_stage"), "stage_caps", "levels", "promotions",
-        F.col("reason").alias("termination"), "support_terms", "pruned_terms", "params", "raw_match", "pruned_match",
+        F.col("reason").alias("termination"), "support_terms", "pruned_terms", "params", "raw_match", "pruned_match", *S.COUNTERS, "codes",
     ), log

@@ -310,6 +310,25 @@ class Stack:
         return triangle(self.weighted[at, eq].reshape(-1, self.p + 1))
 
 
+def series_factors(factors: DataFrame, p: int, dim: int) -> DataFrame:
+    """Block factors reduced to one plain factor a series: what a search over whole series needs, a few kB each."""
+
+    def reduce(m: Many) -> dict:
+        r = m.plain_of(m.every())
+        first = lambda values: _objects(values.reshape(len(m), -1))
+        # weights belong to splits, which are gone here
+        nothing = np.zeros((len(m), dim, p + 1, p + 1))
+        return {"block": np.zeros(len(m), int), "first": np.zeros(len(m), int), "last": m.n, "n": m.n, "plain": first(r), "weighted": first(nothing), "sums": first(m.sums.sum(1))}
+
+    return in_batches(factors, p, dim, reduce, "block int, first int, last int, n int, plain array<double>, weighted array<double>, sums array<double>")
+
+
+def _objects(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), object)
+    out[:] = list(rows.tolist())
+    return out
+
+
 def solve(r: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Minimum-norm least squares of a factor's columns."""
     return np.linalg.lstsq(r, y, rcond=None)[0] if r.shape[1] else np.zeros(0)
@@ -423,8 +442,14 @@ def solve_many(r: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int) -> tuple[
     return c, (e * e).sum(1) / n
 
 
-def screen_sets(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_limit: float = 1e6, most: int | None = None) -> DataFrame:
-    """traj_id, cand_id, structure, n, and by equation n_params, residuals, reasons of candidates (cand_id, traj_id, structure).
+#: (r, cols, y, n) -> (coefficients, residuals): how term sets of one size are fitted on a series' factor r of n rows. cols
+#: (sets x k) are column numbers of r, y its right-hand columns.
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+
+
+def screen_sets(candidates: DataFrame, factors: DataFrame, p: int, dim: int, norm_limit: float = 1e6, most: int | None = None, solver: Solver = solve_many) -> DataFrame:
+    """traj_id, cand_id, structure, n, and by equation n_params, residuals, reasons of candidates (cand_id, traj_id, structure);
+    fits and shared: the candidate's term sets that were solved for it, and those that another one had asked for before.
 
     structure holds the term numbers of each equation. All term sets of one size are solved at once on their series'
     factor, equal ones once. Series meet their candidates in one cogroup by traj_id, in slices of SLICE candidates; with
@@ -439,17 +464,20 @@ def screen_sets(candidates: DataFrame, factors: DataFrame, p: int, dim: int, nor
     slices = slices.select("traj_id", "__slice", "cand_id", "structure")
 
     def run(key: tuple, cand: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        names = ["traj_id", "cand_id", "structure", "n", "n_params", "residuals", "reasons"]
+        names = ["traj_id", "cand_id", "structure", "n", "n_params", "residuals", "reasons", "fits", "shared"]
         if not len(cand) or not len(g):
             return pd.DataFrame(columns=names)
         s = Stack(g, p, dim)
         r = s.plain_of(np.arange(len(s.count)))
         asked = [[(e, *[t - 1 for t in x[e]]) if e < len(x) else (e,) for e in range(dim)] for x in cand["structure"]]
-        found, sizes = {}, {}
-        for k in {k for row in asked for k in row} if np.isfinite(r).all() else ():
+        found, sizes, seen, fits = {}, {}, set(), []
+        for row in asked:
+            fits.append(len(set(row) - seen))
+            seen.update(row)
+        for k in sorted(seen) if np.isfinite(r).all() else ():
             sizes.setdefault(len(k) - 1, []).append(k)
         for k, sets in sorted(sizes.items()):
-            c, mse = solve_many(r, np.array([x[1:] for x in sets], int).reshape(-1, k), np.array([p + x[0] for x in sets]), s.n)
+            c, mse = solver(r, np.array([x[1:] for x in sets], int).reshape(-1, k), np.array([p + x[0] for x in sets]), s.n)
             for x, v, m in zip(sets, c, mse.tolist(), strict=True):
                 norm = np.linalg.norm(v)
                 why = ["non_finite_coefficients"] if not np.isfinite(norm) else ["norm_limit"] if norm > norm_limit else []
@@ -457,9 +485,9 @@ def screen_sets(candidates: DataFrame, factors: DataFrame, p: int, dim: int, nor
                 found[x] = (np.inf if why else m, ";".join(why))
         lost = (np.inf, "non_finite_coefficients;non_finite_residual")
         rows = [[found.get(x, lost) for x in row] for row in asked]
-        return pd.DataFrame({"traj_id": int(key[0]), "cand_id": cand["cand_id"].to_numpy(), "structure": cand["structure"], "n": s.n, "n_params": [[len(x) - 1 for x in row] for row in asked], "residuals": [[m for m, _ in row] for row in rows], "reasons": [[w for _, w in row] for row in rows]})
+        return pd.DataFrame({"traj_id": int(key[0]), "cand_id": cand["cand_id"].to_numpy(), "structure": cand["structure"], "n": s.n, "n_params": [[len(x) - 1 for x in row] for row in asked], "residuals": [[m for m, _ in row] for row in rows], "reasons": [[w for _, w in row] for row in rows], "fits": fits, "shared": [dim - x for x in fits]})
 
-    schema = "traj_id long, cand_id long, structure array<array<int>>, n int, n_params array<int>, residuals array<double>, reasons array<string>"
+    schema = "traj_id long, cand_id long, structure array<array<int>>, n int, n_params array<int>, residuals array<double>, reasons array<string>, fits int, shared int"
     return slices.groupBy("traj_id", "__slice").cogroup(dealt.groupBy("traj_id", "__part")).applyInPandas(run, schema)
 
 

@@ -45,6 +45,60 @@ class SearchPolicy:
     seed: int = 0
 
 
+#: (residuals by equation, parameters by equation, rows) -> loss of a structure.
+Loss = Callable[[Column, Column, Column], Column]
+
+
+def mean_loss(residuals: Column, n_params: Column, n: Column) -> Column:
+    """Mean of the equations' residuals."""
+    return F.aggregate(residuals, F.lit(0.0), lambda a, x: a + x) / F.size(residuals)
+
+
+def worst_loss(residuals: Column, n_params: Column, n: Column) -> Column:
+    """Residual of the worst equation."""
+    return F.array_max(residuals)
+
+
+def information_loss(residuals: Column, n_params: Column, n: Column) -> Column:
+    """Mean over equations of log residual + 2 * parameters / rows."""
+    each = F.zip_with(residuals, n_params, lambda r, k: F.log(F.greatest(r, F.lit(2.220446049250313e-16))) + 2 * k / n)
+    return mean_loss(each, n_params, n)
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """How candidates are judged: by a loss (a Column of their equations' residuals) and by a solver that fits term sets on a
+    series' factor (regression.Solver). Both can be one's own; every search takes them."""
+
+    loss: Loss = mean_loss
+    solver: R.Solver = R.solve_many
+
+
+#: Counters of a search, summed over candidates: candidates judged, term sets solved, term sets shared with another
+#: candidate of the level, invalid candidates.
+COUNTERS = ("evaluations", "fits", "shared", "invalid")
+
+
+def _counted() -> dict[str, Column]:
+    """Aggregates of scored candidates (rows without fits don't count): COUNTERS, and the codes to flatten."""
+    codes = F.filter(F.flatten(F.transform("reasons", lambda w: F.split(w, ";"))), lambda w: w != "")
+    return {"evaluations": F.count("fits"), "fits": F.sum("fits"), "shared": F.sum("shared"), "invalid": F.count_if(~F.col("valid") & F.col("fits").isNotNull()), "codes": F.collect_set(codes)}
+
+
+def _union(codes: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(codes)))
+
+
+def costs(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, COUNTERS and codes (sorted distinct reasons of invalid fits, a handful) of scored candidates."""
+    return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in _counted().items()]).withColumn("codes", _union(F.col("codes")))
+
+
+def run_costs(log: DataFrame) -> DataFrame:
+    """traj_id, levels, COUNTERS and codes of whole searches, from the rows of their levels."""
+    return log.groupBy("traj_id").agg(F.count(F.lit(1)).alias("levels"), *[F.sum(c).alias(c) for c in COUNTERS], _union(F.collect_set("codes")).alias("codes"))
+
+
 def draw(n: Column, seed: int, *keys: Column | str) -> Column:
     """Whole number from 0 to n - 1, from the md5 of the keys' text: the same in any SQL engine."""
     cols = [F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys]]
@@ -355,13 +409,14 @@ def gp_generation(pop: DataFrame, n_terms: int, seed: int, level: int, elite: in
     return slots.where(F.col("slot") < elite).select("traj_id", F.col("slot").cast("long").alias("cand_id"), F.col("own").alias("structure"), F.lit(True).alias("is_elite")).unionByName(made)
 
 
-def scored(cands: DataFrame, factors: DataFrame, p: int, dim: int, most: int | None = None) -> DataFrame:
-    """traj_id, cand_id, structure, n, n_params, residuals by equation, valid and loss: their mean, Infinity if one is invalid."""
-    rows = R.screen_sets(cands, factors, p, dim, most=most)
-    total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
+def scored(cands: DataFrame, factors: DataFrame, p: int, dim: int, most: int | None = None, scoring: Scoring = Scoring()) -> DataFrame:
+    """traj_id, cand_id, structure, n, n_params, residuals by equation, valid and loss (Infinity if an equation is invalid),
+    with what they cost: fits, shared and reasons."""
+    rows = R.screen_sets(cands, factors, p, dim, most=most, solver=scoring.solver)
     rows = rows.withColumn("valid", F.forall("reasons", lambda w: w == ""))
-    loss = F.when(F.col("valid"), total("residuals", 0.0) / dim).otherwise(F.lit(INF))
-    return rows.select("traj_id", "cand_id", "structure", "n", total("n_params", 0).alias("n_params"), "residuals", "valid", loss.alias("loss"))
+    loss = F.when(F.col("valid"), scoring.loss(F.col("residuals"), F.col("n_params"), F.col("n"))).otherwise(F.lit(INF))
+    total = F.aggregate("n_params", F.lit(0), lambda a, x: a + x)
+    return rows.select("traj_id", "cand_id", "structure", "n", total.alias("n_params"), "residuals", "valid", loss.cast("double").alias("loss"), "fits", "shared", "reasons")
 
 
 def screened(kids: DataFrame, parents: DataFrame, policy: SearchPolicy) -> DataFrame:
@@ -427,7 +482,9 @@ def _by_series(rows: DataFrame, level: int, policy: SearchPolicy, top: int) -> D
     })
 
 
-def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), stage_caps: DataFrame | None = None, on_level: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+def grow(
+    factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), stage_caps: DataFrame | None = None, on_level: Callable[[DataFrame, int], None] | None = None, scoring: Scoring = Scoring()
+) -> tuple[DataFrame, DataFrame]:
     """(best, log): the best structure of every series, and one row per series and level.
 
     A level is one job over all running series: expand their populations, score the children on the block factors, screen
@@ -438,7 +495,8 @@ def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPoli
     leave the loop. A level reads the table of the one before, so lineage stays one level deep. on_level sees each level's
     population.
     best: traj_id, structure, loss, objective, n_params, stages, levels, reason. log: traj_id, level, stages (during the
-    level), best, loss, residuals, promoted, reason, stop.
+    level), best, loss, residuals, promoted, reason, stop, and what the level cost (COUNTERS, codes; the first one with the
+    initial population). The search reads one factor a series, which is made from the block factors before the first level.
     """
     if policy.progress not in ("equation", "series"):
         raise ValueError(f"unknown progress {policy.progress!r}")
@@ -448,15 +506,18 @@ def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPoli
     # an equation's current terms are those of its own stage, unless they are all that it has
     current = F.zip_with("allowed", "stages", lambda a, s: F.when(F.size(F.array_except(a, F.element_at(own, s))) == 0, F.array().cast("array<int>")).otherwise(F.array_intersect(a, F.element_at(own, s))))
     columns = ("traj_id", "cand_id", "structure", "n_params", "loss", "residuals")
+    made = {"valid": "boolean", "fits": "int", "shared": "int", "reasons": "array<string>"}
     ranked = Window.partitionBy("traj_id").orderBy("objective", "is_child", "cand_id")
 
     def ranks(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("objective", F.col("loss") + policy.penalty * F.col("n_params")).withColumn("rn", F.row_number().over(ranked))
         return rows.where(F.col("rn") <= policy.pop_size).drop("is_child")
 
-    state = cut(_start(factors.select("traj_id").distinct(), dim, top, stage_caps), "state")
+    factors = cut(R.series_factors(factors, p, dim), "series-factors")
+    state = cut(_start(factors.select("traj_id"), dim, top, stage_caps), "state")
     first = init_population(state.select("traj_id", allowed.alias("terms")), policy.pop_size, policy.seed)
-    pop = cut(ranks(scored(first, factors, p, dim, policy.pop_size).select(*columns, F.lit(0).alias("is_child"))), "population")
+    begun = cut(scored(first, factors, p, dim, policy.pop_size, scoring), "candidates")
+    pop, spent = cut(ranks(begun.select(*columns, F.lit(0).alias("is_child"))), "population"), [costs(begun, "traj_id").withColumn("level", F.lit(1))]
     levels = []
     for level in range(1, policy.max_levels + 1):
         lists = state.withColumn("allowed", allowed).withColumn("current", current)
@@ -464,15 +525,18 @@ def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPoli
         # ids: level, then place among the series' children
         number = F.lit(level * 1_000_000).cast("long") + F.row_number().over(Window.partitionBy("traj_id").orderBy("parent_id", "child"))
         kids = kids.select("traj_id", F.col("cand_id").alias("parent_id"), "child", F.col("grown").alias("structure")).withColumn("cand_id", number)
-        new = scored(kids, factors, p, dim, policy.pop_size * policy.children)
+        new = scored(kids, factors, p, dim, policy.pop_size * policy.children, scoring)
         if policy.screen_k is not None:
+            # what is screened out has its cost, too
+            new = cut(new, "candidates")
+            spent.append(costs(new, "traj_id").withColumn("level", F.lit(level)))
             new = screened(new.join(kids.select("traj_id", "cand_id", "parent_id"), ["traj_id", "cand_id"]), pop, policy)
-        both = pop.select(*columns, F.lit(0).alias("is_child")).unionByName(new.select(*columns, F.lit(1).alias("is_child")))
-        rows = ranks(both).withColumn("t", F.first(F.struct("objective", "loss", "residuals")).over(Window.partitionBy("traj_id").orderBy("rn")))
+        both = pop.select(*columns, F.lit(0).alias("is_child"), *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).unionByName(new.select(*columns, F.lit(1).alias("is_child"), *made))
+        rows = ranks(both.withColumns({f"cost_{n}": c.over(Window.partitionBy("traj_id")) for n, c in _counted().items()})).withColumn("t", F.first(F.struct("objective", "loss", "residuals")).over(Window.partitionBy("traj_id").orderBy("rn")))
         rows = rows.withColumns({"best": F.col("t.objective"), "top_loss": F.col("t.loss"), "top_residuals": F.col("t.residuals")}).join(state.withColumn("during", F.col("stages")), "traj_id")
         rows = decide(rows, level, policy, top).withColumn("stop", ~F.col("reason").isin("min_levels", "continue", "stage_budget", "insufficient_history"))
         promoted = F.filter(F.sequence(F.lit(1), F.size("up")), lambda e: F.element_at("up", e))
-        pop = cut(rows.select(*columns, "objective", "rn", *STATE, "during", "best", "top_loss", "top_residuals", promoted.alias("promoted"), "reason", "stop"), "population")
+        pop = cut(rows.select(*columns, "objective", "rn", *STATE, "during", "best", "top_loss", "top_residuals", promoted.alias("promoted"), "reason", "stop", *[f"cost_{c}" for c in COUNTERS], _union(F.col("cost_codes")).alias("cost_codes")), "population")
         levels.append(pop.where("rn = 1").withColumn("level", F.lit(level)))
         if on_level:
             on_level(pop, level)
@@ -483,31 +547,53 @@ def grow(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPoli
     whole = levels[0]
     for x in levels[1:]:
         whole = whole.unionByName(x)
-    log = whole.select("traj_id", "level", F.col("during").alias("stages"), "best", F.col("top_loss").alias("loss"), F.col("top_residuals").alias("residuals"), "promoted", "reason", "stop")
+    if policy.screen_k is None:
+        spent.append(whole.select("traj_id", *[F.col(f"cost_{c}").alias(c) for c in (*COUNTERS, "codes")], "level"))
+    log = whole.select("traj_id", "level", F.col("during").alias("stages"), "best", F.col("top_loss").alias("loss"), F.col("top_residuals").alias("residuals"), "promoted", "reason", "stop").join(_by_level(spent), ["traj_id", "level"])
     return whole.where("stop").select("traj_id", "structure", "loss", "objective", "n_params", F.col("during").alias("stages"), F.col("level").alias("levels"), "reason"), log
 
 
-def gp_search(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), elite: int = 1, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(best, log) of the evolutionary baseline: max_levels generations over the full library, or until should_stop."""
+def _by_level(spent: Sequence[DataFrame]) -> DataFrame:
+    """traj_id, level, COUNTERS and codes of the parts of a search."""
+    every = spent[0]
+    for x in spent[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("traj_id", "level").agg(*[F.sum(c).alias(c) for c in COUNTERS], _union(F.collect_list("codes")).alias("codes"))
+
+
+def gp_search(factors: DataFrame, basis: Sequence[Term], dim: int, policy: SearchPolicy = SearchPolicy(), elite: int = 1, k: int = 3, scoring: Scoring = Scoring(), on_level: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best, log) of the evolutionary baseline: max_levels generations over the full library, or until should_stop.
+
+    Each generation adds its own table; deciding whether to stop reads those of the last window. best and log have grow's
+    columns, without stages and promotions.
+    """
     p, ids = len(basis), [t.idx for t in basis]
     every = F.array(*[F.array(*[F.lit(i) for i in ids]) for _ in range(dim)])
-    series = cut(factors.select("traj_id").distinct(), "series")
+    factors = cut(R.series_factors(factors, p, dim), "series-factors")
 
     def with_objective(rows: DataFrame) -> DataFrame:
-        return cut(scored(rows, factors, p, dim, policy.pop_size).select("traj_id", "cand_id", "structure", "n_params", "loss", (F.col("loss") + policy.penalty * F.col("n_params")).alias("objective")), "population")
+        return cut(scored(rows, factors, p, dim, policy.pop_size, scoring).withColumn("objective", F.col("loss") + policy.penalty * F.col("n_params")), "population")
 
-    pop = with_objective(init_population(series.select("traj_id", every.alias("terms")), policy.pop_size, policy.seed))
-    best, log, done = None, None, None
+    pop = with_objective(init_population(factors.select("traj_id", every.alias("terms")), policy.pop_size, policy.seed))
+    logs, done, spent = [], None, [costs(pop, "traj_id").withColumn("level", F.lit(1))]
     for level in range(1, policy.max_levels + 1):
-        pop = with_objective(gp_generation(pop, p, policy.seed, level, elite, k, policy.max_terms).drop("is_elite"))
-        top = pop.groupBy("traj_id").agg(F.min(F.struct("objective", "cand_id", "structure", "loss", "n_params")).alias("b"))
-        rows = top.select("traj_id", F.lit(level).alias("level"), F.col("b.objective").alias("best"), F.col("b.loss").alias("loss"), F.col("b.structure").alias("structure"), F.col("b.n_params").alias("n_params"))
-        log = cut(rows if log is None else log.unionByName(rows), "generations")
-        now = cut(should_stop(log, policy).where(F.col("level") == level), "generation")
+        pop = with_objective(gp_generation(pop.select("traj_id", "cand_id", "structure", "objective"), p, policy.seed, level, elite, k, policy.max_terms).drop("is_elite"))
+        spent.append(costs(pop, "traj_id").withColumn("level", F.lit(level)))
+        top = pop.groupBy("traj_id").agg(F.min(F.struct("objective", "cand_id", "structure", "loss", "n_params", "residuals")).alias("b"))
+        logs.append(cut(top.select("traj_id", F.lit(level).alias("level"), F.col("b.objective").alias("best"), F.col("b.loss").alias("loss"), F.col("b.residuals").alias("residuals"), F.col("b.structure").alias("structure"), F.col("b.n_params").alias("n_params")), "generation"))
+        if on_level:
+            on_level(pop, level)
+        recent = logs[-1]
+        for x in logs[-1 - policy.window : -1]:
+            recent = recent.unionByName(x)
+        now = cut(should_stop(recent, policy).where(F.col("level") == level), "decision")
         gone = now.where("stop").select("traj_id", "structure", "loss", F.col("best").alias("objective"), "n_params", F.col("level").alias("levels"), "reason")
         done = gone if done is None else done.unionByName(gone)
         on = now.where("not stop").select("traj_id")
         if level == policy.max_levels or on.isEmpty():
             break
         pop = pop.join(on, "traj_id", "left_semi")
-    return done, log.drop("structure", "n_params")
+    log = logs[0]
+    for x in logs[1:]:
+        log = log.unionByName(x)
+    return done, log.drop("structure", "n_params").join(_by_level(spent), ["traj_id", "level"])

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tracewright.operators import search as S
 from tracewright.operators import stagecaps as C
 from tracewright.operators import terms as T
-from tracewright.operators.discover import discover
+from tracewright.operators.discover import discover, evolutionary
 
 from .derivatives import EV, r
-from .regression import B2, P, factors
+from .regression import B2, SCREEN, P, factors, structures
 from .views import Views, oracle
 
 POL = S.SearchPolicy(window=2, min_levels=4, max_levels=60, loss_tol=1.0, plateau_tol=0.5, min_per_stage=2)
@@ -133,7 +133,48 @@ GATE = {
     "gs": "SELECT gp.*, p_child - p_parent AS d1, n - p_child AS d2, ((r_parent - r_child) * n / (p_child - p_parent)) / greatest(r_child * n / (n - p_child), 2.220446049250313e-16) AS f, CASE WHEN valid THEN threshold END AS threshold FROM gp LEFT JOIN fq ON df1 = p_child - p_parent AND df2 = n - p_child",
 }
 
+def shrunk(r, cols, y, n):
+    """A solver of one's own: ridge with a penalty of 10."""
+    import numpy as np
+
+    a, b = r[:, cols].transpose(1, 0, 2), r[:, y].T
+    gram = np.einsum("mki,mkj->mij", a, a) + 10.0 * np.eye(cols.shape[1])
+    c = np.linalg.solve(gram, np.einsum("mki,mk->mi", a, b)[..., None])[..., 0]
+    e = np.einsum("mik,mk->mi", a, c) - b
+    return c, (e * e).sum(1) / n
+
+
+def chosen(v: Views, scoring: S.Scoring, name: str) -> DataFrame:
+    """The best candidate of each series under a scoring; ties go to the smaller id."""
+    return S.scored(structures(v), factors(v), P, 2, scoring=scoring).groupBy("traj_id").agg(F.min(F.struct("loss", "cand_id")).alias("b")).select("traj_id", F.col("b.cand_id").alias(name), F.round("b.loss", 5).alias(f"{name}_loss"))
+
+
+#: The candidates' ridge residuals, of one or two terms.
+SHRUNK = SCREEN | {
+    "sc": "SELECT cand_id, traj_id, eq, n, (yy - 2 * (c1 * p + coalesce(c2 * q, 0)) + c1 * c1 * a + coalesce(2 * c1 * c2 * b + c2 * c2 * c, 0)) / n AS residual FROM "
+    "(SELECT *, CASE WHEN c IS NULL THEN p / (a + 10) ELSE ((c + 10) * p - b * q) / ((a + 10) * (c + 10) - b * b) END AS c1, CASE WHEN c IS NOT NULL THEN ((a + 10) * q - b * p) / ((a + 10) * (c + 10) - b * b) END AS c2 FROM "
+    "(SELECT t.cand_id, t.traj_id, t.eq, x.n, x.yy, x.s AS p, y.s AS q, g.s AS a, k.s AS b, h.s AS c FROM te t JOIN gm g ON g.traj_id = t.traj_id AND g.i = t.i AND g.j = t.i JOIN bm x ON x.traj_id = t.traj_id AND x.i = t.i AND x.e = t.eq "
+    "LEFT JOIN gm h ON h.traj_id = t.traj_id AND h.i = t.j AND h.j = t.j LEFT JOIN gm k ON k.traj_id = t.traj_id AND k.i = t.i AND k.j = t.j LEFT JOIN bm y ON y.traj_id = t.traj_id AND y.i = t.j AND y.e = t.eq) u) w",
+}
+WORST = "SELECT traj_id, arg_min(cand_id, (l, cand_id)) AS {name}, round(min(l), 5) + 0e0 AS {name}_loss FROM (SELECT traj_id, cand_id, {agg}(residual) AS l FROM sc GROUP BY ALL) q GROUP BY 1"
+
+
 QUERIES = {
+    "u01_custom_loss": (
+        lambda v: chosen(v, S.Scoring(), "by_mean").join(chosen(v, S.Scoring(loss=S.worst_loss), "by_worst"), "traj_id"),
+        oracle(f"SELECT * FROM ({WORST.format(name='by_mean', agg='avg')}) a JOIN ({WORST.format(name='by_worst', agg='max')}) b USING (traj_id)", "traj_events", **SCREEN),
+    ),
+    "u01_custom_solver": (lambda v: chosen(v, S.Scoring(solver=shrunk), "by_ridge"), oracle(WORST.format(name="by_ridge", agg="avg"), "traj_events", **SHRUNK)),
+    "u01_custom_search": (
+        # the evolutionary search under a loss of one's own, through the same entry as the staged one
+        lambda v: r(discover(v.traj_events, B2, EV, dataclasses.replace(GROW, max_levels=4), scoring=S.Scoring(loss=S.information_loss), search=evolutionary)[0].select("traj_id", "n_params", "loss", "levels", "termination", "evaluations", F.concat_ws("|", F.transform("support_terms", lambda x: F.concat_ws(",", x))).alias("support")), n=4),
+        None,
+    ),
+    "d25_scoring_costs": (
+        lambda v: S.costs(S.scored(structures(v), factors(v), P, 2), "traj_id").select("traj_id", *S.COUNTERS, F.concat_ws(",", "codes").alias("codes")),
+        oracle("SELECT traj_id, count(DISTINCT cand_id) AS evaluations, count(DISTINCT (eq, least(i, coalesce(j, i)), greatest(i, coalesce(j, i)), i)) AS fits, 2 * count(DISTINCT cand_id) - count(DISTINCT (eq, least(i, coalesce(j, i)), greatest(i, coalesce(j, i)), i)) AS shared, 0 AS invalid, '' AS codes FROM te GROUP BY 1", "traj_events", **{k: SCREEN[k] for k in ("ca", "te")}),
+    ),
+    "d25_search_costs": (lambda v: S.run_costs(searched(v, False, dataclasses.replace(GROW, max_levels=4))[1]).select("traj_id", "levels", *S.COUNTERS, F.concat_ws(",", "codes").alias("codes")), None),
     "d01_init_population": (
         lambda v: text(S.init_population(lists(v, 3), 8)),
         oracle(f"SELECT traj_id, cand_id, ({ids(3)})[1 + {hashed('5', '0', 'traj_id', 'cand_id', '0', repr('init'))}] || '|' || ({ids(3)})[1 + {hashed('5', '0', 'traj_id', 'cand_id', '1', repr('init'))}] AS structure FROM (SELECT DISTINCT traj_id FROM candidates) t, range(8) r(cand_id)", "candidates"),
