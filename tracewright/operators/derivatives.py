@@ -69,7 +69,7 @@ def deriv_central(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("tr
 
 def deriv_fd4(traj: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
     n = F.count(F.lit(1)).over(whole(by))
-    h = (F.max("t").over(whole(by)) - F.min("t").over(whole(by))) / (n - 1)
+    h = F.when(n > 1, (F.max("t").over(whole(by)) - F.min("t").over(whole(by))) / (n - 1))
     base = traj.select("*", n.alias("__n"), h.alias("__h"))
     return base.select(*traj.columns, *[fd4(c, F.col("seq"), F.col("__n"), F.col("__h"), by_seq(by)).alias(f"d_{c}") for c in cols])
 
@@ -175,6 +175,15 @@ def ranged(traj: DataFrame, reach: int, by: Sequence[str] = ("traj_id",), rows:
     return traj.select("*", own.alias("__own"), F.explode(F.filter(near, lambda x: x.isNotNull())).alias("__range")).withColumn("__core", F.col("__own") == F.col("__range")).drop("__own")
 
 
+def joined(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """a with b's other columns, by equal keys; null keys are equal to each other."""
+    right = b.withColumnsRenamed({c: f"__k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return a.join(right, same).drop(*[f"__k_{c}" for c in by])
+
+
 def with_errors(traj: DataFrame, cols: Sequence[str], estimator: str = "local_poly", by: Sequence[str] = ("traj_id",), rows: int | None = None) -> DataFrame:
     """traj with d_<col> and r_<col>: the derivative and its difference from the half-grid derivative, interpolated.
 
@@ -197,12 +206,12 @@ def with_errors(traj: DataFrame, cols: Sequence[str], estimator: str = "local_po
         keys, w = [*by, "__range"], by_seq([*by, "__range"])
         base = ranged(traj, 2 * REACH[estimator] + 1, by, rows)
         if estimator == "fd4":
-            base = base.join(traj.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("t").alias("__lo"), F.max("t").alias("__hi"), last_odd.alias("__ho")), list(by))
+            base = joined(base, traj.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("t").alias("__lo"), F.max("t").alias("__hi"), last_odd.alias("__ho")), by)
     if estimator == "central":
         base = base.select("*", *[central(c, w).alias(f"__d{j}") for j, c in enumerate(cols)], *[central(c, w, 2).alias(f"__h{j}") for j, c in enumerate(cols)])
     elif estimator == "fd4":
         half = F.floor((F.col("__n") + 1) / 2)
-        base = base.withColumns({"__m": half, "__step": (F.col("__hi") - F.col("__lo")) / (F.col("__n") - 1), "__step2": (F.col("__ho") - F.col("__lo")) / (half - 1)})
+        base = base.withColumns({"__m": half, "__step": F.when(F.col("__n") > 1, (F.col("__hi") - F.col("__lo")) / (F.col("__n") - 1)), "__step2": F.when(half > 1, (F.col("__ho") - F.col("__lo")) / (half - 1))})
         place = (F.floor((F.col("seq") - 1) / 2) + 1).cast("int")
         base = base.select("*", *[fd4(c, F.col("seq"), F.col("__n"), F.col("__step"), w).alias(f"__d{j}") for j, c in enumerate(cols)], *[fd4(c, place, F.col("__m"), F.col("__step2"), w, 2).alias(f"__h{j}") for j, c in enumerate(cols)])
     else:

@@ -354,13 +354,13 @@ def prepare(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], estimat
     One chain of windows by series. With `rows`, series are spread over tasks in ranges of so many rows: lengths and
     medians then come from grouped aggregates, and the result brings __n.
     """
-    from .derivatives import EPS, medians, weight, with_errors
+    from .derivatives import EPS, joined, medians, weight, with_errors
 
     out = with_errors(traj, cols, estimator, by, rows)
     weighted = weighting == "richardson_wls"
     if rows is not None:
         whole = medians(out, cols, by) if weighted else out.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-        out = out.join(whole, list(by))
+        out = joined(out, whole, by)
     elif weighted:
         over = Window.partitionBy(*by)
         out = out.select("*", *[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).over(over).alias(f"m_{c}") for c in cols])
