@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .derivatives import joined
+from .quantiles import exact_quantiles
+
 INF = float("inf")
 
 
@@ -139,15 +142,23 @@ def generalization_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, min, q25, median, mean, q75, max with linear interpolation, over finite values."""
+def distribution(df: DataFrame, col: str, keys: Sequence[str] = (), hot: int | None = None) -> DataFrame:
+    """n, min, q25, median, mean, q75, max with linear interpolation, over finite values.
+
+    hot: groups of more rows are ranked in passes (quantiles.exact_quantiles) instead of in one task."""
     d = df.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) < INF))
+    if hot is not None:
+        g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"))
+        j = joined(g, exact_quantiles(d, col, (0.25, 0.5, 0.75), keys, "cont", hot).drop("n"), keys)
+        return j.select(*keys, "n", "min", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("q25", "median"))], "mean", F.get("q", F.lit(2)).alias("q75"), "max")
     q = lambda p: F.percentile(col, F.lit(p))
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), F.avg(col).alias("mean"), q(0.75).alias("q75"), F.max(col).alias("max"))
 
 
-def quantiles_nearest(df: DataFrame, col: str, keys: Sequence[str] = (), ps: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Nearest-rank quantiles p50, p90, ..."""
+def quantiles_nearest(df: DataFrame, col: str, keys: Sequence[str] = (), ps: Sequence[float] = (0.5, 0.9, 0.99), hot: int | None = None) -> DataFrame:
+    """Nearest-rank quantiles p50, p90, ... hot: as in distribution, over finite values."""
+    if hot is not None:
+        return exact_quantiles(df, col, ps, keys, "disc", hot).select(*keys, *[F.get("q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(ps)])
     return df.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})").alias(f"p{round(100 * p)}") for p in ps])
 
 
@@ -168,9 +179,14 @@ def breakdowns(cells: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> D
     return grouped.select(split.alias("split"), value.alias("value"), "n_cells", *[f"mean_{m}" for m in metrics])
 
 
-def level_costs(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cost per key after the first level (a warm-up): n, mean, median, sum and share of the total."""
-    g = levels.where("level > 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("cost").alias("mean_cost"), F.percentile("cost", F.lit(0.5)).alias("median_cost"), F.sum("cost").alias("total_cost"), F.sum("solves").alias("solves"))
+def level_costs(levels: DataFrame, keys: Sequence[str], hot: int | None = None) -> DataFrame:
+    """Cost per key after the first level (a warm-up): n, mean, median, sum and share of the total. hot: as in distribution."""
+    sums = [F.count(F.lit(1)).alias("n"), F.avg("cost").alias("mean_cost"), F.sum("cost").alias("total_cost"), F.sum("solves").alias("solves")]
+    if hot is None:
+        g = levels.where("level > 1").groupBy(*keys).agg(*sums, F.percentile("cost", F.lit(0.5)).alias("median_cost"))
+    else:
+        middle = exact_quantiles(levels.where("level > 1"), "cost", (0.5,), keys, "cont", hot).select(*keys, F.get("q", F.lit(0)).alias("median_cost"))
+        g = joined(levels.where("level > 1").groupBy(*keys).agg(*sums), middle, keys)
     total = levels.where("level > 1").agg(F.sum("cost").alias("__t"))  # one row
     return g.crossJoin(F.broadcast(total)).select(*keys, "n", "mean_cost", "median_cost", "total_cost", (F.col("total_cost") / F.col("__t")).alias("share"), F.when(F.col("solves") > 0, 1000 * F.col("total_cost") / F.col("solves")).alias("ms_per_solve"))
 

@@ -233,9 +233,17 @@ def richardson_error(traj: DataFrame, cols: Sequence[str], estimator: str = "loc
 EPS = 2.220446049250313e-16
 
 
-def medians(rich: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",)) -> DataFrame:
-    """The series' keys, m_<col> (exact median of r^2) and __n, the series' length."""
-    return rich.groupBy(*by).agg(*[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).alias(f"m_{c}") for c in cols], F.count(F.lit(1)).alias("__n"))
+def medians(rich: DataFrame, cols: Sequence[str], by: Sequence[str] = ("traj_id",), hot: int | None = None) -> DataFrame:
+    """The series' keys, m_<col> (exact median of r^2) and __n, the series' length. hot: series of more rows are ranked in
+    passes (quantiles.exact_quantiles)."""
+    if hot is None:
+        return rich.groupBy(*by).agg(*[F.percentile(F.col(f"r_{c}") * F.col(f"r_{c}"), F.lit(0.5)).alias(f"m_{c}") for c in cols], F.count(F.lit(1)).alias("__n"))
+    from .quantiles import exact_quantiles
+
+    out = rich.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    for c in cols:
+        out = joined(out, exact_quantiles(rich.withColumn("__r2", F.col(f"r_{c}") * F.col(f"r_{c}")), "__r2", (0.5,), by, "cont", hot).select(*by, F.get("q", F.lit(0)).alias(f"m_{c}")), by)
+    return out
 
 
 def weight(c: str, eps: float = EPS) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .derivatives import joined
+
 INF = float("inf")
 SENTINEL = 1e6
 
@@ -144,14 +146,21 @@ def stuck_cells(levels: DataFrame, now_us: Column, finished: DataFrame, stuck_s:
     return g.select("cell", age.alias("age_s"), (age > stuck_s).alias("stuck"), (age <= active_s).alias("active"))
 
 
+def _latest(rows: DataFrame, order: Column, last: int) -> DataFrame:
+    """The `last` rows of each group by order; the limit is applied before the shuffle and after it."""
+    rn = F.row_number().over(Window.partitionBy("grp").orderBy(order.desc()))
+    return rows.withColumn("rn", rn).where(F.col("rn") <= last).drop("rn")
+
+
 def progress_eta(finishes: DataFrame, total: int, last: int = 20) -> DataFrame:
     """group, done, remaining, mean gap of the last finishes and the seconds left; null with fewer than two finishes.
 
-    finishes: grp, us, id. The ranking is per group and keeps `last` rows of each.
+    finishes: grp, us, id. Counts are combined before the shuffle, and of the ranking every task passes on `last` rows a
+    group only, so a group of very many finishes is no task's work.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    rn = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("us").desc(), F.col("id").desc()))
-    g = finishes.select("grp", "us", n.alias("done"), rn.alias("rn")).where(F.col("rn") <= last).groupBy("grp").agg(F.max("done").alias("done"), F.count(F.lit(1)).alias("m"), F.max("us").alias("hi"), F.min("us").alias("lo"))
+    done = finishes.groupBy("grp").agg(F.count(F.lit(1)).alias("done"))
+    g = _latest(finishes.select("grp", "us", "id"), F.struct("us", "id"), last).groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.max("us").alias("hi"), F.min("us").alias("lo"))
+    g = joined(g, done, ["grp"])
     gap = F.when(F.col("m") >= 2, (F.col("hi") - F.col("lo")) / 1e6 / (F.col("m") - 1))
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
     return g.select("grp", "done", left.alias("remaining"), gap.alias("mean_gap_s"), (gap * left).alias("eta_s"))
@@ -159,8 +168,7 @@ def progress_eta(finishes: DataFrame, total: int, last: int = 20) -> DataFrame:
 
 def progress_eta_flat(runs: DataFrame, total: int, last: int = 20) -> DataFrame:
     """The same from finished rows alone (grp, id, elapsed_s): the mean time of the last rows stands for the gap."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("grp"))
-    rn = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("id").desc()))
-    g = runs.select("grp", "elapsed_s", n.alias("done"), rn.alias("rn")).where(F.col("rn") <= last).groupBy("grp").agg(F.max("done").alias("done"), F.avg("elapsed_s").alias("mean_s"))
+    done = runs.groupBy("grp").agg(F.count(F.lit(1)).alias("done"))
+    g = joined(_latest(runs.select("grp", "id", "elapsed_s"), F.col("id"), last).groupBy("grp").agg(F.avg("elapsed_s").alias("mean_s")), done, ["grp"])
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
     return g.select("grp", "done", left.alias("remaining"), "mean_s", (F.col("mean_s") * left).alias("eta_s"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracewright.sources.scratch import cut
+
 from .terms import Term
 
 #: Rows of one elementary piece; a longer block is several pieces.
@@ -352,14 +354,16 @@ def prepare(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], estimat
 
     exact: columns of known derivatives, which follow the estimated ones as further right-hand sides (bound 0, weight 1).
     One chain of windows by series. With `rows`, series are spread over tasks in ranges of so many rows: lengths and
-    medians then come from grouped aggregates, and the result brings __n.
+    medians then come from grouped aggregates over the written error bounds (medians of longer series in passes), and the
+    result brings __n.
     """
     from .derivatives import EPS, joined, medians, weight, with_errors
 
     out = with_errors(traj, cols, estimator, by, rows)
     weighted = weighting == "richardson_wls"
     if rows is not None:
-        whole = medians(out, cols, by) if weighted else out.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        out = cut(out, "error-bounds")
+        whole = medians(out, cols, by, max(rows, PIECE)) if weighted else out.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
         out = joined(out, whole, by)
     elif weighted:
         over = Window.partitionBy(*by)

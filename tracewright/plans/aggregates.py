@@ -132,6 +132,15 @@ QUERIES = {
         lambda v: A.quantiles_nearest(v.run_registry, "elapsed_s", ["variant_slug"]),
         oracle("SELECT variant_slug, quantile_disc(elapsed_s, 0.5) AS p50, quantile_disc(elapsed_s, 0.9) AS p90, quantile_disc(elapsed_s, 0.99) AS p99 FROM run_registry GROUP BY 1", "run_registry"),
     ),
+    # the same through passes, as for groups that no task may hold
+    "g11_distribution_selected": (
+        lambda v: r(A.distribution(v.run_registry, "r2", ["system_id"], hot=100), n=10),
+        oracle("SELECT system_id, count(r2) AS n, round(min(r2), 10) AS min, round(quantile_cont(r2, 0.25), 10) AS q25, round(quantile_cont(r2, 0.5), 10) AS median, round(avg(r2), 10) AS mean, round(quantile_cont(r2, 0.75), 10) AS q75, round(max(r2), 10) AS max FROM run_registry GROUP BY 1", "run_registry"),
+    ),
+    "g12_quantiles_selected": (
+        lambda v: A.quantiles_nearest(v.run_registry, "elapsed_s", ["variant_slug"], hot=100),
+        oracle("SELECT variant_slug, quantile_disc(elapsed_s, 0.5) AS p50, quantile_disc(elapsed_s, 0.9) AS p90, quantile_disc(elapsed_s, 0.99) AS p99 FROM run_registry GROUP BY 1", "run_registry"),
+    ),
     "g13_suspicious_cells": (
         lambda v: A.suspicious_cells(v.run_registry, A.as_bool(F.col("exact_support_match")), 0.8).select("run_id", "variant_slug", "system_id", "r2"),
         oracle("SELECT run_id, variant_slug, system_id, r2 FROM run_registry WHERE exact_support_match = 'True' AND (r2 IS NULL OR r2 < 0.8)", "run_registry"),

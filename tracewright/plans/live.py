@@ -26,7 +26,22 @@ def progress(v: Views) -> DataFrame:
     return last.select("cell", "x.level", "x.best", "x.silent")
 
 
-def merged(v: Views) -> DataFrame:
+def resumed(v: Views) -> DataFrame:
+    """Live progress of a stream that starts where a batch of the first thirty levels ended; cells of even number finish."""
+    e = v.level_events
+    history = H.cell_progress(e.where("level <= 30"))
+    path = folder(v, "stream")
+    later = e.where("level > 30").select("cell", F.lit("level").alias("event"), "level", "stage", F.col("best_loss").cast("string").alias("best_loss"), "us")
+    ends = e.where("cell % 2 = 0").groupBy("cell").agg(F.max("us").alias("us")).select("cell", F.lit("complete").alias("event"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("stage"), F.lit(None).cast("string").alias("best_loss"), "us")
+    rows = later.unionByName(ends).withColumn("timestamp", F.date_format(F.timestamp_micros(F.col("us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).drop("us")
+    rows.repartitionByRange(2, "timestamp").sortWithinPartitions("timestamp").write.json(path)
+    live = H.running_progress(H.stream_heartbeats(v.spark, path, 100)[0], history)
+    out = H.run_to_table(live, folder(v, "running"), "update", settings=H.STATE_STORE, seconds=120)
+    # of each cell the last row before it finished, and whether it did
+    return out.groupBy("cell").agg(F.max_by(F.struct("level", "best", "silent"), F.struct("trigger", "level")).alias("x"), F.bool_or("finished").alias("finished")).select("cell", "x.level", "x.best", "x.silent", "finished")
+
+
+def merged(v: Views, compact_every: int | None = None) -> DataFrame:
     """Campaign records streamed from files into a history."""
     from tracewright.sources.records import RECORD, numbers, parsed_lines
 
@@ -36,8 +51,9 @@ def merged(v: Views) -> DataFrame:
     records(v).withColumn("seed", F.col("manifest_index") % 50).repartition(3).write.json(src)
     lines = v.spark.readStream.option("maxFilesPerTrigger", 1).text(src).withColumn("file", F.input_file_name())
     rows = numbers(parsed_lines(lines, RECORD)).drop("corrupt").withColumn("line", F.col("manifest_index"))
-    H.stream_merge(rows, hist, folder(v, "merge-checkpoint")).awaitTermination(600)
-    return v.spark.read.parquet(hist).select("variant", "system_id", "initial_condition_set", "seed", "config_fingerprint")
+    H.stream_merge(rows, hist, folder(v, "merge-checkpoint"), compact_every=compact_every).awaitTermination(600)
+    whole = v.spark.read.parquet(hist) if compact_every is None else H.read_history(v.spark, hist, rows.drop("file", "line").schema)
+    return whole.select("variant", "system_id", "initial_condition_set", "seed", "config_fingerprint")
 
 
 QUERIES = {
@@ -54,4 +70,12 @@ QUERIES = {
         merged,
         oracle("SELECT DISTINCT concat('v', substr(o_orderpriority, 1, 1)) AS variant, o_custkey % 10 + 1 AS system_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 ELSE 1 END AS initial_condition_set, o_orderkey % 50 AS seed, CASE WHEN o_orderkey % 4 = 0 THEN 'f0' ELSE 'f1' END AS config_fingerprint FROM orders WHERE o_orderkey % 13 <> 0"),
     ),
+    "t07_stream_merge_compacted": (
+        lambda v: merged(v, 2),
+        oracle("SELECT DISTINCT concat('v', substr(o_orderpriority, 1, 1)) AS variant, o_custkey % 10 + 1 AS system_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 ELSE 1 END AS initial_condition_set, o_orderkey % 50 AS seed, CASE WHEN o_orderkey % 4 = 0 THEN 'f0' ELSE 'f1' END AS config_fingerprint FROM orders WHERE o_orderkey % 13 <> 0"),
+    ),
+    "t03_running_progress": (
+        resumed,
+        oracle("SELECT cell, max(level) AS level, min(best_loss) AS best, max(level) - min(level) FILTER (best_loss = b) AS silent, cell % 2 = 0 AS finished FROM (SELECT *, min(best_loss) OVER (PARTITION BY cell) AS b FROM level_events) q GROUP BY cell HAVING max(level) > 30 OR cell % 2 = 0", "level_events"),
+    ),
 }

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracewright.operators import campaign as E
 from tracewright.sources.records import numbers, parsed_lines
@@ -36,8 +39,24 @@ PROGRESS = "cell long, level int, best double, silent int"
 def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Best so far and silent levels; state is two numbers a cell."""
     best, silent, last = state.get if state.exists else (float("inf"), 0, 0)
-    rows = pd.concat(list(batches)).sort_values("level")
-    for level, loss in rows[["level", "best_loss"]].itertuples(index=False):
+    best, silent, last = _advance((best, silent, last), pd.concat(list(batches)))
+    state.update((best, silent, last))
+    yield pd.DataFrame({"cell": [key[0]], "level": [last], "best": [best], "silent": [silent]})
+
+
+def live_progress(events: DataFrame) -> DataFrame:
+    """A row per cell and trigger: last level, best loss, levels since it improved. 
+
+    Levels at or below a cell's last one are late: they may lower the best loss but aren't counted as silent, nor do they
+    end a silence that came after them.
+    """
+    return events.where("event = 'level'").groupBy("cell").applyInPandasWithState(_progress, PROGRESS, "best double, silent int, last int", "update", GroupStateTimeout.NoTimeout)
+
+
+def _advance(state: tuple[float, int, int], rows: pd.DataFrame) -> tuple[float, int, int]:
+    """(best, silent, last) after rows of (level, best_loss)."""
+    best, silent, last = state
+    for level, loss in rows.sort_values("level")[["level", "best_loss"]].itertuples(index=False):
         if level <= last:
             # late or repeated: it may lower the best, but the levels after it have been counted
             best = min(best, float(loss))
@@ -46,17 +65,60 @@ def _progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         else:
             silent += 1
         last = max(last, int(level))
-    state.update((best, silent, last))
-    yield pd.DataFrame({"cell": [key[0]], "level": [last], "best": [best], "silent": [silent]})
+    return best, silent, last
 
 
-def live_progress(events: DataFrame) -> DataFrame:
-    """A row per cell and trigger: last level, best loss, levels since it improved. 
+class Progress(StatefulProcessor):
+    """State of running cells only: it starts from the history and ends with a cell's completion, or without events."""
 
-    Levels at or below a cell's last one are late: they may lower the best loss but aren't counted as silent, nor do they
-    end a silence that came after them.
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("progress", "best double, silent int, last int", self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        self.state.update((float(row["best"]), int(row["silent"]), int(row["level"])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows))
+        best, silent, last = _advance(tuple(self.state.get()) if self.state.exists() else (float("inf"), 0, 0), batch[batch["event"] == "level"])
+        done = bool((batch["event"] == "complete").any())
+        if done:
+            self.state.clear()
+        else:
+            self.state.update((best, silent, last))
+        yield pd.DataFrame({"cell": [key[0]], "level": [last], "best": [best], "silent": [silent], "finished": [done]})
+
+    def close(self) -> None:
+        pass
+
+
+#: Keyed state with a lifetime needs this store; pass it to run_to_table, or set it before the stream starts.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def cell_progress(levels: DataFrame) -> DataFrame:
+    """cell, level, best, silent of a batch of level events (cell, level, best_loss): what the stream would hold of them."""
+    by = Window.partitionBy("cell")
+    best = F.min("best_loss").over(by)
+    rows = levels.select("cell", "level", "best_loss", best.alias("best"))
+    return rows.groupBy("cell").agg(F.max("level").alias("level"), F.max("best").alias("best"), (F.max("level") - F.min(F.when(F.col("best_loss") == F.col("best"), F.col("level")))).cast("int").alias("silent"))
+
+
+def running_progress(events: DataFrame, history: DataFrame, ttl: int | None = None) -> DataFrame:
+    """live_progress with a state that ends: a row per cell and trigger, with finished.
+
+    history (cell, level, best, silent, as cell_progress gives it; unfinished cells, one row each) is where cells start
+    from, so that a stream that is set up anew goes on where a batch ended. A cell's state goes with its complete event and,
+    with ttl, that many seconds after its last one; what comes later starts afresh. A stream with a ttl keeps its clock
+    running and so never ends by itself, not even one over what is there now. Runs with STATE_STORE.
     """
-    return events.where("event = 'level'").groupBy("cell").applyInPandasWithState(_progress, PROGRESS, "best double, silent int, last int", "update", GroupStateTimeout.NoTimeout)
+    rows = events.where("event in ('level', 'complete')").groupBy("cell")
+    schema = PROGRESS + ", finished boolean"
+    start = history.select("cell", F.col("level").cast("int").alias("level"), F.col("best").cast("double").alias("best"), F.col("silent").cast("int").alias("silent")).groupBy("cell")
+    return rows.transformWithStateInPandas(Progress(ttl and ttl * 1000), schema, "Update", "ProcessingTime" if ttl else "None", start)
 
 
 def _stuck(after_ms: int):
@@ -100,28 +162,109 @@ def level_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour"
 BUCKETS = 64
 
 
-def stream_merge(records: DataFrame, history: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+def _folders(spark: SparkSession, history: str) -> tuple[int, list[int]]:
+    """(last batch of the newest complete compaction, or -1; numbers of the batches after it)."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(history)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+    number = lambda kind: [int(n.split("=")[1]) for n in names if n.startswith(kind)]
+    # a folder without the mark that Spark writes last is not complete
+    base = max((n for n in number("_base=") if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{history}/_base={n}/_SUCCESS"))), default=-1)
+    return base, sorted(n for n in number("batch=") if n > base)
+
+
+def _history(spark: SparkSession, history: str, schema: T.StructType, but: int | None = None) -> DataFrame:
+    """Rows of a history with bucket; `but`: a batch that is left out."""
+    base, batches = _folders(spark, history)
+    folders = ([f"{history}/_base={base}"] if base >= 0 else []) + [f"{history}/batch={n}" for n in batches if n != but]
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    out = spark.createDataFrame([], full)
+    if folders[:1] == [f"{history}/_base={base}"]:
+        out = out.unionByName(spark.read.schema(full).parquet(folders.pop(0)))
+    if folders:
+        out = out.unionByName(spark.read.schema(full).option("basePath", history).parquet(*folders).select(*full.names))
+    return out
+
+
+def read_history(spark: SparkSession, history: str, schema: T.StructType) -> DataFrame:
+    """The merged rows: the newest complete compaction and the batches after it, so that a reader sees a compaction wholly or
+    not at all. Of histories that were never compacted, the plain folder holds the same."""
+    return _history(spark, history, schema).drop("bucket")
+
+
+def compact(spark: SparkSession, history: str, schema: T.StructType, before: int) -> bool:
+    """Write the newest compaction and the batches under number `before` as one folder with one file a bucket; was there
+    anything to do? Older folders stay, as readers may be at them, until `expire`.
+
+    A batch that can still be retried must not be under `before`."""
+    base, batches = _folders(spark, history)
+    upto = max((n for n in batches if n < before), default=-1)
+    if upto < 0:
+        return False
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(full).option("basePath", history).parquet(*[f"{history}/batch={n}" for n in batches if n <= upto]).select(*full.names)
+    if base >= 0:
+        rows = rows.unionByName(spark.read.schema(full).parquet(f"{history}/_base={base}"))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/_base={upto}")
+    return True
+
+
+def expire(spark: SparkSession, history: str) -> int:
+    """Delete what the newest complete compaction holds in other folders; how many went. No reader may be at them."""
+    base, _ = _folders(spark, history)
+    top = spark._jvm.org.apache.hadoop.fs.Path(history)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    old = [x.getPath() for x in fs.listStatus(top) if base >= 0 and (m := re.fullmatch(r"(_base|batch)=(\d+)", x.getPath().getName())) and (int(m[2]) < base or (m[1] == "batch" and int(m[2]) == base))]
+    return sum(fs.delete(p, True) for p in old)
+
+
+def stream_merge(records: DataFrame, history: str, checkpoint: str, buckets: int = BUCKETS, compact_every: int | None = None) -> StreamingQuery:
     """Append finished cells to the Parquet history, each key once; a batch that is run again adds nothing.
 
     Each batch goes to a folder of its own number, overwritten if the batch is retried, and within it to folders by key
-    hash. Only the folders of keys that the batch brings are read, and of them only the keys.
+    hash. Only the folders of keys that the batch brings are read, and of them only the keys. With compact_every, all
+    batches before every so-manieth one are first rewritten as one file a bucket (then read with read_history), so that
+    files a bucket stay bounded however long the stream runs.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark, bucket = batch.sparkSession, F.pmod(F.xxhash64(*[F.col(k) for k in E.KEY if k in batch.columns]), F.lit(buckets)).cast("int")
         new = E.with_ic(batch).withColumn("bucket", bucket)
         schema = batch.drop("file", "line").schema
+        if compact_every and number and number % compact_every == 0:
+            compact(spark, history, schema, number)
         old = spark.createDataFrame([], schema)
         if number:
             touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
-            old = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(history).where((F.col("batch") != number) & F.col("bucket").isin(touched)).drop("batch", "bucket")
+            old = _history(spark, history, schema, number).where(F.col("bucket").isin(touched)).drop("bucket")
         E.merge_records(new.drop("bucket"), old)[0].withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={number}")
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append", seconds: int = 600) -> DataFrame:
-    """Run a stream over what is there now into a Parquet table and read it; update mode keeps each trigger's rows."""
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while a stream starts; its checkpoint keeps them."""
+    had = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", seconds: int = 600, settings: dict[str, str] | None = None, on_end: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
+    """Run a stream over what is there now into a Parquet table and read it; update mode keeps each trigger's rows.
+
+    on_end sees the query when it has ended."""
+    if settings:
+        with session_settings(stream.sparkSession, settings):
+            return run_to_table(stream, path, mode, seconds, None, on_end)
     spark, schema = stream.sparkSession, stream.schema
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
@@ -134,4 +277,6 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", seconds: in
     if not q.awaitTermination(seconds):
         q.stop()
         raise TimeoutError(f"the stream did not end within {seconds} s")
+    if on_end:
+        on_end(q)
     return spark.read.schema(schema if mode == "append" else schema.add("trigger", "long")).parquet(f"{path}/out")
