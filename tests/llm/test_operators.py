@@ -135,7 +135,6 @@ def check_packing(docs, pieces, length=1024):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_file())
-    tok.encode_special_tokens = True
     want = Counter((r["doc_id"], np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u2").tobytes()) for r in docs.collect())
     rows = pieces.collect()
     by_seq, by_doc = {}, {}

@@ -31,14 +31,14 @@ class Ids:
     A byte-level BPE with a leading-space pre-tokenizer never merges across the start of " x" (one space before a
     non-space), so a text's ids are those of its pieces cut there. Pieces are told apart by 64-bit hashes; each new one
     goes through the library, and known ones are gathered from one pool of ids. Texts with runs of white space after a
-    space, or with NUL, go through the library whole; so do all texts if a tokenizer fails the PROBES.
+    space, with NUL or with the text of a special token go through the library whole; so do all texts if a tokenizer fails
+    the PROBES.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         encode = lambda t: self.tok.encode(t, add_special_tokens=False).ids
@@ -46,7 +46,9 @@ class Ids:
         one = [encode(" " + x) for x in PROBES]
         lines = [i for x in one for i in [*x, self.newline]]
         self.cuts = len(encode("\n")) == 1 and encode(" " + " ".join(PROBES)) == [i for x in one for i in x] and encode("".join(f" {x}\n" for x in PROBES)) == lines == encode("\n".join([" " + x for x in PROBES])) + [self.newline]
-        self.odd = re.compile(r" \s|\x00" if self.cuts else r"").search
+        # a special token's text is that token, as the library has it; such texts go through it whole
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([r" \s", r"\x00", *special]) if self.cuts else r"").search
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint16)
 
