@@ -76,15 +76,15 @@ def test_filter_grows_with_what_it_stores(kind):
     n = 1_000_000
     keys = np.unique(g.integers(0, 2 ** (63 if kind == "uni" else 48), n, dtype=np.uint64))
     counts = np.where(g.random(len(keys)) < 0.2, 0, g.choice([1, 2, 30], len(keys), p=[0.85, 0.12, 0.03])).astype(np.int64)
-    rows = pd.DataFrame({"kind": kind, "shard": 5, "block": [7], "keys": [lm.pack_keys(keys)], "counts": [counts.astype("<u4").tobytes()]})
-    got = lm._merge((kind, 5), rows)
-    a = got[got["what"] == kind].iloc[0]
-    level, want = np.frombuffer(a["levels"], np.uint8).astype(int), np.where(counts > 0, lm.level_of(np.maximum(counts, 1)), 0)
-    assert (level >= want).all() and np.mean(level > want) < 0.001
-    total = got[got["what"] == f"{kind}-total"].iloc[0]
+    rows = pd.DataFrame({"kind": kind, "grp": 0, "rng": 5, "part": [7], "keys": [lm.pack_keys(keys)], "counts": [counts.astype("<u4").tobytes()]})
+    got = lm._count((kind, 0, 5), rows)
+    total = got[got["what"] == "segment"].iloc[0]
     assert (total["n"], total["distinct"]) == (counts.sum(), (counts > 0).sum())
+    level = np.frombuffer(lm._probe((kind, 0, 5), rows.drop(columns="counts"), got[got["what"] == "segment"])["data"].iloc[0], np.uint8).astype(int)
+    want = np.where(counts > 0, lm.level_of(np.maximum(counts, 1)), 0)
+    assert (level >= want).all() and np.mean(level > want) < 0.001
     if kind == "uni":
-        assert (np.frombuffer(a["exact"], "<i8") == counts).all()
+        assert (np.frombuffer(got[got["what"] == "exact"]["data"].iloc[0], "<i8") == counts).all()
 
 
 def plain_scores(rows):
@@ -110,17 +110,49 @@ def test_lm_scores_over_many_shards(spark, documents, monkeypatch):
     """Blocks and shards as many as a large corpus has: scores are those of exact levels but for rare chance hits."""
     monkeypatch.setattr(lm, "BLOCK", 20_000)
     monkeypatch.setattr(lm, "SHARD", 30_000)
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(documents).collect()}
+    frame = lm.score_documents(documents, broadcast_bytes=0)
+    got = {r["doc_id"]: r["score"] for r in frame.collect()}
     want = plain_scores([(r["doc_id"], r["text"]) for r in documents.collect()])
     off = np.array([abs(got[d] - want[d]) for d in want])
     assert got.keys() == want.keys() and np.mean(off < 1e-6) > 0.75 and np.mean(off) < 0.02 * np.mean(np.abs(list(want.values())))
+    told = {r["doc_id"]: r["score"] for r in lm.score_documents(documents).collect()}
+    assert told.keys() == got.keys() and all(abs(told[d] - got[d]) < 1e-9 for d in got)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_exchange_in_steps(spark, documents, odd, monkeypatch, small):
+    """Three steps of few ways give what one step gives, and rows exchanged stay under ways x blocks a step and kind."""
+    few = documents.where("doc_id < 150").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    size = {"block_bytes": 30_000, "shard_bytes": 60_000, "broadcast_bytes": (1 << 30) * small}
+    key = lambda rows: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+    one, written = key(lm.score_documents(few, **size).collect()), []
+    monkeypatch.setattr(lm, "FAN", 2)
+    kept = lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, tag: written.append((tag, kept(df, tag))) or written[-1][1])
+    assert key(lm.score_documents(few, **size).collect()) == one
+    n_bytes = sum(len((r["text"] or "").encode()) for r in few.collect())
+    blocks, (steps, ways) = -(-n_bytes // 30_000), lm.steps_for(-(-n_bytes // 30_000), -(-n_bytes // 60_000))
+    up = [df for tag, df in written if tag == "lm-pieces"]
+    assert steps >= 3 and len(up) == steps - 1 and all(df.count() <= 2 * ways * ways * blocks for df in up)
+
+
+def test_lm_broadcast_has_a_bound(documents):
+    """Texts of words that never repeat come near the bound and do not pass it."""
+    g = np.random.default_rng(3)
+    texts = [bytes(g.integers(97, 123, 200).astype(np.uint8)).replace(b"a", b" ") for _ in range(50)] + [b""] * 9
+    t, n = lm.tokens(texts)
+    held = 0
+    for k in (t, lm.bigrams(t, n)):
+        keys, counts = np.unique(k, return_counts=True)
+        held += len(lm.filter_for(counts).segment(keys, counts))
+    assert held <= lm.most_bytes(sum(map(len, texts)), len(texts)) and lm.steps_for(512, 9) == (1, 512) and lm.steps_for(513, 2) == (2, 23)
 
 
 def test_filter_counts():
     g = np.random.default_rng(0)
     keys, counts = np.unique(g.integers(0, 2**63, 3000, dtype=np.uint64)), None
     counts = g.integers(1, 5000, len(keys))
-    f = lm.Filter("uni", 1, 1 << 20)
+    f = lm.Filter(1 << 20)
     data = np.frombuffer(f.segment(keys, counts), np.uint8)
     got = f.counts(data, keys)
     assert (got >= counts / 1.6).all() and np.mean(got > counts * 1.6) < 0.01
