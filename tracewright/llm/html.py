@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import hash32, lowest, table
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose text is never page text.
+#: Elements whose text is never page text; they don't cut the block around them. A button within words is part of them.
 SKIP = frozenset("script style noscript template head svg iframe object audio video canvas select button textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 #: A formula is part of the text around it.
@@ -105,17 +105,19 @@ class Scanner:
 
 
 class Node:
-    __slots__ = ("attrs", "label", "link", "linked", "parent", "tag", "text", "total")
+    __slots__ = ("attrs", "label", "link", "linked", "paras", "parent", "tag", "text", "titled", "total")
 
     def __init__(self, tag: str, parent: int, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
-        self.text, self.link, self.label, self.total, self.linked = "", 0, None, 0, 0
+        self.text, self.link, self.label, self.total, self.linked, self.paras, self.titled = "", 0, None, 0, 0, 0, False
 
 
 def dom(page: str) -> list[Node]:
     """Block elements and text runs (tag "#") in page order; a parent stands before its children."""
     nodes = [Node("html", -1)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones keep the index of their block
+    # open elements, each with the index of its block (inline ones keep that around them), whether its text is skipped and
+    # whether its end cuts the text
+    stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, True)]
     run: list[tuple[str, bool]] = []
     skip, links, at, n = 0, 0, 0, len(page)
 
@@ -131,18 +133,18 @@ def dom(page: str) -> list[Node]:
                 nodes.append(leaf)
             run.clear()
 
-    def push(tag: str, block: int) -> None:
-        stack.append((tag, block))
+    def push(tag: str, block: int, skips: bool = False, cuts: bool = False) -> None:
+        stack.append((tag, block, skips, cuts))
         opened[tag] = opened.get(tag, 0) + 1
 
     def close(k: int) -> None:
         """Close all open elements from the k-th on."""
         nonlocal links, skip
-        if any(t not in INLINE for t, _ in stack[k:]):
+        if any(cuts for *_, cuts in stack[k:]):
             flush()
-        for t, _ in stack[k:]:
+        for t, _, skips, _ in stack[k:]:
             links -= t == "a"
-            skip -= t in SKIP
+            skip -= skips
             opened[t] -= 1
         del stack[k:]
 
@@ -181,7 +183,7 @@ def dom(page: str) -> list[Node]:
                     break
                 if stack[k][0] in STOP and not (tag == "tr" and stack[k][0] in ("td", "th")):
                     break
-        if tag not in INLINE:
+        if not skip and tag not in INLINE and (tag not in SKIP or tag == "head"):
             flush()
         if tag in RAW_END and tag != "template":
             stop = RAW_END[tag].search(page, at)
@@ -194,10 +196,11 @@ def dom(page: str) -> list[Node]:
             links += tag == "a"
         elif not skip and tag not in SKIP:
             nodes.append(Node(tag, stack[-1][1], attrs))
-            push(tag, len(nodes) - 1)
+            push(tag, len(nodes) - 1, cuts=True)
         else:
-            push(tag, stack[-1][1])
-            skip += tag in SKIP
+            skips = tag in SKIP and not (tag == "button" and any(t.strip() for t, _ in run))
+            push(tag, stack[-1][1], skips, tag == "head")
+            skip += skips
     close(1)
     flush()
     add_sums(nodes)
@@ -205,9 +208,9 @@ def dom(page: str) -> list[Node]:
 
 
 TAGS = "html div section article main nav header footer aside form fieldset ul ol li dl dt dd table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details center #".split()
-NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], *[f"sum-len{i}" for i in range(6)], *[f"sum-link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li", "bare-article"]
+NAMES = ["bias", "other-tag", "hidden", *[f"t:{t}" for t in TAGS], *[f"w:{g}" for g in WORDS], *[f"len{i}" for i in range(5)], *[f"link{i}" for i in range(4)], *[f"sum-len{i}" for i in range(6)], *[f"sum-link{i}" for i in range(4)], "stop", "copy", "in-p", "in-h", "in-li", "in-cell", "bare-article", "mixed", "titled", *[f"paras{i}" for i in range(3)], *[f"part{i}" for i in range(4)]]
 INDEX = {x: i for i, x in enumerate(NAMES)}
-KINDS = {t: i for i, t in enumerate(["#", "p", "li", "ul", "ol", "h1", "h2", "td", "div", "section", "article", "main", "other", "marked"])}
+KINDS = {t: i for i, t in enumerate(["#", "p", "li", "ul", "ol", "h1", "h2", "td", "div", "section", "article", "main", "other", "marked", "mixed"])}
 _MARK = re.compile(r"©|\(c\) ?\d{4}|all rights reserved", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _groups: dict[str, tuple[str, ...]] = {}
@@ -234,13 +237,16 @@ def groups(attrs: str) -> tuple[str, ...]:
 
 
 def add_sums(nodes: list[Node]) -> None:
-    """Characters and link characters under each element."""
+    """Characters, link characters, paragraphs and whether there is an h1 under each element."""
     for x in nodes:
         x.total, x.linked = (len(x.text), x.link) if x.tag == "#" else (0, 0)
+        x.paras, x.titled = int(x.tag == "p"), x.tag == "h1"
     for x in reversed(nodes[1:]):
         up = nodes[x.parent]
         up.total += x.total
         up.linked += x.linked
+        up.paras += x.paras
+        up.titled = up.titled or x.titled
 
 
 def _share(link: int, n: int) -> int:
@@ -254,9 +260,15 @@ def features(nodes: list[Node], i: int) -> list[int]:
     out = [0, INDEX.get(f"t:{x.tag}", 1)]
     if x.tag != "#":
         out += [INDEX["sum-len0"] + min(5, int(math.log(x.total + 1, 5))), INDEX["sum-link0"] + _share(x.linked, x.total)]
-        if x.tag == "article" and not groups(x.attrs):
+        said, share = groups(x.attrs), x.total / (nodes[0].total or 1)
+        out += [INDEX["paras0"] + min(2, x.paras), INDEX["part0"] + (share > 0.1) + (share > 0.3) + (share > 0.6)]
+        if x.titled:
+            out.append(INDEX["titled"])
+        if x.tag == "article" and not said:
             out.append(INDEX["bare-article"])
-        return out + [INDEX["hidden" if g == "hidden" else f"w:{g}"] for g in groups(x.attrs)]
+        if len(said) > 1 and "main" in said:
+            out.append(INDEX["mixed"])
+        return out + [INDEX["hidden" if g == "hidden" else f"w:{g}"] for g in said]
     n, parent = len(x.text), nodes[x.parent].tag
     out.append(INDEX["len0"] + min(4, int(math.log(n + 1, 5))))
     out.append(INDEX["link0"] + _share(x.link, n))
@@ -266,13 +278,18 @@ def features(nodes: list[Node], i: int) -> list[int]:
         out.append(INDEX["copy"])
     if parent in ("p", "li"):
         out.append(INDEX[f"in-{parent}"])
+    elif parent in ("td", "th"):
+        out.append(INDEX["in-cell"])
     elif parent[0] == "h" and parent[1:].isdigit():
         out.append(INDEX["in-h"])
     return out
 
 
 def kind(x: Node) -> int:
-    return KINDS["marked"] if x.tag != "#" and any(g != "main" for g in groups(x.attrs)) else KINDS.get(x.tag, KINDS["other"])
+    said = groups(x.attrs) if x.tag != "#" else ()
+    if any(g != "main" for g in said):
+        return KINDS["mixed" if "main" in said else "marked"]
+    return KINDS.get(x.tag, KINDS["other"])
 
 
 class Model:
@@ -310,8 +327,11 @@ def main_text(page: str, model: Model) -> str:
     return "\n".join([x.text for x, p in zip(nodes, model.marginals(nodes), strict=True) if x.tag == "#" and p > 0.5])
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
-    """Pages of several layouts, drawn from rules: elements say data-y="1" (content) or "0", and their subtrees follow."""
+def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+    """Pages of several layouts, drawn from rules: elements say data-y="1" (content) or "0", and their subtrees follow.
+
+    Articles hold tables, lists of links and boxes in boxes; their classes, and those of what isn't content, can mislead.
+    """
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ra", "ne", "to", "li", "sun", "mar", "ke", "do", "vi", "pal")) for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -322,7 +342,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
     teasers = lambda k: "".join(r.choice(('<article class="teaser">{}</article>', '<div class="card">{}</div>')).format(teaser()) for _ in range(k))
     bad = {
         "menu": lambda: r.choice(('<nav data-y="0">{}</nav>', '<div class="menu" data-y="0">{}</div>', '<div id="nav" data-y="0">{}</div>', '<ul class="breadcrumbs" data-y="0">{}</ul>', '<div data-y="0">{}</div>')).format(items(r.randint(3, 8))),
-        "head": lambda: r.choice(('<header data-y="0">{}</header>', '<div class="site-header" id="masthead" data-y="0">{}</div>', '<div class="header" data-y="0">{}</div>')).format(f"<h2>{words(1, 4)}</h2><p>{words(2, 8)}</p>" + items(r.randint(0, 4))),
+        "head": lambda: r.choice(('<header data-y="0">{}</header>', '<div class="site-header" id="masthead" data-y="0">{}</div>', '<div class="header" data-y="0">{}</div>')).format(r.choice(("<h2>{}</h2>", "<h2>{}</h2>", "<h1>{}</h1>", "<h1><a href='/'>{}</a></h1>")).format(words(1, 4)) + f"<p>{words(2, 8)}</p>" + items(r.randint(0, 4))),
         "foot": lambda: r.choice(('<footer data-y="0">{}</footer>', '<div id="footer" data-y="0">{}</div>', '<div class="copyright" data-y="0">{}</div>')).format(r.choice((f"&copy; {word()}.com &middot; {prose(1, 2)}", f"<p>{prose(1, 3)}</p><p>Copyright 20{r.randint(10, 24)} {words(1, 3)}</p>", items(4) + f"<p>{words(2, 9)}</p>"))),
         "side": lambda: r.choice(('<aside data-y="0">{}</aside>', '<div class="sidebar" data-y="0">{}</div>', '<div class="related widget" data-y="0">{}</div>', '<section class="recommended" data-y="0">{}</section>')).format(f"<h3>{words(1, 3)}</h3>" + r.choice((items(5), f"<p>{prose(1, 3)}</p>", f"<p>{words(3, 9)}</p>{items(2)}", teasers(r.randint(1, 3))))),
         "ad": lambda: r.choice(('<div class="ad" data-y="0">{}</div>', '<div class="advert banner" data-y="0">{}</div>', '<div id="sponsored-{0}" data-y="0">{0}</div>', '<section class="promo" data-y="0">{}</section>', '<div class="ads" data-y="0">{}</div>')).format(r.choice((prose(1, 3), words(2, 7), f"<p>{prose(1, 2)}</p>"))),
@@ -332,16 +352,47 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[str]:
         "share": lambda: r.choice(('<div class="share" data-y="0">{}</div>', '<ul class="social" data-y="0">{}</ul>')).format("".join(f"<li>{link(1, 2)}</li>" for _ in range(3))),
         "hide": lambda: f'<div style="display:none" data-y="0"><p>{prose(1, 3)}</p></div>',
     }
+    topic = lambda: r.choice(("article", "content", "post", "entry", "story", "main", "body", "text"))
+    stray = lambda: r.choice(("promoted", "promo", "sponsored", "related", "more", "header", "side", "sidebar", "top", "banner", "meta", "notice", "share", "comments", "contact", "legal", "widget", "date"))
+    said = lambda a, b: r.choice(("{0} {1}-{0}", "{0}-{1}", "has-{1} {0}", "{1}-{0}", "{0} {1}")).format(a, b)
+    row = lambda k, t: "<tr>" + "".join(f"<{t}>{r.choice((words(1, 4), str(r.randint(1, 9999)), link(1, 2)) if t == 'td' else (words(1, 2),))}</{t}>" for _ in range(k)) + "</tr>"
+    grid = lambda k: f"<table><thead>{row(k, 'th')}</thead><tbody>" + "".join(row(k, "td") for _ in range(r.randint(2, 8))) + "</tbody></table>" if r.random() < 0.5 else "<table>" + row(k, "th") + "".join(row(k, "td") for _ in range(r.randint(1, 6))) + "</table>"
+    linked = lambda bare: "<li>" + (link(1, 6) if bare else r.choice((link(1, 3) + " " + words(1, 8), words(1, 5) + " " + link()))) + "</li>"
+    listed = lambda bare: "".join(linked(bare) for _ in range(r.randint(2, 9)))
+    rich = (
+        lambda: grid(r.randint(2, 5)),
+        lambda: r.choice(("", f"<p>{words(2, 8)}:</p>", f"<h2>{words(1, 4)}</h2>")) + r.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format(listed(r.random() < 0.6)),
+        lambda: "<dl>" + "".join(f"<dt>{words(1, 3)}</dt><dd>{prose(1, 2)}</dd>" for _ in range(r.randint(1, 5))) + "</dl>",
+        lambda: f"<div>{prose(1, 5)}</div>",
+        lambda: f"<div>{words(1, 6)}</div>",
+        lambda: f"<div><div><p>{prose(1, 5)}</p></div><p>{prose(1, 3)}</p></div>",
+        lambda: f"<section><h2>{words(1, 6)}</h2><p>{prose(1, 5)}</p><p>{prose(1, 4)}</p></section>",
+        lambda: f"<p>{prose(1, 2)} <span>{words(1, 3)}<div>{words(1, 7)}</div></span> {words(2, 6)}</p>",
+        lambda: f"<p>{words(2, 8)} <button>{words(1, 2)}</button> {words(2, 6)}.</p>",
+        lambda: f"<p class='{topic()}-{r.choice(('lead', 'p', 'intro'))}'>{prose(1, 5)}</p>",
+        lambda: f"<div class='{topic()}'><p>{prose(1, 5)}</p><p>{prose(1, 5)}</p></div>",
+        lambda: f"<p>{link(2, 8)}</p>",
+        lambda: f"{words(2, 9).capitalize()}.",
+    )
+    astray = lambda: r.choice(("<div class='{c}' data-y='0'>{x}</div>", "<section class='{c}' data-y='0'>{x}</section>", "<aside class='{c}' data-y='0'>{x}</aside>")).format(c=said(topic(), r.choice(("ad", "share", "comments", "related", "footer", "newsletter", "tags", "promo", "cookie", "sidebar"))), x=r.choice((items(r.randint(2, 6)), f"<p>{prose(1, 2)}</p>", words(2, 8), teaser(), f"<table>{row(2, 'td')}</table>")))
+    menus = lambda: f"<table data-y='0'><tr>" + "".join(f"<td>{link()}</td>" for _ in range(r.randint(3, 8))) + "</tr></table>"  # noqa: E731, F541
     wraps = ("<article data-y='1'>{}</article>",) * 4 + ("<article class='post' data-y='1'>{}</article>", "<main data-y='1'>{}</main>", "<div class='content' data-y='1'>{}</div>", "<div class='post' data-y='1'><div class='entry-content'>{}</div></div>", "<div id='article-body' data-y='1'>{}</div>", "<section class='story' data-y='1'>{}</section>", "<div role='main' data-y='1'>{}</div>", "<table><tr><td class='text' data-y='1'>{}</td></tr></table>", "<div data-y='1'>{}</div>", "<main><article data-y='1'>{}</article></main>")
     pages = []
     for _ in range(n):
         para = lambda: r.choice((f"<p>{prose(1, 9)}</p>",) * 6 + (f"<p>{prose(1, 1)[:12]}.</p>", f"<p>{word().capitalize()}.</p>", f"<p><b>{prose(1, 6)}<br>", f"<p>{prose(1, 4)} {link()} {prose(1, 3)}</p>", f"<h2>{words(2, 6)}</h2>", f"<ul><li>{prose(1, 1)}</li><li>{words(3, 9)}</li></ul>", f"<blockquote>{prose(1, 3)}</blockquote>", f"<pre>{words(4, 20)}</pre>", f"<figure><img><figcaption>{words(3, 9)}</figcaption></figure>"))
-        parts = [f"<h1>{words(2, 9)}</h1>", *[para() for _ in range(r.randint(0, r.choice((3, 12))))]]
+        parts = [r.choice(("<h1>{}</h1>",) * 6 + ("<h2>{}</h2>", "<header><h1>{}</h1></header>")).format(words(2, 9)), *[para() for _ in range(r.randint(0, r.choice((3, 12))))]]
+        for _ in range(r.choice((0, 0, 1, 2, 4))):
+            parts.insert(r.randint(1, len(parts)), r.choice(rich)())
         for k in r.sample(("ad", "share", "talk", "side", "form", "note", "hide"), r.randint(0, 3)):
-            parts.insert(len(parts) if k == "talk" else r.randint(1, len(parts)), bad[k]())
+            parts.insert(len(parts) if k == "talk" else r.randint(1, len(parts)), astray() if r.random() < 0.2 else bad[k]())
         before = "".join(bad[k]() for k in r.sample(("menu", "head", "ad", "note", "form"), r.randint(0, 4)))
         after = "".join(bad[k]() for k in r.sample(("side", "talk", "ad", "foot", "note", "form", "menu"), r.randint(0, 5)))
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title></head><body>{before}{r.choice(wraps).format(''.join(parts))}{after}</body></html>")
+        before, after = before + (menus() if r.random() < 0.1 else ""), (astray() if r.random() < 0.2 else "") + after
+        wrap = r.choice(wraps)
+        if r.random() < 0.25:
+            tag = r.choice(("article", "article", "div", "section", "main"))
+            wrap = f"<{tag} class='{said(topic(), stray())}' data-y='1'>{{}}</{tag}>"
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title></head><body>{before}{wrap.format(''.join(parts))}{after}</body></html>")
     return pages
 
 
@@ -380,32 +431,50 @@ def _lean(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def train(pages: list[list[Node]], steps: int = 600) -> Model:
-    """Node weights by logistic regression, pair potentials by smoothed counts of (parent, child) labels.
+def train(pages: list[list[Node]], steps: int = 300, decay: float = 2e-5) -> Model:
+    """Node weights and pair potentials of greatest likelihood of all labels together, less a penalty of `decay`.
 
-    The pair tables hold P(child | parent) over the root of P(child): node weights carry part of how common content is.
+    The likelihood's slope is what the labels hold of each feature and pair less what the marginals do, which are those
+    of `Model.marginals`, computed for all pages at once from depth to depth.
     """
-    seen: dict[tuple, list[int]] = {}
-    pairs = np.full((len(KINDS), 2, 2), 2.0)
+    on, kinds, parents, y, depth = [], [], [], [], []
     for nodes in pages:
+        base = len(kinds)
         for i, x in enumerate(nodes):
-            n = seen.setdefault(tuple(features(nodes, i)), [0, 0])
-            n[0] += 1
-            n[1] += x.label
-            if i:
-                pairs[kind(x), nodes[x.parent].label, x.label] += 1
-    m = np.zeros((len(seen), len(NAMES)))
-    for i, f in enumerate(seen):
-        m[i, list(f)] = 1
-    n, y = np.array(list(seen.values()), float).T
-    w, speed = np.zeros(len(NAMES)), np.zeros(len(NAMES))
-    for _ in range(steps):
-        g = m.T @ (n / (1 + np.exp(-m @ w)) - y) / n.sum() + 1e-4 * w
-        speed = 0.9 * speed - 2.0 * g
-        w = w + speed
-    given = pairs / pairs.sum(2, keepdims=True)
-    apart = pairs.sum(1, keepdims=True) / pairs.sum((1, 2), keepdims=True)
-    return Model(w, np.log(given / np.sqrt(apart)))
+            on.append(features(nodes, i))
+            kinds.append(kind(x))
+            parents.append(base + max(0, x.parent))
+            depth.append(depth[parents[-1]] + 1 if i else 0)
+            y.append(x.label)
+    n, width = len(y), max(map(len, on))
+    f = np.array([o + [len(NAMES)] * (width - len(o)) for o in on])
+    kinds, parents, y, depth = np.array(kinds), np.array(parents), np.array(y), np.array(depth)
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    below = np.concatenate(levels)
+    cell = kinds[below] * 4
+    flat, cells = f.ravel(), (cell[:, None] + np.arange(4)).ravel()
+    held = np.bincount(cell + y[parents[below]] * 2 + y[below], minlength=4 * len(KINDS))
+    v, speed, size = (np.zeros(len(NAMES) + 4 * len(KINDS)) for _ in range(3))
+    for t in range(1, steps + 1):
+        w, pairs = np.append(v[: len(NAMES)], 0.0), v[len(NAMES) :].reshape(-1, 2, 2)
+        up, told = w[f].sum(1), np.zeros(n)
+        for i in reversed(levels):
+            p, u = pairs[kinds[i]], up[i]
+            told[i] = np.logaddexp(p[:, 1, 0], p[:, 1, 1] + u) - np.logaddexp(p[:, 0, 0], p[:, 0, 1] + u)
+            up += np.bincount(parents[i], told[i], n)
+        belief = up.copy()
+        for i in levels:
+            p, rest = pairs[kinds[i]], belief[parents[i]] - told[i]
+            belief[i] = up[i] + np.logaddexp(p[:, 0, 1], p[:, 1, 1] + rest) - np.logaddexp(p[:, 0, 0], p[:, 1, 0] + rest)
+        rest = belief[parents[below]] - told[below]
+        joint = pairs[kinds[below]] + up[below][:, None, None] * [0, 1] + rest[:, None, None] * [[0], [1]]
+        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+        joint /= joint.sum((1, 2), keepdims=True)
+        off = 1 / (1 + np.exp(-np.clip(belief, -500, 500))) - y
+        slope = np.append(np.bincount(flat, np.repeat(off, width), len(NAMES) + 1)[:-1], np.bincount(cells, joint.ravel(), 4 * len(KINDS)) - held) / n + decay * v
+        speed, size = 0.9 * speed + 0.1 * slope, 0.99 * size + 0.01 * slope**2
+        v = v - 0.1 * speed / (1 - 0.9**t) / (np.sqrt(size / (1 - 0.99**t)) + 1e-6)
+    return Model(v[: len(NAMES)], v[len(NAMES) :].reshape(-1, 2, 2))
 
 
 #: Of all pages one in HELD never trains, so that extraction can be measured on it.
@@ -416,8 +485,12 @@ def held_out(key: str = "page_id") -> Column:
     return hash32(F.lit("held"), F.col(key)) % HELD == 0
 
 
-def train_on(pages: DataFrame, most: int = 400) -> Model:
-    """A model from the drawn layouts and, as weakly labelled pages, at most `most` rows that mark their article."""
+def train_on(pages: DataFrame, most: int = 400, longest: int = 1 << 18) -> Model:
+    """A model from the drawn layouts and, as weakly labelled pages, at most `most` rows that mark their article.
+
+    Longer pages than `longest` bytes don't train, so that what the driver gets is bounded.
+    """
+    pages = pages.where(F.octet_length("html") <= longest)
     ids = lowest(pages.where("html like '%<article%'").where(~held_out()).select(F.col("page_id").cast("long").alias("page_id")), most)
     # at most `most` ids, so safe to broadcast; of rows that repeat one, one is taken
     near = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(F.broadcast(ids), "page_id", "left_semi").where("html like '%<article%'")
