@@ -323,7 +323,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that near_duplicates doesn't keep, and with one row of each repeated doc_id."""
+    """docs without the documents that near_duplicates doesn't keep, and with one row of each repeated doc_id.
+
+    Null and empty texts are linked with nothing and stay; so do rows without a doc_id. Of rows that repeat a doc_id any one
+    stays. Empty table: empty result. All columns of docs pass through under their names.
+    """
     found = NearDuplicates(docs, k, percent)
     gone = materialize(found.components().where("not kept").select("doc_id").distinct(), "near-gone")
     rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
