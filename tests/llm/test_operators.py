@@ -385,6 +385,7 @@ BODIES = {
     "button": (f"<h1>Title</h1><p>Press the <button>Start</button> key to begin.</p><p>{P}</p><button>Send</button>", f"Title\nPress the Start key to begin.\n{P}"),
     "nested": (f"<h1>Title</h1><p>{P} <span>inner <div>boxed words</div></span> tail words.</p>", f"Title\n{P} inner\nboxed words\ntail words."),
     "skipped": (f"<h1>Title</h1><p>First <script>var x</script>half, <svg><text>no</text></svg>second<select><option>a</select> half.</p><p>{P}</p>", f"Title\nFirst half, second half.\n{P}"),
+    "many": ("<h1>Title</h1>" + "<p>Few so.</p>" * 2000, "Title" + "\nFew so." * 2000),
     "advert": (f"<h1>Title</h1><p>{P}</p><div class='article-ad'>Buy this now.</div><p>{P}</p><aside><p>See more of it here.</p></aside>", f"Title\n{P}\n{P}"),
 }
 

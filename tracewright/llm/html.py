@@ -327,7 +327,7 @@ def main_text(page: str, model: Model) -> str:
     return "\n".join([x.text for x, p in zip(nodes, model.marginals(nodes), strict=True) if x.tag == "#" and p > 0.5])
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
     """Pages of several layouts, drawn from rules: elements say data-y="1" (content) or "0", and their subtrees follow.
 
     Articles hold tables, lists of links and boxes in boxes; their classes, and those of what isn't content, can mislead.
@@ -372,6 +372,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         lambda: f"<p class='{topic()}-{r.choice(('lead', 'p', 'intro'))}'>{prose(1, 5)}</p>",
         lambda: f"<div class='{topic()}'><p>{prose(1, 5)}</p><p>{prose(1, 5)}</p></div>",
         lambda: f"<p>{link(2, 8)}</p>",
+        lambda: f"<ul>{listed(True)}</ul>",
+        lambda: f"<p>{prose(1, 2)}</p><ul>{listed(True)}</ul><p>{prose(1, 2)}</p>",
+        lambda: f"<p>{r.choice((words(1, 2), prose(1, 1)))}</p>" * r.randint(20, 200),
+        lambda: f"<p>{words(1, 3).capitalize()}.</p>" * r.randint(100, 400),
         lambda: f"{words(2, 9).capitalize()}.",
     )
     astray = lambda: r.choice(("<div class='{c}' data-y='0'>{x}</div>", "<section class='{c}' data-y='0'>{x}</section>", "<aside class='{c}' data-y='0'>{x}</aside>")).format(c=said(topic(), r.choice(("ad", "share", "comments", "related", "footer", "newsletter", "tags", "promo", "cookie", "sidebar"))), x=r.choice((items(r.randint(2, 6)), f"<p>{prose(1, 2)}</p>", words(2, 8), teaser(), f"<table>{row(2, 'td')}</table>")))
