@@ -75,7 +75,8 @@ def read_beats(v: Views) -> DataFrame:
 
 def comparison(v: Views) -> DataFrame:
     path = folder(v, "comparison")
-    t = v.traj_events.withColumns({"t": F.round("t", 4), "yhat1": F.col("u2") * 2})
+    # scaled before it is rounded, as the SQL engine does: rounding the number's decimal text differs at some ties
+    t = v.traj_events.withColumns({"t": F.round(F.col("t") * 10000) / 10000, "yhat1": F.col("u2") * 2})
     S.write_comparison_csv(t, path, ["t", "u1", "yhat1"])
     return v.spark.read.option("header", True).option("sep", ";").schema("t string, u1 string, yhat1 string").csv(path)
 
