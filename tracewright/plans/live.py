@@ -36,7 +36,7 @@ def resumed(v: Views) -> DataFrame:
     rows = later.unionByName(ends).withColumn("timestamp", F.date_format(F.timestamp_micros(F.col("us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).drop("us")
     rows.repartitionByRange(2, "timestamp").sortWithinPartitions("timestamp").write.json(path)
     live = H.running_progress(H.stream_heartbeats(v.spark, path, 100)[0], history)
-    out = H.run_to_table(live, folder(v, "running"), "update", settings=H.STATE_STORE, seconds=120)
+    out = H.run_to_table(live, folder(v, "running"), "update", settings=H.STATE_STORE)
     # of each cell the last row before it finished, and whether it did
     return out.groupBy("cell").agg(F.max_by(F.struct("level", "best", "silent"), F.struct("trigger", "level")).alias("x"), F.bool_or("finished").alias("finished")).select("cell", "x.level", "x.best", "x.silent", "finished")
 
@@ -51,7 +51,7 @@ def merged(v: Views, compact_every: int | None = None) -> DataFrame:
     records(v).withColumn("seed", F.col("manifest_index") % 50).repartition(3).write.json(src)
     lines = v.spark.readStream.option("maxFilesPerTrigger", 1).text(src).withColumn("file", F.input_file_name())
     rows = numbers(parsed_lines(lines, RECORD)).drop("corrupt").withColumn("line", F.col("manifest_index"))
-    H.stream_merge(rows, hist, folder(v, "merge-checkpoint"), compact_every=compact_every).awaitTermination(600)
+    H.stream_merge(rows, hist, folder(v, "merge-checkpoint"), compact_every=compact_every).awaitTermination()
     whole = v.spark.read.parquet(hist) if compact_every is None else H.read_history(v.spark, hist, rows.drop("file", "line").schema)
     return whole.select("variant", "system_id", "initial_condition_set", "seed", "config_fingerprint")
 
