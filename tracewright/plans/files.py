@@ -47,8 +47,10 @@ def run_folders(v: Views) -> DataFrame:
         "result": c.select(run.alias("run"), F.lit('{"ok":true}').alias("value")),
     }
 
+    # a folder a run: tasks write a few dozen each and move them into place themselves
+    tasks = c.count() // 64 + 1
     for name, df in parts.items():
-        df.write.partitionBy("run").text(f"{root}/{name}")
+        df.repartition(tasks, "run").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run").text(f"{root}/{name}")
     schemas = {"config": "experiment_id string", "status": "status string, finished_at string", "metrics": "loss double", "result": "ok boolean"}
     t = S.read_run_folders(v.spark, root + "/{name}", schemas, "*", r"run=([^/]+)/")
     return E.build_registry(c.select(run.alias("run_id")), t["config"].select("run_id", "readable"), t["status"], t["metrics"], t["result"].select("run_id", "readable"))

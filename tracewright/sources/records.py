@@ -71,9 +71,16 @@ def read_run_folders(spark: SparkSession, root: str, schemas: Mapping[str, str],
 
     root and glob may hold {name}; run is the pattern that finds the run in a file's path.
     """
-    out = {}
+    out, key = {}, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    # folders are listed by a few tasks a core, not by one a folder
+    had = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(had), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        texts = {name: spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob.format(name=name)).text(root.format(name=name)) for name in schemas}
+    finally:
+        spark.conf.set(key, had)
     for name, schema in schemas.items():
-        text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob.format(name=name)).text(root.format(name=name))
+        text = texts[name]
         struct = T._parse_datatype_string(schema).add("corrupt", "string")
         j = F.from_json("value", struct, {"columnNameOfCorruptRecord": "corrupt"})
         rows = text.select(F.regexp_extract(F.input_file_name(), run, 1).alias("run_id"), "value").select("run_id", j.alias("j"), F.trim("value").startswith("{").alias("obj"))
