@@ -41,6 +41,15 @@ def resumed(v: Views) -> DataFrame:
     return out.groupBy("cell").agg(F.max_by(F.struct("level", "best", "silent"), F.struct("trigger", "level")).alias("x"), F.bool_or("finished").alias("finished")).select("cell", "x.level", "x.best", "x.silent", "finished")
 
 
+#: Records of one file of the merged stream, at most, so that no task's share grows with the table.
+FILE_ROWS = 250_000
+
+
+def _files(rows: int) -> int:
+    """Files of a stream of three batches."""
+    return 3 * max(1, -(-rows // (3 * FILE_ROWS)))
+
+
 def merged(v: Views, compact_every: int | None = None) -> DataFrame:
     """Campaign records streamed from files into a history."""
     from tracewright.sources.records import RECORD, numbers, parsed_lines
@@ -48,8 +57,9 @@ def merged(v: Views, compact_every: int | None = None) -> DataFrame:
     from .campaign import records
 
     src, hist = folder(v, "cells"), folder(v, "history")
-    records(v).withColumn("seed", F.col("manifest_index") % 50).repartition(3).write.json(src)
-    lines = v.spark.readStream.option("maxFilesPerTrigger", 1).text(src).withColumn("file", F.input_file_name())
+    n = _files(v.orders.count())
+    records(v).withColumn("seed", F.col("manifest_index") % 50).repartition(n).write.json(src)
+    lines = v.spark.readStream.option("maxFilesPerTrigger", n // 3).text(src).withColumn("file", F.input_file_name())
     rows = numbers(parsed_lines(lines, RECORD)).drop("corrupt").withColumn("line", F.col("manifest_index"))
     H.stream_merge(rows, hist, folder(v, "merge-checkpoint"), compact_every=compact_every).awaitTermination()
     whole = v.spark.read.parquet(hist) if compact_every is None else H.read_history(v.spark, hist, rows.drop("file", "line").schema)
