@@ -63,11 +63,12 @@ def true_stage_cliff(sweep: DataFrame, expected: DataFrame, by: Sequence[str] =
 def with_supports(traj: DataFrame, supports: DataFrame, dim: int, by: Sequence[str] = ("traj_id",)) -> DataFrame:
     """traj with supports: the term numbers of each equation of its series, as text (1,3|2). supports: by, eq, term.
 
-    Equations without terms have none; series without any support are left out."""
+    Equations without terms have none; series without any support are left out. The texts, one a series, are hashed in each
+    partition, so that the rows need no sort for the join."""
     per = supports.groupBy(*by, "eq").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set(F.col("term").cast("int"))), lambda x: x.cast("string"))).alias("t"))
     m = F.map_from_entries(F.collect_list(F.struct(F.col("eq").cast("int").alias("eq"), "t")))
     text = per.groupBy(*by).agg(m.alias("m")).select(*by, F.concat_ws("|", *[F.coalesce(F.element_at("m", F.lit(e + 1)), F.lit("")) for e in range(dim)]).alias("supports"))
-    return traj.join(text, list(by))
+    return traj.join(text.hint("shuffle_hash"), list(by))
 
 
 def reference_rows(
