@@ -34,14 +34,18 @@ def density_sweep(traj: DataFrame, basis: Sequence[Term], cols: Sequence[str], k
 
 
 def derivative_error(traj: DataFrame, cols: Sequence[str], exact: Sequence[str], ks: Sequence[int] = (1,), estimators: Sequence[str] = ("central",), by: Sequence[str] = ("traj_id",)) -> DataFrame:
-    """by, k, estimator, eq, n, rms_error: root mean square of the estimate's difference from the known derivatives."""
-    out = None
-    for estimator in estimators:
-        d = derivatives(decimated(traj, ks, by), cols, estimator, [*by, "k"])
-        each = F.posexplode(F.array(*[F.col(f"d_{c}") - F.col(e) for c, e in zip(cols, exact, strict=True)])).alias("e", "x")
-        one = d.select(*by, "k", F.lit(estimator).alias("estimator"), each).groupBy(*by, "k", "estimator", (F.col("e") + 1).alias("eq")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms_error"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """by, k, estimator, eq, n, rms_error: root mean square of the estimate's difference from the known derivatives.
+
+    All estimators look at the same sorted rows, and a group is a series and density with a mean for each of them and each
+    equation, which become rows after it."""
+    d = decimated(traj, ks, by)
+    for i, estimator in enumerate(estimators):
+        d = derivatives(d, cols, estimator, [*by, "k"]).withColumnsRenamed({f"d_{c}": f"__d{i}_{c}" for c in cols})
+    square = lambda i, c, e: (F.col(f"__d{i}_{c}") - F.col(e)) * (F.col(f"__d{i}_{c}") - F.col(e))
+    each = [(i, j, estimator, square(i, c, e)) for i, estimator in enumerate(estimators) for j, (c, e) in enumerate(zip(cols, exact, strict=True))]
+    g = d.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), *[F.sqrt(F.avg(x)).alias(f"__m{i}_{j}") for i, j, _, x in each])
+    rows = F.explode(F.array(*[F.struct(F.lit(estimator).alias("estimator"), F.lit(j + 1).alias("eq"), F.col(f"__m{i}_{j}").alias("rms_error")) for i, j, estimator, _ in each])).alias("x")
+    return g.select(*by, "k", "n", rows).select(*by, "k", "x.estimator", "x.eq", "n", "x.rms_error")
 
 
 def true_stage_cliff(sweep: DataFrame, expected: DataFrame, by: Sequence[str] = ("traj_id",), watch: int = 3) -> DataFrame:
